@@ -72,21 +72,28 @@ def tile_pairs(chunk: np.ndarray, lo: int, hi: int, block: int = 256) -> Iterato
             yield i.ravel(), j.ravel()
 
 
-def near_pairs(start: np.ndarray, size: np.ndarray, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of many small buckets lying one behind the other: first all neighbours, then those two apart, ..."""
+def near_pairs(start: np.ndarray, size: np.ndarray, rows: int, at_value: np.ndarray | None = None, reach: float = np.inf) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of many small buckets lying one behind the other: first all neighbours, then those two apart, ...
+
+    With at_value, rows are sorted by it within a bucket, and only pairs at most `reach` apart come: once a row's
+    neighbour at some lag is out of its window, all further ones are.
+    """
     end = np.repeat(start + size, size)
     at = np.arange(rows)
     for lag in range(1, int(size.max(initial=1))):
         at = at[at + lag < end[at]]
+        if at_value is not None:
+            at = at[at_value[at + lag] - at_value[at] <= reach]
         if not len(at):
             return
         yield at, at + lag
 
 
-def each_tile(frames: Iterator[pd.DataFrame], small: int, handle: Callable[[pd.DataFrame, Iterator], None]) -> None:
+def each_tile(frames: Iterator[pd.DataFrame], small: int, handle: Callable[[pd.DataFrame, Iterator], None], value: str | None = None, reach: float = np.inf) -> None:
     """Cut sorted rows into tiles and hand over runs of small tiles together, larger ones alone.
 
-    frames: rows of one partition sorted by (bucket, lo, hi). At most the rows of a tile and of one batch are held.
+    frames: rows of one partition sorted by (bucket, lo, hi), and then by the column `value` if pairs out of reach of
+    each other in it are to be left out. At most the rows of a tile and of one batch are held.
     """
     rest: pd.DataFrame | None = None
 
@@ -98,7 +105,7 @@ def each_tile(frames: Iterator[pd.DataFrame], small: int, handle: Callable[[pd.D
         if whole.any():
             part = rows[np.repeat(whole, size)].reset_index(drop=True)
             n = size[whole]
-            handle(part, near_pairs(np.cumsum(n) - n, n, len(part)))
+            handle(part, near_pairs(np.cumsum(n) - n, n, len(part), part[value].to_numpy() if value else None, reach))
         for s, n in zip(start[~whole], size[~whole], strict=True):
             part = rows.iloc[s : s + n].reset_index(drop=True)
             handle(part, tile_pairs(part["chunk"].to_numpy(), int(part["lo"].iloc[0]), int(part["hi"].iloc[0])))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactloom.llm import langid, simhash, url_rules, warc
+from pactloom.llm import embedding_links, langid, line_templates, mixing, neighbours, pieces, simhash, toxicity, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,17 +21,48 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "token_ids", "round_trip")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OPERATORS = (
+    op1_url_filters, op2_simhash, op3_line_dedup, op4_embedding_links, op5_warc,
+    op6_nearest_neighbours, op7_sentencepiece, op8_language_id, op9_mixing, op10_toxicity,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_simhash, op5_warc, op8_language_id)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_rules.judge_sql(), "op5_warc": warc.ROUND_TRIP_SQL}
+    return {"op1_url_filters": url_rules.judge_sql(), "op3_line_dedup": line_templates.DEDUP_SQL, "op5_warc": warc.ROUND_TRIP_SQL, "op9_mixing": mixing.sample_sql()}
