@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +14,8 @@ from pyspark.sql import types as T
 
 WORD = re.compile(r"\w+")
 WINDOW, STRIDE = 32, 16
-DIM, HIDDEN, GRAMS = 8, 8, 2048
+DIM, HIDDEN, GRAM_BITS = 8, 8, 15
+GRAMS = 1 << GRAM_BITS
 THRESHOLD = 0.3
 CACHE_WORDS = 400_000
 
@@ -30,9 +29,23 @@ def starts_of(n: int) -> range:
     return range(0, max(n - STRIDE, 1), STRIDE) if n else range(0)
 
 
-def grams_of(word: str) -> list[int]:
-    framed = f"<{word[:64]}>"
-    return [zlib.crc32(framed[i : i + 3].encode("utf-8", "replace")) % GRAMS for i in range(len(framed) - 2)]
+def runs_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, numbers): each framed word's character runs, all of three and four and its beginnings of five to nine."""
+    framed = [f"<{w[:64]}>" for w in words]
+    size = np.array([len(w) for w in framed], np.int64)
+    chars = np.frombuffer("".join(framed).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    first = np.cumsum(size) - size
+    word = np.repeat(np.arange(len(words)), size)
+    left = np.repeat(first + size, size) - np.arange(len(chars))  # characters up to the word's end
+    owner, found, code = [], [], np.zeros(len(chars), np.uint64)
+    for n in range(1, 10):
+        code[: len(chars) - n + 1] = code[: len(chars) - n + 1] * np.uint64(1000003) + chars[n - 1 :] + np.uint64(n)
+        if n >= 3:
+            at = np.flatnonzero(left >= n) if n < 5 else first[size > n]
+            owner.append(word[at])
+            found.append((code[at] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - GRAM_BITS))
+    owner, found = np.concatenate(owner), np.concatenate(found).astype(np.int64)
+    return found[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -41,19 +54,23 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Network:
-    """p: parameters by name; vocab: word to row of p['words'] (row 0: unknown); scale: logit to score."""
+    """p: parameters by name; vocab: word to row of p['words'] (row 0: unknown); scale: logit to score.
+
+    word_odds (by row) and gram_odds hold the training sample's log-odds: two more inputs of each word.
+    """
 
     p: dict[str, np.ndarray]
     vocab: dict[str, int]
+    word_odds: np.ndarray
+    gram_odds: np.ndarray
     scale: tuple[float, float] = (1.0, 0.0)
 
     def inputs(self, words: list[str]) -> np.ndarray:
-        """Word vector plus the mean of the word's character trigram vectors."""
-        grams = [grams_of(w) for w in words]
-        sizes = np.array([len(g) for g in grams])
-        flat = np.fromiter((x for g in grams for x in g), np.int64, sizes.sum())
-        chars = np.add.reduceat(self.p["grams"][flat], np.cumsum(sizes) - sizes) / sizes[:, None]
-        return self.p["words"][[self.vocab.get(w, 0) for w in words]] + chars
+        """Word vector plus the sum of the vectors of the word's character runs, over the root of their number."""
+        flat, sizes = runs_of(words)
+        first, rows = np.cumsum(sizes) - sizes, [self.vocab.get(w, 0) for w in words]
+        chars = np.add.reduceat(self.p["grams"][flat], first) / np.sqrt(sizes)[:, None]
+        return np.hstack([self.p["words"][rows] + chars, np.stack([self.word_odds[rows], np.maximum.reduceat(self.gram_odds[flat], first)], axis=1) / 4])
 
     def projected(self, words: list[str]) -> np.ndarray:
         x = self.inputs(words)
@@ -188,87 +205,121 @@ def _gradients(p: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, y: np.
     return dx, g, logit
 
 
-def train(texts: list[str], labels: list[int], steps: int = 900, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network:
+def _odds(seen: np.ndarray, toxic: np.ndarray, pos: float, neg: float, least: int = 6) -> np.ndarray:
+    """Log-odds of label 1 for features by the labelled texts that have them; 0 for features of few texts."""
+    odds = np.log((np.maximum(toxic, 0) + 0.5) / (pos + 1)) - np.log((np.maximum(seen - toxic, 0) + 0.5) / (neg + 1))
+    return np.where(seen >= least, odds, 0.0)
+
+
+class Sample:
+    """Labelled texts as rows of distinct words, with each word's character runs and evidence."""
+
+    def __init__(self, texts: list[str], labels: list[int]) -> None:
+        names: dict[str, int] = {}
+        self.rows = [np.array([names.setdefault(w, len(names)) for w in words_of(t)], np.int64) for t in texts]
+        self.names, self.y = list(names), np.array(labels, np.float64)
+        self.flat, self.sizes = runs_of(self.names) if names else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.first = np.cumsum(self.sizes) - self.sizes
+        pos, neg = max(1.0, self.y.sum()), max(1.0, len(labels) - self.y.sum())
+        seen, toxic, gseen, gtoxic = np.zeros(len(names)), np.zeros(len(names)), np.zeros(GRAMS), np.zeros(GRAMS)
+        for row, label in zip(self.rows, labels, strict=True):
+            words = np.unique(row)
+            runs = np.unique(self.runs(words))
+            seen[words] += 1
+            toxic[words] += label
+            gseen[runs] += 1
+            gtoxic[runs] += label
+        self.word_odds, self.gram_odds = _odds(seen, toxic, pos, neg), _odds(gseen, gtoxic, pos, neg)
+        self.kept = seen >= 6
+        #: By label: each word's two log-odds as texts of that label see them, that is without one text of the label.
+        self.odds = [self.features(_odds(seen - 1, toxic - t, pos - t, neg - 1 + t), _odds(gseen - 1, gtoxic - t, pos - t, neg - 1 + t)) for t in (0, 1)]
+        self.windows = [(k, a) for k, row in enumerate(self.rows) for a in starts_of(len(row))]
+
+    def features(self, word_odds: np.ndarray, gram_odds: np.ndarray) -> np.ndarray:
+        return np.stack([word_odds, np.maximum.reduceat(gram_odds[self.flat], self.first)], axis=1) / 4 if self.names else np.zeros((0, 2))
+
+    def runs(self, words: np.ndarray) -> np.ndarray:
+        n = self.sizes[words]
+        return self.flat[np.repeat(self.first[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(words) else np.zeros(0, np.int64)
+
+    def batch(self, chosen: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        idx, mask = np.zeros((len(chosen), WINDOW), np.int64), np.zeros((len(chosen), WINDOW))
+        for i, (k, a) in enumerate(chosen):
+            row = self.rows[k][a : a + WINDOW]
+            idx[i, : len(row)], mask[i, : len(row)] = row, 1
+        return idx, mask
+
+
+def train(texts: list[str], labels: list[int], steps: int = 400, batch: int = 128, rate: float = 0.01, decay: float = 1e-3, seed: int = 7) -> Network:
     """Learn from labelled whole texts.
 
-    A document's label holds for one window at least. Windows are picked by the words' log-odds at first, by the network
-    after half the steps: of a toxic text its likeliest window, of others the likeliest and a random one.
+    A document's label holds for one window at least. Windows are picked by the log-odds of words and character runs at
+    first, by the network after half the steps: of each text the likeliest window, of texts with label 0 random ones as well.
     """
     rng = np.random.default_rng(seed)
-    split = [words_of(t) for t in texts]
-    y = np.array(labels, np.float64)
-    pos = max(1.0, y.sum())
-    docs = Counter(w for ws in split for w in set(ws))
-    toxic = Counter(w for ws, t in zip(split, labels, strict=True) if t for w in set(ws))
-    names = [w for w, n in docs.items() if n >= 4]
-    odds = {w: float(np.log((toxic[w] + 0.5) / (pos + 1)) - np.log((docs[w] - toxic[w] + 0.5) / (len(texts) - pos + 1))) for w in names}
+    distinct = dict(zip(texts, labels, strict=True))  # copies would vouch for each other
+    texts, labels = list(distinct), list(distinct.values())
+    data = Sample(texts, labels)
+    kept = np.flatnonzero(data.kept)
     mat = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
-    p = {"words": rng.normal(0, 0.05, (len(names) + 1, DIM)), "grams": rng.normal(0, 0.05, (GRAMS, DIM)), "wf": mat(DIM, 3 * HIDDEN), "wb": mat(DIM, 3 * HIDDEN), "uf": mat(HIDDEN, 3 * HIDDEN), "ub": mat(HIDDEN, 3 * HIDDEN), "bf": np.zeros(3 * HIDDEN), "bb": np.zeros(3 * HIDDEN), "v": mat(2 * HIDDEN), "o": mat(2 * HIDDEN), "c": np.zeros(1)}
-    p["words"][1:, 0] += np.clip([odds[w] / 2 for w in names], -2, 2)
-    net = Network(p, {w: i + 1 for i, w in enumerate(names)})
-    windows = [(k, a) for k, ws in enumerate(split) for a in starts_of(len(ws))]
+    p = {"words": rng.normal(0, 0.05, (len(kept) + 1, DIM)), "grams": rng.normal(0, 0.05, (GRAMS, DIM)), "wf": mat(DIM + 2, 3 * HIDDEN), "wb": mat(DIM + 2, 3 * HIDDEN), "uf": mat(HIDDEN, 3 * HIDDEN), "ub": mat(HIDDEN, 3 * HIDDEN), "bf": np.zeros(3 * HIDDEN), "bb": np.zeros(3 * HIDDEN), "v": mat(2 * HIDDEN), "o": mat(2 * HIDDEN), "c": np.zeros(1)}
+    net = Network(p, {data.names[w]: i + 1 for i, w in enumerate(kept.tolist())}, np.r_[0.0, data.word_odds[kept]], data.gram_odds)
+    y, windows = data.y, data.windows
     if not windows or y.sum() in (0, len(y)):
         net.p["o"][:] = 0
         net.p["c"][0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
         return net
     owner = np.array([k for k, _ in windows])
+    word_id = np.zeros(len(data.names), np.int64)
+    word_id[kept] = np.arange(1, len(kept) + 1)
 
     def pick(value: np.ndarray) -> np.ndarray:
-        best: dict[int, int] = {}
-        for i, k in enumerate(owner.tolist()):
-            if k not in best or value[i] > value[best[k]]:
-                best[k] = i
-        any_of = [int(i) for i in rng.integers(0, len(windows), len(texts)) if not labels[owner[i]]]
-        return np.array([*best.values(), *any_of])
-
-    pool = pick(np.array([sum(sorted((max(0.0, odds.get(w, 0.0)) for w in split[k][a : a + WINDOW]), reverse=True)[:2]) for k, a in windows]))
-    used: dict[str, int] = {}
+        order = np.lexsort((-value, owner))
+        best = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
+        others = rng.integers(0, len(windows), len(texts))
+        return np.r_[best, others[y[owner[others]] == 0]]
+
+    evidence = [f.max(axis=1) for f in data.odds]
+    pool = pick(np.array([evidence[int(y[k])][data.rows[k][a : a + WINDOW]].max() for k, a in windows]))
     first, second = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     for step in range(1, steps + 1):
         if step == steps // 2:
-            pool = pick(window_logits(net, split, windows))
+            pool = pick(window_logits(net, data))
         hot, cold = pool[y[owner[pool]] == 1], pool[y[owner[pool]] == 0]
         half = batch // 3
         chosen = [windows[i] for i in np.r_[rng.choice(hot, half), rng.choice(cold, batch - half)]]
-        used = {}
-        idx, mask = np.zeros((batch, WINDOW), np.int64), np.zeros((batch, WINDOW))
-        for i, (k, a) in enumerate(chosen):
-            ws = split[k][a : a + WINDOW]
-            idx[i, : len(ws)] = [used.setdefault(w, len(used)) for w in ws]
-            mask[i, : len(ws)] = 1
-        words = list(used)
-        grams = [grams_of(w) for w in words]
-        sizes = np.array([len(x) for x in grams])
-        flat = np.fromiter((x for gs in grams for x in gs), np.int64, sizes.sum())
-        ids = np.array([net.vocab.get(w, 0) for w in words]) * (rng.random(len(words)) > 0.1)  # at times from characters alone
-        vec = p["words"][ids] + np.add.reduceat(p["grams"][flat], np.cumsum(sizes) - sizes) / sizes[:, None]
-        dx, g, _ = _gradients(p, vec[idx], mask, np.array([y[k] for k, _ in chosen]))
+        idx, mask = data.batch(chosen)
+        words, at = np.unique(idx, return_inverse=True)
+        at = at.reshape(idx.shape)
+        flat, root = data.runs(words), np.sqrt(data.sizes[words])[:, None]
+        ids = word_id[words] * (rng.random(len(words)) > 0.5)  # at times from characters alone
+        n = data.sizes[words]
+        vec = p["words"][ids] + np.add.reduceat(p["grams"][flat], np.cumsum(n) - n) / root
+        label = np.array([y[k] for k, _ in chosen])
+        odds = np.where(label[:, None, None] > 0, data.odds[1][idx], data.odds[0][idx])
+        dx, g, _ = _gradients(p, np.concatenate([vec[at], odds], axis=2), mask, label)
         dvec = np.zeros_like(vec)
-        np.add.at(dvec, idx, dx * mask[:, :, None])
+        np.add.at(dvec, at, dx[:, :, :DIM] * mask[:, :, None])
         g["words"], g["grams"] = np.zeros_like(p["words"]), np.zeros_like(p["grams"])
         np.add.at(g["words"], ids, dvec)
-        np.add.at(g["grams"], flat, np.repeat(dvec / sizes[:, None], sizes, axis=0))
+        np.add.at(g["grams"], flat, np.repeat(dvec / root, n, axis=0))
         lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for k in p:
             first[k] = 0.9 * first[k] + 0.1 * g[k]
             second[k] = 0.99 * second[k] + 0.01 * g[k] ** 2
-            p[k] -= lr * (first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8) + 1e-4 * p[k])
-    top = Scorer(net).documents(texts)
+            p[k] -= lr * (first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8) + decay * p[k])
+    top = np.full(len(texts), -np.inf)
+    np.maximum.at(top, owner, window_logits(net, data))
     net.scale = _platt(top[np.isfinite(top)], y[np.isfinite(top)])
     return net
 
 
-def window_logits(net: Network, split: list[list[str]], windows: list[tuple[int, int]]) -> np.ndarray:
-    names: dict[str, int] = {}
-    rows = [np.array([names.setdefault(w, len(names)) for w in ws], np.int64) for ws in split]
-    table = net.projected(list(names))
-    out = np.empty(len(windows))
-    for at in range(0, len(windows), 2048):
-        part = windows[at : at + 2048]
-        idx, length = np.zeros((len(part), WINDOW), np.int64), np.array([len(rows[k][a : a + WINDOW]) for k, a in part])
-        for i, (k, a) in enumerate(part):
-            idx[i, : length[i]] = rows[k][a : a + WINDOW]
-        out[at : at + 2048] = net.logits(table, idx, length)
+def window_logits(net: Network, data: Sample) -> np.ndarray:
+    """Logits of all windows of the sample."""
+    table, out = net.projected(data.names), np.empty(len(data.windows))
+    for at in range(0, len(out), 2048):
+        idx, mask = data.batch(data.windows[at : at + 2048])
+        out[at : at + 2048] = net.logits(table, idx, mask.sum(axis=1).astype(np.int64))
     return out
 
 
@@ -288,7 +339,7 @@ def held_out(col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, other_rows: int = 3000) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1000, other_rows: int = 2000) -> Network:
     """Train on a bounded sample: the labelled ids of smallest hash, toxic_rows of label 1 and other_rows of label 0."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
     ids = known.selectExpr("doc_id", "toxic", "row_number() over (partition by toxic order by h, doc_id) as rn").where(F.col("rn") <= F.when(F.col("toxic") == 1, toxic_rows).otherwise(other_rows)).drop("rn")
