@@ -7,14 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactloom.llm.staging import stage
+from pactloom.llm.staging import drop_staged, stage
 
 NONE = "(none)"
 DIMS = ("source", "lang", "topic")
 #: A marginal's target share is proportional to its tokens to this power: below 1, large sources give way to small ones.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 FRACTION = 0.5
-ROUNDS = 10
+ROUNDS = 6
 
 
 def topic_of(text: Column) -> Column:
@@ -41,18 +41,18 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """cells (dims..., tokens) with weight: token shares whose marginals meet the targets (dim, target).
 
-    Each step scales the cells of a marginal value by target / present share: an aggregate and a join. Two rounds are
-    staged at a time, so plans stay short. A value without a target keeps its share; one without cells has no effect.
+    Each step scales the cells of a marginal value by target / present share: an aggregate and a join, staged at once,
+    since a plan of several steps would double with each. A value without a target keeps its share; one without cells
+    has no effect.
     """
     fixed = {d: stage(t, f"target_{d}") for d, t in targets.items()}
     total = cells.agg(F.sum("tokens").alias("all"))
     now = stage(cells.crossJoin(total).withColumn("weight", F.col("tokens") / F.col("all")).drop("all"), "cells")  # total is one row
-    for i in range(rounds):
+    for _ in range(rounds):
         for dim, target in fixed.items():
             factor = now.groupBy(dim).agg(F.sum("weight").alias("share")).join(target, dim, "left").select(dim, F.coalesce(F.col("target") / F.col("share"), F.lit(1.0)).alias("factor"))
-            now = now.join(factor, dim).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        if i % 2 or i == rounds - 1:
-            now = stage(now, "cells")
+            before, now = now, stage(now.join(factor, dim).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor"), "cells")
+            drop_staged(before)
     return now
 
 
