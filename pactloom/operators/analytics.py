@@ -72,7 +72,7 @@ def case_candidates(projects: DataFrame, properties: DataFrame, contracts: DataF
     # k candidates at most from each distinct apartment count can be among a case's k nearest
     per_count = flat.withColumn("rn", F.row_number().over(Window.partitionBy("apartment_count").orderBy("project_code"))).where(F.col("rn") <= k)
     counts = per_count.select("apartment_count").distinct().groupBy(F.lit(1).alias("one")).agg(F.sort_array(F.collect_set("apartment_count")).alias("counts"))  # an apartment count is a small whole number
-    near = cases.crossJoin(F.broadcast(counts)).select("case_id", "apartments", F.explode(F.slice(F.array_sort(F.transform("counts", lambda c: F.struct(F.abs(c - F.col("apartments")).alias("gap"), c.alias("apartment_count")))), 1, k)).alias("n"))
+    near = cases.crossJoin(F.broadcast(counts)).select("case_id", "apartments", F.explode(F.slice(F.array_sort(F.transform("counts", lambda c: F.struct(F.abs(c - F.col("apartments")).alias("gap"), c.alias("apartment_count")))), 1, k + 1)).alias("n"))  # two counts at most have the same gap
     found = near.select("case_id", "n.gap", "n.apartment_count").join(per_count, "apartment_count")
     rank = F.row_number().over(Window.partitionBy("case_id").orderBy("gap", "project_code"))
     top = found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -12,6 +12,7 @@ from pactloom.functions import text as X
 from pactloom.operators import analytics, extract, facts, graph, packets, payments, pricing, quality, search, sections, upserts
 from pactloom.sources import adapter as A
 from pactloom.sources import files as FILES
+from pactloom.sources.scratch import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -570,8 +571,8 @@ def graph_data(s: SparkSession, d: str) -> dict[str, DataFrame]:
 
 def graph_tables(s, d):
     data = graph_data(s, d)
-    entities = graph.build_entities(data, graph.CONTRACT_ENTITIES)
-    relations, orphans = graph.split_orphans(graph.build_relations(data, graph.CONTRACT_RELATIONS), entities)
+    entities = materialize(graph.build_entities(data, graph.CONTRACT_ENTITIES), "entities")
+    relations, orphans = graph.split_orphans(materialize(graph.build_relations(data, graph.CONTRACT_RELATIONS), "relations"), entities)
     return entities, relations, graph.build_evidence(entities, relations), orphans
 
 
@@ -684,15 +685,19 @@ def j3_vector_search(s, d):
 
 
 def retrieval(s, d):
-    q = search.detect_topics(A.questions(s, d))
+    """Each step's table is written once, since the later ones use it several times."""
+    q = materialize(search.detect_topics(A.questions(s, d)), "questions")
     e, r, v, _ = graph_tables(s, d)
+    hits = materialize(search.search_entities(q, e), "hits")
+    r = materialize(r, "relations")
+    found = materialize(search.fetch_relations(hits, q, r), "found")
     code = e.select("entity_id", F.col("project_code").alias("pe"))
-    v = v.join(code, "entity_id", "left").join(r.select("relation_id", F.col("project_code").alias("pr")), "relation_id", "left").withColumn("project_code", F.coalesce("pe", "pr")).drop("pe", "pr")
-    hits = search.search_entities(q, e)
-    found = search.fetch_relations(hits, q, r)
-    evidence = search.fetch_evidence(hits, found, v)
-    context = packets.text_context(evidence, q, A.pages(s, d), section_rows(s, d).withColumn("project_code", F.concat(F.lit("NATION_"), F.regexp_extract("project_code", r"(\d+)", 1))))
-    status = packets.evidence_status(evidence, context)
+    of_relation = r.select("relation_id", F.col("project_code").alias("pr"))
+    evidence = search.fetch_evidence(hits, found, v).join(code, "entity_id", "left").join(of_relation, "relation_id", "left").withColumn("project_code", F.coalesce("pe", "pr")).drop("pe", "pr")
+    evidence = materialize(evidence, "evidence")
+    nations = section_rows(s, d).withColumn("project_code", F.concat(F.lit("NATION_"), F.regexp_extract("project_code", r"(\d+)", 1)))
+    context = materialize(packets.text_context(evidence, q, A.pages(s, d), nations), "context")
+    status = materialize(packets.evidence_status(evidence, context), "status")
     return q, hits, found, evidence, context, status, packets.coverage(q, hits, status, context)
 
 
@@ -735,7 +740,7 @@ def j9_coverage(s, d):
 
 def all_packets(s, d):
     q, hits, found, _, context, status, cov = retrieval(s, d)
-    return packets.build_packets(q, hits, found, status, context, cov)
+    return materialize(packets.build_packets(q, hits, found, status, context, cov), "packets")
 
 
 @query()
