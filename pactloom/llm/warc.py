@@ -17,6 +17,7 @@ from pactloom.llm.staging import shared_dir
 
 GZIP = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
+SLICE = 4096
 #: A gzip member without content. Spark's text writer needs a separator between rows; this one is valid between members.
 EMPTY_MEMBER = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
 _CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
@@ -88,14 +89,17 @@ class Damaged(Exception):
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    unpack = zlib.decompressobj(31)
+    """A member's content and its end, fed in slices: what lies behind the member is never copied."""
+    unpack, view, out = zlib.decompressobj(31), memoryview(data), []
     try:
-        out = unpack.decompress(memoryview(data)[at:])
+        while not unpack.eof and at < len(data):
+            out.append(unpack.decompress(view[at : at + SLICE]))
+            at += SLICE
     except zlib.error as e:
         raise Damaged(f"gzip: {e}") from e
     if not unpack.eof:
         raise Damaged("gzip: cut short")
-    return out, len(data) - len(unpack.unused_data)
+    return b"".join(out), min(at, len(data)) - len(unpack.unused_data)
 
 
 def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
