@@ -38,7 +38,7 @@ def runs_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     word = np.repeat(np.arange(len(words)), size)
     left = np.repeat(first + size, size) - np.arange(len(chars))  # characters up to the word's end
     owner, found, code = [], [], np.zeros(len(chars), np.uint64)
-    for n in range(1, 10):
+    for n in range(1, min(10, len(chars) + 1)):
         code[: len(chars) - n + 1] = code[: len(chars) - n + 1] * np.uint64(1000003) + chars[n - 1 :] + np.uint64(n)
         if n >= 3:
             at = np.flatnonzero(left >= n) if n < 5 else first[size > n]
