@@ -37,8 +37,7 @@ def discover_sources(*layers: DataFrame) -> DataFrame:
     return rows.withColumn("is_invoice", inv).where(mentions(F.col("text"), R.PAYMENT_TERMS) | F.col("is_invoice")).withColumn("source_rank", F.struct(doc.alias("d"), layer.alias("l"), F.coalesce("source_label", F.lit("")).alias("label"), F.col("source_id").alias("id")))
 
 
-@F.pandas_udf(f"struct<rows:array<{ITEM}>,invoice:{ITEM}>")
-def parse(text: pd.Series, label: pd.Series, path: pd.Series, invoice: pd.Series, by_path: pd.Series) -> pd.DataFrame:
+def parse_batch(text: pd.Series, label: pd.Series, path: pd.Series, invoice: pd.Series, by_path: pd.Series) -> pd.DataFrame:
     out = []
     for t, lb, p, inv, bp in zip(text, label, path, invoice, by_path, strict=True):
         item = invoice_item(t or "", lb or "", p or "", bool(bp)) if inv and t else None
@@ -49,6 +48,7 @@ def parse(text: pd.Series, label: pd.Series, path: pd.Series, invoice: pd.Series
 def parse_sources(sources: DataFrame) -> DataFrame:
     """Rows (array) of a schedule text, invoice (struct) of an invoice's."""
     by_path = mentions(F.col("source_path"), R.PAYMENT_PATH_TERMS)
+    parse = F.pandas_udf(parse_batch, f"struct<rows:array<{ITEM}>,invoice:{ITEM}>")
     return sources.withColumn("p", parse("text", "source_label", "source_path", "is_invoice", by_path)).select(*sources.columns, F.col("p.rows").alias("rows"), F.col("p.invoice").alias("invoice"))
 
 
