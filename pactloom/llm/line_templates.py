@@ -15,32 +15,50 @@ BLANK = " \\t\\x0B\\f\\r"
 VARIABLE = "<*>"
 
 
-def tokens(line: Column) -> Column:
-    """Words of a line; those with a digit become <*>."""
-    masked = F.regexp_replace(line, f"[^{BLANK}0-9]*[0-9][^{BLANK}]*", VARIABLE)
-    return F.filter(F.split(masked, f"[{BLANK}]+"), lambda t: t != "")
+def normal_line(line: Column) -> Column:
+    """A line's words, one blank apart; words with a digit become <*>. The costly rules only run on lines that need them."""
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, f"(?<![^{BLANK}])[^{BLANK}0-9]*[0-9][^{BLANK}]*", VARIABLE)).otherwise(line)
+    odd = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for c in "\t\x0b\f\r":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.when(odd, F.trim(F.regexp_replace(masked, f"[{BLANK}]+", " "))).otherwise(masked)
 
 
-def line_key(words: Column) -> Column:
-    return F.when(F.size(words) > 0, F.xxhash64(F.size(words), F.array_join(words, " ")))
+def word_count(normal: Column) -> Column:
+    return F.when(normal == "", 0).otherwise(F.length(normal) - F.length(F.replace(normal, F.lit(" "))) + 1)
 
 
-def recurring_lines(texts: DataFrame, min_docs: int, lead: int, min_tokens: int, prevailing: float, min_constant: float) -> tuple[DataFrame, DataFrame]:
+def line_key(normal: Column) -> Column:
+    return F.xxhash64(normal)
+
+
+def leaf_filter(leaves: DataFrame, bits: int = 1 << 21) -> DataFrame:
+    """One row of fixed size: a bit for each hash of the leaves, as bits / 64 numbers."""
+    at = F.pmod(F.col("leaf"), F.lit(bits))
+    words = leaves.select(F.floor(at / 64).alias("i"), F.expr(f"shiftleft(1L, cast(pmod(leaf, {bits}) % 64 as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
+    every = leaves.sparkSession.range(bits // 64).withColumnRenamed("id", "i").join(words, "i", "left").select("i", F.coalesce("b", F.lit(0)).alias("b"))
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "b"))), lambda x: x["b"]).alias("known"))
+
+
+def recurring_lines(texts: DataFrame, min_docs: int, lead: int, min_tokens: int, prevailing: float, min_constant: float, bits: int = 1 << 21) -> tuple[DataFrame, DataFrame]:
     """(lines of each text, keys of lines that belong to a recurring template)."""
-    lines = texts.select("th", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).select("th", tokens(F.col("line")).alias("w")).where(F.size("w") >= min_tokens)
-    keyed = lines.select("th", "w", line_key(F.col("w")).alias("line_key"), F.xxhash64(F.size("w"), F.array_join(F.slice("w", 1, lead), " ")).alias("leaf"))
+    lines = texts.select("th", F.explode(F.transform(F.split("text", "\n"), normal_line)).alias("w"))  # below the generator, a line's rules run once
+    lines = lines.withColumn("words", word_count(F.col("w"))).where(F.col("words") >= min_tokens)
+    keyed = lines.select("th", "w", line_key(F.col("w")).alias("line_key"), F.xxhash64("words", F.substring_index("w", " ", lead)).alias("leaf"))
     index = stage(keyed.select("th", "line_key", "leaf").distinct(), "lines")
 
     exact = index.groupBy("line_key").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("line_key")
 
     varied = index.groupBy("leaf", "th").agg(F.min("line_key").alias("a"), F.max("line_key").alias("b"))
-    varied = varied.groupBy("leaf").agg(F.count("*").alias("n"), F.min("a").alias("a"), F.max("b").alias("b")).where((F.col("n") >= min_docs) & (F.col("a") != F.col("b"))).select("leaf")
-    members = stage(keyed.join(varied, "leaf", "left_semi").groupBy("leaf", "line_key").agg(F.first("w").alias("w")), "leaves")
+    varied = stage(varied.groupBy("leaf").agg(F.count("*").alias("n"), F.min("a").alias("a"), F.max("b").alias("b")).where((F.col("n") >= min_docs) & (F.col("a") != F.col("b"))).select("leaf"), "varied")
+    likely = keyed.crossJoin(F.broadcast(leaf_filter(varied, bits))).where(F.expr(f"shiftrightunsigned(get(known, cast(floor(pmod(leaf, {bits}) / 64) as int)), cast(pmod(leaf, {bits}) % 64 as int)) & 1 = 1"))  # one row of bits / 8 bytes
+    members = stage(likely.join(varied, "leaf", "left_semi").groupBy("leaf", "line_key").agg(F.split(F.first("w"), " ").alias("w")), "leaves")
     total = members.groupBy("leaf").agg(F.count("*").alias("total"))
     at = members.select("leaf", F.posexplode("w").alias("pos", "word")).groupBy("leaf", "pos", "word").agg(F.count("*").alias("n"))
     best = at.groupBy("leaf", "pos").agg(F.max(F.struct("n", "word")).alias("b")).join(total, "leaf").where(F.col("b.n") >= prevailing * F.col("total"))
     template = best.groupBy("leaf").agg(F.collect_list(F.struct("pos", F.col("b.word").alias("word"))).alias("constant"))
     fits = members.join(template, "leaf").where(F.size("constant") >= min_constant * F.size("w")).where(F.forall("constant", lambda c: F.get("w", c["pos"]) == c["word"])).select("leaf", "line_key")
+    fits = stage(fits, "fits")
     spread = index.join(fits, ["leaf", "line_key"], "left_semi").groupBy("leaf", "th").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     general = fits.join(spread, "leaf", "left_semi").select("line_key")
     return index.select("th", "line_key"), exact.unionByName(general).distinct()
@@ -63,7 +81,7 @@ def drop_recurring_lines(
     index, recurring = recurring_lines(rows.where(F.col(text_col).isNotNull()).select(F.col("__th").alias("th"), F.col(text_col).cast("string").alias("text")), min_docs, lead, min_tokens, prevailing, min_constant)
     marked = index.join(recurring, "line_key").groupBy("th").agg(F.collect_set("line_key").alias("__drop")).withColumnRenamed("th", "__th")
     joined = rows.join(marked, "__th", "left")
-    kept = F.filter(F.split(text_col, "\n"), lambda x: ~F.coalesce(F.array_contains("__drop", line_key(tokens(x))), F.lit(False)))
+    kept = F.filter(F.split(text_col, "\n"), lambda x: ~F.coalesce(F.array_contains("__drop", line_key(normal_line(x))), F.lit(False)))
     cleaned = joined.withColumn("__kept", F.when(F.col("__drop").isNotNull(), kept)).withColumn("__text", F.array_join("__kept", "\n"))
     changed = F.length("__text") >= (1 - max_loss) * F.length(text_col)
     n_lines = F.size(F.split(text_col, "\n"))
