@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 CACHE_PAIRS = 2_000_000
 
 
@@ -54,8 +54,11 @@ class PieceModel:
         self.alone = "".join(c for c in "\n\t\r" if not any(c in p for p in pieces))  # no piece holds them: words end there
         a = re.escape(self.alone)
         self.words = re.compile(f"{MARK}+[^{MARK}{a}]*|[{a}]|[^{MARK}{a}]+" if a else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.least = min(self.score.values(), default=0.0) - 10.0  # a character that is no piece
+        self.follows: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, word: str) -> list[str]:
         """BPE by its definition: join the best-scored neighbours, the leftmost of equals, until none is a piece."""
@@ -73,52 +76,77 @@ class PieceModel:
 
     def may_follow(self, a: str, b: str) -> bool:
         """For BPE: whether b can stand after a; with a empty, whether b is its own merge result."""
-        got = self.follows.get((a, b))
-        if got is None:
-            if len(self.follows) >= CACHE_PAIRS:
-                self.follows.clear()
-            got = self.follows[a, b] = self.merge(a + b) == ([a, b] if a else [b])
-        return got
-
-    def forward(self, words: Iterable[str]) -> Iterator[tuple[str, list[str] | None]]:
+        return self.merge(a + b) == ([a, b] if a else [b])
+
+    def forward(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
         """Sorted distinct words to their pieces, in one depth-first walk of their trie.
 
-        path[i] is the state of the present prefix of length i: (score, last piece). Words with several marks in front
-        are merged by definition: the pieces of blanks have equal scores, which the forward rule leaves open.
+        The walk keeps a state for each prefix of the present word and takes up the next word at the end of what both
+        share. Words with several marks in front are merged by definition: the pieces of blanks have equal scores, which
+        the forward rule leaves open.
         """
+        return self._forward_bpe(words) if self.kind == "bpe" else self._forward_unigram(words)
+
+    def _forward_bpe(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
+        known, longest = self.id, self.longest
+        if self.pairs >= CACHE_PAIRS:
+            self.follows, self.pairs = {}, 0
+        follows = self.follows
+        path = [""]  # last piece of each prefix
+        after = [follows.setdefault("", {})]  # what may stand behind it
+        before, length = "", 0
+        for word in words:
+            depth, n = 0, len(word)
+            while depth < n and depth < length and word[depth] == before[depth]:
+                depth += 1
+            del path[depth + 1 :], after[depth + 1 :]
+            for end in range(depth + 1, n + 1):
+                piece = word[end - 1]
+                if piece not in known:
+                    path.append(piece)
+                    after.append(after[0])
+                    continue
+                for start in range(end - longest if end > longest else 0, end):
+                    piece = word[start:end]
+                    if piece in known:
+                        fits = after[start].get(piece)
+                        if fits is None:
+                            last = path[start]
+                            fits = after[start][piece] = self.may_follow(last if last in known else "", piece)
+                            self.pairs += 1
+                        if fits:
+                            break
+                else:
+                    piece = ""
+                path.append(piece)
+                after.append(follows.setdefault(piece, {}) if piece else after[0])
+            before, length = word, n
+            if word.startswith(MARK + MARK) or "" in path[1:]:
+                yield word, self.merge(word)
+                continue
+            out, end = [], n
+            while end:
+                out.append(path[end])
+                end -= len(out[-1])
+            yield word, out[::-1]
+
+    def _forward_unigram(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
         path: list[tuple[float, str]] = [(0.0, "")]
         before = ""
         for word in words:
             depth = len(commonprefix((before, word)))
             del path[depth + 1 :]
-            for end in range(len(path), len(word) + 1):
-                path.append(self._bpe_state(word, end, path) if self.kind == "bpe" else self._unigram_state(word, end, path))
+            for end in range(depth + 1, len(word) + 1):
+                path.append(self._unigram_state(word, end, path))
             before = word
-            if self.kind == "bpe" and (word.startswith(MARK + MARK) or any(not p[1] for p in path[1:])):
-                yield word, self.merge(word)
-                continue
             out, end = [], len(word)
             while end:
                 out.append(path[end][1])
                 end -= len(out[-1])
             yield word, out[::-1]
 
-    def _bpe_state(self, word: str, end: int, path: list[tuple[float, str]]) -> tuple[float, str]:
-        char = word[end - 1]
-        if char not in self.id:
-            return 0.0, char
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            if piece in self.id:
-                last = path[start][1]
-                if self.may_follow(last if last in self.id else "", piece):
-                    return 0.0, piece
-        return 0.0, ""
-
     def _unigram_state(self, word: str, end: int, path: list[tuple[float, str]]) -> tuple[float, str]:
-        least = min(self.score.values(), default=0.0) - 10.0 if not hasattr(self, "least") else self.least
-        self.least = least
-        best = (path[end - 1][0] + self.score.get(word[end - 1], least), word[end - 1])
+        best = (path[end - 1][0] + self.score.get(word[end - 1], self.least), word[end - 1])
         for start in range(max(0, end - self.longest), end - 1):
             piece = word[start:end]
             if piece in self.score and path[start][0] + self.score[piece] > best[0]:
@@ -127,19 +155,24 @@ class PieceModel:
 
     def ids(self, pieces: list[str]) -> tuple[int, ...]:
         """Pieces to ids; what is no piece goes byte by byte."""
-        out: list[int] = []
-        for p in pieces:
-            i = self.id.get(p)
-            out.extend((i,) if i is not None else [self.byte_ids[b] for b in p.encode("utf-8", "replace")])
-        return tuple(out)
+        try:
+            return tuple(map(self.id.__getitem__, pieces))
+        except KeyError:
+            return tuple(i for p in pieces for i in ([self.id[p]] if p in self.id else [self.byte_ids[b] for b in p.encode("utf-8", "replace")]))
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """Ids of whole texts. New words of the batch are sorted and walked together; known ones are looked up."""
+        """Ids of whole texts. New words of the batch are sorted and walked together; known ones are looked up.
+
+        Known words are kept in two halves: when the newer is full it becomes the older one, and words met again move on.
+        """
         split = [None if t is None else self.words.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {w for ws in split if ws for w in ws} - self.known.keys()
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = {w for ws in split if ws for w in ws}
+        new = set().union(*[ws for ws in split if ws])
+        if len(self.known) > CACHE_WORDS // 2:
+            self.known, self.older = {}, self.known
+        new -= self.known.keys()
+        if again := new & self.older.keys():
+            self.known.update((w, self.older[w]) for w in again)
+            new -= again
         for word, pieces in self.forward(sorted(new)):
             self.known[word] = self.ids(pieces)
         get = self.known.__getitem__
