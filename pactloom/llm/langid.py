@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pactloom.llm.staging import free_name
+
 MAX_LANGUAGES = 64  # bits of a mask
 UNDETERMINED = "und"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -121,10 +123,10 @@ def predict(docs: DataFrame, model: LanguageMasks, text_col: str = "text", keep:
     """The columns `keep` (all by default) with lang_pred string and score double. Whole texts, one pass, no shuffle.
 
     Null texts and texts without a letter give `und` and 0; with no learned language all rows are `und`; ties go to the
-    language first in alphabetical order.
+    language first in alphabetical order; columns of these two names in docs are replaced.
     """
-    kept = docs.select(*(keep if keep is not None else docs.columns), F.col(text_col).cast("string").alias("__text"))
-    names = kept.columns[:-1]
+    names = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score")]
+    kept = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").alias(free_name(docs, "text_")))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: the slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

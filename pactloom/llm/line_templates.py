@@ -75,18 +75,19 @@ def drop_recurring_lines(
     characters is a copy of a document rather than a page with boilerplate; it stays whole, for document dedup.
 
     Defined results: null and empty texts stay as they are; lines under min_tokens words stay; repeated rows are treated
-    alike; no rows give no rows; columns of docs named like this function's own are kept, but for dropped_lines and text_col.
+    alike; no rows give no rows; all other columns of docs are kept under any names, but for one named dropped_lines.
     """
-    rows = docs.drop("dropped_lines").withColumn("__th", F.unhex(F.sha1(F.col(text_col))))
-    index, recurring = recurring_lines(rows.where(F.col(text_col).isNotNull()).select(F.col("__th").alias("th"), F.col(text_col).cast("string").alias("text")), min_docs, lead, min_tokens, prevailing, min_constant)
-    marked = index.join(recurring, "line_key").groupBy("th").agg(F.collect_set("line_key").alias("__drop")).withColumnRenamed("th", "__th")
-    joined = rows.join(marked, "__th", "left")
-    kept = F.filter(F.split(text_col, "\n"), lambda x: ~F.coalesce(F.array_contains("__drop", line_key(normal_line(x))), F.lit(False)))
-    cleaned = joined.withColumn("__kept", F.when(F.col("__drop").isNotNull(), kept)).withColumn("__text", F.array_join("__kept", "\n"))
-    changed = F.length("__text") >= (1 - max_loss) * F.length(text_col)
-    n_lines = F.size(F.split(text_col, "\n"))
-    out = cleaned.withColumn("dropped_lines", F.when(changed, n_lines - F.size("__kept")).otherwise(0)).withColumn(text_col, F.when(changed, F.col("__text")).otherwise(F.col(text_col)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c != "dropped_lines"], "dropped_lines")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "dropped_lines"]).alias("row"))
+    text = F.col(f"row.`{text_col}`").cast("string")
+    rows = rows.withColumn("th", F.unhex(F.sha1(text)))  # the text itself is shuffled once, in its row
+    index, recurring = recurring_lines(rows.where(text.isNotNull()).select("th", text.alias("text")), min_docs, lead, min_tokens, prevailing, min_constant)
+    marked = index.join(recurring, "line_key").groupBy("th").agg(F.collect_set("line_key").alias("gone"))
+    kept = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains("gone", line_key(normal_line(x))), F.lit(False)))
+    cleaned = rows.join(marked, "th", "left").withColumn("kept", F.when(F.col("gone").isNotNull(), kept)).withColumn("new", F.array_join("kept", "\n"))
+    changed = F.length("new") >= (1 - max_loss) * F.length(text)
+    lost = F.when(changed, F.size(F.split(text, "\n")) - F.size("kept")).otherwise(0)
+    column = lambda c: F.when(changed, F.col("new")).otherwise(text).alias(c) if c == text_col else F.col(f"row.`{c}`")
+    return cleaned.select(*[column(c) for c in docs.columns if c != "dropped_lines"], lost.alias("dropped_lines"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

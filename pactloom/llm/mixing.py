@@ -66,18 +66,20 @@ def mix(docs: DataFrame, fraction: float = FRACTION, targets: dict[str, DataFram
 
     A document's probability is fraction * raked weight / original weight of its cell, 1 at most. Sampling is by
     document id, so repeated rows stay or go together. Null marginal values form the value (none); null texts weigh one
-    token; no rows give no rows.
+    token; no rows give no rows; a column __mix of docs is replaced.
     """
     dims = dims or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.col(text_col))}
-    known = docs.withColumn("__mix", F.struct(*[F.coalesce(c.cast("string"), F.lit(NONE)).alias(d) for d, c in dims.items()], token_weight(F.col(text_col)).alias("tokens")))
-    cells = stage(known.groupBy(*[F.col(f"__mix.{d}").alias(d) for d in dims]).agg(F.sum("__mix.tokens").alias("tokens")), "sums")
+    columns = [c for c in docs.columns if c != "__mix"]
+    traits = F.struct(*[F.coalesce(c.cast("string"), F.lit(NONE)).alias(d) for d, c in dims.items()], token_weight(F.col(text_col)).alias("tokens"))
+    known = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(id_col).alias("id"), traits.alias("mix"))
+    cells = stage(known.groupBy(*[F.col(f"mix.{d}").alias(d) for d in dims]).agg(F.sum("mix.tokens").alias("tokens")), "sums")
     goals = {d: (targets or {}).get(d) or tempered(cells, d, TEMPER.get(d, 1.0)) for d in dims}
     raked = rake(cells, goals, rounds)
     total = raked.agg(F.sum("tokens").alias("all"))
-    rate = raked.crossJoin(total).select(*[F.col(d).alias(f"__{d}") for d in dims], F.least(F.lit(1.0), fraction * F.col("weight") * F.col("all") / F.col("tokens")).alias("__p"))  # total is one row
-    same = reduce(lambda a, b: a & b, [F.col(f"__mix.{d}") == F.col(f"__{d}") for d in dims])
-    joined = known.join(rate, same).where(chance(F.col(id_col)) < F.col("__p"))
-    return joined.withColumn("__mix", F.col("__mix").withField("probability", F.col("__p"))).select(*[F.col(f"`{c}`") for c in docs.columns], "__mix")
+    rate = raked.crossJoin(total).select(*dims, F.least(F.lit(1.0), fraction * F.col("weight") * F.col("all") / F.col("tokens")).alias("p"))  # total is one row
+    same = reduce(lambda a, b: a & b, [F.col(f"mix.{d}") == F.col(d) for d in dims])
+    drawn = known.join(rate, same).where(chance(F.col("id")) < F.col("p"))
+    return drawn.select(*[F.col(f"row.`{c}`") for c in columns], F.col("mix").withField("probability", F.col("p")).alias("__mix"))
 
 
 def sample(docs: DataFrame) -> DataFrame:

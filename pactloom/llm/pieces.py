@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pactloom.llm.staging import free_name
+
 MARK = "▁"
 CACHE_WORDS = 800_000
 CACHE_PAIRS = 2_000_000
@@ -204,7 +206,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, row
     """
     path = path or default_path()
     own = ("token_ids", "n_tokens", "round_trip")
-    kept = docs.drop(*own).withColumn("__text", F.col(text_col).cast("string"))
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own], F.col(text_col).cast("string").alias(free_name(docs, "text_")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pactloom.llm.staging import free_name
+
 WORD = re.compile(r"\w+")
 WINDOW, STRIDE = 32, 16
 DIM, HIDDEN, GRAM_BITS = 8, 8, 15
@@ -350,9 +352,10 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1000, other_rows:
 def score(docs: DataFrame, net: Network, keep: list[str] | None = None, text_col: str = "text", rows: int = 256) -> DataFrame:
     """The columns `keep` (all by default) with score double: one pass over all windows of whole texts, no shuffle.
 
-    Null texts, empty ones and those without a word score 0.
+    Null texts, empty ones and those without a word score 0; a column score in docs is replaced.
     """
-    kept = docs.select(*(keep if keep is not None else docs.columns), F.col(text_col).cast("string").alias("__text"))
+    names = [c for c in (keep if keep is not None else docs.columns) if c != "score"]
+    kept = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").alias(free_name(docs, "text_")))
     shared = docs.sparkSession.sparkContext.broadcast(net)  # of the size of the training sample's vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
