@@ -3,14 +3,15 @@
 In 64 and more dimensions a window of one projection holds a fixed share of all rows, so counting over bare projections
 is quadratic. Each projection is therefore sorted inside the cells of its own round's cross-polytope hash (the largest
 of some random projections): a collision is the same cell and a neighbour inside the query-centred window of the sorted
-projection. Pairs that collide in enough rounds are verified; the count is calibrated by simulation at the threshold.
+projection. Pairs that collide in enough rounds are verified; the count and, where cells are fine, the number of rounds
+are calibrated by simulation at the threshold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil, comb
+from math import ceil, comb, log
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,25 @@ class Rounds:
         width = int(np.clip(ceil(cells ** (1 / parts) / 2), 2, 128))
         return cls(rng.normal(size=(dim, rounds * parts * width)).astype(np.float32), rng.normal(size=(dim, rounds)).astype(np.float32), rounds, parts, width)
 
+    @classmethod
+    def plan(cls, dim: int, rows: int, rounds: int, per_cell: int, threshold: float, recall: float, most: int = 1000) -> Rounds:
+        """Rounds that keep the recall at the threshold: `rounds`, or as many more as the chance of a collision needs."""
+        while True:
+            plan = cls.draw(dim, rows, rounds, per_cell)
+            p = plan.calibrate(threshold, recall)
+            if plan.tail(p, 1) >= recall:
+                return plan
+            need = max(rounds + 1, ceil(log(1 - recall) / log(1 - p))) if p > 0 else most + 1
+            if need > most:
+                raise ValueError(f"a recall of {recall} at cosine {threshold} needs more than {most} rounds: a pair collides in a round with probability {p:.2g}")
+            rounds = need
+
     def signatures(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        step = max(1, (1 << 22) // self.cell.shape[1])  # bounds the products held at once
+        parts = [self._signatures(unit[k : k + step]) for k in range(0, max(len(unit), 1), step)]
+        return np.concatenate([c for c, _ in parts]), np.concatenate([v for _, v in parts])
+
+    def _signatures(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = unit.astype(np.float32)
         y = (x @ self.cell).reshape(len(x), self.rounds, self.parts, self.width)
         at = np.abs(y).argmax(axis=3)
@@ -54,24 +73,27 @@ class Rounds:
             cell = cell * (2 * self.width) + code[:, :, p]
         return cell.astype(np.int32), x @ self.line
 
-    def calibrate(self, threshold: float, recall: float, pairs: int = 4000, seed: int = 12) -> Rounds:
-        """reach: three deviations of the difference at the threshold; least: the largest count that keeps the recall."""
+    def tail(self, p: float, least: int) -> float:
+        """The chance of `least` collisions or more."""
+        return 1.0 - sum(comb(self.rounds, m) * p**m * (1 - p) ** (self.rounds - m) for m in range(least))
+
+    def calibrate(self, threshold: float, recall: float, pairs: int = 4000, seed: int = 12) -> float:
+        """reach: three deviations of the difference at the threshold; least: the largest count that keeps the recall.
+
+        Gives the chance that a pair at the threshold collides in a round, three deviations below the measured one.
+        """
         dim = len(self.line)
         rng = np.random.default_rng(seed)
         a, b = rng.normal(size=(2, pairs, dim))
         a /= np.linalg.norm(a, axis=1, keepdims=True)
         b -= (a * b).sum(axis=1, keepdims=True) * a
-        b /= np.linalg.norm(b, axis=1, keepdims=True)
+        b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-30)  # one dimension has no b
         self.reach = 3 * (2 * (1 - threshold)) ** 0.5
         (ca, pa), (cb, pb) = self.signatures(a), self.signatures(threshold * a + (1 - threshold**2) ** 0.5 * b)
         p = float(((ca == cb) & (np.abs(pa - pb) <= self.reach)).mean())
-        tail, self.least = 1.0, 1
-        for m in range(self.rounds):
-            tail -= comb(self.rounds, m) * p**m * (1 - p) ** (self.rounds - m)
-            if tail < recall:
-                break
-            self.least = m + 1
-        return self
+        p = max(0.0, p - 3 * (p * (1 - p) / (pairs * self.rounds)) ** 0.5)
+        self.least = max([m for m in range(1, self.rounds + 1) if self.tail(p, m) >= recall], default=1)
+        return p
 
 
 def linked(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, recall: float = 0.9995, rounds: int = 20, per_cell: int = 8, limit: int = 2048) -> DataFrame:
@@ -88,7 +110,7 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     dim = common_size(rows.where(usable(F.col("vec"))), "vec")
     rows = with_key(rows.withColumn("ok", usable(F.col("vec")) & (F.size("vec") == dim) & F.col("vec_id").isNotNull()), "vec")
     classes = stage(rows.where("ok").groupBy("k").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("vec").alias("vec")), "classes")
-    plan = Rounds.draw(max(dim, 1), classes.count(), rounds, per_cell).calibrate(threshold, recall)
+    plan = Rounds.plan(max(dim, 1), classes.count(), rounds, per_cell, threshold, recall)
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -120,6 +120,24 @@ def test_embedding_links_brute(spark):
     assert embedding_links.linked(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [2, 3])
+def test_embedding_links_recall_in_fine_cells(spark, parts):
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(2, 2000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = rng.uniform(0.9001, 0.91, size=(2000, 1))
+    x = np.vstack([a, c * a + (1 - c**2) ** 0.5 * b])
+    per_cell = 4000 / (256 ** (parts - 1) * 8)  # as many cells as a table of 64 * 256 ** (parts - 1) rows has
+    assert embedding_links.Rounds.draw(64, 4000, 20, per_cell).parts == parts
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_links.linked(df, per_cell=per_cell).collect()}
+    assert sum(got[i] >= 1 for i in range(2000)) >= 1997
+    with pytest.raises(ValueError, match="rounds"):
+        embedding_links.Rounds.plan(64, 10**8, 20, 8, 0.9, 0.9995, most=30)
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "u", "aä"), (2, "u", "aä"), (3, "u", None), (4, "u", ""), (5, "u", "b" * 200_000), (5, "u", "c")]
     got = warc.round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
