@@ -49,3 +49,25 @@ def test_stages(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_by_jaccard(spark):
+    rng = random.Random(4)
+    shingles = lambda words: {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    rows, want = [], {}
+    for i in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 200, 600]))]
+        copy = list(words)
+        while len(shingles(words) & shingles(copy)) / len(shingles(words) | shingles(copy)) > [0.95, 0.9, 0.81, 0.75][i % 4]:
+            last, at = list(copy), rng.randrange(len(copy))
+            copy[at] = "changed" + str(rng.random())
+        if i % 4 == 2:
+            copy = last
+        alike = len(shingles(words) & shingles(copy)) / len(shingles(words) | shingles(copy)) >= 0.8
+        rows += [(2 * i, " ".join(words), "en", "s", 0), (2 * i + 1, " ".join(copy), "en", "s", 0)]
+        want |= {2 * i: True, 2 * i + 1: not alike}
+    assert 40 < sum(not keep for keep in want.values()) <= 45
+    rows += [(900, None, "en", "s", 0), (901, "", "en", "s", 0), (None, "of no id", "en", "s", 0), (902, rows[0][1], "en", "s", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()}
+    assert got == {i for i, keep in want.items() if keep} | {900, None}
