@@ -102,6 +102,48 @@ def _member(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(out), min(at, len(data)) - len(unpack.unused_data)
 
 
+def _part(data: bytes, at: int) -> bytes:
+    """What a damaged member holds before its first error: the slice that fails is fed again byte by byte."""
+    unpack, view, out = zlib.decompressobj(31), memoryview(data), []
+    while at < len(data):
+        before = unpack.copy()
+        try:
+            out.append(unpack.decompress(view[at : at + SLICE]))
+        except zlib.error:
+            try:
+                for k in range(at, min(at + SLICE, len(data))):
+                    out.append(before.decompress(view[k : k + 1]))
+            except zlib.error:
+                break
+        at += SLICE
+    return b"".join(out)
+
+
+def _records(inner: bytes, start: int, end: int, proven: bool = False) -> Iterator[Found]:
+    """The sound records of a member's content, and its gaps; proven: only those with a payload digest that holds and a next record behind."""
+    at, lost, why = 0, None, ""
+    while at < len(inner):
+        try:
+            headers, block, stop = _parse(inner, at)
+            if proven and (headers.get("warc-type") == "revisit" or not headers.get("warc-payload-digest", "").startswith("sha1:")):
+                raise Damaged("no digest in a damaged member")
+            if proven and not inner.startswith(VERSION, stop):
+                raise Damaged("touches the damage")
+        except Damaged as e:
+            if lost is None:
+                lost, why = at, str(e)
+            nxt = inner.find(VERSION, at + 1)
+            at = nxt if nxt >= 0 else len(inner)
+            continue
+        if lost is not None:
+            yield Found(start, end, f"{why} (inflated bytes {lost} to {at})")
+            lost = None
+        yield Found(start, end, None, headers, block)
+        at = stop
+    if lost is not None:
+        yield Found(start, end, f"{why} (inflated bytes {lost} to {len(inner)})")
+
+
 def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """One record at `at`, checked: version line, length, end mark, payload digest."""
     if not data.startswith(VERSION, at):
@@ -126,26 +168,30 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 def salvage(data: bytes) -> Iterator[Found]:
     """All sound records of an archive in order. After a failed check, the next valid member or version line is sought.
 
-    The bytes in between come as one gap with the reason of its first failure. Members may hold several records or none.
+    The bytes in between come as one gap with the reason of its first failure. Members may hold several records or none;
+    a damaged record in one is a gap of its own, with its place in the inflated bytes. Of a member that doesn't inflate
+    to its end, the records before the error are kept: all of one cut short at the end of the archive, else those whose
+    digest holds and which another record follows; the one that touches the error is set aside with it.
     """
     at, lost, why = 0, None, ""
     while at < len(data):
         try:
-            found = []
             if data.startswith(GZIP, at):
                 inner, end = _member(data, at)
-                pos = 0
-                while pos < len(inner):
-                    headers, block, pos = _parse(inner, pos)
-                    found.append(Found(at, end, None, headers, block))
+                found = _records(inner, at, end)
+                if inner and VERSION not in inner:
+                    raise Damaged("no version line")
             else:
                 headers, block, end = _parse(data, at)
-                found.append(Found(at, end, None, headers, block))
+                found = [Found(at, end, None, headers, block)]
         except Damaged as e:
             if lost is None:
                 lost, why = at, str(e)
             nxt = _CANDIDATE.search(data, at + 1)
-            at = nxt.start() if nxt else len(data)
+            end = nxt.start() if nxt else len(data)
+            if str(e).startswith("gzip"):
+                yield from (f for f in _records(_part(data, at), at, end, proven="cut short" not in str(e)) if f.reason is None)
+            at = end
             continue
         if lost is not None:
             yield Found(lost, at, why)

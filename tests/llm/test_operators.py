@@ -163,6 +163,22 @@ def test_salvage():
     assert list(warc.salvage(b"")) == [] and [f.reason for f in warc.salvage(b"WARC/1.1 broken")] == ["headers without an end"]
 
 
+def test_salvage_inside_members():
+    body = lambda i: random.Random(i).randbytes(3000)
+    recs = [warc.record({"WARC-Type": "response", "WARC-Record-ID": f"<{i}>", "WARC-Payload-Digest": "sha1:" + warc.base32_sha1(body(i))}, body(i)) for i in range(6)]
+    ids = lambda data: [f.headers["warc-record-id"] for f in warc.salvage(data) if f.reason is None]
+    hurt = bytearray(b"".join(recs))
+    hurt[len(recs[0]) + len(recs[1]) - 100] ^= 1  # the second record's digest fails
+    whole = gzip.compress(bytes(hurt)) + gzip.compress(recs[5])
+    assert ids(whole) == ["<0>", "<2>", "<3>", "<4>", "<5>", "<5>"]
+    gaps = [f.reason for f in warc.salvage(whole) if f.reason]
+    assert gaps == [f"digest (inflated bytes {len(recs[0])} to {len(recs[0]) + len(recs[1])})"]
+    member = gzip.compress(b"".join(recs))
+    assert ids(member[: len(member) * 3 // 4]) == ["<0>", "<1>", "<2>", "<3>"]  # cut short at the end of the archive
+    assert ids(member[:-8] + b"\0" * 8) == [f"<{i}>" for i in range(5)]  # a wrong check sum: digests hold, the last record touches the damage
+    assert [f.reason for f in warc.salvage(member[: len(member) // 2]) if f.reason] == ["gzip: cut short"]
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(600, 24)).astype(np.float32)
