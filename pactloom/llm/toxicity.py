@@ -16,6 +16,7 @@ from pactloom.llm.staging import free_name
 
 WORD = re.compile(r"\w+")
 WINDOW, STRIDE = 32, 16
+LONGEST, OVERLAP = 64, 16
 DIM, HIDDEN, GRAM_BITS = 8, 8, 15
 GRAMS = 1 << GRAM_BITS
 THRESHOLD = 0.3
@@ -23,7 +24,11 @@ CACHE_WORDS = 400_000
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of word characters; one over LONGEST characters comes as overlapping pieces of that length, all of it."""
+    words = WORD.findall(text.lower()) if text else []
+    if not any(len(w) > LONGEST for w in words):
+        return words
+    return [w[k : k + LONGEST] for w in words for k in range(0, max(len(w) - OVERLAP, 1), LONGEST - OVERLAP)]
 
 
 def starts_of(n: int) -> range:
@@ -33,7 +38,7 @@ def starts_of(n: int) -> range:
 
 def runs_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, numbers): each framed word's character runs, all of three and four and its beginnings of five to nine."""
-    framed = [f"<{w[:64]}>" for w in words]
+    framed = [f"<{w}>" for w in words]
     size = np.array([len(w) for w in framed], np.int64)
     chars = np.frombuffer("".join(framed).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     first = np.cumsum(size) - size

@@ -265,6 +265,15 @@ def test_toxicity_learns_and_scores_all(spark):
     assert sum((got[i] >= 0.3) == (i % 2 == 0) for i in range(40)) >= 38 and got[100] == got[101] == got[102] == 0.0
 
 
+def test_toxicity_reads_long_runs_whole():
+    run = "".join(random.Random(9).choices("abcdefgh", k=500))
+    words = toxicity.words_of("short " + run[:64] + " " + run)
+    assert words[:2] == ["short", run[:64]] and max(map(len, words)) == 64 and words[-1] == run[-len(words[-1]) :]
+    assert all(any(run[k : k + 9] in w for w in words[2:]) for k in range(492))
+    a, b = (set(toxicity.runs_of(toxicity.words_of(x))[0].tolist()) for x in (run, run[:300] + "zqidiot" + run[300:]))
+    assert b - a
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     net = toxicity.train(["a b"], [0])
