@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pactloom.llm.slices import slices
 from pactloom.llm.staging import free_name
 
-MAX_LANGUAGES = 64  # bits of a mask
 UNDETERMINED = "und"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -51,7 +51,7 @@ def ngrams(text: str, n: int) -> np.ndarray:
 
 @dataclass
 class LanguageMasks:
-    """slots[h(g)] holds a bit for each language with g; rates: false positives of each language's slice."""
+    """slots[h(g)] holds a bit for each language with g, 64 languages a word; rates: false positives of each language's slice."""
 
     languages: list[str]
     slots: np.ndarray
@@ -69,7 +69,7 @@ class LanguageMasks:
         if not len(codes) or not self.languages:
             return UNDETERMINED, 0.0
         masks = self.masks(codes)
-        hits = np.array([np.count_nonzero(masks & np.uint64(1 << i)) for i in range(len(self.languages))], np.float64)
+        hits = np.array([np.count_nonzero(masks[:, i // 64] & np.uint64(1 << i % 64)) for i in range(len(self.languages))], np.float64)
         known = np.clip((hits - len(codes) * self.rates) / np.maximum(1 - self.rates, 1e-9), 0, None)
         best = int(np.argmax(known))
         total = known.sum()
@@ -79,15 +79,17 @@ class LanguageMasks:
 def fit(rows: DataFrame, per_language: int = 1500, n: int = 3, min_share: float = 0.004, dominance: float = 0.35, slots: int = 1 << 20) -> LanguageMasks:
     """Learn from rows (doc_id, text, lang).
 
-    The fit takes the per_language rows of smallest hash for each of the 64 most frequent languages: a bounded sample,
-    counted by Spark. A language holds an n-gram if min_share of its sampled texts have it and that share is at least
+    The fit takes the per_language rows of smallest hash of each language: a bounded sample, counted by Spark. A threshold of
+    the hash that twice as many rows of the language pass comes first, so that no task gets the rows of a large
+    language. The filters take 8 MB for each 64 languages. A language holds an n-gram if min_share of its sampled texts have it and that share is at least
     `dominance` times the largest share in any language.
     """
     rows = rows.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    top = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    hashed = rows.where(F.col("lang").isin(top)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    ids = hashed.selectExpr("doc_id", "row_number() over (partition by lang order by h, doc_id) as rn").where(F.col("rn") <= per_language)
-    sample = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").where(F.col("lang").isin(top))  # at most 64 * per_language ids
+    counted = rows.groupBy("lang").agg(F.count("*").alias("rows_of"))  # a row for each language
+    hashed = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(F.broadcast(counted), "lang")
+    passed = hashed.where(F.col("rows_of") * ((F.col("h") / 2.0**64) + 0.5) <= 2 * per_language + 50)
+    ids = passed.selectExpr("doc_id", "lang", "row_number() over (partition by lang order by h, doc_id) as rn").where(F.col("rn") <= per_language)
+    sample = rows.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"])  # at most per_language ids a language
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         seen: dict[str, list[np.ndarray]] = {}
@@ -108,14 +110,14 @@ def fit(rows: DataFrame, per_language: int = 1500, n: int = 3, min_share: float
     shares = counts.where("code <> 0").withColumn("share", F.col("docs") / size[F.col("lang")]).where((F.col("docs") >= 2) & (F.col("share") >= min_share))
     most = shares.groupBy("code").agg(F.max("share").alias("most"))
     kept = shares.join(most, "code").where(F.col("share") >= dominance * F.col("most")).select("lang", "code").toPandas()
-    table = np.zeros(slots, np.uint64)
+    table = np.zeros((slots, max(1, -(-len(languages) // 64))), np.uint64)
     model = LanguageMasks(languages, table, np.zeros(len(languages)), n)
     shift = np.uint64(64 - slots.bit_length() + 1)
     for i, lang in enumerate(languages):
         codes = kept.loc[kept["lang"] == lang, "code"].to_numpy().view(np.uint64)
         for m in _MIX:
-            np.bitwise_or.at(table, ((codes * m) >> shift).astype(np.int64), np.uint64(1 << i))
-        model.rates[i] = (np.count_nonzero(table & np.uint64(1 << i)) / slots) ** 2
+            table[np.unique((codes * m) >> shift).astype(np.int64), i // 64] |= np.uint64(1 << i % 64)
+        model.rates[i] = (np.count_nonzero(table[:, i // 64] & np.uint64(1 << i % 64)) / slots) ** 2
     return model
 
 
@@ -123,14 +125,15 @@ def predict(docs: DataFrame, model: LanguageMasks, text_col: str = "text", keep:
     """The columns `keep` (all by default) with lang_pred string and score double. Whole texts, one pass, no shuffle.
 
     Null texts and texts without a letter give `und` and 0; with no learned language all rows are `und`; ties go to the
-    language first in alphabetical order; columns of these two names in docs are replaced.
+    language first in alphabetical order; repeated rows are judged alike; very long texts are read whole; columns of these
+    two names in docs are replaced.
     """
     names = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score")]
     kept = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").alias(free_name(docs, "text_")))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: the slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, len(names)):
             found = [shared.value.predict(t) for t in b.column(len(names)).to_pylist()]
             extra = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *extra], [*b.schema.names[:-1], "lang_pred", "score"])

@@ -1,17 +1,18 @@
-"""SentencePiece encoding and decoding: marked words sorted into a trie, one depth-first forward pass over it.
+"""SentencePiece encoding and decoding: marked words sorted into a trie, one depth-first Viterbi pass over it.
 
-For unigram models the forward state of a prefix is the best score and its last piece (Viterbi). For BPE models it is
-the last piece of the prefix's merge result: BPE(prefix) = BPE(prefix without its last piece) + that piece, and a piece
-may follow another if merging the two joined texts gives just these two back. Both depend on the prefix alone, so words
-that share a prefix share its states.
+For unigram models the forward state of a prefix is the best score and its last piece. BPE models are walked by the same
+pass with scores between neighbours instead of scores of pieces: a piece may follow another (0) if merging the two joined
+texts gives just these two back, and may not (minus infinity) otherwise; BPE's result is the one path that is allowed, so
+a prefix needs its last piece only. Both depend on the prefix alone, so words that share a prefix share its states.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, count
 from os.path import commonprefix
 
 import numpy as np
@@ -20,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pactloom.llm.slices import slices
 from pactloom.llm.staging import free_name
 
 MARK = "▁"
-CACHE_WORDS = 800_000
-CACHE_PAIRS = 2_000_000
+#: Pairs of pieces known to go together or not that a worker keeps, about 100 bytes each; words are kept for one batch only.
+CACHE_PAIRS = 300_000
 
 
 class PieceModel:
@@ -57,10 +59,14 @@ class PieceModel:
         a = re.escape(self.alone)
         self.words = re.compile(f"{MARK}+[^{MARK}{a}]*|[{a}]|[^{MARK}{a}]+" if a else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.least = min(self.score.values(), default=0.0) - 10.0  # a character that is no piece
-        self.follows: dict[str, dict[str, bool]] = {}
+        self.text = {i: p for p, i in self.id.items()}
+        ends: dict[str, set[int]] = {}
+        for piece in self.id:
+            if len(piece) >= 3:
+                ends.setdefault(piece[-3:], set()).add(len(piece))
+        self.ends = {tail: (*sorted(sizes, reverse=True), 2, 1) for tail, sizes in ends.items()}  # lengths of pieces with that end
+        self.follows: dict[int, dict[int, bool]] = {}
         self.pairs = 0
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, word: str) -> list[str]:
         """BPE by its definition: join the best-scored neighbours, the leftmost of equals, until none is a piece."""
@@ -80,59 +86,63 @@ class PieceModel:
         """For BPE: whether b can stand after a; with a empty, whether b is its own merge result."""
         return self.merge(a + b) == ([a, b] if a else [b])
 
-    def forward(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
-        """Sorted distinct words to their pieces, in one depth-first walk of their trie.
+    def forward(self, words: Iterable[str]) -> Iterator[tuple[int, ...]]:
+        """Ids of sorted distinct words, in one depth-first walk of their trie.
 
         The walk keeps a state for each prefix of the present word and takes up the next word at the end of what both
         share. Words with several marks in front are merged by definition: the pieces of blanks have equal scores, which
         the forward rule leaves open.
         """
-        return self._forward_bpe(words) if self.kind == "bpe" else self._forward_unigram(words)
+        return self._forward_bpe(words) if self.kind == "bpe" else map(self.ids, self._forward_unigram(words))
 
-    def _forward_bpe(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
-        known, longest = self.id, self.longest
+    def _forward_bpe(self, words: Iterable[str]) -> Iterator[tuple[int, ...]]:
+        known, ends, short, double = self.id.get, self.ends, (2, 1), MARK + MARK
         if self.pairs >= CACHE_PAIRS:
             self.follows, self.pairs = {}, 0
         follows = self.follows
-        path = [""]  # last piece of each prefix
-        after = [follows.setdefault("", {})]  # what may stand behind it
-        before, length = "", 0
+        start_of = follows.setdefault(-1, {})
+        path, size, after = [-1], [0], [start_of]  # of each prefix: id and length of its last piece, what may stand behind it
+        before, length, bad = "", 0, 1 << 60  # bad: the first prefix that ends in no piece
         for word in words:
             depth, n = 0, len(word)
             while depth < n and depth < length and word[depth] == before[depth]:
                 depth += 1
-            del path[depth + 1 :], after[depth + 1 :]
+            del path[depth + 1 :], size[depth + 1 :], after[depth + 1 :]
+            if bad > depth:
+                bad = 1 << 60
             for end in range(depth + 1, n + 1):
-                piece = word[end - 1]
-                if piece not in known:
-                    path.append(piece)
-                    after.append(after[0])
-                    continue
-                for start in range(end - longest if end > longest else 0, end):
-                    piece = word[start:end]
-                    if piece in known:
+                for long in ends.get(word[end - 3 : end], short) if end > 2 else short:
+                    start = end - long
+                    if start < 0:
+                        continue
+                    piece = known(word[start:end])
+                    if piece is not None:
                         fits = after[start].get(piece)
                         if fits is None:
-                            last = path[start]
-                            fits = after[start][piece] = self.may_follow(last if last in known else "", piece)
+                            fits = after[start][piece] = self.may_follow(self.text.get(path[start], ""), word[start:end])
                             self.pairs += 1
                         if fits:
+                            path.append(piece)
+                            size.append(long)
+                            after.append(follows.get(piece) or follows.setdefault(piece, {}))
                             break
                 else:
-                    piece = ""
-                path.append(piece)
-                after.append(follows.setdefault(piece, {}) if piece else after[0])
+                    bad = min(bad, end)
+                    path.append(-1)
+                    size.append(1)
+                    after.append(start_of)
             before, length = word, n
-            if word.startswith(MARK + MARK) or "" in path[1:]:
-                yield word, self.merge(word)
+            if bad <= n or word.startswith(double):
+                yield self.ids(self.merge(word))
                 continue
             out, end = [], n
             while end:
                 out.append(path[end])
-                end -= len(out[-1])
-            yield word, out[::-1]
+                end -= size[end]
+            out.reverse()
+            yield tuple(out)
 
-    def _forward_unigram(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
+    def _forward_unigram(self, words: Iterable[str]) -> Iterator[list[str]]:
         path: list[tuple[float, str]] = [(0.0, "")]
         before = ""
         for word in words:
@@ -145,7 +155,7 @@ class PieceModel:
             while end:
                 out.append(path[end][1])
                 end -= len(out[-1])
-            yield word, out[::-1]
+            yield out[::-1]
 
     def _unigram_state(self, word: str, end: int, path: list[tuple[float, str]]) -> tuple[float, str]:
         best = (path[end - 1][0] + self.score.get(word[end - 1], self.least), word[end - 1])
@@ -162,23 +172,24 @@ class PieceModel:
         except KeyError:
             return tuple(i for p in pieces for i in ([self.id[p]] if p in self.id else [self.byte_ids[b] for b in p.encode("utf-8", "replace")]))
 
-    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """Ids of whole texts. New words of the batch are sorted and walked together; known ones are looked up.
-
-        Known words are kept in two halves: when the newer is full it becomes the older one, and words met again move on.
-        """
-        split = [None if t is None else self.words.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set().union(*[ws for ws in split if ws])
-        if len(self.known) > CACHE_WORDS // 2:
-            self.known, self.older = {}, self.known
-        new -= self.known.keys()
-        if again := new & self.older.keys():
-            self.known.update((w, self.older[w]) for w in again)
-            new -= again
-        for word, pieces in self.forward(sorted(new)):
-            self.known[word] = self.ids(pieces)
-        get = self.known.__getitem__
-        return [None if ws is None else np.fromiter(chain.from_iterable(map(get, ws)), np.int32) for ws in split]
+    def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
+        """(ids of whole texts one behind the other, ids of each text). The distinct words of all texts are sorted and walked once."""
+        number: dict[str, int] = defaultdict(count().__next__)
+        get, rows = number.__getitem__, []
+        for t in texts:
+            words = self.words.findall(MARK + t.replace(" ", MARK)) if t else []
+            rows.append(np.fromiter(map(get, words), np.int64, len(words)))
+        words = sorted(number)
+        found = list(self.forward(words))
+        size = np.zeros(len(words) + 1, np.int64)
+        size[[number[w] for w in words]] = [len(x) for x in found]
+        first = np.zeros(len(words), np.int64)  # by number: where a word's ids begin in the sorted order
+        first[[number[w] for w in words]] = np.cumsum([0, *map(len, found)])[:-1]
+        ids = np.fromiter(chain.from_iterable(found), np.int32)
+        said = np.concatenate(rows) if rows else np.empty(0, np.int64)
+        n = size[said]
+        sizes = [int(size[r].sum()) for r in rows]
+        return ids[np.repeat(first[said] - (np.cumsum(n) - n), n) + np.arange(n.sum())], sizes
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids, without the blank that encoding puts in front; bytes that form no UTF-8 become U+FFFD."""
@@ -198,11 +209,12 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, rows: int = 64) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, held: int = 4 << 20) -> DataFrame:
     """All columns of docs with token_ids array<int>, n_tokens int and round_trip boolean.
 
     round_trip tells whether decoding gives the text back (a U+2581 in a text comes back as a blank). Null texts: null ids, 0 tokens, null
-    round_trip; empty texts: no tokens, true. `rows` texts are held at a time. Own columns of these names are replaced.
+    round_trip; empty texts: no tokens, true; repeated rows are encoded alike; very long texts are encoded whole; no rows give no
+    rows. Texts of about `held` bytes are worked on at a time, one at least. Own columns of these names are replaced.
     """
     path = path or default_path()
     own = ("token_ids", "n_tokens", "round_trip")
@@ -210,16 +222,13 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                b = whole.slice(at, rows)
-                texts = b.column(b.num_columns - 1).to_pylist()
-                ids = m.encode_batch(texts)
-                sizes = [0 if x is None else len(x) for x in ids]
-                values = np.concatenate([x for x in ids if x is not None] or [np.empty(0, np.int32)])
-                offsets = pa.array([None if x is None else int(o) for x, o in zip(ids, np.cumsum([0, *sizes[:-1]]), strict=True)] + [sum(sizes)], pa.int32())
-                same = pa.array([None if t is None else m.decode(x.tolist()) == t.replace(MARK, " ") for t, x in zip(texts, ids, strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(values)), pa.array(sizes, pa.int32()), same], [*b.schema.names[:-1], *own])
+        for b in slices(batches, -1, held):
+            texts = b.column(b.num_columns - 1).to_pylist()
+            values, sizes = m.encode_batch(texts)
+            ends = np.cumsum([0, *sizes])
+            offsets = pa.array([None if t is None else int(o) for t, o in zip(texts, ends[:-1], strict=True)] + [int(ends[-1])], pa.int32())
+            same = pa.array([None if t is None else m.decode(values[i:j].tolist()) == t.replace(MARK, " ") for t, i, j in zip(texts, ends[:-1], ends[1:], strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(values)), pa.array(sizes, pa.int32()), same], [*b.schema.names[:-1], *own])
 
     schema = T.StructType([*kept.schema.fields[:-1], T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("round_trip", T.BooleanType())])
     return kept.mapInArrow(run, schema)

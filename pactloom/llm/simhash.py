@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pactloom.llm.buckets import Forest, each_tile, tiled
 from pactloom.llm.components import connected_components
+from pactloom.llm.slices import slices
 from pactloom.llm.staging import stage
 
 SEED = 42
@@ -39,7 +40,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             fps = [fingerprint(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 

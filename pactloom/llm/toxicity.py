@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pactloom.llm.slices import slices
 from pactloom.llm.staging import free_name
 
 WORD = re.compile(r"\w+")
@@ -354,7 +355,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1000, other_rows:
     return train(rows["text"].tolist(), rows["toxic"].astype(int).tolist()) if len(rows) else train([], [])
 
 
-def score(docs: DataFrame, net: Network, keep: list[str] | None = None, text_col: str = "text", rows: int = 256) -> DataFrame:
+def score(docs: DataFrame, net: Network, keep: list[str] | None = None, text_col: str = "text", held: int = 1 << 20) -> DataFrame:
     """The columns `keep` (all by default) with score double: one pass over all windows of whole texts, no shuffle.
 
     Null texts, empty ones and those without a word score 0; a column score in docs is replaced.
@@ -365,11 +366,9 @@ def score(docs: DataFrame, net: Network, keep: list[str] | None = None, text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                b = whole.slice(at, rows)
-                found = [shared.value.score(x) for x in scorer.documents(b.column(b.num_columns - 1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.float64())], [*b.schema.names[:-1], "score"])
+        for b in slices(batches, -1, held):
+            found = [shared.value.score(x) for x in scorer.documents(b.column(b.num_columns - 1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.float64())], [*b.schema.names[:-1], "score"])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
 

@@ -226,7 +226,8 @@ def test_unigram_viterbi_is_best():
                 yield from ([w[:n], *rest] for rest in cuts(w[n:]))
 
     words = sorted({"▁" + "".join(random.Random(i).choices("ab", k=i % 9)) for i in range(80)})
-    for w, p in m.forward(words):
+    for w, ids in zip(words, m.forward(words), strict=True):
+        p = [m.text[i] for i in ids]
         assert "".join(p) == w and abs(sum(vocab[x] for x in p) - best(w)) < 1e-9
 
 
