@@ -40,14 +40,14 @@ def leaf_filter(leaves: DataFrame, bits: int = 1 << 21) -> DataFrame:
     return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "b"))), lambda x: x["b"]).alias("known"))
 
 
-def recurring_lines(texts: DataFrame, min_docs: int, lead: int, min_tokens: int, prevailing: float, min_constant: float, bits: int = 1 << 21) -> tuple[DataFrame, DataFrame]:
-    """(lines of each text, keys of lines that belong to a recurring template)."""
-    lines = texts.select("th", F.explode(F.transform(F.split("text", "\n"), normal_line)).alias("w"))  # below the generator, a line's rules run once
+def recurring_lines(texts: DataFrame, min_docs: int, lead: int, min_tokens: int, prevailing: float, min_constant: float, own: float, bits: int = 1 << 21) -> DataFrame:
+    """(th, line_key): the lines of each text that belong to a recurring template."""
+    lines = texts.select("th", F.length("text").alias("size"), F.explode(F.transform(F.split("text", "\n"), normal_line)).alias("w"))  # below the generator, a line's rules run once
     lines = lines.withColumn("words", word_count(F.col("w"))).where(F.col("words") >= min_tokens)
-    keyed = lines.select("th", "w", line_key(F.col("w")).alias("line_key"), F.xxhash64("words", F.substring_index("w", " ", lead)).alias("leaf"))
-    index = stage(keyed.select("th", "line_key", "leaf").distinct(), "lines")
+    keyed = lines.select("th", "size", "w", line_key(F.col("w")).alias("line_key"), F.xxhash64("words", F.substring_index("w", " ", lead)).alias("leaf"))
+    index = stage(keyed.groupBy("th", "line_key", "leaf").agg(F.sum(F.length("w")).alias("chars"), F.max("size").alias("size")), "lines")
 
-    exact = index.groupBy("line_key").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("line_key")
+    exact = index.groupBy("line_key").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("line_key", F.lit(True).alias("exact"), F.lit(False).alias("general"))
 
     varied = index.groupBy("leaf", "th").agg(F.min("line_key").alias("a"), F.max("line_key").alias("b"))
     varied = stage(varied.groupBy("leaf").agg(F.count("*").alias("n"), F.min("a").alias("a"), F.max("b").alias("b")).where((F.col("n") >= min_docs) & (F.col("a") != F.col("b"))).select("leaf"), "varied")
@@ -57,36 +57,44 @@ def recurring_lines(texts: DataFrame, min_docs: int, lead: int, min_tokens: int,
     at = members.select("leaf", F.posexplode("w").alias("pos", "word")).groupBy("leaf", "pos", "word").agg(F.count("*").alias("n"))
     best = at.groupBy("leaf", "pos").agg(F.max(F.struct("n", "word")).alias("b")).join(total, "leaf").where(F.col("b.n") >= prevailing * F.col("total"))
     template = best.groupBy("leaf").agg(F.collect_list(F.struct("pos", F.col("b.word").alias("word"))).alias("constant"))
-    fits = members.join(template, "leaf").where(F.size("constant") >= min_constant * F.size("w")).where(F.forall("constant", lambda c: F.get("w", c["pos"]) == c["word"])).select("leaf", "line_key")
-    fits = stage(fits, "fits")
-    spread = index.join(fits, ["leaf", "line_key"], "left_semi").groupBy("leaf", "th").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    general = fits.join(spread, "leaf", "left_semi").select("line_key")
-    return index.select("th", "line_key"), exact.unionByName(general).distinct()
+    fits = members.join(template, "leaf").where(F.size("constant") >= min_constant * F.size("w")).where(F.forall("constant", lambda c: F.get("w", c["pos"]) == c["word"])).select("line_key", F.lit(False).alias("exact"), F.lit(True).alias("general"))
+
+    candidates = exact.unionByName(fits).groupBy("line_key").agg(F.max("exact").alias("exact"), F.max("general").alias("general"))
+    hits = stage(index.join(candidates, "line_key"), "hits")
+    witness = hits.groupBy("th").agg(F.sum("chars").alias("chars"), F.max("size").alias("size")).where(F.col("chars") <= (1 - own) * F.col("size")).select("th")
+    seen = stage(hits.join(witness, "th", "left_semi").select("th", "line_key", "leaf", "exact", "general"), "seen")
+    line = seen.where("exact").groupBy("line_key").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("line_key")
+    leaf = seen.where("general").select("leaf", "th").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    by_line = hits.join(line, "line_key", "left_semi").select("th", "line_key")
+    by_leaf = hits.where("general").join(leaf, "leaf", "left_semi").select("th", "line_key")
+    return by_line.unionByName(by_leaf)
 
 
 def drop_recurring_lines(
-    docs: DataFrame, text_col: str = "text", min_docs: int = 5, lead: int = 3, min_tokens: int = 3, prevailing: float = 0.9, min_constant: float = 0.6, max_loss: float = 0.5
+    docs: DataFrame, text_col: str = "text", min_docs: int = 5, lead: int = 3, min_tokens: int = 3, prevailing: float = 0.9, min_constant: float = 0.6, own: float = 0.5
 ) -> DataFrame:
     """All rows and columns of docs; text without the lines of recurring templates, and dropped_lines int.
 
-    A template recurs if it stands in min_docs different texts or more; a text with many exact copies counts once.
     Templates come from exact masked lines and from leaves whose prevailing tokens (of a share of at least `prevailing`
-    of the leaf's lines) make up min_constant of the positions. A text that would lose more than max_loss of its
-    characters is a copy of a document rather than a page with boilerplate; it stays whole, for document dedup.
-
-    Defined results: null and empty texts stay as they are; lines under min_tokens words stay; repeated rows are treated
-    alike; no rows give no rows; all other columns of docs are kept under any names, but for one named dropped_lines.
+    of the leaf's lines) make up min_constant of the positions. A template recurs if it stands in min_docs different
+    texts or more that have content of their own: lines found in min_docs texts, recurring or not, make up 1 - own of
+    their characters at most. So the lines of near-copies of one document do not vouch for each other; those are left to
+    document dedup. A recurring template goes from every text, whatever share of it that takes; a text with many exact
+    copies counts once.
+
+    Defined results: null and empty texts stay as they are; a text of recurring lines alone becomes empty; lines under
+    min_tokens words stay; repeated rows are treated alike; very long texts and lines are read whole; no rows give no
+    rows; all other columns of docs are kept under any names, but for one named dropped_lines.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "dropped_lines"]).alias("row"))
     text = F.col(f"row.`{text_col}`").cast("string")
     rows = rows.withColumn("th", F.unhex(F.sha1(text)))  # the text itself is shuffled once, in its row
-    index, recurring = recurring_lines(rows.where(text.isNotNull()).select("th", text.alias("text")), min_docs, lead, min_tokens, prevailing, min_constant)
-    marked = index.join(recurring, "line_key").groupBy("th").agg(F.collect_set("line_key").alias("gone"))
-    kept = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains("gone", line_key(normal_line(x))), F.lit(False)))
-    cleaned = rows.join(marked, "th", "left").withColumn("kept", F.when(F.col("gone").isNotNull(), kept)).withColumn("new", F.array_join("kept", "\n"))
-    changed = F.length("new") >= (1 - max_loss) * F.length(text)
-    lost = F.when(changed, F.size(F.split(text, "\n")) - F.size("kept")).otherwise(0)
-    column = lambda c: F.when(changed, F.col("new")).otherwise(text).alias(c) if c == text_col else F.col(f"row.`{c}`")
+    found = recurring_lines(rows.where(text.isNotNull()).select("th", text.alias("text")), min_docs, lead, min_tokens, prevailing, min_constant, own)
+    marked = stage(found.groupBy("th").agg(F.collect_set("line_key").alias("gone")), "marked")  # as a table, so that the join below may split a hot text
+    kept = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("gone", line_key(normal_line(x))))
+    cleaned = rows.join(marked, "th", "left").withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
+    lost = F.when(F.col("kept").isNotNull(), F.size(F.split(text, "\n")) - F.size("kept")).otherwise(0)
+    column = lambda c: F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(text).alias(c) if c == text_col else F.col(f"row.`{c}`")
     return cleaned.select(*[column(c) for c in docs.columns if c != "dropped_lines"], lost.alias("dropped_lines"))
 
 
@@ -97,9 +105,10 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 DEDUP_SQL = f"""
 WITH d AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
-l AS (SELECT DISTINCT text, unnest(string_split(text, chr(10))) AS line FROM d),
+l AS (SELECT text, unnest(string_split(text, chr(10))) AS line FROM d),
 w AS (SELECT text, line, list_filter(regexp_split_to_array(regexp_replace(line, '[^{BLANK}0-9]*[0-9][^{BLANK}]*', '{VARIABLE}', 'g'), '[{BLANK}]+'), lambda t: t <> '') AS w FROM l),
-k AS (SELECT text, line, w, len(w) AS n, array_to_string(w, ' ') AS line_key, array_to_string(w[1:3], ' ') AS lead FROM w WHERE len(w) >= 3),
+every AS (SELECT text, line, w, len(w) AS n, array_to_string(w, ' ') AS line_key, array_to_string(w[1:3], ' ') AS lead FROM w WHERE len(w) >= 3),
+k AS (SELECT DISTINCT * FROM every),
 exact AS (SELECT n, line_key FROM k GROUP BY n, line_key HAVING count(DISTINCT text) >= 5),
 leaf AS (SELECT n, lead FROM k GROUP BY n, lead HAVING count(DISTINCT text) >= 5 AND count(DISTINCT line_key) > 1),
 member AS (SELECT DISTINCT n, lead, line_key, w FROM k JOIN leaf USING (n, lead)),
@@ -109,9 +118,13 @@ best AS (SELECT n, lead, pos, max(c) AS c FROM (SELECT n, lead, pos, word, count
 word AS (SELECT n, lead, pos, word FROM (SELECT n, lead, pos, word, count(*) AS c FROM pos GROUP BY ALL) JOIN best USING (n, lead, pos, c) JOIN total USING (n, lead) WHERE c >= 0.9 * total),
 size AS (SELECT n, lead, count(*) AS c FROM word GROUP BY n, lead HAVING count(*) >= 0.6 * n),
 hit AS (SELECT p.n, p.lead, p.line_key FROM pos p JOIN word USING (n, lead, pos, word) JOIN size s USING (n, lead) GROUP BY p.n, p.lead, p.line_key, s.c HAVING count(*) = s.c),
-spread AS (SELECT n, lead FROM hit JOIN k USING (n, lead, line_key) GROUP BY n, lead HAVING count(DISTINCT text) >= 5),
-bad AS (SELECT n, line_key FROM exact UNION SELECT n, line_key FROM hit JOIN spread USING (n, lead)),
+cand AS (SELECT n, line_key, true AS exact, false AS general FROM exact UNION ALL SELECT n, line_key, false, true FROM hit),
+hits AS (SELECT text, n, lead, line_key, bool_or(exact) AS exact, bool_or(general) AS general, any_value(chars) AS chars
+FROM (SELECT text, n, lead, line_key, sum(length(line_key)) AS chars FROM every GROUP BY ALL) JOIN cand USING (n, line_key) GROUP BY text, n, lead, line_key),
+witness AS (SELECT text FROM hits GROUP BY text HAVING sum(chars) <= 0.5 * length(text)),
+line AS (SELECT n, line_key FROM hits JOIN witness USING (text) WHERE exact GROUP BY n, line_key HAVING count(*) >= 5),
+spread AS (SELECT n, lead FROM hits JOIN witness USING (text) WHERE general GROUP BY n, lead HAVING count(DISTINCT text) >= 5),
+bad AS (SELECT n, line_key FROM line UNION SELECT n, line_key FROM hit JOIN spread USING (n, lead)),
 gone AS (SELECT text, list(DISTINCT line) AS gone FROM k JOIN bad USING (n, line_key) GROUP BY text),
 new AS (SELECT doc_id, documents.text, string_split(documents.text, chr(10)) AS lines, list_filter(string_split(documents.text, chr(10)), lambda x: NOT coalesce(list_contains(gone, x), false)) AS kept FROM documents LEFT JOIN gone ON documents.text = gone.text)
-SELECT doc_id, CASE WHEN length(array_to_string(kept, chr(10))) >= 0.5 * length(text) THEN array_to_string(kept, chr(10)) ELSE text END AS text,
-CASE WHEN length(array_to_string(kept, chr(10))) >= 0.5 * length(text) THEN len(lines) - len(kept) ELSE 0 END AS dropped_lines FROM new"""
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(kept, chr(10)) END AS text, CASE WHEN text IS NULL THEN 0 ELSE len(lines) - len(kept) END AS dropped_lines FROM new"""
