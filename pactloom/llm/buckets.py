@@ -10,17 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def tiled(postings: DataFrame, node: str, limit: int, weight: Column | None = None, most: int = 0) -> DataFrame:
+def tiled(postings: DataFrame, node: str, limit: int, weight: Column | None = None, most: int = 0, sparse: bool = True) -> DataFrame:
     """Postings (bucket, node, ...) whose bucket holds several rows, with the columns chunk, lo and hi.
 
     A bucket of n rows is cut into ceil(n / limit) chunks by the node's hash, and each two chunks (lo, hi) meet in a
     tile of about 2 * limit rows at most, so no bucket is ever held whole by one task and no pair is lost. With a
-    weight, a chunk also has about `most` of it at most, or one row.
+    weight, a chunk also has about `most` of it at most, or one row. Unless sparse, most buckets hold several rows: then
+    only those over the limit are looked up, and single rows stay.
     """
     sum_of = "tile_weight"
-    sizes = postings.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.lit(0) if weight is None else weight).alias(sum_of)).where("n > 1")
+    sizes = postings.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.lit(0) if weight is None else weight).alias(sum_of)).where(F.col("n") > (1 if sparse else limit))
     cut = F.greatest(F.ceil(F.col("n") / F.lit(limit)), F.ceil(F.col(sum_of) / F.lit(max(most, 1)))).cast("int")
-    rows = postings.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64(node), cut).cast("int"))
+    cut = cut if sparse else F.coalesce(cut, F.lit(1))
+    rows = postings.join(sizes, "bucket", "inner" if sparse else "left").withColumn("chunk", F.pmod(F.xxhash64(node), cut).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), cut - 1)))
     return rows.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other")).drop("n", sum_of, "other")
 
