@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pactloom.llm.slices import slices
-from pactloom.llm.staging import free_name
+from pactloom.llm.staging import free_name, stage
 
 WORD = re.compile(r"\w+")
 WINDOW, STRIDE = 32, 16
@@ -80,9 +80,13 @@ class Network:
         chars = np.add.reduceat(self.p["grams"][flat], first) / np.sqrt(sizes)[:, None]
         return np.hstack([self.p["words"][rows] + chars, np.stack([self.word_odds[rows], np.maximum.reduceat(self.gram_odds[flat], first)], axis=1) / 4])
 
-    def projected(self, words: list[str]) -> np.ndarray:
-        x = self.inputs(words)
-        return np.hstack([x @ self.p["wf"] + self.p["bf"], x @ self.p["wb"] + self.p["bb"]]).astype(np.float32)
+    def projected(self, words: list[str], step: int = 4096) -> np.ndarray:
+        """Both directions' input parts of words, some thousands at a time: a word has some twenty character runs."""
+        parts = [np.zeros((0, 6 * HIDDEN), np.float32)]
+        for k in range(0, len(words), step):
+            x = self.inputs(words[k : k + step])
+            parts.append(np.hstack([x @ self.p["wf"] + self.p["bf"], x @ self.p["wb"] + self.p["bb"]]).astype(np.float32))
+        return np.concatenate(parts)
 
     def logits(self, table: np.ndarray, idx: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Windows of rows of table (projected words) to logits; idx is (windows, WINDOW), length the words of each."""
@@ -226,7 +230,8 @@ class Sample:
         names: dict[str, int] = {}
         self.rows = [np.array([names.setdefault(w, len(names)) for w in words_of(t)], np.int64) for t in texts]
         self.names, self.y = list(names), np.array(labels, np.float64)
-        self.flat, self.sizes = runs_of(self.names) if names else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        parts = [runs_of(self.names[k : k + 4096]) for k in range(0, len(names), 4096)] or [(np.zeros(0, np.int64),) * 2]
+        self.flat, self.sizes = np.concatenate([f.astype(np.int32) for f, _ in parts]), np.concatenate([n for _, n in parts])
         self.first = np.cumsum(self.sizes) - self.sizes
         pos, neg = max(1.0, self.y.sum()), max(1.0, len(labels) - self.y.sum())
         seen, toxic, gseen, gtoxic = np.zeros(len(names)), np.zeros(len(names)), np.zeros(GRAMS), np.zeros(GRAMS)
@@ -347,11 +352,20 @@ def held_out(col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1000, other_rows: int = 2000) -> Network:
-    """Train on a bounded sample: the labelled ids of smallest hash, toxic_rows of label 1 and other_rows of label 0."""
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1000, other_rows: int = 2000, sample_bytes: int = 12 << 20) -> Network:
+    """Train on a bounded sample: the labelled ids of smallest hash, toxic_rows of label 1 and other_rows of label 0, and of
+    each label texts of sample_bytes together at most. A threshold of the hash that twice as many rows pass comes first,
+    so that no task gets all rows of a label.
+    """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
-    ids = known.selectExpr("doc_id", "toxic", "row_number() over (partition by toxic order by h, doc_id) as rn").where(F.col("rn") <= F.when(F.col("toxic") == 1, toxic_rows).otherwise(other_rows)).drop("rn")
-    rows = docs.where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")  # at most toxic_rows + other_rows
+    counted = known.groupBy("toxic").agg(F.count("*").alias("rows_of"))  # two rows
+    most = F.when(F.col("toxic") == 1, toxic_rows).otherwise(other_rows)
+    passed = known.join(F.broadcast(counted), "toxic").where(F.col("rows_of") * (F.col("h") / 2.0**64 + 0.5) <= 2 * most + 50)
+    ids = passed.selectExpr("doc_id", "toxic", "h", "row_number() over (partition by toxic order by h, doc_id) as rn").where(F.col("rn") <= most).drop("rn")
+    texts = docs.where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic", "h", F.octet_length("text").cast("bigint").alias("bytes")).dropDuplicates(["doc_id"])
+    small = stage(texts, "sample")
+    fits = small.selectExpr("doc_id", "sum(bytes) over (partition by toxic order by h, doc_id) as upto").where(F.col("upto") <= sample_bytes).select("doc_id")
+    rows = small.join(F.broadcast(fits), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")  # at most toxic_rows + other_rows, and sample_bytes of each label
     return train(rows["text"].tolist(), rows["toxic"].astype(int).tolist()) if len(rows) else train([], [])
 
 

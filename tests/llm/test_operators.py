@@ -95,10 +95,22 @@ def test_lines(spark):
     rows += [(10, None), (11, ""), (12, "Shared footer line of the site")]
     got = {r["doc_id"]: (r["text"], r["dropped_lines"]) for r in line_templates.drop_recurring_lines(docs(spark, rows)).collect()}
     assert all("footer" not in got[i][0] and "printed" not in got[i][0] and "logged" not in got[i][0] and got[i][1] == 3 for i in range(6))
-    assert got[10] == (None, 0) and got[11] == ("", 0) and got[12][1] == 0
+    assert got[10] == (None, 0) and got[11] == ("", 0) and got[12] == ("", 1)  # whatever share of a text it is
     assert line_templates.drop_recurring_lines(docs(spark, [])).count() == 0
 
 
+def test_lines_of_near_copies_stay(spark):
+    rng = random.Random(3)
+    own = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    base = [own(12) for _ in range(9)]
+    copies = [(i, "\n".join([*base, own(12)])) for i in range(8)]
+    passage = own(60)
+    pages = [(20 + i, f"{own(80)}\n{passage}\n{own(30)}") for i in range(5)] + [(30, passage), (31, passage + "\n" + own(5)), (32, "\n" * 5000 + own(9000) + "\n" + passage), (20, "a repeated id\n" + passage)]
+    got = {(r["doc_id"], r["dropped_lines"]): r["text"] for r in line_templates.drop_recurring_lines(docs(spark, copies + pages)).collect()}
+    assert all(got[i, 0] == t for i, t in copies)
+    assert all(passage not in t for t in got.values()) and got[30, 1] == "" and len(got[32, 1]) > 50_000 and got[20, 1] in ("a repeated id", pages[0][1].replace(passage + "\n", ""))
+
+
 def test_embedding_links_brute(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(150, 16))
@@ -129,13 +141,28 @@ def test_embedding_links_recall_in_fine_cells(spark, parts):
     b /= np.linalg.norm(b, axis=1, keepdims=True)
     c = rng.uniform(0.9001, 0.91, size=(2000, 1))
     x = np.vstack([a, c * a + (1 - c**2) ** 0.5 * b])
-    per_cell = 4000 / (256 ** (parts - 1) * 8)  # as many cells as a table of 64 * 256 ** (parts - 1) rows has
-    assert embedding_links.Rounds.draw(64, 4000, 20, per_cell).parts == parts
+    per_cell = 4000 / (256 ** (parts - 1) * 8)  # as many cells as a table of 2048 * 256 ** (parts - 1) rows has
+    plan = embedding_links.Rounds.plan(64, 4000, per_cell, 0.9, 0.9995)
+    assert plan.parts == parts and plan.least >= 2
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
     got = {r["vec_id"]: r["n_links"] for r in embedding_links.linked(df, per_cell=per_cell).collect()}
     assert sum(got[i] >= 1 for i in range(2000)) >= 1997
     with pytest.raises(ValueError, match="rounds"):
-        embedding_links.Rounds.plan(64, 10**8, 20, 8, 0.9, 0.9995, most=30)
+        embedding_links.Rounds.plan(64, 10**8, 256, 0.9, 0.9995, most=30)
+
+
+@pytest.mark.parametrize("rows", [10_000, 1_000_000])
+def test_embedding_links_count_filters(rows):
+    plan = embedding_links.Rounds.plan(64, rows, 256, 0.9, 0.9995)
+    assert plan.least >= 3 and rows * embedding_links.tail(1 / (2 * plan.width) ** plan.parts, plan.rounds, plan.least) < 1
+
+
+def test_embedding_links_odd_rows(spark):
+    inf = [float("inf"), 1.0]
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.99, 0.01]), (None, [1.0, 0.0]), (3, inf), (4, []), (5, [None, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted(((r["vec_id"] or -1), r["n_links"], r["component_id"] or -1, r["kept"]) for r in embedding_links.linked(df).collect())
+    assert got == [(-1, 0, -1, None), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True)]
 
 
 def test_warc_round_trip(spark):
@@ -185,7 +212,7 @@ def test_neighbours_recall(spark):
     x[100:130] = x[100]
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [0.0] * 24)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
-    got = neighbours.nearest(df, df.where("vec_id % 20 = 0"), k=20, query_block=16, row_block=200).collect()
+    got = neighbours.nearest(df, df.where("vec_id % 20 = 0"), k=20, query_block=16, row_block=50, cell_rows=64).collect()
     y = x.astype(np.float64)
     hit = 0
     for q in range(0, 600, 20):
@@ -199,6 +226,24 @@ def test_neighbours_recall(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_stop_on_clustered_rows(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 32))
+    x = np.vstack([c + rng.normal(scale=0.25, size=(50, 32)) for c in centres])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5, [9.0] * 32), (3000, [float("nan")] * 32), (3001, [float("inf")] + [0.0] * 31), (None, x[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    asked = df.where("vec_id % 20 = 0")
+    found = neighbours.search(df.where("vec_id <> 5 or embedding[0] < 9"), asked, 10, cell_rows=32)
+    share = found.agg(F.sum("verified")).first()[0] / (100 * 2000)
+    assert share < 0.5, share  # the test stops the search
+    got = {}
+    for r in neighbours.nearest(df, asked, 10, cell_rows=32).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = {q: set(sorted((i for i in range(2000) if i != q), key=lambda i: -x[i] @ x[q])[:10]) for q in range(0, 2000, 20)}
+    assert sum(len(got[q] & want[q]) for q in want) >= 0.9 * 1000 and all(len(v) == 10 for v in got.values()) and not {3000, 3001} & set().union(*got.values())
+
+
 def test_pieces_equal_library_and_round_trip(spark):
     import sentencepiece
 
@@ -242,17 +287,29 @@ def test_language(spark):
 
 
 def test_mixing_marginals(spark):
-    rows = [(i, "w " * 50, ["en", "de"][i % 3 == 0], ["a", "b", None][i % 7 % 3], 100, "x") for i in range(200)] + [(999, None, None, None, 0, "x")]
+    rng = random.Random(1)
+    rows = [(i, "w " * rng.randint(80, 120), rng.choices(["en", "de", "fr", None], [80, 15, 4, 1])[0], rng.choices(["a", "b", "c"], [90, 9, 1])[0], 100, "x") for i in range(3000)]
+    rows += [(9000, None, None, None, 0, "x"), (9001, "", "en", "a", 0, "x"), (9002, "w " * 90_000, "en", "a", 0, "x"), (9003, "w " * 100, "en", "a", 0, "x"), (9003, "w " * 100, "en", "a", 0, "x")]
     df = spark.createDataFrame(rows, DOCS)
-    cells = df.groupBy(F.coalesce("source", F.lit("-")).alias("source"), F.coalesce("lang", F.lit("-")).alias("lang")).agg(F.count("*").cast("double").alias("tokens"))
-    goals = {d: mixing.tempered(cells, d, 0.5) for d in ("source", "lang")}
-    raked = mixing.rake(cells, goals, 6)
-    for d, t in goals.items():
-        gap = raked.groupBy(d).agg(F.sum("weight").alias("w")).join(t, d).select(F.max(F.abs(F.col("w") - F.col("target")))).first()[0]
-        assert gap < 1e-3
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of(F.col("text"))}
+    known = df.select(F.col("doc_id").alias("id"), mixing.traits(dims, F.col("text")).alias("mix"))
+    cells = known.groupBy("mix.source", "mix.lang", "mix.topic").agg(F.sum("mix.tokens").alias("tokens"))
+    goals = mixing.wanted(cells, list(dims), None, 0.5)
+    got = mixing.reached(mixing.rake(cells, goals, list(dims), 0.5), goals, list(dims)).collect()
+    assert any(r["want"] > r["have"] for r in got)  # scarce values can't reach their target: all of them is taken
+    for d in dims:
+        total = sum(r["have"] for r in got if r["dim"] == d)
+        assert abs(sum(r["goal"] for r in got if r["dim"] == d) / total - 0.5) < 1e-9
+    assert all(r["gap"] < 0.01 for r in got if r["have"] > 10), [tuple(r) for r in got]
     out = mixing.mix(df, fraction=0.5)
-    assert 0 < out.count() < 201 and set(out.columns) == set(df.columns) | {"__mix"}
-    assert mixing.mix(df.limit(0)).count() == 0
+    drawn = out.groupBy("__mix.source").agg(F.sum("__mix.tokens").alias("t")).collect()
+    share = {r["source"]: r["t"] / sum(x["t"] for x in drawn) for r in drawn}
+    goal = {r["value"]: r["goal"] for r in got if r["dim"] == "source"}
+    assert all(abs(share[s] - goal[s] / sum(goal.values())) < 0.35 for s in ("b", "c")) and set(out.columns) == set(df.columns) | {"__mix"}
+    assert out.where("doc_id = 9003").count() in (0, 2) and mixing.mix(df.limit(0)).count() == 0
+    half = spark.createDataFrame([("b", 0.5), ("a", 0.5), ("nowhere", 0.5)], "source string, target double")
+    goals = {r["value"]: r["goal"] for r in mixing.wanted(cells, list(dims), {"source": half}, 0.01).where("dim = 'source'").collect()}
+    assert abs(goals["a"] - goals["b"]) < 1e-6 and set(goals) == {"a", "b", "c", "(none)"}
 
 
 def test_toxicity_learns_and_scores_all(spark):
