@@ -18,10 +18,11 @@ from pactloom.llm.staging import free_name, stage
 WORD = re.compile(r"\w+")
 WINDOW, STRIDE = 32, 16
 LONGEST, OVERLAP = 64, 16
-DIM, HIDDEN, GRAM_BITS = 8, 8, 15
+DIM, HIDDEN, GRAM_BITS = 16, 8, 15
 GRAMS = 1 << GRAM_BITS
 THRESHOLD = 0.3
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+STEPS = 1000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -62,15 +63,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Network:
-    """p: parameters by name; vocab: word to row of p['words'] (row 0: unknown); scale: logit to score.
-
-    word_odds (by row) and gram_odds hold the training sample's log-odds: two more inputs of each word.
-    """
+    """p: parameters by name; vocab: word to row of p['words'] (row 0: unknown); scale: logit to score."""
 
     p: dict[str, np.ndarray]
     vocab: dict[str, int]
-    word_odds: np.ndarray
-    gram_odds: np.ndarray
     scale: tuple[float, float] = (1.0, 0.0)
 
     def inputs(self, words: list[str]) -> np.ndarray:
@@ -78,7 +74,7 @@ class Network:
         flat, sizes = runs_of(words)
         first, rows = np.cumsum(sizes) - sizes, [self.vocab.get(w, 0) for w in words]
         chars = np.add.reduceat(self.p["grams"][flat], first) / np.sqrt(sizes)[:, None]
-        return np.hstack([self.p["words"][rows] + chars, np.stack([self.word_odds[rows], np.maximum.reduceat(self.gram_odds[flat], first)], axis=1) / 4])
+        return self.p["words"][rows] + chars
 
     def projected(self, words: list[str], step: int = 4096) -> np.ndarray:
         """Both directions' input parts of words, some thousands at a time: a word has some twenty character runs."""
@@ -242,14 +238,14 @@ class Sample:
             toxic[words] += label
             gseen[runs] += 1
             gtoxic[runs] += label
-        self.word_odds, self.gram_odds = _odds(seen, toxic, pos, neg), _odds(gseen, gtoxic, pos, neg)
-        self.kept = seen >= 6
-        #: By label: each word's two log-odds as texts of that label see them, that is without one text of the label.
-        self.odds = [self.features(_odds(seen - 1, toxic - t, pos - t, neg - 1 + t), _odds(gseen - 1, gtoxic - t, pos - t, neg - 1 + t)) for t in (0, 1)]
+        self.kept = seen >= 3
+        #: By label: each word's larger log-odds, of itself or its runs, as texts of that label see them, that is without one
+        #: text of the label. They pick the windows to learn from at first; the network doesn't see them.
+        self.odds = [self.evidence(_odds(seen - 1, toxic - t, pos - t, neg - 1 + t), _odds(gseen - 1, gtoxic - t, pos - t, neg - 1 + t)) for t in (0, 1)]
         self.windows = [(k, a) for k, row in enumerate(self.rows) for a in starts_of(len(row))]
 
-    def features(self, word_odds: np.ndarray, gram_odds: np.ndarray) -> np.ndarray:
-        return np.stack([word_odds, np.maximum.reduceat(gram_odds[self.flat], self.first)], axis=1) / 4 if self.names else np.zeros((0, 2))
+    def evidence(self, word_odds: np.ndarray, gram_odds: np.ndarray) -> np.ndarray:
+        return np.maximum(word_odds, np.maximum.reduceat(gram_odds[self.flat], self.first)) if self.names else np.zeros(0)
 
     def runs(self, words: np.ndarray) -> np.ndarray:
         n = self.sizes[words]
@@ -263,11 +259,11 @@ class Sample:
         return idx, mask
 
 
-def train(texts: list[str], labels: list[int], steps: int = 400, batch: int = 128, rate: float = 0.01, decay: float = 1e-3, seed: int = 7) -> Network:
+def train(texts: list[str], labels: list[int], steps: int = STEPS, batch: int = 128, rate: float = 0.01, decay: float = 1e-3, seed: int = 7) -> Network:
     """Learn from labelled whole texts.
 
     A document's label holds for one window at least. Windows are picked by the log-odds of words and character runs at
-    first, by the network after half the steps: of each text the likeliest window, of texts with label 0 random ones as well.
+    first, by the network after a third and two thirds of the steps: of each text the likeliest window, of texts with label 0 random ones as well.
     """
     rng = np.random.default_rng(seed)
     distinct = dict(zip(texts, labels, strict=True))  # copies would vouch for each other
@@ -275,8 +271,8 @@ def train(texts: list[str], labels: list[int], steps: int = 400, batch: int = 12
     data = Sample(texts, labels)
     kept = np.flatnonzero(data.kept)
     mat = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
-    p = {"words": rng.normal(0, 0.05, (len(kept) + 1, DIM)), "grams": rng.normal(0, 0.05, (GRAMS, DIM)), "wf": mat(DIM + 2, 3 * HIDDEN), "wb": mat(DIM + 2, 3 * HIDDEN), "uf": mat(HIDDEN, 3 * HIDDEN), "ub": mat(HIDDEN, 3 * HIDDEN), "bf": np.zeros(3 * HIDDEN), "bb": np.zeros(3 * HIDDEN), "v": mat(2 * HIDDEN), "o": mat(2 * HIDDEN), "c": np.zeros(1)}
-    net = Network(p, {data.names[w]: i + 1 for i, w in enumerate(kept.tolist())}, np.r_[0.0, data.word_odds[kept]], data.gram_odds)
+    p = {"words": rng.normal(0, 0.05, (len(kept) + 1, DIM)), "grams": rng.normal(0, 0.05, (GRAMS, DIM)), "wf": mat(DIM, 3 * HIDDEN), "wb": mat(DIM, 3 * HIDDEN), "uf": mat(HIDDEN, 3 * HIDDEN), "ub": mat(HIDDEN, 3 * HIDDEN), "bf": np.zeros(3 * HIDDEN), "bb": np.zeros(3 * HIDDEN), "v": mat(2 * HIDDEN), "o": mat(2 * HIDDEN), "c": np.zeros(1)}
+    net = Network(p, {data.names[w]: i + 1 for i, w in enumerate(kept.tolist())})
     y, windows = data.y, data.windows
     if not windows or y.sum() in (0, len(y)):
         net.p["o"][:] = 0
@@ -292,11 +288,10 @@ def train(texts: list[str], labels: list[int], steps: int = 400, batch: int = 12
         others = rng.integers(0, len(windows), len(texts))
         return np.r_[best, others[y[owner[others]] == 0]]
 
-    evidence = [f.max(axis=1) for f in data.odds]
-    pool = pick(np.array([evidence[int(y[k])][data.rows[k][a : a + WINDOW]].max() for k, a in windows]))
+    pool = pick(np.array([data.odds[int(y[k])][data.rows[k][a : a + WINDOW]].max() for k, a in windows]))
     first, second = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     for step in range(1, steps + 1):
-        if step == steps // 2:
+        if step in (steps // 3, 2 * steps // 3):
             pool = pick(window_logits(net, data))
         hot, cold = pool[y[owner[pool]] == 1], pool[y[owner[pool]] == 0]
         half = batch // 3
@@ -309,10 +304,9 @@ def train(texts: list[str], labels: list[int], steps: int = 400, batch: int = 12
         n = data.sizes[words]
         vec = p["words"][ids] + np.add.reduceat(p["grams"][flat], np.cumsum(n) - n) / root
         label = np.array([y[k] for k, _ in chosen])
-        odds = np.where(label[:, None, None] > 0, data.odds[1][idx], data.odds[0][idx])
-        dx, g, _ = _gradients(p, np.concatenate([vec[at], odds], axis=2), mask, label)
+        dx, g, _ = _gradients(p, vec[at], mask, label)
         dvec = np.zeros_like(vec)
-        np.add.at(dvec, at, dx[:, :, :DIM] * mask[:, :, None])
+        np.add.at(dvec, at, dx * mask[:, :, None])
         g["words"], g["grams"] = np.zeros_like(p["words"]), np.zeros_like(p["grams"])
         np.add.at(g["words"], ids, dvec)
         np.add.at(g["grams"], flat, np.repeat(dvec / root, n, axis=0))
