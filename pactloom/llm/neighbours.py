@@ -108,12 +108,13 @@ def verify(unit: np.ndarray, near_q: np.ndarray, bound: np.ndarray, points: np.n
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", projections: int = 16, confidence: float = 0.9, cell_rows: int = 512, probes: int = 4,
-    sample_rows: int = 20_000, query_block: int = 1024, row_block: int = 4096,
+    vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", projections: int = 16, confidence: float = 0.9, cell_rows: int = 2048, probes: int = 2,
+    sample_rows: int = 20_000, query_block: int = 1024, row_block: int = 4096, count: bool = False,
 ) -> DataFrame:
     """(query_id, score, ids, verified): candidates found for each query, classes of equal vectors with their smallest ids.
 
-    verified counts the rows scored for the query in one part of a cell, told on the first of its candidates there. The
+    verified counts the rows scored for the query in one part of a cell, told on the first of its candidates there, or, to
+    count all, on a row without any. From the second step come only candidates within the k-th distance of the first. The
     tree is fitted on sample_rows rows of smallest hash and has a cell for each cell_rows rows, sample_rows / 8 at most;
     each row is in it. Cells with more rows or queries than a block are cut, so no task holds a whole cell. A candidate
     list keeps k + 1 rows, as the query itself may be among them.
@@ -193,11 +194,17 @@ def search(
                     f = q.iloc[at : at + 256]
                     x = matrix(f["vec"])
                     unit = x / np.linalg.norm(x, axis=1, keepdims=True) * norm
-                    hit, _, seen = verify(unit, np.hstack([unit, np.zeros((len(unit), 1))]) @ directions, f["bound"].to_numpy(np.float64), y, near_p, norm, k + 1, stop)
-                    who, which = np.nonzero(hit >= 0)
+                    bound = f["bound"].to_numpy(np.float64)
+                    hit, best, seen = verify(unit, np.hstack([unit, np.zeros((len(unit), 1))]) @ directions, bound, y, near_p, norm, k + 1, stop)
+                    near_enough = 2 * norm**2 - 2 * best <= bound[:, None] + 1e-9 * norm**2  # rows beyond the k-th known can't be among the nearest
+                    who, which = np.nonzero((hit >= 0) & near_enough)
                     which = hit[who, which]
                     first = np.r_[True, who[1:] != who[:-1]] if len(who) else np.zeros(0, bool)
-                    out.append(pd.DataFrame({"query_id": f["query_id"].astype("int64").to_numpy()[who], "score": products(x[who], y[which]), "ids": pd.Series([ids[i] for i in which], dtype=object), "verified": np.where(first, seen[who], 0)}))
+                    names = f["query_id"].astype("int64").to_numpy()
+                    out.append(pd.DataFrame({"query_id": names[who], "score": products(x[who], y[which]), "ids": pd.Series([ids[i] for i in which], dtype=object), "verified": np.where(first, seen[who], 0)}))
+                    none = np.setdiff1d(np.flatnonzero(seen), who)
+                    if count and len(none):
+                        out.append(pd.DataFrame({"query_id": names[none], "score": np.nan, "ids": pd.Series([[] for _ in none], dtype=object), "verified": seen[none]}))
             return pd.concat(out) if out else pd.DataFrame({c: pd.Series([], dtype=object) for c in ("query_id", "score", "ids", "verified")})
 
         return p.unionByName(q).groupBy("cell", "part", "block").applyInPandas(run, found_type)
