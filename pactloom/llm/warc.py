@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactloom.llm.staging import shared_dir
+from pactloom.llm.staging import shared_dir, stage
 
 GZIP = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
@@ -239,6 +239,11 @@ def read_archives(spark: SparkSession, path: str, blocks: bool = False) -> DataF
     return files.mapInArrow(run, FIELDS + ", block binary" * blocks)
 
 
+def gaps(records: DataFrame) -> DataFrame:
+    """The quarantined byte ranges of read_archives: archive, start, stop, gap_reason."""
+    return records.where("gap_reason is not null").select("archive", "start", "stop", "gap_reason")
+
+
 def page_of(col):
     return F.nullif(F.regexp_extract(col, "<urn:page:(.*)>", 1), F.lit("")).cast("bigint")
 
@@ -247,12 +252,19 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write the pages' archives to the shared folder, read them back, one row per page.
 
     Columns: page_id, payload_bytes, payload_digest, record_type, refers_to. Null html counts as an empty payload;
-    rows that repeat the largest page_id of equal payloads are all responses; no rows give no rows.
+    payloads of any length are whole records; rows that repeat the largest page_id of equal payloads are all responses,
+    and so are rows of null page_id; no rows give no rows. What is read back is written once more: the records, and the
+    log of quarantined gaps beside them, which must be empty for archives that were just written.
     """
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/archives"
-    write_archives(plan_revisits(pages, min_bytes), path)
-    got = read_archives(spark, path).where("gap_reason is null")
+    folder = shared_dir(spark)
+    write_archives(plan_revisits(pages, min_bytes), f"{folder}/archives")
+    records = stage(read_archives(spark, f"{folder}/archives"), "records")
+    lost = gaps(records)
+    lost.write.json(f"{folder}/gaps")
+    if n := lost.count():
+        raise ValueError(f"{n} byte ranges of the archives were quarantined, see {folder}/gaps")
+    got = records
     revisit = F.col("record_type") == "revisit"
     return got.select(
         page_of(F.col("record_id")).alias("page_id"), F.when(revisit, F.col("stated_bytes")).otherwise(F.col("block_bytes")).alias("payload_bytes"),
@@ -265,4 +277,4 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 h AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS hex, max(page_id) OVER (PARTITION BY b) AS owner FROM p),
 g AS (SELECT h.*, list_transform(range(0, 8), lambda i: ('0x' || substr(hex, 5 * i::INT + 1, 5))::BIGINT) AS words FROM h),
 d AS (SELECT g.*, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((words[(k // 4 + 1)::INT] >> (15 - 5 * (k % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest FROM g)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN owner = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN owner <> page_id THEN owner END AS refers_to FROM d"""
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN owner = page_id OR page_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN owner <> page_id THEN owner END AS refers_to FROM d"""
