@@ -209,3 +209,15 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     out = rows.where("ok").select("vec_id", "k").join(told, "k").select("vec_id", "n_links", "component_id")
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+#: All pairs and the closure of their links, for small tables.
+LINKS_SQL = """
+WITH RECURSIVE u AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding::DOUBLE[], lambda x: x <> 0)) > 0),
+v AS MATERIALIZED (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n, row_number() OVER () AS rn FROM u WHERE len(e) = (SELECT len(e) FROM u GROUP BY len(e) ORDER BY count(*) DESC, len(e) LIMIT 1)),
+l AS MATERIALIZED (SELECT a.rn AS a, b.rn AS b, a.vec_id AS ia, b.vec_id AS ib FROM v a JOIN v b ON a.rn <> b.rn WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach AS (SELECT rn, rn AS other FROM v UNION SELECT l.b, r.other FROM reach r JOIN l ON l.a = r.rn),
+root AS (SELECT r.rn, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.rn = r.other GROUP BY r.rn),
+told AS (SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.rn) AS n_links, component_id FROM v JOIN root USING (rn)
+UNION ALL SELECT vec_id, 0, vec_id FROM (SELECT vec_id FROM embeddings EXCEPT ALL SELECT vec_id FROM v))
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM told"""

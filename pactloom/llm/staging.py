@@ -9,14 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where none is set (tests on one machine), a new temporary one."""
+    """The folder in spark.checkpoint.dir; where none is set, a temporary one on a single machine, the warehouse on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        base = "file://" + tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/pactloom-{uuid.uuid4().hex}"
 
 
+#: Paths of the scratch tables of this process that may still be there.
+written: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: a lost executor costs a task, not the lineage."""
     spark = df.sparkSession
@@ -24,14 +29,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    written.append(path)
     return out
 
 
 def drop_staged(df: DataFrame) -> None:
     """Delete a scratch table that no later step reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+    delete(df.sparkSession, df.staged_path)
+
+
+def delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if name in written:
+        written.remove(name)
+
+
+def drop_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Delete the scratch tables written since `written` had `mark` entries, but for one."""
+    for name in written[mark:]:
+        if name != keep.staged_path:
+            delete(spark, name)
 
 
 def free_name(df: DataFrame, name: str) -> str:

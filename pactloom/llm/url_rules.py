@@ -39,6 +39,28 @@ def compile_pattern(text: str) -> Pattern:
     return Pattern(text, regex, tuple(dict.fromkeys(m[0] for m in whole)))
 
 
+def read_filter_list(lines: Iterable[str]) -> tuple[dict[str, str], list[str]]:
+    """(site rules, patterns) of a filter list in the common format of content blockers.
+
+    ||host^ and ||host/path block a site, with @@ in front they allow it; other lines are patterns, without what follows
+    a $. Comments (!), headers ([), rules on page elements (##, #@#) and other exceptions are left out.
+    """
+    sites: dict[str, str] = {}
+    patterns = []
+    for line in lines:
+        rule = line.strip()
+        if not rule or rule[0] in "![" or "##" in rule or "#@#" in rule:
+            continue
+        verdict = "allow" if rule.startswith("@@") else "block"
+        rule = rule.removeprefix("@@").partition("$")[0]
+        site = re.fullmatch(r"\|\|([a-z0-9.-]+)(?:\^|(/[^*^|]*))?", rule.lower())
+        if site:
+            sites[site[1] + (site[2] or "/")] = verdict
+        elif verdict == "block" and rule.strip("|*^"):
+            patterns.append(rule.replace("||", "://*").strip("|"))
+    return sites, patterns
+
+
 def token_counts(urls: DataFrame, tokens: Iterable[str], url_col: str = "url") -> dict[str, int]:
     """How many URLs of the whole table hold each token of the rule set; as many rows as the rule set has tokens."""
     known = F.array(*[F.lit(t) for t in tokens])
@@ -88,8 +110,9 @@ def judge(pages: DataFrame, sites: dict[str, str] | None = None, patterns: Itera
 
     The longest site rule that fits decides; without one, the URL is blocked if a pattern matches it (the first in
     alphabetical order is named) and else allowed. The rule set is a parameter and goes to each task whole; the tokens'
-    frequencies are counted over all URLs. Null or odd URLs: empty host and path, no rule, patterns as usual ('' for
-    null); repeated rows are judged each; further columns are ignored.
+    frequencies are counted over all URLs. Two rules of one length never fit the same URL, since both would be its host's
+    end and its path's beginning. Null or odd URLs: empty host and path, no rule, patterns as usual ('' for null); URLs of
+    any length are read whole; repeated rows are judged each; no rows give no rows; further columns are ignored.
     """
     sites = SITE_RULES if sites is None else sites
     compiled = [compile_pattern(p) for p in dict.fromkeys(patterns)]
