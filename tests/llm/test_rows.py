@@ -143,7 +143,8 @@ def test_toxicity_rests_on_the_network():
     hit, wrong = recall(net)
     assert hit >= 0.9 and wrong <= 0.1
     blind = toxicity.Network({**net.p, "words": np.zeros_like(net.p["words"]), "grams": np.zeros_like(net.p["grams"])}, net.vocab, net.scale)
-    assert len(set(toxicity.Scorer(blind).documents([t for _, t in rows[280:]]).round(3))) <= 3
+    texts = [t for _, t in rows[280:]]
+    assert np.allclose(toxicity.Scorer(blind).documents(texts), toxicity.Scorer(blind).documents([" ".join("x" for _ in t.split()) for t in texts]))
 
 
 def test_mixing_repeats_and_odd_texts(spark):
