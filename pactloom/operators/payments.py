@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactloom.functions import rules as R
 from pactloom.functions.money import invoice_item, payment_rows
-
-ITEM = "struct<item_no:int,description:string,amount_net:decimal(14,2),vat_amount:decimal(14,2),amount_gross:decimal(14,2),vat_rate:decimal(8,2),confidence:string>"
+from pactloom.sources.scratch import materialize
 
 
 def mentions(col: Column, words: tuple[str, ...]) -> Column:
@@ -37,19 +35,12 @@ def discover_sources(*layers: DataFrame) -> DataFrame:
     return rows.withColumn("is_invoice", inv).where(mentions(F.col("text"), R.PAYMENT_TERMS) | F.col("is_invoice")).withColumn("source_rank", F.struct(doc.alias("d"), layer.alias("l"), F.coalesce("source_label", F.lit("")).alias("label"), F.col("source_id").alias("id")))
 
 
-def parse_batch(text: pd.Series, label: pd.Series, path: pd.Series, invoice: pd.Series, by_path: pd.Series) -> pd.DataFrame:
-    out = []
-    for t, lb, p, inv, bp in zip(text, label, path, invoice, by_path, strict=True):
-        item = invoice_item(t or "", lb or "", p or "", bool(bp)) if inv and t else None
-        out.append(([r._asdict() for r in payment_rows(t or "")], item._asdict() if item else None))
-    return pd.DataFrame(out, columns=["rows", "invoice"], dtype=object)
-
-
 def parse_sources(sources: DataFrame) -> DataFrame:
-    """Rows (array) of a schedule text, invoice (struct) of an invoice's."""
+    """Rows (array) of a schedule text, invoice (struct) of an invoice's; written once, as resolving reads it three times."""
     by_path = mentions(F.col("source_path"), R.PAYMENT_PATH_TERMS)
-    parse = F.pandas_udf(parse_batch, f"struct<rows:array<{ITEM}>,invoice:{ITEM}>")
-    return sources.withColumn("p", parse("text", "source_label", "source_path", "is_invoice", by_path)).select(*sources.columns, F.col("p.rows").alias("rows"), F.col("p.invoice").alias("invoice"))
+    text = F.coalesce("text", F.lit(""))
+    invoice = F.when(F.col("is_invoice"), invoice_item(text, F.col("source_label"), F.col("source_path"), by_path))
+    return materialize(sources.select(*sources.columns, payment_rows(text).alias("rows"), invoice.alias("invoice")), "parsed")
 
 
 def resolve_schedules(projects: DataFrame, parsed: DataFrame, existing: DataFrame) -> DataFrame:
