@@ -75,6 +75,57 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("segment_id", F.concat_ws("|", "contract_id", "system_type", "segment_type"))
 
 
+def children(spark: SparkSession, d: str, kind: str, *columns: str) -> DataFrame:
+    """Child rows of the contracts of one type: the test tables have no such tables of their own."""
+    return contracts(spark, d).where(F.col("contract_type") == kind).selectExpr("contract_id", *columns)
+
+
+def technical_requirements(spark: SparkSession, d: str) -> DataFrame:
+    return children(spark, d, "5-LOW", "concat('TR-', contract_id) as requirement_code", "'limit' as requirement_type", "concat('Limit of ', contract_code) as requirement_text", "month(contract_date) as numeric_limit", "'mm' as unit")
+
+
+def quality_requirements(spark: SparkSession, d: str) -> DataFrame:
+    return children(spark, d, "4-NOT SPECIFIED", "concat('QR-', contract_id) as requirement_key", "'inspection' as requirement_category", "concat('Video of ', contract_code) as requirement_text")
+
+
+def inspections(spark: SparkSession, d: str) -> DataFrame:
+    return children(spark, d, "4-NOT SPECIFIED", "concat('IN-', contract_id) as inspection_key", "concat('Inspection of ', contract_code) as inspection_text")
+
+
+def responsibilities(spark: SparkSession, d: str) -> DataFrame:
+    return children(spark, d, "3-MEDIUM", "concat('RE-', contract_id) as responsibility_key", "concat('Cleaning of ', contract_code) as responsibility_area", "'contractor' as responsible_role")
+
+
+def boundaries(spark: SparkSession, d: str) -> DataFrame:
+    return children(spark, d, "2-HIGH", "concat('BO-', contract_id) as boundary_id", "'JV' as system_type", "concat('From ', contract_code) as upstream_boundary", "'To the plot line' as downstream_boundary")
+
+
+def deliverables(spark: SparkSession, d: str) -> DataFrame:
+    return children(spark, d, "2-HIGH", "concat('DE-', contract_id) as deliverable_key", "concat('Video files of ', contract_code) as deliverable_name")
+
+
+def securities(spark: SparkSession, d: str) -> DataFrame:
+    return children(spark, d, "1-URGENT", "concat('SE-', contract_id) as security_id", "'warranty' as security_type", "cast(month(contract_date) as decimal(5,2)) as amount_percent", "date_add(contract_date, 700) as valid_to")
+
+
+def insurances(spark: SparkSession, d: str) -> DataFrame:
+    return children(spark, d, "1-URGENT", "concat('IS-', contract_id) as insurance_id", "'liability' as insurance_type")
+
+
+def contract_unit_prices(spark: SparkSession, d: str) -> DataFrame:
+    """A part's unit price belongs to the first contract that uses it."""
+    first = payment_items(spark, d).groupBy("part_id").agg(F.min("contract_id").alias("contract_id"))
+    return unit_prices(spark, d).join(first, "part_id").select("contract_id", F.concat(F.lit("UP-"), "part_id").alias("unit_price_code"), "item_name", "unit_price")
+
+
+def operations(spark: SparkSession, d: str) -> DataFrame:
+    """Events by kind: purchases are handovers, errors and sign-ups observations, the others plain events."""
+    e, p = read(spark, d, "events"), projects(spark, d)
+    kind = F.when(F.col("event_type") == "purchase", "handover").when(F.col("event_type") == "error", "quality_issue").when(F.col("event_type") == "signup", "warranty").otherwise("event")
+    rows = e.select(_id(F.col("event_id")).alias("event_id"), _id(F.col("user_id") % 25).alias("project_id"), "event_type", kind.alias("kind"), F.to_date("ts").alias("event_date"))
+    return rows.join(p, "project_id").select("event_id", "project_code", "event_type", "kind", "event_date")
+
+
 def unit_prices(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select(_id(F.col("p_partkey")).alias("part_id"), F.col("p_name").alias("item_name"), F.col("p_retailprice").cast(MONEY).alias("unit_price"))
 
@@ -89,8 +140,14 @@ def source_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    """One page a line of a document; every seventh document has none yet."""
-    return read(spark, d, "documents").where("doc_id % 7 <> 0 and text is not null").select(_id(F.col("doc_id")).alias("file_id"), F.col("source").alias("project_code"), F.col("lang").alias("document_type"), F.posexplode(F.split("text", "\n")).alias("pos", "raw_text")).withColumn("page_no", F.col("pos") + 1).drop("pos")
+    """One page a line of a document."""
+    return read(spark, d, "documents").where("text is not null").select(_id(F.col("doc_id")).alias("file_id"), F.col("source").alias("project_code"), F.col("lang").alias("document_type"), F.posexplode(F.split("text", "\n")).alias("pos", "raw_text")).withColumn("page_no", F.col("pos") + 1).drop("pos")
+
+
+def extracted_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as they are before spreadsheets have been extracted: for the queries on missing pages."""
+    sheets = source_files(spark, d).where("extension = '.XLSX'").select("file_id")
+    return pages(spark, d).join(sheets, "file_id", "left_anti")
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
@@ -121,8 +178,19 @@ QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_ship
     "scope_items": "SELECT contract_id, contract_id || '-' || item_no AS item_code, p_type AS system_type, p_name AS item_name, payment_condition <> 'R' AS included_in_contract FROM payment_items JOIN part ON part_id = p_partkey::VARCHAR",
     "segments": "SELECT contract_id, p_type AS system_type, p_brand AS segment_type, min(p_size) AS flow_order, bool_or(payment_condition <> 'R') AS included_in_contract, contract_id || '|' || p_type || '|' || p_brand AS segment_id FROM payment_items JOIN part ON part_id = p_partkey::VARCHAR GROUP BY contract_id, p_type, p_brand",
     "unit_prices": "SELECT p_partkey::VARCHAR AS part_id, p_name AS item_name, p_retailprice::DECIMAL(14,2) AS unit_price FROM part",
+    "technical_requirements": "SELECT contract_id, 'TR-' || contract_id AS requirement_code, 'limit' AS requirement_type, 'Limit of ' || contract_code AS requirement_text, month(contract_date)::INT AS numeric_limit, 'mm' AS unit FROM contracts WHERE contract_type = '5-LOW'",
+    "quality_requirements": "SELECT contract_id, 'QR-' || contract_id AS requirement_key, 'inspection' AS requirement_category, 'Video of ' || contract_code AS requirement_text FROM contracts WHERE contract_type = '4-NOT SPECIFIED'",
+    "inspections": "SELECT contract_id, 'IN-' || contract_id AS inspection_key, 'Inspection of ' || contract_code AS inspection_text FROM contracts WHERE contract_type = '4-NOT SPECIFIED'",
+    "responsibilities": "SELECT contract_id, 'RE-' || contract_id AS responsibility_key, 'Cleaning of ' || contract_code AS responsibility_area, 'contractor' AS responsible_role FROM contracts WHERE contract_type = '3-MEDIUM'",
+    "boundaries": "SELECT contract_id, 'BO-' || contract_id AS boundary_id, 'JV' AS system_type, 'From ' || contract_code AS upstream_boundary, 'To the plot line' AS downstream_boundary FROM contracts WHERE contract_type = '2-HIGH'",
+    "deliverables": "SELECT contract_id, 'DE-' || contract_id AS deliverable_key, 'Video files of ' || contract_code AS deliverable_name FROM contracts WHERE contract_type = '2-HIGH'",
+    "securities": "SELECT contract_id, 'SE-' || contract_id AS security_id, 'warranty' AS security_type, month(contract_date)::DECIMAL(5,2) AS amount_percent, contract_date + 700 AS valid_to FROM contracts WHERE contract_type = '1-URGENT'",
+    "insurances": "SELECT contract_id, 'IS-' || contract_id AS insurance_id, 'liability' AS insurance_type FROM contracts WHERE contract_type = '1-URGENT'",
+    "contract_unit_prices": "SELECT contract_id, 'UP-' || part_id AS unit_price_code, item_name, unit_price FROM unit_prices JOIN (SELECT part_id, min(contract_id) AS contract_id FROM payment_items GROUP BY 1) USING (part_id)",
+    "operations": "SELECT event_id::VARCHAR AS event_id, project_code, event_type, CASE event_type WHEN 'purchase' THEN 'handover' WHEN 'error' THEN 'quality_issue' WHEN 'signup' THEN 'warranty' ELSE 'event' END AS kind, ts::DATE AS event_date FROM events JOIN projects ON (user_id % 25)::VARCHAR = project_id",
     "source_files": "SELECT doc_id::VARCHAR AS file_id, source AS project_code, lang AS document_type, 'file_' || doc_id || (CASE WHEN doc_id % 5 < 3 THEN ext ELSE '' END) AS filename, ext AS extension, sha256(coalesce(text, '')) AS sha256, len(string_split(text, chr(10))) AS page_count FROM (SELECT *, ['.pdf', '.docx', '.XLSX', 'txt', ''][(doc_id % 5 + 1)::INT] AS ext FROM documents)",
-    "doc_pages": "SELECT file_id, project_code, document_type, raw_text, page_no FROM (SELECT doc_id::VARCHAR AS file_id, source AS project_code, lang AS document_type, unnest(string_split(text, chr(10))) AS raw_text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS page_no FROM documents WHERE doc_id % 7 <> 0 AND text IS NOT NULL)",
+    "doc_pages": "SELECT file_id, project_code, document_type, raw_text, page_no FROM (SELECT doc_id::VARCHAR AS file_id, source AS project_code, lang AS document_type, unnest(string_split(text, chr(10))) AS raw_text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS page_no FROM documents WHERE text IS NOT NULL)",
+    "extracted_pages": "SELECT * FROM doc_pages WHERE file_id IN (SELECT file_id FROM source_files WHERE extension <> '.XLSX')",
     "runs": "SELECT event_id::VARCHAR AS run_id, user_id::VARCHAR AS file_id, event_type AS extractor_name, ts AS started_at, CASE WHEN value > 60 THEN 'failed' ELSE 'completed' END AS run_status FROM events",
     "questions": "SELECT conv_id || '-' || turn AS question_id, text AS question FROM conversations WHERE role = 'user'",
     "chunks": "SELECT doc_id::VARCHAR AS chunk_id, source AS contract_code, lang AS language, text FROM documents",
@@ -138,7 +206,7 @@ def sql(body: str) -> str:
             if name not in need and re.search(rf"\b{name}\b", text):
                 need.add(name)
                 todo.append(SQL[name])
-    defs = ",\n".join(f"{n} AS ({SQL[n]})" for n in SQL if n in need)
+    defs = ",\n".join(f"{n} AS MATERIALIZED ({SQL[n]})" for n in SQL if n in need)
     body = body.strip()
     if not defs:
         return body

@@ -12,6 +12,9 @@ CANONICAL = (
     "payment_schedule array<struct<item_no:int,amount_net:decimal(14,2),vat_amount:decimal(14,2),amount_gross:decimal(14,2),document_type:string>>, scope_items array<struct<item_code:string,system_type:string,included_in_contract:boolean>>"
 )
 
+#: Windows-1252 where it differs from Latin-1.
+WINDOWS = ("\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9e\x9f", "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ")
+
 
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
@@ -20,10 +23,16 @@ def extension(path: Column) -> Column:
 def inventory_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = False, exts: tuple[str, ...] | None = None) -> DataFrame:
     """A1, A2: one row a distinct content: sha256, size, extension, the first path in case-blind order."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path)
-    rows = files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), extension(F.col("path")).alias("extension"))
+    return distinct_contents(files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes")), exts)
+
+
+def distinct_contents(files: DataFrame, exts: tuple[str, ...] | None = None) -> DataFrame:
+    """A1, A2 on rows (path, sha256, size_bytes), such as a listing of a store."""
+    rows = files.withColumn("extension", extension(F.col("path")))
     if exts is not None:
         rows = rows.where(F.col("extension").isin(*exts))
-    return rows.groupBy("sha256").agg(F.min_by("path", F.struct(F.lower("path"), "path")).alias("path"), F.first("size_bytes").alias("size_bytes"), F.min_by("extension", F.struct(F.lower("path"), "path")).alias("extension"), F.count("*").alias("copies"))
+    first = F.min(F.struct(F.lower("path").alias("low"), "path", "extension", "size_bytes")).alias("f")
+    return rows.groupBy("sha256").agg(first, F.count("*").alias("copies")).select("sha256", "f.path", "f.size_bytes", "f.extension", "copies")
 
 
 def load_page_text(spark: SparkSession, path: str) -> DataFrame:
@@ -32,26 +41,60 @@ def load_page_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_plain_text(spark: SparkSession, path: str) -> DataFrame:
-    """A4: whole files as text: UTF-8 (with or without a mark), UTF-16 by its mark, else Windows-1252."""
+    """A4: whole files as text: UTF-8 (with or without a mark), UTF-16 by its mark, else Windows-1252; files with a byte
+    that Windows-1252 lacks are read as Latin-1."""
     f = spark.read.format("binaryFile").load(path)
     head = F.hex(F.substring("content", 1, 3))
+    latin = F.decode("content", "ISO-8859-1")
+    windows = F.when(F.regexp_like(latin, F.lit("[\x81\x8d\x8f\x90\x9d]")), latin).otherwise(F.translate(latin, WINDOWS[0], WINDOWS[1]))
     text = (
         F.when(head.startswith("FFFE") | head.startswith("FEFF"), F.decode("content", "UTF-16")).when(head == "EFBBBF", F.expr("cast(substring(content, 4) as string)"))
-        .when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "windows-1252"))
+        .when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(windows)
     )
     return f.select("path", F.lit(1).alias("page_no"), text.alias("raw_text"))
 
 
+def _inner(xml: Column, tag: str) -> Column:
+    """Text of the first element of that name: tags to blanks, white space collapsed, the five entities resolved."""
+    return plain_xml(F.regexp_extract(xml, rf"(?s)<(?:\w+:)?{tag}\b[^>]*(?<!/)>(.*?)</(?:\w+:)?{tag}>", 1))
+
+
+def plain_xml(xml: Column) -> Column:
+    text = F.regexp_replace(xml, r"(?s)<!--.*?-->|<[^>]+>", " ")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#160;", " "), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def law_sections(files: DataFrame) -> DataFrame:
+    """A5 on rows (path, xml): one row a section of a law, in order, with the law's title and its three dates.
+
+    body_text: every child of the section but number and heading, nested subsections included, a blank line between
+    them. Sections without number, heading and body are left out; order counts them. Any namespace prefix will do.
+    """
+    date = lambda name: F.nullif(F.coalesce(*[F.nullif(F.regexp_extract("xml", rf'<(?:\w+:)?FRBRdate\b[^>]*{p}', 1), F.lit("")) for p in (rf'\bdate="([^"]*)"[^>]*\bname="{name}"', rf'\bname="{name}"[^>]*\bdate="([^"]*)"')]), F.lit(""))
+    head = files.select("path", _inner(F.col("xml"), "docTitle").alias("law_title"), date("dateIssued").alias("issued"), date("datePublished").alias("published"), date("dateProduced").alias("produced"), F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)(<(?:\w+:)?section\b.*?</(?:\w+:)?section>)"), F.lit(1))).alias("pos", "section"))
+    inside = F.regexp_replace("section", r"(?s)^<[^>]*>|</[^>]*>$", "")
+    rest = F.regexp_replace(inside, r"(?s)^(\s|<!--.*?-->)*(<(?:\w+:)?(num|heading)\b[^>]*?(/>|>.*?</(?:\w+:)?\3>)(\s|<!--.*?-->)*)*", "")
+    # a child ends where its own closing tag stands: the same name as the first one's, not nested
+    children = F.regexp_extract_all(rest, F.lit(r"(?s)(<((?:\w+:)?\w+)\b[^>]*(?<!/)>.*?</\2>)"), F.lit(1))
+    parts = F.filter(F.transform(children, plain_xml), lambda t: t != "")
+    out = head.select("path", "law_title", "issued", "published", "produced", (F.col("pos") + 1).alias("section_order"), F.nullif(F.regexp_extract("section", r'^<[^>]*\beId="([^"]*)"', 1), F.lit("")).alias("section_id"), _inner(F.col("section"), "num").alias("section_number"), _inner(F.col("section"), "heading").alias("title"), F.array_join(parts, "\n\n").alias("body_text"))
+    return out.where("section_number <> '' or title <> '' or body_text <> ''")
+
+
 def load_law_xml(spark: SparkSession, path: str) -> DataFrame:
-    """A5: sections of law XML: id, number, heading and body; empty bodies are left out."""
-    schema = "_eId string, num string, heading string, content string"
-    rows = spark.read.format("xml").option("rowTag", "section").schema(schema).load(path)
-    return rows.select(F.col("_eId").alias("section_id"), F.trim("num").alias("section_number"), F.trim("heading").alias("title"), F.trim(F.regexp_replace("content", r"<[^>]+>", " ")).alias("body_text")).where("body_text is not null and body_text <> ''")
+    """A5: sections of all law XML files below path."""
+    return law_sections(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml")))
+
 
+def load_canonical(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Nested contract documents: one JSON object a file, which may span lines, or with `lines` one a line.
 
-def load_canonical(spark: SparkSession, path: str) -> DataFrame:
-    """Nested contract documents, one JSON object a file or line."""
-    return spark.read.schema(CANONICAL).option("multiLine", "true").json(path)
+    What is no JSON object gives no row.
+    """
+    rows = spark.read.schema(CANONICAL + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", str(not lines).lower()).json(path)
+    return rows.where("_corrupt is null").drop("_corrupt")
 
 
 def load_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -68,7 +111,7 @@ def write_table(df: DataFrame, path: str, partition: str | None = None, mode: st
 def write_csv_matrix(df: DataFrame, path: str, evidence: str = "evidence") -> None:
     """CSV with the evidence as a last JSON column; arrays as JSON as well."""
     flat = [F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes if c != evidence]
-    df.select(*flat, *([F.to_json(evidence).alias("evidence_json")] if evidence in df.columns else [])).write.mode("overwrite").option("header", "true").csv(path)
+    df.select(*flat, *([F.to_json(evidence).alias("evidence_json")] if evidence in df.columns else [])).write.mode("overwrite").option("header", "true").option("escape", "\"").csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df below spark.checkpoint.dir (a temporary folder only where none is set) and read it back: a plan that
-    uses a table several times reads it instead of computing it again."""
+    """Write df below spark.checkpoint.dir and read it back: a plan that uses a table several times reads it instead of
+    computing it again. Where none is set: a temporary folder on a single machine, the warehouse on a cluster."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        base = "file://" + tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
