@@ -33,6 +33,7 @@ class EntitySpec:
     name: str
     project: str
     metadata: tuple[str, ...] = ()
+    where: str = "true"
 
 
 @dataclass(frozen=True)
@@ -54,30 +55,44 @@ def entity_id(entity_type: str | Column, key: Column) -> Column:
     return natural_id(F.lit(entity_type) if isinstance(entity_type, str) else entity_type, key)
 
 
+def best_per_id(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One row an id, the first by the order's columns: an aggregate, which combines equal ids before the shuffle."""
+    rest = [c for c in rows.columns if c != key and c not in order]
+    rank = [F.struct(F.col(c).isNull().alias("n"), F.col(c).alias(c)).alias(f"o{i}") for i, c in enumerate(order)]
+    best = rows.groupBy(key).agg(F.min(F.struct(*rank, *rest)).alias("b"))
+    return best.select(key, *[F.col(f"b.o{i}.{c}").alias(c) for i, c in enumerate(order)], *[f"b.{c}" for c in rest]).select(key, *[c for c in rows.columns if c != key])
+
+
 def build_entities(data: dict[str, DataFrame], specs: Iterable[EntitySpec]) -> DataFrame:
     """One entity for each (type, key), the last by source id."""
     parts = []
     for s in specs:
         meta = F.to_json(F.struct(*s.metadata)) if s.metadata else F.lit("{}")
-        key = F.concat(F.lit(f"{s.entity_type}:"), F.expr(s.key).cast("string"))
-        parts.append(data[s.dataset].select(F.lit(s.entity_type).alias("entity_type"), key.alias("canonical_key"), F.expr(s.name).cast("string").alias("display_name"), F.expr(s.project).cast("string").alias("project_code"), F.lit(s.dataset).alias("source_table"), F.expr(s.key).cast("string").alias("source_id"), meta.alias("metadata")))
-    rows = last_per_key(reduce(DataFrame.unionByName, parts), ["entity_type", "canonical_key"], [F.asc_nulls_last("source_id"), F.asc_nulls_last("display_name")])
-    return rows.select(natural_id("entity_type", "canonical_key").alias("entity_id"), *rows.columns)
+        kind = F.expr(s.entity_type[1:]) if s.entity_type.startswith("=") else F.lit(s.entity_type)
+        key = F.concat(kind, F.lit(":"), F.expr(s.key).cast("string"))
+        parts.append(data[s.dataset].where(s.where).select(kind.alias("entity_type"), key.alias("canonical_key"), F.expr(s.name).cast("string").alias("display_name"), F.expr(s.project).cast("string").alias("project_code"), F.lit(s.dataset).alias("source_table"), F.expr(s.key).cast("string").alias("source_id"), meta.alias("metadata")))
+    rows = reduce(DataFrame.unionByName, parts).where("source_id is not null").withColumn("entity_id", natural_id("entity_type", "canonical_key"))
+    return best_per_id(rows, "entity_id", ["source_id", "display_name"])
 
 
 def build_relations(data: dict[str, DataFrame], specs: Iterable[RelationSpec]) -> DataFrame:
     """One relation for each (subject, type, object); the smallest source id gives its evidence."""
     parts = []
     for s in specs:
-        end = lambda e: entity_id(e[0], F.concat(F.lit(f"{e[0]}:"), F.expr(e[1]).cast("string")))
+        def end(e: tuple[str, str]) -> Column:
+            """Type and key; a type that begins with = is an expression. A null key gives no end."""
+            kind = F.expr(e[0][1:]) if e[0].startswith("=") else F.lit(e[0])
+            key = F.expr(e[1]).cast("string")
+            return F.when(key.isNotNull(), entity_id(kind, F.concat(kind, F.lit(":"), key)))
+
         parts.append(
             data[s.dataset].where(s.where).select(
-                F.lit(s.relation_type).alias("relation_type"), end(s.subject).alias("subject_id"), end(s.object).alias("object_id"), F.expr(s.project).cast("string").alias("project_code"),
+                (F.expr(s.relation_type[1:]) if s.relation_type.startswith("=") else F.lit(s.relation_type)).alias("relation_type"), end(s.subject).alias("subject_id"), end(s.object).alias("object_id"), F.expr(s.project).cast("string").alias("project_code"),
                 F.lit(s.confidence).cast("decimal(5,4)").alias("confidence"), F.lit(s.dataset).alias("source_table"), F.expr(s.via).cast("string").alias("source_id"),
             )
         )
-    rows = last_per_key(reduce(DataFrame.unionByName, parts), ["subject_id", "relation_type", "object_id"], [F.asc_nulls_last("source_id"), F.asc("source_table")])
-    return rows.select(natural_id("subject_id", "relation_type", "object_id").alias("relation_id"), *rows.columns)
+    rows = reduce(DataFrame.unionByName, parts).where("subject_id is not null and object_id is not null").withColumn("relation_id", natural_id("subject_id", "relation_type", "object_id"))
+    return best_per_id(rows, "relation_id", ["source_id", "source_table"])
 
 
 def split_orphans(relations: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,34 +107,10 @@ def build_evidence(entities: DataFrame, relations: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     e = entities.select("entity_id", none.alias("relation_id"), "source_table", "source_id", F.lit("derived").alias("evidence_note"), F.lit("1.0000").cast("decimal(5,4)").alias("confidence"))
     r = relations.select(none.alias("entity_id"), "relation_id", "source_table", "source_id", F.lit("derived").alias("evidence_note"), "confidence")
-    key = [F.coalesce(c, F.lit("\0")) for c in ("entity_id", "relation_id", "source_table", "source_id", "evidence_note")]
+    key = [F.coalesce(c, F.lit("")) for c in ("entity_id", "relation_id", "source_table", "source_id", "evidence_note")]
     return e.unionByName(r).withColumn("evidence_id", natural_id(*key)).dropDuplicates(["evidence_id"])
 
 
-def guidance_relations(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entities, relations) of guidance items: their stage (general_guidance by default) and the legal sources they mention.
-
-    items (item_id, document_id, item_type, summary, process_stage, legal_references array<string>).
-    """
-    stage = F.coalesce("process_stage", F.lit("general_guidance"))
-    rows = items.withColumn("stage", stage)
-    item = rows.select(F.col("item_type").alias("entity_type"), F.concat_ws(":", "item_type", "item_id").alias("canonical_key"), F.col("summary").alias("display_name"))
-    stages = rows.select(F.lit("process_stage").alias("entity_type"), F.concat(F.lit("process_stage:"), "stage").alias("canonical_key"), F.col("stage").alias("display_name")).distinct()
-    laws = rows.select(F.explode("legal_references").alias("law")).distinct().select(F.lit("legal_cross_reference").alias("entity_type"), F.concat(F.lit("legal_cross_reference:"), "law").alias("canonical_key"), F.col("law").alias("display_name"))
-    entities = item.unionByName(stages).unionByName(laws).dropDuplicates(["entity_type", "canonical_key"])
-    me = natural_id("item_type", F.concat_ws(":", "item_type", "item_id"))
-    to_stage = natural_id(F.lit("process_stage"), F.concat(F.lit("process_stage:"), "stage"))
-    to_law = natural_id(F.lit("legal_cross_reference"), F.concat(F.lit("legal_cross_reference:"), "law"))
-    by_law = rows.withColumn("law", F.explode("legal_references"))
-    parts = [
-        rows.select(me.alias("subject_id"), F.lit("APPLIES_TO_STAGE").alias("relation_type"), to_stage.alias("object_id")),
-        rows.select(me.alias("subject_id"), F.lit("GUIDES").alias("relation_type"), to_stage.alias("object_id")),
-        by_law.select(me.alias("subject_id"), F.lit("MENTIONS_LEGAL_SOURCE").alias("relation_type"), to_law.alias("object_id")),
-        by_law.select(me.alias("subject_id"), F.lit("NEEDS_VERIFICATION_FROM_LAW").alias("relation_type"), me.alias("object_id")),
-    ]
-    return entities.select(natural_id("entity_type", "canonical_key").alias("entity_id"), *entities.columns), reduce(DataFrame.unionByName, parts).distinct()
-
-
 def upsert_graph(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """New rows on top of old ones by natural id: running it twice changes nothing."""
     return upsert_last_wins(old, new, [key], ["source_id"])
@@ -140,27 +131,76 @@ def vocabulary_violations(df: DataFrame, column: str, allowed: Iterable[str]) ->
     return df.where(~F.col(column).isin(*allowed)).groupBy(F.col(column).alias("type")).agg(F.count("*").alias("rows"))
 
 
-#: The graph of the engine's own tables.
+def child(entity_type: str, dataset: str, key: str, name: str, relation: str, *metadata: str) -> tuple[EntitySpec, RelationSpec]:
+    """A contract's child rows: the entity and the contract's relation to it."""
+    return EntitySpec(entity_type, dataset, key, f"coalesce(cast({name} as string), cast({key} as string))", "project_code", metadata), RelationSpec(relation, dataset, ("contract", "contract_id"), (entity_type, key), "project_code", key)
+
+
+#: The graph of the engine's own tables: children of contracts with the relation that each kind has.
+CHILDREN = (
+    child("payment_item", "payment_items", "concat(contract_id, '-', item_no)", "concat(item_no, '. item')", "CONTAINS", "amount_net", "amount_gross"),
+    child("scope_item", "scope_items", "item_code", "item_name", "DEFINES", "system_type"),
+    child("sewer_segment", "segments", "segment_id", "segment_type", "DEFINES", "system_type"),
+    child("boundary", "boundaries", "boundary_id", "system_type", "DEFINES", "upstream_boundary", "downstream_boundary"),
+    child("responsibility", "responsibilities", "responsibility_key", "responsibility_area", "DEFINES", "responsible_role"),
+    child("technical_requirement", "technical_requirements", "requirement_code", "requirement_text", "REQUIRES", "numeric_limit", "unit"),
+    child("quality_requirement", "quality_requirements", "requirement_key", "requirement_text", "REQUIRES", "requirement_category"),
+    child("inspection", "inspections", "inspection_key", "inspection_text", "REQUIRES"),
+    child("unit_price", "unit_prices", "unit_price_code", "item_name", "CONTAINS", "unit_price"),
+    child("security", "securities", "security_id", "security_type", "CONTAINS", "amount_percent"),
+    child("insurance", "insurances", "insurance_id", "insurance_type", "CONTAINS"),
+)
 CONTRACT_ENTITIES = (
     EntitySpec("project", "projects", "project_code", "project_code", "project_code", ("project_type",)),
     EntitySpec("contract", "contracts", "contract_id", "contract_code", "project_code", ("contract_type",)),
+    EntitySpec("property", "properties", "concat(project_id, '-', property_code)", "property_code", "project_code", ("apartment_count", "building_count")),
     EntitySpec("party", "parties", "party_id", "party_code", "cast(null as string)", ("party_type",)),
-    EntitySpec("payment_item", "payment_items", "concat(contract_id, '-', item_no)", "concat(item_no, '. item')", "project_code", ("amount_net", "amount_gross")),
-    EntitySpec("sewer_segment", "segments", "segment_id", "segment_type", "project_code", ("system_type",)),
-    EntitySpec("scope_item", "scope_items", "item_code", "item_name", "project_code", ("system_type",)),
     EntitySpec("document", "documents", "file_id", "filename", "project_code", ("document_type",)),
+    EntitySpec("section", "sections", "section_id", "section_key", "project_code", ("page_no",)),
+    EntitySpec("clause", "clauses", "section_id", "clause_key", "project_code", ("clause_type",)),
+    *[e for e, _ in CHILDREN],
+    EntitySpec("event", "operations", "event_id", "event_type", "project_code", ("event_date",), "kind = 'event'"),
+    EntitySpec("handover", "operations", "event_id", "'handover'", "project_code", ("event_date",), "kind = 'handover'"),
+    EntitySpec("=case when kind = 'warranty' then 'warranty_issue' else 'defect' end", "operations", "event_id", "concat(kind, ' ', event_type)", "project_code", ("event_date",), "kind in ('warranty', 'quality_issue')"),
+    EntitySpec("guidance_document", "guidance_documents", "document_id", "title", "cast(null as string)"),
+    EntitySpec("guidance_section", "guidance_sections", "section_id", "section_number", "cast(null as string)"),
+    EntitySpec("=entity_type", "guidance_items", "item_id", "summary", "cast(null as string)", ("item_type", "topic_code", "process_stage", "actor", "binding_status")),
+    EntitySpec("process_stage", "guidance_items", "stage", "stage", "cast(null as string)"),
+    EntitySpec("legal_cross_reference", "guidance_laws", "law", "law", "cast(null as string)"),
 )
 CONTRACT_RELATIONS = (
     RelationSpec("HAS_CONTRACT", "contracts", ("project", "project_code"), ("contract", "contract_id"), "project_code", "contract_id"),
+    RelationSpec("CONTAINS", "properties", ("project", "project_code"), ("property", "concat(project_id, '-', property_code)"), "project_code", "project_id"),
     RelationSpec("HAS_PARTY", "contract_parties", ("contract", "contract_id"), ("party", "party_id"), "project_code", "contract_id"),
-    RelationSpec("CONTAINS", "payment_items", ("contract", "contract_id"), ("payment_item", "concat(contract_id, '-', item_no)"), "project_code", "concat(contract_id, '-', item_no)"),
-    RelationSpec("DEFINES", "segments", ("contract", "contract_id"), ("sewer_segment", "segment_id"), "project_code", "segment_id"),
-    RelationSpec("DEFINES", "scope_items", ("contract", "contract_id"), ("scope_item", "item_code"), "project_code", "item_code"),
-    RelationSpec("AFFECTS", "last_scopes", ("scope_item", "item_code"), ("sewer_segment", "segment_id"), "project_code", "item_code"),
     RelationSpec("HAS_DOCUMENT", "documents", ("project", "project_code"), ("document", "file_id"), "project_code", "file_id"),
+    RelationSpec("HAS_DOCUMENT", "documents", ("contract", "contract_id"), ("document", "file_id"), "project_code", "file_id"),
+    RelationSpec("HAS_SECTION", "sections", ("document", "file_id"), ("section", "section_id"), "project_code", "section_id"),
+    RelationSpec("HAS_CLAUSE", "clauses", ("section", "section_id"), ("clause", "section_id"), "project_code", "section_id"),
+    *[r for _, r in CHILDREN],
+    RelationSpec("SUPPORTED_BY", "payment_items", ("payment_item", "concat(contract_id, '-', item_no)"), ("document", "file_id"), "project_code", "concat(contract_id, '-', item_no)"),
+    RelationSpec("SUPPORTED_BY", "boundaries", ("boundary", "boundary_id"), ("clause", "source_clause_id"), "project_code", "boundary_id"),
+    RelationSpec("AFFECTS", "last_scopes", ("scope_item", "item_code"), ("sewer_segment", "segment_id"), "project_code", "item_code"),
+    RelationSpec("CONTAINS", "operations", ("project", "project_code"), ("=case kind when 'event' then 'event' when 'handover' then 'handover' when 'warranty' then 'warranty_issue' else 'defect' end", "event_id"), "project_code", "event_id"),
+    RelationSpec("HAS_SECTION", "guidance_sections", ("guidance_document", "document_id"), ("guidance_section", "section_id"), "cast(null as string)", "section_id"),
+    RelationSpec("HAS_GUIDANCE_ITEM", "guidance_items", ("guidance_document", "document_id"), ("=entity_type", "item_id"), "cast(null as string)", "item_id", "0.9000"),
+    RelationSpec("HAS_GUIDANCE_ITEM", "guidance_items", ("guidance_section", "section_id"), ("=entity_type", "item_id"), "cast(null as string)", "item_id", "0.9000"),
+    RelationSpec("APPLIES_TO_STAGE", "guidance_items", ("=entity_type", "item_id"), ("process_stage", "process_stage"), "cast(null as string)", "item_id", "0.9000"),
+    RelationSpec("GUIDES", "guidance_items", ("=entity_type", "item_id"), ("process_stage", "stage"), "cast(null as string)", "item_id", "0.9000", "topic_code is not null"),
+    RelationSpec("MENTIONS_LEGAL_SOURCE", "guidance_laws", ("=entity_type", "item_id"), ("legal_cross_reference", "law"), "cast(null as string)", "item_id", "0.9000"),
+    RelationSpec("NEEDS_VERIFICATION_FROM_LAW", "guidance_laws", ("legal_cross_reference", "law"), ("legal_cross_reference", "law"), "cast(null as string)", "item_id", "0.9000"),
 )
 
 
+def guidance_tables(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Guidance items with their entity type and stage (general_guidance by default), and one row a legal source they mention.
+
+    items (item_id, document_id, section_id, item_type, topic_code, summary, process_stage, legal_references array<string>).
+    """
+    typed = F.when(F.col("item_type").isin("decision_point", "risk_warning", "legal_cross_reference"), F.col("item_type")).otherwise("guidance_item")
+    rows = items.withColumn("entity_type", typed).withColumn("stage", F.coalesce("process_stage", F.when(F.col("topic_code").isNotNull(), "general_guidance")))
+    return rows, rows.select("item_id", "entity_type", F.explode("legal_references").alias("law"))
+
+
 def last_scopes(scopes: DataFrame, segments: DataFrame) -> DataFrame:
     """For AFFECTS: the last scope item of each contract and system, by item code, with that system's segments."""
     last = last_per_key(scopes, ["contract_id", "system_type"], [F.desc("item_code")])
