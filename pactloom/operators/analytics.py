@@ -37,15 +37,17 @@ def project_graph(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def readiness_summary(projects: DataFrame, entities: DataFrame, relations: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Entities, relations, evidence and what has none, by project: separate aggregates, then joins."""
-    with_e = evidence.where("entity_id is not null").select("entity_id").distinct().withColumn("has", F.lit(True))
-    with_r = evidence.where("relation_id is not null").select("relation_id").distinct().withColumn("has", F.lit(True))
-    e = entities.join(with_e, "entity_id", "left").groupBy("project_code").agg(F.count("*").alias("entities"), F.count_if(F.col("has").isNull()).alias("entities_without_evidence"))
-    r = relations.join(with_r, "relation_id", "left").groupBy("project_code").agg(F.count("*").alias("relations"), F.count_if(F.col("has").isNull()).alias("relations_without_evidence"))
-    of_e = evidence.join(entities.select("entity_id", "project_code"), "entity_id").select("evidence_id", "project_code")
-    of_r = evidence.join(relations.select("relation_id", "project_code"), "relation_id").select("evidence_id", "project_code")
-    v = of_e.unionByName(of_r).distinct().groupBy("project_code").agg(F.count("*").alias("evidence"))
-    out = projects.select("project_code").join(e, "project_code", "left").join(r, "project_code", "left").join(v, "project_code", "left")
+    """Entities, relations, evidence and what has none, by project. Evidence is counted once by its target, and the
+    counts follow the targets to their projects."""
+    per = evidence.groupBy(F.coalesce("entity_id", "relation_id").alias("id")).agg(F.count("*").alias("n"))
+    targets = entities.select(F.col("entity_id").alias("id"), "project_code", F.lit(True).alias("is_entity")).unionByName(relations.select(F.col("relation_id").alias("id"), "project_code", F.lit(False).alias("is_entity")))
+    rows = targets.where("project_code is not null").join(per, "id", "left")
+    bare = F.col("n").isNull()
+    counts = rows.groupBy("project_code").agg(
+        F.count_if("is_entity").alias("entities"), F.count_if(F.col("is_entity") & bare).alias("entities_without_evidence"), F.count_if(~F.col("is_entity")).alias("relations"),
+        F.count_if(~F.col("is_entity") & bare).alias("relations_without_evidence"), F.coalesce(F.sum("n"), F.lit(0)).alias("evidence"),
+    )
+    out = projects.select("project_code").join(counts, "project_code", "left")
     return out.na.fill(0, ["entities", "entities_without_evidence", "relations", "relations_without_evidence", "evidence"])
 
 
@@ -86,6 +88,11 @@ def primary_contract(contracts: DataFrame) -> DataFrame:
     return contracts.withColumn("rn", rank).where("rn = 1").select("project_id", "contract_id", "contract_code")
 
 
+def technical_criteria(requirements: DataFrame) -> DataFrame:
+    """Technical requirements of each contract in the order of their codes."""
+    return requirements.select("contract_id", "requirement_code", "requirement_type", "requirement_text", "numeric_limit", "unit").orderBy("contract_id", "requirement_code")
+
+
 def payment_conditions(items: DataFrame) -> DataFrame:
     """Distinct conditions and how many items and contracts have them."""
     return items.groupBy("payment_condition").agg(F.count("*").alias("items"), F.countDistinct("contract_id").alias("contracts")).orderBy("payment_condition")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ISSUE = ["contract_id", "severity", "code", "path"]
@@ -16,35 +16,41 @@ def latest(runs: DataFrame, keys: list[str]) -> DataFrame:
     return runs.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def processing_quality(files: DataFrame, runs: DataFrame, pages: DataFrame, sections: DataFrame) -> DataFrame:
-    """counters, status and reasons of each project.
+#: Extractors whose completed runs are counted, and the note of converted drawings.
+EXTRACTORS = {"office_extracted_count": "office_ooxml_text", "ocr_extracted_count": "doclayout_ai_visual_ocr", "remaining_text_extracted_count": "remaining_file_text"}
+DRAWING_NOTE = "derived pdf converted from dwg"
 
-    files (file_id, project_code), runs, pages (file_id), sections (project_code, file_id, document). First rule that
-    fits: no files, no pages, no sections, files without text or run; then any warning; else ok.
+
+def processing_quality(files: DataFrame, runs: DataFrame, pages: DataFrame, sections: DataFrame, extractors: dict[str, str] = EXTRACTORS) -> DataFrame:
+    """twelve counters, status and reasons of each project.
+
+    files (file_id, project_code, notes), runs, pages (file_id), sections (project_code, file_id, one a clause). First rule
+    that fits: no files, no pages, no sections, files without text or run; then any warning; else ok.
     """
     per_file = pages.groupBy("file_id").agg(F.count("*").alias("pages"))
     last = latest(runs, ["file_id"]).select("file_id", "run_status")
-    extractors = latest(runs, ["file_id", "extractor_name"]).groupBy("file_id").agg(F.count_if(F.col("run_status") == "failed").alias("failed"))
-    by_file = files.join(per_file, "file_id", "left").join(last, "file_id", "left").join(extractors, "file_id", "left")
+    done = lambda name: F.max((F.col("extractor_name") == name) & (F.col("run_status") == "completed"))
+    each = latest(runs, ["file_id", "extractor_name"]).groupBy("file_id").agg(F.count_if(F.col("run_status") == "failed").alias("failed"), *[done(e).alias(c) for c, e in extractors.items()])
+    by_file = files.join(per_file, "file_id", "left").join(last, "file_id", "left").join(each, "file_id", "left")
     counts = by_file.groupBy("project_code").agg(
-        F.count("*").alias("source_files_total"),
-        F.count_if(F.col("pages") > 0).alias("source_files_with_raw_pages"),
-        F.coalesce(F.sum("pages"), F.lit(0)).alias("raw_pages_count"),
-        F.count_if(F.col("pages").isNull() & F.col("run_status").isNull()).alias("source_files_without_text_or_status"),
-        F.coalesce(F.sum("failed"), F.lit(0)).alias("latest_failed_extraction_runs"),
-    )
-    per_project = sections.groupBy("project_code").agg(F.count("*").alias("doc_sections_count"))
-    out = counts.join(per_project, "project_code", "left").withColumn("doc_sections_count", F.coalesce("doc_sections_count", F.lit(0)))
+        F.count("*").alias("source_files_total"), F.count_if(F.col("pages") > 0).alias("source_files_with_raw_pages"), F.coalesce(F.sum("pages"), F.lit(0)).alias("raw_pages_count"),
+        *[F.count_if(F.coalesce(c, F.lit(False))).alias(c) for c in extractors], F.count_if(F.startswith(F.lower("notes"), F.lit(DRAWING_NOTE))).alias("dwg_derived_count"),
+        F.count_if(F.col("pages").isNull() & F.col("run_status").isNull()).alias("source_files_without_text_or_status"), F.coalesce(F.sum("failed"), F.lit(0)).alias("latest_failed_extraction_runs"),
+    )
+    # distinct documents are counted from one row a document, so that no count needs an expansion
+    of_document = sections.groupBy("project_code", "file_id").agg(F.count("*").alias("n"))
+    per_project = of_document.groupBy("project_code").agg(F.count("*").alias("markdown_documents_count"), F.sum("n").alias("doc_sections_count"), F.sum("n").alias("doc_clauses_count"))
+    out = counts.join(per_project, "project_code", "left").na.fill(0, ["markdown_documents_count", "doc_sections_count", "doc_clauses_count"])
+    number = lambda c: F.col(c).cast("string")
     fail = (
-        F.when(F.col("source_files_total") == 0, "no source files")
-        .when(F.col("raw_pages_count") == 0, "no raw page/text records")
-        .when(F.col("doc_sections_count") == 0, "no doc.sections records")
-        .when(F.col("source_files_without_text_or_status") > 0, F.concat(F.col("source_files_without_text_or_status").cast("string"), F.lit(" source files without text or latest status")))
-    )
+        F.when(F.col("source_files_total") == 0, "no source files").when(F.col("raw_pages_count") == 0, "no raw page/text records").when(F.col("doc_sections_count") == 0, "no doc.sections records")
+        .when(F.col("source_files_without_text_or_status") > 0, F.concat(number("source_files_without_text_or_status"), F.lit(" source files without text or latest status")))
+    )
     warnings = F.filter(
         F.array(
-            F.when(F.col("latest_failed_extraction_runs") > 0, F.concat(F.col("latest_failed_extraction_runs").cast("string"), F.lit(" latest failed extraction runs"))),
-            F.when(F.col("source_files_with_raw_pages") < F.col("source_files_total"), F.lit("some source files have no raw pages")),
+            F.when(F.col("latest_failed_extraction_runs") > 0, F.concat(number("latest_failed_extraction_runs"), F.lit(" latest failed extraction runs"))),
+            F.when(F.col("markdown_documents_count") == 0, F.lit("no markdown-backed document sections")),
+            F.when(F.col("source_files_with_raw_pages") < F.col("source_files_total"), F.lit("some source files rely on status/metadata instead of raw text")),
         ),
         lambda x: x.isNotNull(),
     )
@@ -143,6 +149,39 @@ def foreign_key_violations(df: DataFrame, name: str, key: str, parent: DataFrame
     return df.where(F.col(key).isNotNull()).join(p, key, "left_anti").select(F.lit(name).alias("constraint_name"), F.col(row_key).cast("string").alias("row_key"))
 
 
+def issue(df: DataFrame, wrong: Column, severity: str, code: str, path: str) -> DataFrame:
+    """Issues of the rows for which a rule is broken; null breaks none."""
+    return df.where(wrong).select("contract_id", F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.expr(path).cast("string").alias("path"))
+
+
+def vat_rate_issues(rows: DataFrame, path: str) -> DataFrame:
+    """net * rate against VAT; up to 0.05 is a warning, more an error. rows (contract_id, amount_net, vat_rate in per cent, vat_amount)."""
+    gap = F.abs(F.bround((F.col("amount_net") * F.col("vat_rate") / 100).cast("decimal(20,6)"), 2) - F.bround("vat_amount", 2))
+    return rows.where(gap > 0).select("contract_id", F.when(gap <= 0.05, "warning").otherwise("error").alias("severity"), F.lit("vat_rate_mismatch").alias("code"), F.lit(path).alias("path"))
+
+
+def date_chain_issues(contracts: DataFrame, chain: tuple[str, ...]) -> DataFrame:
+    """F8: dates of a contract that should follow each other, each against the next one."""
+    parts = [issue(contracts, F.col(a) > F.col(b), "warning", "date_order", f"'{a}.{b}'") for a, b in zip(chain, chain[1:], strict=False)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def security_issues(securities: DataFrame, terms: DataFrame) -> DataFrame:
+    """F8: securities of another share than the terms ask for, or that end before they should.
+
+    securities (contract_id, security_type, amount_percent, valid_to), terms (contract_id, security_type, amount_percent, valid_to).
+    """
+    t = terms.select("contract_id", "security_type", F.col("amount_percent").alias("asked"), F.col("valid_to").alias("until"))
+    rows = securities.join(t, ["contract_id", "security_type"])
+    return issue(rows, F.col("amount_percent") != F.col("asked"), "warning", "security_percent_mismatch", "concat('securities.', security_type)").unionByName(issue(rows, F.col("valid_to") < F.col("until"), "warning", "security_ends_early", "concat('securities.', security_type)"))
+
+
+def cross_document_issues(offers: DataFrame, prices: DataFrame) -> DataFrame:
+    """F8: a contract's price against the offered one. offers (contract_id, offered), prices (contract_id, price_type, amount_net)."""
+    price = prices.where("price_type = 'fixed_contract_price'").groupBy("contract_id").agg(F.max("amount_net").alias("price"))
+    return issue(offers.join(price, "contract_id"), F.abs(F.col("offered") - F.col("price")) > 0.05, "warning", "offer_price_differs", "'prices'")
+
+
 def date_order_issues(contracts: DataFrame, items: DataFrame) -> DataFrame:
     """F8: payments due before the contract's date."""
     early = items.join(contracts.select("contract_id", "contract_date"), "contract_id").where("due_date < contract_date")
