@@ -58,14 +58,15 @@ def content_hash(col: Column) -> Column:
 
 
 def redact(df: DataFrame, text_col: str, names: Iterable[tuple[str, str, str]] = ()) -> DataFrame:
-    """Text with personal data replaced, and findings array<struct<pii_type, placeholder>>, each once.
+    """Text with personal data replaced, and findings array<struct<pii_type, placeholder, value_hash>>, each once; the
+    hash is that of the first value found, never the value.
 
     names: ordered (pattern, replacement, type) of a caller's dictionary, before the general rules; case doesn't count.
     """
     rules = [(kind, f"(?iu){p}", r) for p, r, kind in names] + [(kind, p, r) for kind, p, r in REDACTION_RULES]
     text, found = F.col(text_col), []
     for kind, pattern, placeholder in rules:
-        found.append(F.when(F.regexp_like(text, F.lit(pattern)), F.struct(F.lit(kind).alias("pii_type"), F.lit(placeholder).alias("placeholder"))))
+        found.append(F.when(F.regexp_like(text, F.lit(pattern)), F.struct(F.lit(kind).alias("pii_type"), F.lit(placeholder).alias("placeholder"), F.sha2(F.regexp_extract(text, f"({pattern})" if not pattern.startswith("(?") else pattern, 0), 256).alias("value_hash"))))
         text = F.regexp_replace(text, pattern, placeholder.replace("$", r"\$"))
     return df.withColumn("findings", F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))).withColumn(text_col, text)
 

@@ -41,7 +41,8 @@ def classify_documents(files: DataFrame, name: str = "filename") -> DataFrame:
             cond = cond | every
         hits.append((cond, types(kinds)))
     found = F.coalesce(*[F.when(c, v) for c, v in hits])
-    return files.withColumn("document_types", F.coalesce(found, types(R.DEFAULT_FILE_TYPE))).withColumn("review_note", F.when(found.isNull(), R.REVIEW_NOTE))
+    note = F.when(found.isNull(), R.REVIEW_NOTE).when(found == types(R.COMBINED_TYPES), R.COMBINED_NOTE)
+    return files.withColumn("document_types", F.coalesce(found, types(R.DEFAULT_FILE_TYPE))).withColumn("review_note", note)
 
 
 def classify_operations(files: DataFrame, path: str = "path") -> DataFrame:
@@ -128,7 +129,7 @@ def contract_facts(texts: DataFrame) -> DataFrame:
     net = price("main", r"(?:urakkahinta|kokonaishinta)[^.\n]{0,40}alv\s*0")
     gross = price("main", r"(?:urakkahinta|kokonaishinta)")
     offered = price("offer", r"(?:tarjoushinta|kokonaishinta|urakkahinta)")
-    date = F.try_to_date(F.regexp_extract("main", r"(\d{1,2}\.\d{1,2}\.20\d{2})", 1), "d.M.yyyy")
+    date = F.try_to_date(F.regexp_extract("main", r"(?<!\d)(\d{1,2}\.\d{1,2}\.\d{4})(?!\d)", 1), "d.M.yyyy")
     return wide.select("project_code", date.alias("contract_date"), net.alias("price_net"), F.coalesce(gross, offered).alias("price_gross"), F.when(gross.isNotNull(), "main_contract").when(offered.isNotNull(), "contractor_offer").alias("price_source"), F.coalesce(F.regexp_like("main", F.lit("(?iu)vakuu[sd]")), F.lit(False)).alias("has_security"), F.coalesce(F.regexp_like("main", F.lit("(?iu)viivästyssakko|sakko")), F.lit(False)).alias("has_penalty"))
 
 
@@ -144,6 +145,39 @@ def derive_scope(texts: DataFrame, systems: dict[str, tuple[str, ...]], exclusio
     return found.withColumn("rn", rank).where("rn = 1").select("project_code", "system_type", (~F.col("excluded")).alias("included_in_contract"))
 
 
+def sewer_scope(texts: DataFrame, note: str = "note") -> tuple[DataFrame, DataFrame]:
+    """(scope items, segments) of contract texts (project_code, text, note) by the rules in functions.rules.
+
+    A system's segments come in flow order. Storm water is collected in the yard, unless only a roof is named, and on the
+    roof as well if one is; drains that a project note excludes aren't included. Of equal segments an included one stays.
+    """
+    text, low_note = F.coalesce("text", F.lit("")), F.lower(F.coalesce(note, F.lit("")))
+    low = F.lower(text)
+    items = F.array(*[F.when(F.regexp_like(text, F.lit(p)), F.struct(F.lit(code).alias("item_code"), F.lit(system).alias("system_type"), F.lit(name).alias("item_name"), F.lit(True).alias("included_in_contract"))) for p, code, system, name in R.SCOPE_RULES],
+                    *[F.when(_any(low_note, words), F.struct(F.lit(code).alias("item_code"), F.lit(system).alias("system_type"), F.lit(name).alias("item_name"), F.lit(False).alias("included_in_contract"))) for words, code, system, name in R.SCOPE_EXCLUSIONS])
+    scope = texts.select("project_code", F.explode(F.filter(items, lambda x: x.isNotNull())).alias("i")).select("project_code", "i.*")
+    roof, yard = _any(low, R.ROOF_WORDS), _any(low, R.YARD_WORDS)
+    when = {"JV": F.regexp_like(text, F.lit(R.WASTE_WATER)), "SV yard": F.regexp_like(text, F.lit(R.STORM_WATER)) & (yard | ~roof), "SV roof": F.regexp_like(text, F.lit(R.STORM_WATER)) & roof}
+    made = [F.when(when[group], F.struct(F.lit(group[:2]).alias("system_type"), F.lit(kind).alias("segment_type"), F.lit(order).alias("flow_order"), F.lit(name).alias("segment_name"), (~F.contains(low_note, F.lit(word)) if word else F.lit(True)).alias("included_in_contract"), F.lit(impact).cast("string").alias("pricing_impact"))) for group, kind, order, name, word, impact in R.SEGMENTS]
+    rows = texts.select("project_code", F.posexplode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("pos", "g")).select("project_code", "pos", "g.*")
+    rank = F.row_number().over(Window.partitionBy("project_code", "system_type", "segment_type").orderBy(F.desc("included_in_contract"), "pos"))
+    return scope, rows.withColumn("rn", rank).where("rn = 1").drop("rn", "pos")
+
+
+def contract_register(documents: DataFrame, common: DataFrame) -> DataFrame:
+    """Each project's register: its own documents over the common law ones (the last row of a type, by file name),
+    attachment number, precedence rank (99 without one), and the order by rank and type.
+
+    documents (project_code, document_type, filename, page_count), common (document_type, filename, page_count).
+    """
+    table = lambda pairs: F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    every = documents.select("project_code").distinct().crossJoin(F.broadcast(common.where(F.col("document_type").isin(*R.COMMON_TYPES)).groupBy("document_type").agg(F.max(F.struct("filename", "page_count")).alias("c")).select("document_type", "c.*")))  # the common law types: a fixed handful
+    rows = documents.select("project_code", "document_type", "filename", "page_count", F.lit(1).alias("own")).unionByName(every.select("project_code", "document_type", "filename", "page_count", F.lit(0).alias("own")))
+    last = rows.groupBy("project_code", "document_type").agg(F.max(F.struct("own", "filename", "page_count")).alias("d"))
+    ranked = last.select("project_code", "document_type", "d.filename", "d.page_count", table(R.ATTACHMENTS)[F.col("document_type")].alias("attachment_no"), F.coalesce(table(R.PRECEDENCE)[F.col("document_type")], F.lit(99)).alias("precedence_rank"))
+    return ranked.withColumn("document_order", F.row_number().over(Window.partitionBy("project_code").orderBy("precedence_rank", "document_type")))
+
+
 def document_register(project_documents: DataFrame, common: DataFrame, ranks: DataFrame) -> DataFrame:
     """A project's documents with the common law ones, the last row of a type wins, ranks from a table (99 else)."""
     projects = project_documents.select("project_code").distinct()

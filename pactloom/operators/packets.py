@@ -7,12 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactloom.functions.text import LEAK_PATTERNS, anonymize_labels, leak_scan, snippet
+from pactloom.functions.rules import ANSWER_TEMPLATES
+from pactloom.functions.text import LEAK_PATTERNS, anonymize_labels, cut, leak_scan, snippet
 
 #: Statuses from weakest to strongest: fixed values.
 STATUSES = ("missing", "topic_text_fallback", "entity_source_fallback", "source_file_page", "direct_page", "direct_section", "direct_clause")
 DIRECT = ("direct_clause", "direct_section", "direct_page", "source_file_page", "entity_source_fallback")
-DOMAIN_TABLES = ("segments", "scope_items", "boundaries", "technical_requirements", "responsibility_matrix")
+DOMAIN_TABLES = ("segments", "scope_items", "boundaries", "technical_requirements", "responsibility_matrix", "responsibilities")
 CORE_TOPICS, USEFUL_TOPICS = ("payment", "wastewater_scope", "boundaries"), ("video_inspection", "handover", "warranty")
 
 
@@ -20,28 +21,46 @@ def strength(col: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in STATUSES]), col)
 
 
-def text_context(evidence: DataFrame, detected: DataFrame, pages: DataFrame, sections: DataFrame, k: int = 20) -> DataFrame:
-    """Texts of each question's evidence: its files' pages (by keyword, if there are any), and where some evidence has
-    no text, sections of the hit projects by keyword. Each k at most.
+#: How evidence of a source table leads to a text: status, kind of text, and the text's id from the evidence's source id.
+DIRECT_TEXTS = (
+    ("clauses", "direct_clause", "clause", "source_id"), ("sections", "direct_section", "section", "source_id"),
+    ("guidance_items", "direct_page", "raw_page", "regexp_extract(source_id, '^(.*)-[^-]*$', 1)"), ("guidance_laws", "direct_page", "raw_page", "regexp_extract(source_id, '^(.*)-[^-]*$', 1)"),
+)
+CONTEXT = ["question_id", "evidence_id", "text_id", "status", "source_type", "document_type", "text"]
 
-    evidence (question_id, evidence_id, source_table, source_id, project_code); pages (file_id, page_no, raw_text);
-    sections (project_code, section_key, body_text).
+
+def top(rows: DataFrame, k: int, *order: str) -> DataFrame:
+    """Each question's first k rows."""
+    return rows.withColumn("rn", F.row_number().over(Window.partitionBy("question_id").orderBy(*order))).where(F.col("rn") <= k).drop("rn")
+
+
+def text_context(evidence: DataFrame, detected: DataFrame, texts: DataFrame, pages: DataFrame, sections: DataFrame, k: int = 20) -> DataFrame:
+    """Texts of each question's evidence, k of each kind at most: clauses, sections and pages that evidence names by
+    id; pages of its files (by keyword, if there are any); and where some evidence has no text, sections of the hit
+    projects with a keyword in body, title or type.
+
+    evidence (question_id, evidence_id, source_table, source_id, project_code); texts (source_type, text_id, document_type,
+    text) of clauses, sections and pages; pages (file_id, page_no, document_type, raw_text); sections (project_code,
+    section_key, file_id, title, document_type, body_text).
     """
     kw = detected.select("question_id", "keywords")
-    fits = lambda c: (F.size("keywords") == 0) | F.exists("keywords", lambda w: F.contains(F.lower(F.col(c)), w))
+    fits = lambda *cols: (F.size("keywords") == 0) | F.exists("keywords", lambda w: reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(c, F.lit(""))), w) for c in cols]))
+    named = [evidence.where(F.col("source_table") == table).select("question_id", "evidence_id", F.lit(status).alias("status"), F.lit(kind).alias("source_type"), F.expr(key).alias("text_id")) for table, status, kind, key in DIRECT_TEXTS]
+    found = reduce(DataFrame.unionByName, named).join(texts, ["source_type", "text_id"])
+    rank = F.row_number().over(Window.partitionBy("question_id", "source_type").orderBy("text_id", "evidence_id"))
+    direct = found.withColumn("rn", rank).where(F.col("rn") <= k).select(*CONTEXT)
     of = evidence.where("source_table = 'documents'").select("question_id", "evidence_id", F.col("source_id").alias("file_id"))
-    got = of.join(pages, "file_id").join(kw, "question_id").where(fits("raw_text"))
-    rank = F.row_number().over(Window.partitionBy("question_id").orderBy("file_id", "page_no", "evidence_id"))
-    direct = got.withColumn("rn", rank).where(F.col("rn") <= k).select("question_id", "evidence_id", F.concat_ws("#", "file_id", "page_no").alias("text_id"), F.lit("source_file_page").alias("status"), F.col("raw_text").alias("text"))
-    missing = evidence.join(direct.select("question_id", "evidence_id").distinct(), ["question_id", "evidence_id"], "left_anti")
+    got = top(of.join(pages, "file_id").join(kw, "question_id").where(fits("raw_text")), k, "file_id", "page_no", "evidence_id")
+    by_file = got.select("question_id", "evidence_id", F.concat_ws("#", "file_id", "page_no").alias("text_id"), F.lit("source_file_page").alias("status"), F.lit("raw_page").alias("source_type"), "document_type", F.col("raw_text").alias("text"))
+    known = direct.unionByName(by_file)
+    missing = evidence.join(known.select("question_id", "evidence_id").distinct(), ["question_id", "evidence_id"], "left_anti")
     projects = missing.where("project_code is not null").select("question_id", "project_code").distinct()
     head = sections.withColumn("rn", F.row_number().over(Window.partitionBy("project_code").orderBy("section_key", "file_id")))
     plain = projects.join(kw.where(F.size("keywords") == 0), "question_id").join(head.where(F.col("rn") <= k), "project_code")
-    words = projects.join(kw.where(F.size("keywords") > 0), "question_id").join(head, "project_code").where(fits("body_text"))
-    both = plain.unionByName(words)
-    rank = F.row_number().over(Window.partitionBy("question_id").orderBy("project_code", "section_key", "file_id"))
-    fallback = both.withColumn("rn", rank).where(F.col("rn") <= k).select("question_id", F.lit(None).cast("string").alias("evidence_id"), F.concat_ws("#", "project_code", "section_key", "file_id").alias("text_id"), F.lit("topic_text_fallback").alias("status"), F.col("body_text").alias("text"))
-    return direct.unionByName(fallback)
+    words = projects.join(kw.where(F.size("keywords") > 0), "question_id").join(head, "project_code").where(fits("body_text", "title", "document_type"))
+    both = top(plain.unionByName(words).drop("rn"), k, "project_code", "section_key", "file_id")
+    fallback = both.select("question_id", F.lit(None).cast("string").alias("evidence_id"), F.concat_ws("#", "project_code", "section_key", "file_id").alias("text_id"), F.lit("topic_text_fallback").alias("status"), F.lit("section").alias("source_type"), "document_type", F.col("body_text").alias("text"))
+    return known.unionByName(fallback)
 
 
 def evidence_status(evidence: DataFrame, context: DataFrame) -> DataFrame:
@@ -73,7 +92,7 @@ def build_packets(detected: DataFrame, hits: DataFrame, found: DataFrame, status
     e = hits.join(labelled, ["question_id", "entity_id"], "left").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "entity_type", snippet(F.col("display_name")).alias("name"), "reference_label"))).alias("entities"))
     r = found.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "relation_type", "relation_id"))).alias("relations"))
     v = statuses.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("evidence_id", "status"))).alias("evidence"))
-    c = context.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("text_id", "status", snippet(F.col("text")).alias("snippet")))).alias("texts"))
+    c = context.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("text_id", "status", "source_type", F.coalesce("document_type", F.lit("unknown")).alias("document_type"), snippet(F.col("text")).alias("snippet")))).alias("texts"))
     out = detected.select("question_id", "topics", "keywords", "case_fields")
     for part in (e, r, v, c, cov):
         out = out.join(part, "question_id", "left")
@@ -81,10 +100,12 @@ def build_packets(detected: DataFrame, hits: DataFrame, found: DataFrame, status
 
 
 def select_sources(packets: DataFrame, k: int = 8) -> DataFrame:
-    """K1: a packet's k texts with a snippet, strongest status first."""
-    rows = packets.select("question_id", F.explode("texts").alias("t")).where("t.snippet <> ''")
-    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc(strength(F.col("t.status"))), "t.text_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("question_id", "rank", "t.text_id", "t.status", "t.snippet", (F.col("t.status") == "topic_text_fallback").alias("weak"))
+    """K1: a packet's k texts with a snippet: strongest status first, then kind and place. Guidance is expert_guidance, all
+    else retrieval_evidence; fallback texts are weak."""
+    rows = packets.select("question_id", F.explode("texts").alias("t")).select("question_id", "t.*").where("snippet <> ''")
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc(strength(F.col("status"))), "source_type", "text_id"))
+    source_class = F.when(F.contains(F.col("document_type"), F.lit("guidance")), "expert_guidance").otherwise("retrieval_evidence")
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("question_id", "rank", "text_id", "source_type", "document_type", source_class.alias("source_class"), "status", "snippet", (F.col("status") == "topic_text_fallback").alias("weak"))
 
 
 def answer_status(packets: DataFrame, sources: DataFrame) -> DataFrame:
@@ -98,12 +119,43 @@ def answer_status(packets: DataFrame, sources: DataFrame) -> DataFrame:
     return out.select("question_id", "topics", F.coalesce("sources", F.lit(0)).alias("sources"), status.alias("answer_status"))
 
 
-def answer_parts(answers: DataFrame, templates: DataFrame, caps: int = 6) -> DataFrame:
-    """K3: key points of the answer's topics from a template table (topic, key_points array), each once, `caps` at most."""
-    rows = answers.select("question_id", F.posexplode("topics").alias("pos", "topic")).join(F.broadcast(templates), "topic")  # one row a topic
-    points = rows.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("pos", "key_points"))).alias("p"))
-    flat = F.slice(F.array_distinct(F.flatten(F.transform("p", lambda x: x["key_points"]))), 1, caps)
-    return answers.join(points.select("question_id", flat.alias("key_points")), "question_id", "left").withColumn("key_points", F.coalesce("key_points", F.array().cast("array<string>")))
+def templates(spark, rows=ANSWER_TEMPLATES) -> DataFrame:  # type: ignore[no-untyped-def]
+    """The template table of answers: topic, key_points, next_questions."""
+    return spark.createDataFrame([(t, list(p), list(q)) for t, p, q in rows], "topic string, key_points array<string>, next_questions array<string>")
+
+
+def answer_parts(packets: DataFrame, sources: DataFrame, template: DataFrame, points: int = 6, questions: int = 5) -> DataFrame:
+    """K2, K3: one answer a packet: status, short answer, key points, notes on its sources, uncertainties, next questions.
+
+    Key points and next questions come from the topics' templates, each once, in the order of topics; without any, a
+    general one stands in. Answers without sufficient evidence have no key points. Guidance is marked as such.
+    """
+    status = answer_status(packets, sources)
+    rows = status.select("question_id", F.posexplode("topics").alias("pos", "topic")).join(F.broadcast(template), "topic")  # one row a topic
+    flat = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c])))
+    told = rows.groupBy("question_id").agg(flat("key_points").alias("key_points"), flat("next_questions").alias("next_questions"))
+    note = F.concat(F.when(F.col("source_class") == "expert_guidance", "Guidance").when(F.col("weak"), "Weaker fallback source").otherwise("Source"), F.lit(" ("), "document_type", F.lit(" / "), "status", F.lit("): "), F.when(F.col("source_class") == "expert_guidance", cut(F.col("snippet"), 240)).otherwise(F.col("snippet")))
+    notes = sources.groupBy("question_id").agg(F.array_sort(F.collect_list(F.when(F.col("rank") <= points, F.struct("rank", note.alias("note"))))).alias("n"), F.bool_or("weak").alias("some_weak"), F.bool_or(F.col("source_class") == "expert_guidance").alias("guided"))
+    p = packets.select("question_id", "retrieval_status", "coverage_status", F.coalesce("missing_count", F.lit(0)).alias("missing_count"), F.coalesce("case_fields", F.array().cast("array<string>")).alias("case_fields"))
+    out = status.join(p, "question_id").join(told, "question_id", "left").join(notes, "question_id", "left")
+    none = F.array().cast("array<string>")
+    guided, weak = F.coalesce("guided", F.lit(False)), F.coalesce("some_weak", F.lit(False))
+    listed = F.coalesce("key_points", F.when(F.col("sources") > 0, F.array(F.lit("The chosen sources give text on the topic, but there is no template for it."))).otherwise(none))
+    listed = F.when(guided, F.array_union(F.array(F.lit("By expert guidance this is a step or check, not a binding legal claim.")), listed)).otherwise(listed)
+    doubts = F.array(
+        F.when(F.col("retrieval_status") != "ok", F.lit("Retrieval is not complete, so the answer is supported in part only.")), F.when(F.col("coverage_status") != "ok", F.lit("Not every claim can be confirmed from texts.")),
+        F.when(F.col("missing_count") > 0, F.lit("Some evidence has no text of its own.")), F.when(weak, F.lit("Some sources are fallbacks and support no strong claims.")), F.when(guided, F.lit("This rests on expert guidance; binding law has to be checked in its own text.")),
+        F.when(F.col("sources") == 0, F.lit("There is no usable source text.")), F.when(F.size("case_fields") > 0, F.lit("A closer answer needs details of the case.")),
+    )
+    ask = F.when(F.size("case_fields") > 0, F.array(F.concat(F.lit("Can you add these details: "), F.array_join("case_fields", ", "), F.lit("?")))).otherwise(none)
+    asked = F.concat(ask, F.coalesce("next_questions", none))
+    asked = F.when(F.size(asked) == 0, F.array(F.lit("Which document or part of the work should be looked at next?"))).otherwise(asked)
+    short = F.when(F.col("answer_status") == "insufficient_evidence", F.lit("No source text supports a safe answer.")).otherwise(F.concat(F.when(F.col("answer_status") == "partial", "Partly supported answer on ").otherwise("Answer on "), F.array_join("topics", ", "), F.lit(" from "), F.col("sources").cast("string"), F.lit(" source texts.")))
+    kept = F.when(F.col("answer_status") == "insufficient_evidence", none).otherwise(F.slice(listed, 1, points))
+    return out.select(
+        "question_id", "topics", "sources", "answer_status", short.alias("short_answer"), kept.alias("key_points"), F.coalesce(F.transform("n", lambda x: x["note"]), none).alias("source_based_notes"),
+        F.filter(doubts, lambda x: x.isNotNull()).alias("uncertainties"), F.slice(F.array_distinct(asked), 1, questions).alias("recommended_next_questions"), F.col("case_fields").alias("missing_user_case_fields"), F.lit("deterministic_source_grounded").alias("generation_mode"),
+    )
 
 
 def retrieval_smoke(packets: DataFrame) -> DataFrame:

@@ -45,30 +45,38 @@ def _weighted_ratio(weight: str, a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), least / F.greatest(a, b).cast("decimal(10,0)")).otherwise(F.lit(0).cast("decimal(14,4)"))
 
 
-def match_reference(cases: DataFrame, references: DataFrame, max_candidates: int = 10_000) -> DataFrame:
+def match_reference(cases: DataFrame, references: DataFrame) -> DataFrame:
     """K6: each case's best reference by a weighted score of 4 decimals; ties: more apartments, then code.
 
-    cases (case_id, apartments, risers, base_drain, plot_line). References with equal traits are one candidate, the one of
-    smallest code. The list that each case is held against is checked to be short.
-    Without references the built-in baseline serves.
+    cases (case_id, apartments, risers, base_drain, plot_line). Among references that differ in apartments only, the score
+    falls on both sides of the case's number, so only the next ones below and above can be the best: both come from one
+    pass over cases and references sorted by apartments, for each combination of risers and lines that references have.
+    References with equal traits are one candidate, that of smallest code. Without references the built-in baseline serves.
     """
     spark = cases.sparkSession
     known = references.where("apartment_count > 0 and price_gross is not null")
     base = spark.createDataFrame(BASE_REFERENCE, "project_code string, apartment_count int, price_gross string, vertical_stack_count int, includes_base_drain boolean, includes_plot_line boolean").withColumn("price_gross", F.col("price_gross").cast("decimal(14,2)"))
     none = known.limit(1).withColumn("some", F.lit(True)).agg(F.count("some").alias("n"))
     refs = known.select(*base.columns).unionByName(base.crossJoin(F.broadcast(none)).where("n = 0").drop("n"))  # none is one row
-    best = Window.partitionBy("apartment_count", "vertical_stack_count", "includes_base_drain", "includes_plot_line").orderBy("project_code")
-    refs = refs.withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn")
-    n = refs.count()
-    if n > max_candidates:
-        raise ValueError(f"{n} different references; narrow the library to {max_candidates} first")
-    short = refs.agg(F.collect_list(F.struct(*refs.columns)).alias("refs"))  # max_candidates entries at most
-    pairs = cases.crossJoin(F.broadcast(short)).select(*cases.columns, F.explode("refs").alias("r")).select(*cases.columns, "r.*")
+    lines = ["vertical_stack_count", "includes_base_drain", "includes_plot_line"]
+    refs = refs.groupBy("apartment_count", *lines).agg(F.min_by("price_gross", "project_code").alias("price_gross"), F.min("project_code").alias("project_code"))
+    kinds = refs.select(*lines).distinct().agg(F.collect_list(F.struct(*lines)).alias("kinds"))  # riser counts in use, times four
+    traits = ["apartments", "risers", "base_drain", "plot_line"]
+    asked = cases.select(*traits).distinct().crossJoin(F.broadcast(kinds)).select(*traits, F.explode("kinds").alias("k")).select(*traits, "k.*")
+    ref = F.struct("project_code", "apartment_count", "price_gross")
+    both = asked.select(*lines, F.col("apartments").alias("at"), F.struct(*traits).alias("t"), F.lit(None).cast(refs.select(ref.alias("r")).schema["r"].dataType).alias("r"))
+    both = both.unionByName(refs.select(*lines, F.col("apartment_count").alias("at"), F.lit(None).cast(both.schema["t"].dataType).alias("t"), ref.alias("r")))
+    up = Window.partitionBy(*lines).orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy(*lines).orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    near = both.withColumn("below", F.last("r", True).over(up)).withColumn("above", F.last("r", True).over(down)).where("t is not null")
+    pairs = near.select("t.*", *lines, F.explode(F.array_distinct(F.filter(F.array("below", "above"), lambda x: x.isNotNull()))).alias("r")).select(*traits, *lines, "r.*")
     risers = F.when(F.col("risers").isNull() | F.col("vertical_stack_count").isNull(), F.lit("0.05").cast("decimal(14,4)")).otherwise(_weighted_ratio("0.10", F.col("risers"), F.col("vertical_stack_count")))
     same = lambda a, b: F.when(F.col(a) == F.col(b), F.lit("0.10")).otherwise(F.lit("0.00")).cast("decimal(14,4)")
     score = F.round(_weighted_ratio("0.70", F.col("apartments"), F.col("apartment_count")) + risers + same("base_drain", "includes_base_drain") + same("plot_line", "includes_plot_line"), 4).cast("decimal(10,4)")
-    rank = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), F.desc("apartment_count"), "project_code"))
-    return pairs.withColumn("score", score).withColumn("rn", rank).where("rn = 1").drop("rn")
+    rank = F.row_number().over(Window.partitionBy(*traits).orderBy(F.desc("score"), F.desc("apartment_count"), "project_code"))
+    best = pairs.withColumn("score", score).withColumn("rn", rank).where("rn = 1").drop("rn")
+    on = [F.col(f"c.{t}").eqNullSafe(F.col(f"b.{t}")) for t in traits]
+    return cases.alias("c").join(best.alias("b"), on).select("c.*", *[f"b.{c}" for c in best.columns if c not in traits])
 
 
 def curve(n: Column) -> Column:
@@ -98,6 +106,11 @@ def estimate_price(matched: DataFrame) -> DataFrame:
     )
 
 
+def saved_estimates(estimates: DataFrame) -> DataFrame:
+    """K8: estimates with their output as JSON, as they are stored."""
+    return estimates.withColumn("output_json", F.to_json(F.struct(*estimates.columns)))
+
+
 def save_estimates(estimates: DataFrame, path: str) -> None:
     """K8: appends estimates with their output as JSON."""
-    estimates.withColumn("output_json", F.to_json(F.struct(*estimates.columns))).write.mode("append").parquet(path)
+    saved_estimates(estimates).write.mode("append").parquet(path)

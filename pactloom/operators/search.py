@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -44,25 +46,47 @@ def terms(col: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(col, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def inverted_index(chunks: DataFrame) -> DataFrame:
+#: Endings that the stemmed configuration takes off words of six letters or more: a light stemmer; callers may pass their own.
+ENDINGS = "(issa|issä|ista|istä|illa|illä|ssa|ssä|sta|stä|lla|llä|lta|ltä|ing|ed|es|en|er|in|on|n|s|t|a|ä|e)$"
+
+
+def stemmed(words: Column) -> Column:
+    """Words without a common ending (the stemmed configuration)."""
+    return F.transform(words, lambda t: F.when(F.length(t) >= 6, F.regexp_replace(t, ENDINGS, "")).otherwise(t))
+
+
+def inverted_index(chunks: DataFrame, stem: Callable[[Column], Column] | None = None) -> DataFrame:
     """(chunk_id, term, tf, doc_len) of chunks (chunk_id, text)."""
-    words = chunks.select("chunk_id", terms(F.col("text")).alias("w")).select("chunk_id", F.size("w").alias("doc_len"), F.explode("w").alias("term"))
+    w = terms(F.col("text"))
+    words = chunks.select("chunk_id", (stem(w) if stem else w).alias("w")).select("chunk_id", F.size("w").alias("doc_len"), F.explode("w").alias("term"))
     return words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
-def fulltext_search(index: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Chunks that hold all of a query's terms, by BM25, the best k. queries (query_id, query).
+def fulltext_scores(index: DataFrame, queries: DataFrame, stem: Callable[[Column], Column] | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, chunk_id, s): BM25 of chunks that hold all of a query's terms, of whole queries of any length.
 
-    Only postings of terms that some query asks for go on after the join.
+    A query's rarest term gives its candidates, and only these are held against its other terms: a common word is never
+    joined with all queries that have it.
     """
-    asked = queries.select("query_id", F.array_distinct(terms(F.col("query"))).alias("q")).select("query_id", F.size("q").alias("n_terms"), F.explode("q").alias("term"))
+    w = terms(F.col("query"))
+    asked = queries.select("query_id", F.array_distinct(stem(w) if stem else w).alias("q")).select("query_id", F.size("q").alias("n_terms"), F.explode("q").alias("term"))
     stats = index.select("chunk_id", "doc_len").distinct().agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"))
     hits = index.join(asked.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    rows = hits.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))  # stats is one row
+    known = asked.join(df, "term")
+    rare = known.groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("r"), F.count("*").alias("known"), F.first("n_terms").alias("n_terms")).where("known = n_terms").select("query_id", F.col("r.term").alias("term"))
+    cand = hits.join(rare, "term").select("query_id", "chunk_id")
+    rows = cand.join(known, "query_id").join(hits, ["chunk_id", "term"]).crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len")))
-    scored = rows.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("s"), F.count("*").alias("found"), F.first("n_terms").alias("n_terms")).where("found = n_terms")
+    return rows.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("s"), F.count("*").alias("found"), F.first("n_terms").alias("n_terms")).where("found = n_terms").select("query_id", "chunk_id", "s")
+
+
+def fulltext_search(chunks: DataFrame, queries: DataFrame, k: int = 20, stem: Callable[[Column], Column] = stemmed) -> DataFrame:
+    """The best k chunks of each query (query_id, query): all terms in the simple or in the stemmed configuration; the
+    greater of the two ranks counts."""
+    both = fulltext_scores(inverted_index(chunks), queries).unionByName(fulltext_scores(inverted_index(chunks, stem), queries, stem))
+    scored = both.groupBy("query_id", "chunk_id").agg(F.max("s").alias("s"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("s", 9)), "chunk_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", F.round("s", 6).alias("score"))
 

@@ -8,27 +8,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactloom.functions.text import content_hash, strip
+from pactloom.sources.scratch import materialize
 
 #: Missing types and the types that stand in for them: fixed values.
 FALLBACKS = (("unit_prices", "contractor_offer"), ("quality_manual", "quality_plan"))
 
 
-def assemble_documents(files: DataFrame, pages: DataFrame) -> DataFrame:
-    """One markdown text a (project, document type), a headed block a page; files without pages don't count."""
+def numbered_in_groups(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """df with the place of each row among those of its keys, from 1. Rows are sorted by range over all tasks, numbered
+    within their partition and moved on by what stands in the partitions before: a large group is never in one task."""
+    ranged = materialize(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    own = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
+    return ranged.withColumn("__own", own).join(moved, [*keys, "__part"]).withColumn(name, (F.col("__own") + F.col("__before")).cast("int")).drop("__own", "__before", "__part")
+
+
+def document_blocks(files: DataFrame, pages: DataFrame) -> DataFrame:
+    """The markdown of each (project, document type) as rows, a headed block a page, in the order of source_order and
+    page_no; files without pages don't count. A document of any size is never one value."""
     used = files.join(pages.select("file_id").distinct(), "file_id", "left_semi")
-    order = F.dense_rank().over(Window.partitionBy("project_code", "document_type").orderBy("filename", "file_id"))
-    numbered = used.withColumn("source_order", order).select("file_id", "project_code", "document_type", "filename", "source_order")
+    numbered = numbered_in_groups(used.select("file_id", "project_code", "document_type", "filename"), ["project_code", "document_type"], ["filename", "file_id"], "source_order")
     block = F.concat(F.format_string("## Source %03d / Page %03d: ", "source_order", "page_no"), "filename", F.lit("\n\nSource file id: `"), "file_id", F.lit("`\n\n"), F.coalesce("raw_text", F.lit("")))
-    rows = numbered.join(pages.select("file_id", "page_no", "raw_text"), "file_id").select("project_code", "document_type", F.struct("source_order", "page_no", block.alias("block")).alias("b"))
-    blocks = rows.groupBy("project_code", "document_type").agg(F.array_sort(F.collect_list("b")).alias("b"))
-    return blocks.select("project_code", "document_type", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("markdown"))
+    return numbered.join(pages.select("file_id", "page_no", "raw_text"), "file_id").select("project_code", "document_type", "source_order", "file_id", "page_no", block.alias("block"))
+
+
+def write_documents(blocks: DataFrame, path: str) -> None:
+    """Markdown files by project and document type, in order; a large document is several files, in the order of their names."""
+    rows = blocks.repartitionByRange("project_code", "document_type", "source_order", "page_no").sortWithinPartitions("project_code", "document_type", "source_order", "page_no")
+    rows.select("project_code", "document_type", F.concat("block", F.lit("\n")).alias("value")).write.mode("overwrite").partitionBy("project_code", "document_type").text(path)
+
+
+def file_markdown(blocks: DataFrame) -> DataFrame:
+    """One markdown text a file, (project_code, document_type, file_id, markdown): a file's pages belong together."""
+    b = blocks.groupBy("project_code", "document_type", "file_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "block"))).alias("b"))
+    return b.select("project_code", "document_type", "file_id", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("markdown"))
 
 
 def page_sections(files: DataFrame, pages: DataFrame) -> DataFrame:
     """C1 + C2 without the text round trip: the same sections straight from pages, at any number of pages a document."""
     used = files.join(pages.select("file_id").distinct(), "file_id", "left_semi")
-    order = F.dense_rank().over(Window.partitionBy("project_code", "document_type").orderBy("filename", "file_id"))
-    numbered = used.withColumn("source_order", order).select("file_id", "project_code", "document_type", "filename", "source_order")
+    numbered = numbered_in_groups(used.select("file_id", "project_code", "document_type", "filename"), ["project_code", "document_type"], ["filename", "file_id"], "source_order")
     rows = numbered.join(pages.select("file_id", "page_no", "raw_text"), "file_id").withColumn("body_text", strip(F.coalesce("raw_text", F.lit("")))).where("body_text <> ''")
     return rows.select("project_code", "document_type", F.format_string("source_%03d_page_%03d", "source_order", "page_no").alias("section_key"), "page_no", "body_text", F.lit("extracted_page_text").alias("clause_type"), "file_id")
 
@@ -106,8 +127,23 @@ def sentences(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.select(*keys, F.posexplode(F.split(text, r"(?<=[.!?])\s+(?=[A-ZÅÄÖ0-9])")).alias("sentence_no", "sentence"))
 
 
+#: What a chunk of each kind holds; amounts stay with their conditions, limits with their units, prices with their items.
+CHUNK_KINDS = {
+    "contract_clause": "clause_text", "technical_requirement": "concat_ws(' ', requirement_text, numeric_limit, unit)", "payment_condition": "concat_ws(' ', concat(item_no, '.'), amount_net, amount_gross, payment_condition)",
+    "unit_price": "concat_ws(' ', item_name, unit_price)", "responsibility": "concat_ws(': ', responsibility_area, responsible_role)", "quality_requirement": "requirement_text", "deliverable": "deliverable_name",
+    "document_precedence": "concat_ws(' ', precedence_rank, document_type)", "contract_fact_summary": "concat_ws(' ', contract_code, contract_type, contract_date)",
+}
+MONEY_KINDS, QUALITY_KINDS = ("payment_condition", "unit_price"), ("quality_requirement", "technical_requirement", "deliverable")
+
+
+def chunk_parts(tables: dict[str, DataFrame]) -> list[DataFrame]:
+    """(contract_id, chunk_type, content) of tables by chunk kind."""
+    return [df.select("contract_id", F.lit(kind).alias("chunk_type"), F.expr(CHUNK_KINDS[kind]).cast("string").alias("content")) for kind, df in tables.items()]
+
+
 def build_chunks(*parts: DataFrame) -> DataFrame:
-    """Chunks from tables (contract_id, chunk_type, content): hash, words; one for each content of a contract."""
+    """Chunks from tables (contract_id, chunk_type, content): hash, words, flags; one for each content of a contract."""
     rows = reduce(DataFrame.unionByName, [p.select("contract_id", "chunk_type", "content") for p in parts]).where("content is not null and content <> ''")
     keyed = rows.withColumn("content_hash", content_hash(F.col("content")))
-    return keyed.groupBy("contract_id", "content_hash").agg(F.min("chunk_type").alias("chunk_type"), F.min("content").alias("content")).withColumn("token_count", F.size(F.split("content", " ")))
+    one = keyed.groupBy("contract_id", "content_hash").agg(F.min("chunk_type").alias("chunk_type"), F.min("content").alias("content"))
+    return one.withColumn("token_count", F.size(F.split("content", " "))).withColumn("money_related", F.col("chunk_type").isin(*MONEY_KINDS)).withColumn("quality_related", F.col("chunk_type").isin(*QUALITY_KINDS))
