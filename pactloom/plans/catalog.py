@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactloom.functions import rules as R
 from pactloom.functions import text as X
-from pactloom.operators import analytics, extract, facts, graph, packets, payments, pricing, quality, search, sections, upserts
+from pactloom.operators import analytics, canonical, extract, facts, graph, packets, payments, pricing, quality, search, sections, upserts
 from pactloom.sources import adapter as A
 from pactloom.sources import files as FILES
 from pactloom.sources.scratch import materialize
@@ -37,13 +37,31 @@ def documents(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT sha256, arg_min(filename, (lower(filename), filename)) AS path, count(*) AS copies FROM source_files GROUP BY sha256")
 def a1_inventory(s, d):
-    f = A.source_files(s, d)
-    return f.groupBy("sha256").agg(F.min_by("filename", F.struct(F.lower("filename"), "filename")).alias("path"), F.count("*").alias("copies"))
+    f = A.source_files(s, d).select(F.col("filename").alias("path"), "sha256", F.length("filename").alias("size_bytes"))
+    return FILES.distinct_contents(f).select("sha256", "path", "copies")
+
+
+@query("SELECT sha256, arg_min(filename, (lower(filename), filename)) AS path, count(*) AS copies FROM source_files WHERE lower(extension) IN ('.pdf', '.xlsx') GROUP BY sha256")
+def a2_recursive_inventory(s, d):
+    f = A.source_files(s, d).select(F.col("filename").alias("path"), "sha256", F.length("filename").alias("size_bytes"))
+    return FILES.distinct_contents(f, (".pdf", ".xlsx")).select("sha256", "path", "copies")
+
+
+LAW = '<?xml version="1.0"?><akn:act xmlns:akn="x"><akn:FRBRdate date="2020-01-0{m}" name="dateIssued"/><akn:docTitle>Law {i}</akn:docTitle><akn:section eId="sec_1"><akn:num>1 §</akn:num><akn:heading>{s} &amp; co</akn:heading><akn:subsection eId="a"><akn:content><akn:p>{n}</akn:p></akn:content></akn:subsection><akn:content><akn:p>second   part</akn:p></akn:content></akn:section><akn:section eId="sec_2"/></akn:act>'
 
 
-@query("SELECT file_id, project_code FROM source_files f WHERE lower(CASE WHEN extension = '' OR starts_with(extension, '.') THEN extension ELSE '.' || extension END) IN ('.pdf', '.docx', '.txt') AND file_id NOT IN (SELECT file_id FROM doc_pages) AND file_id NOT IN (SELECT file_id FROM runs WHERE run_status = 'completed')")
+@query("SELECT 'law' || s_suppkey AS path, 'Law ' || s_suppkey AS law_title, '2020-01-0' || (s_suppkey % 9 + 1) AS issued, 1 AS section_order, 'sec_1' AS section_id, '1 §' AS section_number, s_name || ' & co' AS title, s_name || chr(10) || chr(10) || 'second part' AS body_text FROM supplier")
+def a5_law_sections(s, d):
+    xml = F.lit(LAW)
+    for k, v in (("{m}", (F.col("s_suppkey") % 9 + 1).cast("string")), ("{i}", F.col("s_suppkey").cast("string")), ("{s}", F.col("s_name")), ("{n}", F.col("s_name"))):
+        xml = F.replace(xml, F.lit(k), v)
+    laws = FILES.law_sections(A.read(s, d, "supplier").select(F.concat(F.lit("law"), F.col("s_suppkey")).alias("path"), xml.alias("xml")))
+    return laws.drop("published", "produced")
+
+
+@query("SELECT file_id, project_code FROM source_files f WHERE lower(CASE WHEN extension = '' OR starts_with(extension, '.') THEN extension ELSE '.' || extension END) IN ('.pdf', '.docx', '.txt') AND file_id NOT IN (SELECT file_id FROM extracted_pages) AND file_id NOT IN (SELECT file_id FROM runs WHERE run_status = 'completed')")
 def a12_select_pending(s, d):
-    return FILES.select_pending(A.source_files(s, d), A.pages(s, d), A.runs(s, d), ("pdf", ".docx", "txt")).select("file_id", "project_code")
+    return FILES.select_pending(A.source_files(s, d), A.extracted_pages(s, d), A.runs(s, d), ("pdf", ".docx", "txt")).select("file_id", "project_code")
 
 
 @query("SELECT contract_id, project_id FROM contracts WHERE project_id IN ('1', '2', '3')")
@@ -122,11 +140,13 @@ def section_rows(s, d):
     return sections.page_sections(A.source_files(s, d), A.pages(s, d))
 
 
-@query("""SELECT project_code, document_type, sha256(string_agg(block, chr(10) || chr(10) ORDER BY source_order, page_no)) AS markdown_hash FROM (
-SELECT p.project_code, p.document_type, o.source_order, p.page_no, printf('## Source %03d / Page %03d: ', o.source_order, p.page_no) || o.filename || chr(10) || chr(10) || 'Source file id: `' || file_id || '`' || chr(10) || chr(10) || p.raw_text AS block
-FROM doc_pages p JOIN (SELECT file_id, filename, dense_rank() OVER (PARTITION BY project_code, document_type ORDER BY filename, file_id) AS source_order FROM source_files WHERE file_id IN (SELECT file_id FROM doc_pages)) o USING (file_id)) GROUP BY ALL""")
+BLOCKS_SQL = """blocks AS (SELECT p.project_code, p.document_type, o.source_order, file_id, p.page_no, printf('## Source %03d / Page %03d: ', o.source_order, p.page_no) || o.filename || chr(10) || chr(10) || 'Source file id: `' || file_id || '`' || chr(10) || chr(10) || p.raw_text AS block
+FROM doc_pages p JOIN (SELECT file_id, filename, dense_rank() OVER (PARTITION BY project_code, document_type ORDER BY filename, file_id) AS source_order FROM source_files WHERE file_id IN (SELECT file_id FROM doc_pages)) o USING (file_id))"""
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT project_code, document_type, source_order, page_no, sha256(block) AS block_hash FROM blocks")
 def c1_assemble_documents(s, d):
-    return sections.assemble_documents(A.source_files(s, d), A.pages(s, d)).select("project_code", "document_type", F.sha2("markdown", 256).alias("markdown_hash"))
+    return sections.document_blocks(A.source_files(s, d), A.pages(s, d)).select("project_code", "document_type", "source_order", "page_no", F.sha2("block", 256).alias("block_hash"))
 
 
 @query(f"WITH {SECTIONS_SQL} SELECT * FROM section_rows")
@@ -134,10 +154,11 @@ def c2_page_sections(s, d):
     return section_rows(s, d)
 
 
-@query()
+@query(f"WITH {BLOCKS_SQL} SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY page_no))::INT AS section_order, printf('source_%03d_page_%03d', source_order, page_no) AS section_key, regexp_replace(regexp_extract(block, '^## ([^\n]+)', 1), '^\\s+|\\s+$', '', 'g') AS title, page_no, regexp_replace(substr(block, strpos(block, chr(10) || chr(10)) + 2), '^\\s+|\\s+$', '', 'g') AS body_text, 'extracted_page_text' AS clause_type, file_id AS source_file_id FROM blocks")
 def c2_split_sections(s, d):
-    docs = sections.assemble_documents(A.source_files(s, d), A.pages(s, d)).withColumn("k", F.concat_ws("/", "project_code", "document_type"))
-    return sections.split_sections(docs, "k", "markdown")
+    """C1 and C2 by way of each file's markdown, back to sections with the provenance that the markdown tells."""
+    docs = sections.file_markdown(sections.document_blocks(A.source_files(s, d), A.pages(s, d)))
+    return sections.split_sections(docs, "file_id", "markdown").withColumn("source_file_id", F.element_at("metadata", "source_file_id")).drop("metadata")
 
 
 @query(f"WITH {SECTIONS_SQL} SELECT project_code, document_type, section_key, document_type || '_' || section_key AS clause_key, clause_type, substr(body_text, 1, 500) AS summary, page_no FROM section_rows")
@@ -187,11 +208,17 @@ def c9_sentences(s, d):
     return sections.sentences(documents(s, d), ["doc_id"], "text")
 
 
-@query("""SELECT contract_id, content_hash, min(chunk_type) AS chunk_type, min(content) AS content, len(string_split(min(content), ' ')) AS token_count FROM (
-SELECT *, sha256(content) AS content_hash FROM (SELECT contract_id, 'scope' AS chunk_type, item_name AS content FROM scope_items UNION ALL SELECT contract_id, 'payment_schedule', item_no || '. ' || amount_gross FROM payment_items)) GROUP BY contract_id, content_hash""")
+@query("""SELECT contract_id, content_hash, min(chunk_type) AS chunk_type, min(content) AS content, len(string_split(min(content), ' ')) AS token_count, min(chunk_type) IN ('payment_condition', 'unit_price') AS money_related, min(chunk_type) IN ('quality_requirement', 'technical_requirement', 'deliverable') AS quality_related FROM (
+SELECT *, sha256(content) AS content_hash FROM (SELECT contract_id, 'technical_requirement' AS chunk_type, concat_ws(' ', requirement_text, numeric_limit, unit) AS content FROM technical_requirements UNION ALL SELECT contract_id, 'payment_condition', concat_ws(' ', item_no || '.', amount_net, amount_gross, payment_condition) FROM payment_items
+UNION ALL SELECT contract_id, 'unit_price', concat_ws(' ', item_name, unit_price) FROM contract_unit_prices UNION ALL SELECT contract_id, 'responsibility', concat_ws(': ', responsibility_area, responsible_role) FROM responsibilities UNION ALL SELECT contract_id, 'quality_requirement', requirement_text FROM quality_requirements
+UNION ALL SELECT contract_id, 'deliverable', deliverable_name FROM deliverables UNION ALL SELECT contract_id, 'contract_fact_summary', concat_ws(' ', contract_code, contract_type, contract_date) FROM contracts UNION ALL SELECT file_id, 'document_precedence', concat_ws(' ', 99, document_type) FROM source_files UNION ALL SELECT file_id, 'contract_clause', regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g') FROM doc_pages) WHERE content <> '') GROUP BY contract_id, content_hash""")
 def c10_chunks(s, d):
-    pay = A.payment_items(s, d).select("contract_id", F.lit("payment_schedule").alias("chunk_type"), F.concat(F.col("item_no").cast("string"), F.lit(". "), F.col("amount_gross").cast("string")).alias("content"))
-    return sections.build_chunks(A.scope_items(s, d).select("contract_id", F.lit("scope").alias("chunk_type"), F.col("item_name").alias("content")), pay)
+    kinds = {
+        "technical_requirement": A.technical_requirements(s, d), "payment_condition": A.payment_items(s, d), "unit_price": A.contract_unit_prices(s, d), "responsibility": A.responsibilities(s, d), "quality_requirement": A.quality_requirements(s, d),
+        "deliverable": A.deliverables(s, d), "contract_fact_summary": A.contracts(s, d), "document_precedence": A.source_files(s, d).select(F.col("file_id").alias("contract_id"), "document_type", F.lit(99).alias("precedence_rank")),
+        "contract_clause": A.pages(s, d).select(F.col("file_id").alias("contract_id"), X.strip(F.col("raw_text")).alias("clause_text")),
+    }
+    return sections.build_chunks(*sections.chunk_parts(kinds))
 
 
 # --- extraction --------------------------------------------------------------------------------------------------------
@@ -207,9 +234,20 @@ def paths(s, d):
     return c.select(F.col("contract_id").alias("file_id"), F.col("project_id").alias("project_code"), F.concat(folder, F.lit("/liite_"), F.date_format("contract_date", "dd.MM.yyyy"), F.lit(".pdf")).alias("path"))
 
 
-@query(f"WITH {PATHS_SQL} SELECT file_id, CASE WHEN contains(lower(path), 'maksuerä') THEN ['payment_schedule'] ELSE ['main_contract'] END AS document_types, CASE WHEN NOT contains(lower(path), 'maksuerä') AND NOT contains(lower(path), 'urakkasopimus') THEN 'Document type needs manual review.' END AS review_note FROM paths")
+#: File names, one for each rule and two for none, and what they are.
+NAMES = (
+    ("YSE1998.pdf", "yse_1998"), ("Liiteluettelo.docx", "attachment_index"), ("Urakkaneuvottelupöytäkirjan liite 2.pdf", "negotiation_attachment"), ("Yksikköhinta.xlsx", "unit_prices"), ("Maksuerätaulukko.pdf", "payment_schedule"), ("Piirustusluettelo.pdf", "drawing_index"),
+    ("Tarjouspyyntöliite 1.pdf", "rfq_clarification"), ("Tarjouspyynnön tarkennus.pdf", "rfq_clarification"), ("Tarjouspyyntö.pdf", "rfq"), ("Urakoitsijan tarjous.pdf", "contractor_offer"), ("Työaikainen vakuus.pdf", "security_document"), ("Urakkaneuvottelu.pdf", "negotiation_minutes"), ("Sopimusehto.pdf", "contract_terms"),
+    ("Työturvallisuus.pdf", "safety_plan"), ("Aikataulu.pdf", "project_schedule"), ("Toteutus ja laadunhallinta.pdf", "quality_plan,quality_manual"), ("Urakoitsijan liitteet.pdf", "contractor_appendices"), ("LIITE5 ja 6.pdf", "contractor_offer,unit_prices"), ("Laatukäsikirja.pdf", "quality_manual"), ("Sukitusurakka.pdf", "main_contract"), ("muu.pdf", ""), ("kuva.jpg", ""),
+)
+NAMES_SQL = "nm(i, filename, kinds) AS (VALUES " + ", ".join(f"({i}, '{n}', '{k}')" for i, (n, k) in enumerate(NAMES)) + ")"
+
+
+@query(f"WITH {NAMES_SQL} SELECT file_id, CASE WHEN kinds = '' THEN 'main_contract' ELSE kinds END AS document_types, CASE WHEN kinds = '' THEN 'Document type needs manual review.' WHEN kinds = 'contractor_offer,unit_prices' THEN '{R.COMBINED_NOTE}' END AS review_note FROM (SELECT file_id, nm.kinds FROM source_files JOIN nm ON file_id::BIGINT % {len(NAMES)} = i)")
 def d1_classify_documents(s, d):
-    return extract.classify_documents(paths(s, d), "path").select("file_id", "document_types", "review_note")
+    names = F.array(*[F.lit(n) for n, _ in NAMES])
+    files = A.source_files(s, d).select("file_id", F.get(names, (F.col("file_id").cast("bigint") % len(NAMES)).cast("int")).alias("filename"))
+    return extract.classify_documents(files).select("file_id", F.array_join("document_types", ",").alias("document_types"), "review_note")
 
 
 OPS_SQL = PATHS_SQL + """, ops AS (SELECT file_id, project_code, CASE WHEN contains(lower(path), 'tmk') THEN 'site_meeting' WHEN contains(lower(path), 'vastaanotto') THEN 'handover_minutes' WHEN contains(lower(path), 'maksuer') THEN 'payment_approval' WHEN contains(lower(path), 'urakkasopimus') THEN 'main_contract' ELSE 'project_note' END AS document_type,
@@ -253,11 +291,13 @@ def d6_sync_property_facts(s, d):
     return merged.join(extract.riser_scope(found), "project_id").drop("metadata")
 
 
-@query("SELECT contract_id AS project_code, amount_gross AS price_gross, 'main_contract' AS price_source, contract_date FROM contract_prices JOIN contracts USING (contract_id) WHERE contract_date >= DATE '2000-01-01'")
+@query("SELECT contract_id AS project_code, CASE WHEN contract_id::BIGINT % 3 <> 0 THEN amount_gross ELSE NULL END AS price_gross, CASE WHEN contract_id::BIGINT % 3 <> 0 THEN 'main_contract' END AS price_source, contract_date, contract_id::BIGINT % 2 = 0 AS has_security, contract_id::BIGINT % 5 = 0 AS has_penalty FROM contract_prices JOIN contracts USING (contract_id)")
 def d7_contract_facts(s, d):
-    rows = A.contract_prices(s, d).join(A.contracts(s, d), "contract_id").where("contract_date >= date'2000-01-01'")
-    text = F.concat(F.lit("Urakkasopimus "), F.date_format("contract_date", "d.M.yyyy"), F.lit(". Urakkahinta on "), F.translate(F.col("amount_gross").cast("string"), ".", ","), F.lit(" €. Vakuus asetetaan."))
-    return extract.contract_facts(rows.select(F.col("contract_id").alias("project_code"), F.lit("main_contract").alias("document_type"), text.alias("text"))).select("project_code", "price_gross", "price_source", "contract_date")
+    rows = A.contract_prices(s, d).join(A.contracts(s, d), "contract_id")
+    k = F.col("contract_id").cast("bigint")
+    price = F.when(k % 3 != 0, F.concat(F.lit(". Urakkahinta on "), F.translate(F.col("amount_gross").cast("string"), ".", ","), F.lit(" €"))).otherwise("")
+    text = F.concat(F.lit("Urakkasopimus "), F.date_format("contract_date", "d.M.yyyy"), price, F.lit("."), F.when(k % 2 == 0, " Vakuus asetetaan.").otherwise(""), F.when(k % 5 == 0, " Viivästyssakko peritään.").otherwise(""))
+    return extract.contract_facts(rows.select(F.col("contract_id").alias("project_code"), F.lit("main_contract").alias("document_type"), text.alias("text"))).select("project_code", "price_gross", "price_source", "contract_date", "has_security", "has_penalty")
 
 
 @query("SELECT p_partkey, p_retailprice::DECIMAL(14,2) AS euro, floor(p_retailprice)::DECIMAL(14,2) * 1000 AS thousands FROM part")
@@ -271,17 +311,58 @@ def d9_derive_scope(s, d):
     return extract.derive_scope(documents(s, d).select(F.col("source").alias("project_code"), "text"), {"base_drain": ("the ",)}, ("of ",))
 
 
-@query("WITH r AS (SELECT DISTINCT project_code FROM source_files) SELECT document_type, project_code, max(file_id) AS file_id, CASE document_type WHEN 'en' THEN 1 WHEN 'yse_1998' THEN 5 ELSE 99 END AS precedence_rank FROM (SELECT project_code, document_type, file_id FROM source_files UNION ALL SELECT project_code, 'yse_1998', '' FROM r) GROUP BY ALL")
+#: Contract texts by the remainder of a contract's number, with what they hold: (text, note, SV in the yard, on the roof, base drain and plot line included).
+SCOPES = (
+    ("JV-viemärit sukitetaan, lattiakaivot vaihdetaan.", "", False, False, True, True), ("Viemäreiden sukitus ja sadevesi katolta, kattokaivo.", "Pohjaviemäri ei kuulu.", True, True, False, True),
+    ("Sadevesi, SV-linjat.", "", True, False, True, True), ("Maalaus.", "Tonttiviemäri ei kuulu.", False, False, True, False), ("SV-pysty katolla, JV.", "tonttiviemäri", False, True, True, False),
+)
+
+
+@query("""WITH sc AS (SELECT contract_id AS project_code, contract_id::BIGINT % 5 AS k FROM contracts), sg(k, system_type, segment_type, flow_order, segment_name, included_in_contract) AS (VALUES
+(0, 'JV', 'apartment_branches', 1, 'Asuntohajotukset', true), (0, 'JV', 'vertical_stacks', 2, 'Pystylinjat', true), (0, 'JV', 'base_drain', 3, 'Pohjaviemäri', true), (0, 'JV', 'plot_line', 4, 'Tonttilinja', true),
+(1, 'JV', 'apartment_branches', 1, 'Asuntohajotukset', true), (1, 'JV', 'vertical_stacks', 2, 'Pystylinjat', true), (1, 'JV', 'base_drain', 3, 'Pohjaviemäri', false), (1, 'JV', 'plot_line', 4, 'Tonttilinja', true),
+(1, 'SV', 'yard_drains', 1, 'Pihamaan sadevesikaivot', true), (1, 'SV', 'plot_line', 2, 'SV-tonttilinja', true), (1, 'SV', 'roof_drains', 1, 'Katon kerääjäkaivot', true), (1, 'SV', 'vertical_stacks', 2, 'SV-pystylinjat', true), (1, 'SV', 'base_drain', 3, 'SV-pohjaviemäri', true),
+(2, 'SV', 'yard_drains', 1, 'Pihamaan sadevesikaivot', true), (2, 'SV', 'plot_line', 2, 'SV-tonttilinja', true),
+(4, 'JV', 'apartment_branches', 1, 'Asuntohajotukset', true), (4, 'JV', 'vertical_stacks', 2, 'Pystylinjat', true), (4, 'JV', 'base_drain', 3, 'Pohjaviemäri', true), (4, 'JV', 'plot_line', 4, 'Tonttilinja', false),
+(4, 'SV', 'roof_drains', 1, 'Katon kerääjäkaivot', true), (4, 'SV', 'vertical_stacks', 2, 'SV-pystylinjat', true), (4, 'SV', 'base_drain', 3, 'SV-pohjaviemäri', true)) SELECT project_code, system_type, segment_type, flow_order, segment_name, included_in_contract FROM sc JOIN sg USING (k)""")
+def d9_sewer_segments(s, d):
+    return extract.sewer_scope(scope_texts(s, d))[1].drop("pricing_impact")
+
+
+def scope_texts(s, d):
+    pick = lambda i: F.get(F.array(*[F.lit(x[i]) for x in SCOPES]), (F.col("contract_id").cast("bigint") % len(SCOPES)).cast("int"))
+    return A.contracts(s, d).select(F.col("contract_id").alias("project_code"), pick(0).alias("text"), pick(1).alias("note"))
+
+
+@query("""WITH sc AS (SELECT contract_id AS project_code, contract_id::BIGINT % 5 AS k FROM contracts), it(k, item_code, included_in_contract) AS (VALUES (0, 'scope_jv', true), (0, 'scope_floor_drains', true), (1, 'scope_sv', true), (1, 'scope_jv_base_excluded', false), (2, 'scope_sv', true), (3, 'scope_plot_sewer_excluded', false), (4, 'scope_jv', true), (4, 'scope_sv', true), (4, 'scope_plot_sewer_excluded', false)) SELECT project_code, item_code, included_in_contract FROM sc JOIN it USING (k)""")
+def d9_scope_items(s, d):
+    return extract.sewer_scope(scope_texts(s, d))[0].select("project_code", "item_code", "included_in_contract")
+
+
+@query("""WITH k(lang, kind) AS (VALUES ('en', 'rfq'), ('de', 'unit_prices'), ('fr', 'main_contract'), ('es', 'yse_1998')), own AS (SELECT project_code, coalesce(kind, 'project_note') AS document_type, filename, page_count FROM source_files LEFT JOIN k ON document_type = lang), best AS (SELECT project_code, document_type, max(filename) AS filename FROM own GROUP BY ALL),
+al AS (SELECT * FROM best UNION ALL SELECT project_code, c.t, c.t || '.pdf' FROM (SELECT DISTINCT project_code FROM own) p, (VALUES ('yse_1998'), ('law_rakentamislaki_751_2023')) c(t) WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.project_code = p.project_code AND b.document_type = c.t)),
+r AS (SELECT *, CASE document_type WHEN 'rfq' THEN 'LIITE3' WHEN 'unit_prices' THEN 'LIITE6' END AS attachment_no, CASE document_type WHEN 'law_rakentamislaki_751_2023' THEN 0 WHEN 'yse_1998' THEN 1 WHEN 'main_contract' THEN 2 WHEN 'rfq' THEN 3 WHEN 'unit_prices' THEN 6 ELSE 99 END AS precedence_rank FROM al)
+SELECT *, row_number() OVER (PARTITION BY project_code ORDER BY precedence_rank, document_type)::INT AS document_order FROM r""")
 def d10_document_register(s, d):
+    kinds = F.create_map(*[F.lit(x) for x in ("en", "rfq", "de", "unit_prices", "fr", "main_contract", "es", "yse_1998")])
+    own = A.source_files(s, d).withColumn("document_type", F.coalesce(kinds[F.col("document_type")], F.lit("project_note")))
+    common = s.createDataFrame([("yse_1998", "yse_1998.pdf", 1), ("law_rakentamislaki_751_2023", "law_rakentamislaki_751_2023.pdf", 1), ("not_common", "x.pdf", 1)], "document_type string, filename string, page_count int")
+    return extract.contract_register(own, common).drop("page_count")
+
+
+@query("WITH r AS (SELECT DISTINCT project_code FROM source_files) SELECT document_type, project_code, max(file_id) AS file_id, CASE document_type WHEN 'en' THEN 1 WHEN 'yse_1998' THEN 5 ELSE 99 END AS precedence_rank FROM (SELECT project_code, document_type, file_id FROM source_files UNION ALL SELECT project_code, 'yse_1998', '' FROM r) GROUP BY ALL")
+def d10_shared_documents(s, d):
     common = s.createDataFrame([("yse_1998",)], "document_type string")
     ranks = s.createDataFrame([("en", 1), ("yse_1998", 5)], "document_type string, precedence_rank int")
     return extract.document_register(A.source_files(s, d), common, ranks)
 
 
+GUIDANCE_WORDS = {"1-URGENT": "Hallituksen tulee päättää yhtiökokouksessa hankesuunnittelusta ennen töitä", "2-HIGH": "Valvojan kannattaa seurata työmaakokouksen päätöksiä ja kirjata ne ylös", "3-MEDIUM": "Sukitus ei sovellu rikkoutuneelle viemärille ja riski kasvaa käytössä", "4-NOT SPECIFIED": "Asetus 205/2009 edellyttää turvallisuuskoordinaattorin nimeämistä hankkeeseen", "5-LOW": "Lyhyt lause ilman ohjetta"}
+
+
 def guidance_sentences(s, d):
     """Sentences written from orders: each priority has its own wording."""
-    words = {"1-URGENT": "Hallituksen tulee päättää yhtiökokouksessa hankesuunnittelusta ennen töitä", "2-HIGH": "Valvojan kannattaa seurata työmaakokouksen päätöksiä ja kirjata ne ylös", "3-MEDIUM": "Sukitus ei sovellu rikkoutuneelle viemärille ja riski kasvaa käytössä", "4-NOT SPECIFIED": "Asetus 205/2009 edellyttää turvallisuuskoordinaattorin nimeämistä hankkeeseen", "5-LOW": "Lyhyt lause ilman ohjetta"}
-    text = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])[F.col("contract_type")]
+    text = F.create_map(*[F.lit(x) for kv in GUIDANCE_WORDS.items() for x in kv])[F.col("contract_type")]
     return A.contracts(s, d).select(F.col("project_id").alias("document_id"), (F.month("contract_date")).alias("page_no"), F.col("contract_id").cast("bigint").alias("sentence_no"), text.alias("sentence"), F.lit("3 Rakennuksen putkiston kunnon arviointi").alias("section_ref"))
 
 
@@ -293,7 +374,7 @@ def d17_guidance_items(s, d):
     return extract.guidance_items(guidance_sentences(s, d)).select("document_id", "page_no", "sentence_no", "item_type", "actor", "confidence")
 
 
-@query()
+@query(f"WITH {GUIDANCE_SQL}, gt AS (SELECT CASE contract_type WHEN '1-URGENT' THEN 'decision_point' WHEN '2-HIGH' THEN 'actor_responsibility' WHEN '3-MEDIUM' THEN 'risk_warning' ELSE 'legal_cross_reference' END AS item_type, 'condition_survey' AS process_stage, CASE contract_type WHEN '3-MEDIUM' THEN 'sewer_condition' ELSE 'condition_survey' END AS topic_code FROM g) SELECT item_type, process_stage, topic_code, count(*) AS items, grouping(item_type, process_stage, topic_code) AS grouping FROM gt GROUP BY GROUPING SETS ((item_type), (process_stage), (topic_code))")
 def d21_guidance_report(s, d):
     return extract.guidance_report(extract.guidance_items(guidance_sentences(s, d)))
 
@@ -327,6 +408,12 @@ def d16_payment_status(s, d):
     return resolved.select("project_code", "status")
 
 
+@query("SELECT contract_id || '-' || item_no AS source_id, item_no, CASE WHEN length('Maksuerä nro ' || item_no) > 0 THEN 'Maksuerä nro ' || item_no END AS description, amount_net, vat_amount, amount_gross, 'medium_high' AS confidence FROM payment_items WHERE contract_id::BIGINT % 5 = 0 AND vat_amount > 0 AND vat_amount <> amount_net")
+def d15_invoice_items(s, d):
+    rows = payments.parse_sources(payments.discover_sources(payment_texts(s, d)[1].withColumn("source_path", F.lit("Maksuerät ja hyväksyntä"))))
+    return rows.where("invoice is not null").select("source_id", "invoice.item_no", "invoice.description", "invoice.amount_net", "invoice.vat_amount", "invoice.amount_gross", "invoice.confidence")
+
+
 # --- loading -----------------------------------------------------------------------------------------------------------
 
 
@@ -364,12 +451,28 @@ def e4_replace_children(s, d):
     return upserts.replace_children(base, gone, items.where("project_id = '1'").select("contract_id", "item_no", (F.col("amount_net") + 1).cast("decimal(15,2)").alias("amount_net")), ["contract_id"])
 
 
-@query("SELECT 'C' || o_orderkey AS contract_code, l_linenumber AS item_no, CASE WHEN l_returnflag = 'R' THEN 'returned' ELSE l_returnflag END AS condition, 'EUR' AS currency FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
-def e5_explode_children(s, d):
-    """Nested contracts (one array of items each) to child rows with defaults."""
-    lines = A.read(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.struct(F.col("l_linenumber").alias("item_no"), F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("condition"), F.lit(None).cast("string").alias("currency")).alias("i"))
-    nested = A.read(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("C"), "o_orderkey").alias("contract_code")).join(lines.groupBy("k").agg(F.collect_list("i").alias("items")), "k", "left")
-    return nested.select("contract_code", F.explode("items").alias("i")).select("contract_code", "i.item_no", F.coalesce("i.condition", F.lit("returned")).alias("condition"), F.coalesce("i.currency", F.lit("EUR")).alias("currency"))
+def nested_contracts(s, d):
+    """Contract documents with arrays, from the flat tables: what a canonical file holds."""
+    items = A.payment_items(s, d).groupBy("contract_id").agg(F.collect_list(F.struct("item_no", "amount_net", "vat_amount", "amount_gross", "payment_condition", F.when(F.col("item_no") % 2 == 1, "rfq").otherwise("other").alias("source_document_type"))).alias("payment_schedule"))
+    prices = A.contract_prices(s, d).select("contract_id", F.array(F.struct("price_type", "amount_net", "amount_gross")).alias("prices"))
+    base = A.contracts(s, d).select(
+        "contract_id", "contract_code", F.array(F.struct(F.lit("rfq").alias("document_type"), F.lit(None).cast("string").alias("document_title_redacted"), F.lit("LIITE3").alias("attachment_no"))).alias("documents"),
+        F.array(F.struct(F.col("client_id").alias("party_code"), F.when(F.col("contract_type") == "5-LOW", "client").alias("party_type"), F.lit("client").alias("role"))).alias("parties"),
+        F.array(F.struct(F.lit("s1").alias("item_code"), F.lit("JV").alias("system_type"), F.lit(True).alias("included_in_contract"))).alias("scope_items"),
+    )
+    return base.join(items, "contract_id", "left").join(prices, "contract_id", "left")
+
+
+@query("SELECT contract_code, item_no, amount_net, amount_gross, payment_condition, CASE WHEN item_no % 2 = 1 THEN md5(contract_code || chr(1) || 'rfq' || chr(1) || 'LIITE3') END AS source_document_id FROM payment_items JOIN contracts USING (contract_id)")
+def e5_payment_children(s, d):
+    return canonical.load_children(nested_contracts(s, d))["payment_schedule"].select("contract_code", "item_no", "amount_net", "amount_gross", "payment_condition", "source_document_id")
+
+
+@query("SELECT contract_code, 'documents' AS table_name, 'rfq' AS value FROM contracts UNION ALL SELECT contract_code, 'parties', CASE WHEN contract_type = '5-LOW' THEN 'client' ELSE 'other' END FROM contracts UNION ALL SELECT contract_code, 'prices', 'EUR' FROM contracts UNION ALL SELECT contract_code, 'scope_items', 'false' FROM contracts")
+def e5_child_defaults(s, d):
+    t = canonical.load_children(nested_contracts(s, d))
+    value = {"documents": "document_title_redacted", "parties": "party_type", "prices": "currency_code", "scope_items": "is_option"}
+    return packets.union_all(*[t[n].select("contract_code", F.lit(n).alias("table_name"), F.col(c).cast("string").alias("value")) for n, c in value.items()])
 
 
 @query("SELECT source AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS version_no, sha256(text) AS canonical_hash FROM documents")
@@ -405,14 +508,18 @@ def e9_record_runs(s, d):
 LATEST = "QUALIFY row_number() OVER (PARTITION BY {} ORDER BY started_at DESC NULLS LAST, run_id DESC) = 1"
 
 
-@query(f"""WITH {SECTIONS_SQL}, pp AS (SELECT file_id, count(*) AS n FROM doc_pages GROUP BY 1), lf AS (SELECT file_id, run_status FROM runs {LATEST.format('file_id')}), le AS (SELECT file_id, count(*) FILTER (WHERE run_status = 'failed') AS failed FROM (SELECT * FROM runs {LATEST.format('file_id, extractor_name')}) GROUP BY 1),
-c AS (SELECT project_code, count(*) AS source_files_total, count(*) FILTER (WHERE n > 0) AS source_files_with_raw_pages, coalesce(sum(n), 0)::BIGINT AS raw_pages_count, count(*) FILTER (WHERE n IS NULL AND run_status IS NULL) AS source_files_without_text_or_status, coalesce(sum(failed), 0)::BIGINT AS latest_failed_extraction_runs FROM source_files LEFT JOIN pp USING (file_id) LEFT JOIN lf USING (file_id) LEFT JOIN le USING (file_id) GROUP BY 1),
-t AS (SELECT c.*, coalesce(sc.n, 0) AS doc_sections_count FROM c LEFT JOIN (SELECT project_code, count(*) AS n FROM section_rows GROUP BY 1) sc USING (project_code)),
+@query(f"""WITH {SECTIONS_SQL}, nf AS (SELECT *, CASE WHEN extension = '.pdf' THEN 'Derived PDF converted from DWG' END AS notes FROM source_files), pp AS (SELECT file_id, count(*) AS n FROM extracted_pages GROUP BY 1), lf AS (SELECT file_id, run_status FROM runs {LATEST.format('file_id')}),
+le AS (SELECT file_id, count(*) FILTER (WHERE run_status = 'failed') AS failed, bool_or(extractor_name = 'view' AND run_status = 'completed') AS office, bool_or(extractor_name = 'click' AND run_status = 'completed') AS ocr, bool_or(extractor_name = 'signup' AND run_status = 'completed') AS remaining FROM (SELECT * FROM runs {LATEST.format('file_id, extractor_name')}) GROUP BY 1),
+c AS (SELECT project_code, count(*) AS source_files_total, count(*) FILTER (WHERE n > 0) AS source_files_with_raw_pages, coalesce(sum(n), 0)::BIGINT AS raw_pages_count, count(*) FILTER (WHERE office) AS office_extracted_count, count(*) FILTER (WHERE ocr) AS ocr_extracted_count, count(*) FILTER (WHERE remaining) AS remaining_text_extracted_count,
+count(*) FILTER (WHERE notes IS NOT NULL) AS dwg_derived_count, count(*) FILTER (WHERE n IS NULL AND run_status IS NULL) AS source_files_without_text_or_status, coalesce(sum(failed), 0)::BIGINT AS latest_failed_extraction_runs FROM nf LEFT JOIN pp USING (file_id) LEFT JOIN lf USING (file_id) LEFT JOIN le USING (file_id) GROUP BY 1),
+t AS (SELECT c.*, coalesce(sc.d, 0) AS markdown_documents_count, coalesce(sc.n, 0) AS doc_sections_count, coalesce(sc.n, 0) AS doc_clauses_count FROM c LEFT JOIN (SELECT project_code, count(*) AS n, count(DISTINCT file_id) AS d FROM section_rows GROUP BY 1) sc USING (project_code)),
 r AS (SELECT *, CASE WHEN source_files_total = 0 THEN 'no source files' WHEN raw_pages_count = 0 THEN 'no raw page/text records' WHEN doc_sections_count = 0 THEN 'no doc.sections records' WHEN source_files_without_text_or_status > 0 THEN source_files_without_text_or_status || ' source files without text or latest status' END AS fail,
-array_to_string(list_filter([CASE WHEN latest_failed_extraction_runs > 0 THEN latest_failed_extraction_runs || ' latest failed extraction runs' END, CASE WHEN source_files_with_raw_pages < source_files_total THEN 'some source files have no raw pages' END], lambda x: x IS NOT NULL), '; ') AS warn FROM t)
-SELECT project_code, source_files_total, source_files_with_raw_pages, raw_pages_count, source_files_without_text_or_status, latest_failed_extraction_runs, doc_sections_count, CASE WHEN fail IS NOT NULL THEN 'fail' WHEN warn <> '' THEN 'warning' ELSE 'ok' END AS status, coalesce(fail, warn) AS reasons FROM r""")
+array_to_string(list_filter([CASE WHEN latest_failed_extraction_runs > 0 THEN latest_failed_extraction_runs || ' latest failed extraction runs' END, CASE WHEN markdown_documents_count = 0 THEN 'no markdown-backed document sections' END, CASE WHEN source_files_with_raw_pages < source_files_total THEN 'some source files rely on status/metadata instead of raw text' END], lambda x: x IS NOT NULL), '; ') AS warn FROM t)
+SELECT * EXCLUDE (fail, warn), CASE WHEN fail IS NOT NULL THEN 'fail' WHEN warn <> '' THEN 'warning' ELSE 'ok' END AS status, coalesce(fail, warn) AS reasons FROM r""")
 def f1_processing_quality(s, d):
-    return quality.processing_quality(A.source_files(s, d), A.runs(s, d), A.pages(s, d), section_rows(s, d))
+    files = A.source_files(s, d).withColumn("notes", F.when(F.col("extension") == ".pdf", "Derived PDF converted from DWG"))
+    names = {"office_extracted_count": "view", "ocr_extracted_count": "click", "remaining_text_extracted_count": "signup"}
+    return quality.processing_quality(files, A.runs(s, d), A.extracted_pages(s, d), section_rows(s, d), names)
 
 
 @query("SELECT project_code, CASE WHEN extension = '' THEN '(none)' WHEN starts_with(extension, '.') THEN lower(extension) ELSE '.' || lower(extension) END AS extension, count(*) AS files FROM source_files GROUP BY ALL")
@@ -425,9 +532,9 @@ def f3_latest_extractor_summary(s, d):
     return quality.latest_extractor_summary(A.runs(s, d))
 
 
-@query(f"WITH fl AS (SELECT file_id, string_agg(extractor_name, ', ' ORDER BY extractor_name) AS failures FROM (SELECT * FROM runs {LATEST.format('file_id, extractor_name')}) WHERE run_status = 'failed' GROUP BY 1) SELECT project_code, file_id, p.file_id IS NULL AS no_pages, failures FROM source_files f LEFT JOIN fl USING (file_id) LEFT JOIN (SELECT DISTINCT file_id FROM doc_pages) p USING (file_id) WHERE p.file_id IS NULL OR failures IS NOT NULL ORDER BY project_code, file_id LIMIT 100".replace("p.file_id IS NULL AS no_pages", "NOT coalesce(p.hp, false) AS no_pages").replace("(SELECT DISTINCT file_id FROM doc_pages) p", "(SELECT DISTINCT file_id, true AS hp FROM doc_pages) p").replace("WHERE p.file_id IS NULL", "WHERE p.hp IS NULL"))
+@query(f"WITH fl AS (SELECT file_id, string_agg(extractor_name, ', ' ORDER BY extractor_name) AS failures FROM (SELECT * FROM runs {LATEST.format('file_id, extractor_name')}) WHERE run_status = 'failed' GROUP BY 1) SELECT project_code, file_id, p.file_id IS NULL AS no_pages, failures FROM source_files f LEFT JOIN fl USING (file_id) LEFT JOIN (SELECT DISTINCT file_id FROM extracted_pages) p USING (file_id) WHERE p.file_id IS NULL OR failures IS NOT NULL ORDER BY project_code, file_id LIMIT 100".replace("p.file_id IS NULL AS no_pages", "NOT coalesce(p.hp, false) AS no_pages").replace("(SELECT DISTINCT file_id FROM extracted_pages) p", "(SELECT DISTINCT file_id, true AS hp FROM extracted_pages) p").replace("WHERE p.file_id IS NULL", "WHERE p.hp IS NULL"))
 def f4_followups(s, d):
-    return quality.followups(A.source_files(s, d), A.runs(s, d), A.pages(s, d), 100)
+    return quality.followups(A.source_files(s, d), A.runs(s, d), A.extracted_pages(s, d), 100)
 
 
 ISSUES_SQL = """iss AS (SELECT contract_id, CASE WHEN abs(amount_net + vat_amount - amount_gross - 0.01 * (item_no % 3)) <= 0.05 THEN 'warning' ELSE 'error' END AS severity, 'vat_sum_mismatch' AS code, 'payment_schedule' AS path FROM payment_items WHERE item_no % 3 <> 0
@@ -472,6 +579,42 @@ def f8_date_order(s, d):
     return quality.date_order_issues(A.contracts(s, d), A.payment_items(s, d))
 
 
+@query("SELECT contract_id, 'error' AS severity, 'duplicate_precedence_rank' AS code, 'documents.precedence_rank.' || r AS path FROM (SELECT project_code AS contract_id, file_id::BIGINT % 40 AS r FROM source_files) WHERE r <> 0 GROUP BY contract_id, r HAVING count(*) > 1")
+def f5_duplicate_ranks(s, d):
+    return quality.duplicate_ranks(A.source_files(s, d).select(F.col("project_code").alias("contract_id"), (F.col("file_id").cast("bigint") % 40).alias("precedence_rank")))
+
+
+@query("SELECT c_custkey::VARCHAR AS contract_id, 'error' AS severity, 'missing_party_field' AS code, p AS path FROM (SELECT c_custkey, unnest(list_filter([CASE WHEN c_custkey % 3 = 0 THEN 'parties.party_code' END, CASE WHEN c_custkey % 5 = 0 THEN 'parties.party_type' END], lambda x: x IS NOT NULL)) AS p FROM customer)")
+def f5_party_fields(s, d):
+    k = F.col("c_custkey")
+    return quality.party_issues(A.read(s, d, "customer").select(k.cast("string").alias("contract_id"), F.when(k % 3 != 0, F.col("c_name")).alias("party_code"), F.when(k % 5 != 0, "client").otherwise("").alias("party_type")))
+
+
+@query("SELECT contract_id, CASE WHEN gap <= 0.05 THEN 'warning' ELSE 'error' END AS severity, 'vat_rate_mismatch' AS code, 'prices' AS path FROM (SELECT contract_id, abs(round_even((amount_net * 24 / 100)::DOUBLE, 2)::DECIMAL(14,2) - (vat_amount + 0.01 * (contract_id::BIGINT % 8))::DECIMAL(14,2)) AS gap FROM contract_prices WHERE contract_id::BIGINT % 8 <> 0) WHERE gap > 0.005")
+def f5_vat_rates(s, d):
+    k = F.col("contract_id").cast("bigint") % 8
+    rows = A.contract_prices(s, d).where(k != 0).withColumn("vat_amount", (F.col("vat_amount") + F.lit("0.01").cast("decimal(3,2)") * k).cast("decimal(14,2)")).withColumn("vat_rate", F.lit(24))
+    return quality.vat_rate_issues(rows, "prices")
+
+
+@query("SELECT contract_id, 'warning' AS severity, 'date_order' AS code, path FROM (SELECT contract_id, contract_date, contract_date + (contract_id::BIGINT % 7 - 1)::INT AS latest_start_date, contract_date + 3 AS completion_date FROM contracts), (VALUES ('contract_date.latest_start_date'), ('latest_start_date.completion_date')) v(path) WHERE CASE path WHEN 'contract_date.latest_start_date' THEN contract_date > latest_start_date ELSE latest_start_date > completion_date END")
+def f8_date_chain(s, d):
+    c = A.contracts(s, d).select("contract_id", "contract_date", F.expr("date_add(contract_date, cast(cast(contract_id as bigint) % 7 - 1 as int))").alias("latest_start_date"), F.date_add("contract_date", 3).alias("completion_date"))
+    return quality.date_chain_issues(c, ("contract_date", "latest_start_date", "completion_date"))
+
+
+@query("SELECT contract_id, 'warning' AS severity, 'security_percent_mismatch' AS code, 'securities.warranty' AS path FROM securities WHERE amount_percent <> 2 UNION ALL SELECT contract_id, 'warning', 'security_ends_early', 'securities.warranty' FROM securities WHERE valid_to < DATE '1996-01-01'")
+def f8_securities(s, d):
+    sec = A.securities(s, d)
+    return quality.security_issues(sec, sec.select("contract_id", "security_type", F.lit(2).cast("decimal(5,2)").alias("amount_percent"), F.lit("1996-01-01").cast("date").alias("valid_to")))
+
+
+@query("SELECT contract_id, 'warning' AS severity, 'offer_price_differs' AS code, 'prices' AS path FROM contract_prices WHERE contract_id::BIGINT % 3 <> 0")
+def f8_offers(s, d):
+    offers = A.contract_prices(s, d).select("contract_id", (F.col("amount_net") + F.col("contract_id").cast("bigint") % 3).alias("offered"))
+    return quality.cross_document_issues(offers, A.contract_prices(s, d))
+
+
 # --- analytics ---------------------------------------------------------------------------------------------------------
 
 
@@ -508,6 +651,11 @@ def g14_payment_conditions(s, d):
     return analytics.payment_conditions(A.payment_items(s, d))
 
 
+@query("SELECT contract_id, requirement_code, requirement_type, requirement_text, numeric_limit, unit FROM technical_requirements")
+def g14_technical_criteria(s, d):
+    return analytics.technical_criteria(A.technical_requirements(s, d))
+
+
 PRIMARY_SQL = "prim AS (SELECT project_id, contract_id, contract_code FROM contracts QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY contract_code, contract_id) = 1)"
 
 
@@ -541,32 +689,105 @@ def h5_availability(s, d):
 
 @query("SELECT user_id::VARCHAR AS project_code, nullif(count(*) FILTER (WHERE event_type = 'error'), 0) AS defect_count FROM events GROUP BY 1")
 def h6_defect_counts(s, d):
-    return facts.defect_counts(A.read(s, d, "events").select(F.col("user_id").cast("string").alias("project_code"), F.when(F.col("event_type") == "error", "defect").otherwise("note").alias("observation_type")))
+    return facts.defect_counts(A.read(s, d, "events").select(F.col("user_id").cast("string").alias("project_code"), F.when(F.col("event_type") == "error", "open_item").otherwise("note").alias("observation_type")))
+
+
+def line_segments(s, d):
+    n = F.col("flow_order")
+    kind = F.when(n % 3 == 0, "base_drain").when(n % 3 == 1, "plot_line").otherwise("vertical_stacks")
+    return A.segments(s, d).select("contract_id", F.when(n % 2 == 0, "JV").otherwise("SV").alias("system_type"), kind.alias("segment_type"), "flow_order", F.col("segment_type").alias("segment_name"), F.concat(F.lit("From "), "segment_type").alias("boundary_text"))
 
 
-@query(f"""WITH {FINANCE_SQL}, {PRIMARY_SQL}, {SCOPE_SQL}, sg AS (SELECT contract_id, string_agg(segment_names, ' / ' ORDER BY system_type) AS segments FROM sf GROUP BY 1),
-m AS (SELECT p.project_code, p.project_type, q.apartment_count AS apartments_count, q.building_count AS buildings_count, prim.contract_code, f.contract_price, f.schedule_total, f.difference, f.price_matches, CASE WHEN f.contract_id IS NULL THEN NULL WHEN f.items IS NULL THEN 'not_found' WHEN f.price_matches THEN 'structured_and_matches' ELSE 'structured_but_mismatch' END AS payment_status, sg.segments, CASE WHEN p.project_id::INT % 4 = 0 THEN 'warning' ELSE 'ok' END AS text_status FROM projects p LEFT JOIN properties q USING (project_id) LEFT JOIN prim USING (project_id) LEFT JOIN fin f ON f.contract_id = prim.contract_id LEFT JOIN sg ON sg.contract_id = prim.contract_id),
-n AS (SELECT *, list_filter([CASE WHEN apartments_count IS NULL THEN 'apartments_count' END, CASE WHEN contract_price IS NULL THEN 'contract_price' END, CASE WHEN coalesce(payment_status, 'not_found') = 'not_found' THEN 'payment_schedule' END, CASE WHEN segments IS NULL THEN 'scope' END], lambda x: x IS NOT NULL) AS missing, list_filter([CASE WHEN text_status = 'warning' THEN 'text_layer' END], lambda x: x IS NOT NULL) AS weak FROM m)
-SELECT project_code, project_type, apartments_count, buildings_count, contract_code, contract_price, schedule_total, difference, price_matches, payment_status, segments, text_status, missing, weak,
-CASE WHEN list_contains(missing, 'apartments_count') OR list_contains(missing, 'contract_price') THEN 'not_ready' WHEN price_matches = false OR list_contains(missing, 'payment_schedule') THEN 'needs_review' ELSE 'ready' END AS readiness,
-coalesce(CASE WHEN list_contains(missing, 'apartments_count') THEN 'apartments_count' WHEN list_contains(missing, 'contract_price') THEN 'contract_price' WHEN list_contains(missing, 'payment_schedule') THEN 'payment_schedule' END, CASE WHEN price_matches = false THEN 'payment_total_mismatch' END) AS next_blocker, CASE WHEN len(missing) = 0 AND len(weak) = 0 THEN 'strong' WHEN len(missing) <= 3 AND len(weak) <= 4 THEN 'medium' ELSE 'weak' END AS confidence FROM n""")
+LINES_SQL = """ls AS (SELECT contract_id, CASE WHEN flow_order % 2 = 0 THEN 'JV' ELSE 'SV' END AS sy, CASE flow_order % 3 WHEN 0 THEN 'base_drain' WHEN 1 THEN 'plot_line' ELSE 'vertical_stacks' END AS kind, flow_order, segment_type AS nm FROM segments),
+ln AS (SELECT contract_id, string_agg(nm, '; ' ORDER BY flow_order, nm) FILTER (WHERE sy = 'JV') AS jv_scope_summary, string_agg(nm, '; ' ORDER BY flow_order, nm) FILTER (WHERE sy = 'SV') AS sv_scope_summary, arg_min('From ' || nm, (sy, flow_order, nm)) FILTER (WHERE kind = 'base_drain') AS bottom_drain_scope, arg_min('From ' || nm, (sy, flow_order, nm)) FILTER (WHERE kind = 'plot_line') AS yard_line_scope FROM ls GROUP BY 1)"""
+
+
+@query(f"WITH {LINES_SQL} SELECT * FROM ln")
+def h3_line_facts(s, d):
+    return facts.line_facts(line_segments(s, d))
+
+
+#: Which table gives an availability flag its structured rows, in SQL; the others come by document or text evidence.
+def _avail(name: str, structured: str, documents: str = "false", texts: str = "false") -> str:
+    return f"CASE WHEN {structured} THEN 'structured' WHEN {documents} THEN 'document_evidence' WHEN {texts} THEN 'text_evidence' ELSE 'missing' END AS {name}"
+
+
+@query(f"""WITH {FINANCE_SQL}, {PRIMARY_SQL}, {LINES_SQL}, dc AS (SELECT project_code, count(*) AS defects FROM operations WHERE kind = 'quality_issue' GROUP BY 1),
+m AS (SELECT p.project_code, CASE WHEN p.project_id::INT % 7 = 0 THEN 'fail' WHEN p.project_id::INT % 4 = 0 THEN 'warning' ELSE 'ok' END AS text_layer_status, q.apartment_count AS apartments_count, q.building_count AS buildings_count, ln.jv_scope_summary, ln.sv_scope_summary, ln.bottom_drain_scope, ln.yard_line_scope, f.contract_price, f.schedule_total AS payment_schedule_total, f.price_matches AS payment_schedule_matches_contract_price, f.difference AS payment_schedule_difference,
+CASE WHEN f.items IS NULL THEN 'not_found' WHEN f.price_matches THEN 'structured_and_matches' ELSE 'structured_but_mismatch' END AS payment_schedule_evidence_status, {_avail('u', 'p.project_code IN (SELECT project_code FROM prim JOIN projects USING (project_id) WHERE contract_id IN (SELECT contract_id FROM contract_unit_prices))', 'p.project_id::INT % 2 = 0')},
+{_avail('se', 'prim.contract_id IN (SELECT contract_id FROM securities)', 'p.project_id::INT % 3 = 0')}, {_avail('ins', 'prim.contract_id IN (SELECT contract_id FROM insurances)')}, {_avail('qu', 'prim.contract_id IN (SELECT contract_id FROM quality_requirements)', 'false', 'p.project_id::INT % 5 = 0')}, {_avail('vi', 'false', 'p.project_id::INT % 3 = 0', 'p.project_id::INT % 2 = 0')},
+{_avail('ha', "p.project_code IN (SELECT project_code FROM operations WHERE kind = 'handover')")}, {_avail('wa', 'false', 'false', "p.project_code IN (SELECT project_code FROM operations WHERE kind = 'warranty')")}, dc.defects AS defects_or_open_items_count
+FROM projects p LEFT JOIN properties q USING (project_id) LEFT JOIN prim USING (project_id) LEFT JOIN fin f ON f.contract_id = prim.contract_id LEFT JOIN ln ON ln.contract_id = prim.contract_id LEFT JOIN dc ON dc.project_code = p.project_code),
+n AS (SELECT *, list_filter([CASE WHEN apartments_count IS NULL THEN 'apartments_count' END, CASE WHEN buildings_count IS NULL THEN 'buildings_count' END, 'staircases_count', 'floors_count', 'floor_area_m2', 'business_premises_count', 'jv_verticals_count', 'sv_verticals_count', CASE WHEN jv_scope_summary IS NULL THEN 'jv_scope_summary' END, CASE WHEN sv_scope_summary IS NULL THEN 'sv_scope_summary' END,
+CASE WHEN bottom_drain_scope IS NULL THEN 'bottom_drain_scope' END, CASE WHEN yard_line_scope IS NULL THEN 'yard_line_scope' END, CASE WHEN contract_price IS NULL THEN 'contract_price' END, CASE WHEN payment_schedule_total IS NULL THEN 'payment_schedule_total' END, CASE WHEN contract_price IS NULL OR apartments_count IS NULL THEN 'price_per_apartment' END, CASE WHEN u = 'missing' THEN 'unit_prices_available' END,
+CASE WHEN se = 'missing' THEN 'securities_available' END, CASE WHEN ins = 'missing' THEN 'insurance_available' END, CASE WHEN qu = 'missing' THEN 'quality_requirements_available' END, CASE WHEN vi = 'missing' THEN 'video_inspection_available' END, CASE WHEN ha = 'missing' THEN 'handover_or_reception_available' END, CASE WHEN defects_or_open_items_count IS NULL THEN 'defects_or_open_items_count' END, CASE WHEN wa = 'missing' THEN 'warranty_notes_available' END], lambda x: x IS NOT NULL) AS missing,
+list_filter([CASE WHEN u LIKE '%evidence' THEN 'unit_prices_available' END, CASE WHEN se LIKE '%evidence' THEN 'securities_available' END, CASE WHEN ins LIKE '%evidence' THEN 'insurance_available' END, CASE WHEN qu LIKE '%evidence' THEN 'quality_requirements_available' END, CASE WHEN vi LIKE '%evidence' THEN 'video_inspection_available' END, CASE WHEN ha LIKE '%evidence' THEN 'handover_or_reception_available' END, CASE WHEN wa LIKE '%evidence' THEN 'warranty_notes_available' END], lambda x: x IS NOT NULL) AS weak FROM m),
+o AS (SELECT *, list_filter(missing, lambda f: list_contains([{", ".join(repr(x) for x in facts.BLOCKING_MISSING)}], f)) AS bm FROM n)
+SELECT project_code, text_layer_status, apartments_count, buildings_count, jv_scope_summary, sv_scope_summary, bottom_drain_scope, yard_line_scope, contract_price, payment_schedule_total, payment_schedule_matches_contract_price, payment_schedule_difference, payment_schedule_evidence_status, u <> 'missing' AS unit_prices_available, se <> 'missing' AS securities_available, ins <> 'missing' AS insurance_available, qu <> 'missing' AS quality_requirements_available, vi <> 'missing' AS video_inspection_available, ha <> 'missing' AS handover_or_reception_available, wa <> 'missing' AS warranty_notes_available, defects_or_open_items_count,
+array_to_string(missing, ',') AS missing_fields, array_to_string(weak, ',') AS weak_evidence_fields, array_to_string(bm, ',') AS blocking_missing_fields, CASE WHEN text_layer_status = 'fail' THEN 'text_layer_status' ELSE bm[1] END AS next_blocker, CASE WHEN text_layer_status = 'fail' OR list_contains(bm, 'apartments_count') OR list_contains(bm, 'contract_price') THEN 'not_ready' ELSE 'needs_review' END AS kg_readiness_status, 'weak' AS confidence_summary,
+array_to_string(list_filter([CASE text_layer_status WHEN 'fail' THEN 'text_layer_status is fail' WHEN 'warning' THEN 'text layer has warnings but not blocking failures' END, 'blocking missing fields: ' || array_to_string(bm, ', '), CASE WHEN payment_schedule_matches_contract_price = false THEN 'payment schedule total does not match contract price' END, CASE WHEN payment_schedule_evidence_status = 'not_found' THEN 'payment schedule was not found' END], lambda x: x IS NOT NULL), '; ') AS kg_readiness_reasons FROM o""")
 def h1_fact_matrix(s, d):
     p, c = A.projects(s, d), A.contracts(s, d)
-    scopes = facts.scope_facts(A.segments(s, d)).groupBy("contract_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("system_type", "segment_names"))), lambda x: x["segment_names"]), " / ").alias("segments"))
-    status = p.select("project_id", F.when(F.col("project_id").cast("int") % 4 == 0, "warning").otherwise("ok").alias("text_status"))
+    prim = analytics.primary_contract(c)
+    own = prim.join(p, "project_id").select("contract_id", "project_code")
+    of = lambda df: own.join(df, "contract_id", "left_semi")
+    some = lambda n: p.where(F.col("project_id").cast("int") % n == 0)
+    none, ops = p.limit(0), A.operations(s, d)
+    flags = {
+        "unit_prices_available": (of(A.contract_unit_prices(s, d)), some(2), none), "securities_available": (of(A.securities(s, d)), some(3), none), "insurance_available": (of(A.insurances(s, d)), none, none),
+        "quality_requirements_available": (of(A.quality_requirements(s, d)), none, some(5)), "video_inspection_available": (none, some(3), some(2)), "handover_or_reception_available": (ops.where("kind = 'handover'"), none, none), "warranty_notes_available": (none, none, ops.where("kind = 'warranty'")),
+    }
+    available = p.select("project_code")
+    for name, (structured, documents_, texts) in flags.items():
+        available = available.join(facts.availability(p, name, structured, documents_, texts), "project_code")
+    n = F.col("project_id").cast("int")
+    status = p.select("project_id", F.when(n % 7 == 0, "fail").when(n % 4 == 0, "warning").otherwise("ok").alias("text_layer_status"))
+    defects = facts.defect_counts(ops.select("project_code", F.col("kind").alias("observation_type")))
     finance = facts.finance_facts(c, A.contract_prices(s, d), A.payment_items(s, d))
-    return facts.fact_matrix(p, A.properties(s, d), analytics.primary_contract(c), finance, scopes, status).drop("price_per_apartment")
+    out = facts.fact_matrix(p, A.properties(s, d), prim, finance, facts.line_facts(line_segments(s, d)), status, available, defects)
+    columns = ["project_code", "text_layer_status", "apartments_count", "buildings_count", "jv_scope_summary", "sv_scope_summary", "bottom_drain_scope", "yard_line_scope", "contract_price", "payment_schedule_total", "payment_schedule_matches_contract_price", "payment_schedule_difference", "payment_schedule_evidence_status", *facts.AVAILABILITY, "defects_or_open_items_count"]
+    return out.select(*columns, *[F.array_join(x, ",").alias(x) for x in ("missing_fields", "weak_evidence_fields", "blocking_missing_fields")], "next_blocker", "kg_readiness_status", "confidence_summary", "kg_readiness_reasons")
 
 
 # --- graph -------------------------------------------------------------------------------------------------------------
 
 
+def guidance_graph_items(s, d):
+    items = extract.guidance_items(guidance_sentences(s, d)).withColumn("item_id", F.concat_ws("-", "document_id", "page_no", "sentence_no")).withColumn("section_id", F.concat_ws("-", "document_id", "page_no"))
+    return graph.guidance_tables(items)
+
+
 def graph_data(s: SparkSession, d: str) -> dict[str, DataFrame]:
     p, c = A.projects(s, d), A.contracts(s, d)
     code = c.join(p, "project_id").select("contract_id", "project_code")
     add = lambda df: df.join(code, "contract_id")
-    seg, scopes = add(A.segments(s, d)), add(A.scope_items(s, d))
-    return {"projects": p, "contracts": c.join(p, "project_id"), "parties": A.parties(s, d), "contract_parties": add(A.contract_parties(s, d)), "payment_items": add(A.payment_items(s, d)), "segments": seg, "scope_items": scopes, "last_scopes": graph.last_scopes(scopes, seg), "documents": A.source_files(s, d)}
+    files = A.source_files(s, d)
+    owned = files.withColumn("contract_id", F.col("file_id").cast("string")).join(code.select("contract_id", F.col("project_code").alias("owner")), "contract_id", "left").withColumn("contract_id", F.when(F.col("owner").isNotNull(), F.col("contract_id"))).withColumn("project_code", F.coalesce("owner", "project_code")).drop("owner")
+    owned = materialize(owned, "documents")
+    file_of = owned.where("contract_id is not null").select("contract_id", "file_id")
+    sections_ = A.pages(s, d).where("trim(raw_text) <> ''").select("file_id", "page_no").join(owned.select("file_id", "project_code", "document_type"), "file_id")
+    sections_ = sections_.select("file_id", "project_code", "page_no", F.concat_ws("#", "file_id", "page_no").alias("section_id"), F.format_string("page_%03d", "page_no").alias("section_key"), F.concat(F.col("document_type"), F.lit("_"), F.format_string("page_%03d", "page_no")).alias("clause_key"), F.lit("page_text").alias("clause_type"))
+    items = materialize(add(A.payment_items(s, d)), "payment_items")
+    part = A.read(s, d, "part").select(F.col("p_partkey").cast("string").alias("part_id"), F.col("p_type").alias("system_type"), F.col("p_name").alias("item_name"), F.col("p_brand").alias("segment_type"))
+    scopes = materialize(items.join(part, "part_id").select("contract_id", "project_code", F.concat_ws("-", "contract_id", "item_no").alias("item_code"), "system_type", "item_name", "segment_type"), "scopes")
+    seg = scopes.groupBy("contract_id", "project_code", "system_type", "segment_type").agg(F.lit(1).alias("one")).withColumn("segment_id", F.concat_ws("|", "contract_id", "system_type", "segment_type"))
+    client = c.join(p, "project_id").select("contract_id", "project_code", F.concat(F.lit("client:"), "client_id").alias("party_id"))
+    members = client.unionByName(items.select("contract_id", "project_code", F.concat(F.lit("contractor:"), "supplier_id").alias("party_id")).distinct())
+    first_price = items.groupBy("part_id").agg(F.min("contract_id").alias("contract_id"))
+    prices = A.unit_prices(s, d).join(first_price, "part_id").select("contract_id", F.concat(F.lit("UP-"), "part_id").alias("unit_price_code"), "item_name", "unit_price")
+    g, laws = guidance_graph_items(s, d)
+    g = materialize(g, "guidance")
+    laws = g.select("item_id", "entity_type", F.explode("legal_references").alias("law"))
+    clause = F.when(F.col("n").isNotNull(), F.concat_ws("#", "file_id", F.lit(1)))
+    has_first = A.pages(s, d).where("page_no = 1 and trim(raw_text) <> ''").select("file_id", F.lit(1).alias("n"))
+    bounds = add(A.boundaries(s, d)).join(file_of, "contract_id", "left").join(has_first, "file_id", "left").withColumn("source_clause_id", clause)
+    return {
+        "projects": p, "properties": A.properties(s, d).join(p, "project_id"), "contracts": c.join(p, "project_id"), "parties": A.parties(s, d), "contract_parties": members, "documents": owned, "sections": sections_, "clauses": sections_,
+        "payment_items": items.join(file_of, "contract_id", "left"), "segments": seg, "scope_items": scopes, "last_scopes": graph.last_scopes(scopes, seg), "boundaries": bounds, "responsibilities": add(A.responsibilities(s, d)),
+        "technical_requirements": add(A.technical_requirements(s, d)), "quality_requirements": add(A.quality_requirements(s, d)), "inspections": add(A.inspections(s, d)), "unit_prices": add(prices),
+        "securities": add(A.securities(s, d)), "insurances": add(A.insurances(s, d)), "operations": A.operations(s, d), "guidance_items": g, "guidance_laws": laws,
+        "guidance_documents": g.select("document_id").distinct().withColumn("title", F.concat(F.lit("Guide "), "document_id")), "guidance_sections": g.select("document_id", "section_id", F.col("page_no").alias("section_number")).distinct(),
+    }
 
 
 def graph_tables(s, d):
@@ -576,19 +797,42 @@ def graph_tables(s, d):
     return entities, relations, graph.build_evidence(entities, relations), orphans
 
 
-GRAPH_SQL = """pc AS (SELECT contract_id, project_code FROM contracts JOIN projects USING (project_id)),
+GUIDE_ITEMS_SQL = f"""{GUIDANCE_SQL}, gi AS (SELECT document_id, page_no, document_id || '-' || page_no || '-' || sentence_no AS item_id, document_id || '-' || page_no AS section_id, CASE contract_type WHEN '1-URGENT' THEN 'decision_point' WHEN '2-HIGH' THEN 'actor_responsibility' WHEN '3-MEDIUM' THEN 'risk_warning' ELSE 'legal_cross_reference' END AS item_type,
+CASE contract_type WHEN '1-URGENT' THEN 'decision_point' WHEN '2-HIGH' THEN 'guidance_item' WHEN '3-MEDIUM' THEN 'risk_warning' ELSE 'legal_cross_reference' END AS entity_type, CASE contract_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in GUIDANCE_WORDS.items())} END AS summary, 'condition_survey' AS stage, CASE contract_type WHEN '3-MEDIUM' THEN 'sewer_condition' ELSE 'condition_survey' END AS topic_code, CASE WHEN contract_type = '4-NOT SPECIFIED' THEN 'rakennustyon_turvallisuusasetus_205_2009' END AS law FROM g)"""
+
+_child = lambda kind, table, key, name: f"SELECT '{kind}' AS entity_type, {key} AS k, {name} AS display_name, project_code, '{table}' AS source_table FROM {'segments' if table == 'segments' else 'contract_unit_prices' if table == 'unit_prices' else table} JOIN pc USING (contract_id)"
+_CHILD_SQL = (
+    ("payment_item", "payment_items", "contract_id || '-' || item_no", "item_no || '. item'", "CONTAINS"), ("scope_item", "scope_items", "item_code", "item_name", "DEFINES"), ("sewer_segment", "segments", "segment_id", "segment_type", "DEFINES"),
+    ("boundary", "boundaries", "boundary_id", "system_type", "DEFINES"), ("responsibility", "responsibilities", "responsibility_key", "responsibility_area", "DEFINES"), ("technical_requirement", "technical_requirements", "requirement_code", "requirement_text", "REQUIRES"),
+    ("quality_requirement", "quality_requirements", "requirement_key", "requirement_text", "REQUIRES"), ("inspection", "inspections", "inspection_key", "inspection_text", "REQUIRES"), ("unit_price", "unit_prices", "unit_price_code", "item_name", "CONTAINS"),
+    ("security", "securities", "security_id", "security_type", "CONTAINS"), ("insurance", "insurances", "insurance_id", "insurance_type", "CONTAINS"),
+)
+_real = lambda table: "contract_unit_prices" if table == "unit_prices" else table
+GRAPH_SQL = f"""{GUIDE_ITEMS_SQL}, pc AS MATERIALIZED (SELECT contract_id, project_code FROM contracts JOIN projects USING (project_id)),
+df AS MATERIALIZED (SELECT file_id, filename, document_type, pc.contract_id, coalesce(pc.project_code, f.project_code) AS project_code FROM source_files f LEFT JOIN pc ON pc.contract_id = f.file_id),
+sx AS MATERIALIZED (SELECT file_id, page_no, file_id || '#' || page_no AS section_id, printf('page_%03d', page_no) AS section_key, df.document_type || printf('_page_%03d', page_no) AS clause_key, df.project_code FROM doc_pages JOIN df USING (file_id) WHERE trim(raw_text) <> ''),
 er AS (SELECT 'project' AS entity_type, project_code AS k, project_code AS display_name, project_code, 'projects' AS source_table FROM projects UNION ALL SELECT 'contract', contract_id, contract_code, project_code, 'contracts' FROM contracts JOIN pc USING (contract_id) UNION ALL SELECT 'party', party_id, party_code, NULL, 'parties' FROM parties
-UNION ALL SELECT 'payment_item', contract_id || '-' || item_no, item_no || '. item', project_code, 'payment_items' FROM payment_items JOIN pc USING (contract_id) UNION ALL SELECT 'sewer_segment', segment_id, segment_type, project_code, 'segments' FROM segments JOIN pc USING (contract_id)
-UNION ALL SELECT 'scope_item', item_code, item_name, project_code, 'scope_items' FROM scope_items JOIN pc USING (contract_id) UNION ALL SELECT 'document', file_id, filename, project_code, 'documents' FROM source_files),
-ent AS (SELECT sha256(entity_type || chr(1) || entity_type || ':' || k) AS entity_id, entity_type, entity_type || ':' || k AS canonical_key, display_name, project_code, source_table, k AS source_id FROM er),
-rr AS (SELECT 'HAS_CONTRACT' AS relation_type, 'project' AS st, project_code AS sk, 'contract' AS ot, contract_id AS ok, project_code, 'contracts' AS source_table, contract_id AS source_id FROM contracts JOIN pc USING (contract_id)
-UNION ALL SELECT 'HAS_PARTY', 'contract', contract_id, 'party', party_id, project_code, 'contract_parties', contract_id FROM contract_parties JOIN pc USING (contract_id) UNION ALL SELECT 'CONTAINS', 'contract', contract_id, 'payment_item', contract_id || '-' || item_no, project_code, 'payment_items', contract_id || '-' || item_no FROM payment_items JOIN pc USING (contract_id)
-UNION ALL SELECT 'DEFINES', 'contract', contract_id, 'sewer_segment', segment_id, project_code, 'segments', segment_id FROM segments JOIN pc USING (contract_id) UNION ALL SELECT 'DEFINES', 'contract', contract_id, 'scope_item', item_code, project_code, 'scope_items', item_code FROM scope_items JOIN pc USING (contract_id)
-UNION ALL SELECT 'AFFECTS', 'scope_item', item_code, 'sewer_segment', segment_id, project_code, 'last_scopes', item_code FROM (SELECT contract_id, system_type, max(item_code) AS item_code FROM scope_items GROUP BY ALL) JOIN segments USING (contract_id, system_type) JOIN pc USING (contract_id)
-UNION ALL SELECT 'HAS_DOCUMENT', 'project', project_code, 'document', file_id, project_code, 'documents', file_id FROM source_files),
-ri AS (SELECT sha256(st || chr(1) || st || ':' || sk) AS subject_id, relation_type, sha256(ot || chr(1) || ot || ':' || ok) AS object_id, project_code, source_table, source_id FROM rr WHERE ok IS NOT NULL),
-rel AS (SELECT sha256(subject_id || chr(1) || relation_type || chr(1) || object_id) AS relation_id, * FROM ri WHERE subject_id IN (SELECT entity_id FROM ent) AND object_id IN (SELECT entity_id FROM ent)),
-ev AS (SELECT entity_id, NULL AS relation_id, project_code, source_table, source_id FROM ent UNION ALL SELECT NULL, relation_id, project_code, source_table, source_id FROM rel)"""
+UNION ALL SELECT 'property', project_id || '-' || property_code, property_code, project_code, 'properties' FROM properties JOIN projects USING (project_id) UNION ALL SELECT 'document', file_id, filename, project_code, 'documents' FROM df
+UNION ALL SELECT 'section', section_id, section_key, project_code, 'sections' FROM sx UNION ALL SELECT 'clause', section_id, clause_key, project_code, 'clauses' FROM sx
+UNION ALL {" UNION ALL ".join(f"SELECT '{kind}', {key}, {name}, project_code, '{table}' FROM {_real(table)} JOIN pc USING (contract_id)" for kind, table, key, name, _ in _CHILD_SQL)}
+UNION ALL SELECT CASE kind WHEN 'event' THEN 'event' WHEN 'handover' THEN 'handover' WHEN 'warranty' THEN 'warranty_issue' ELSE 'defect' END, event_id, CASE kind WHEN 'event' THEN event_type WHEN 'handover' THEN 'handover' ELSE kind || ' ' || event_type END, project_code, 'operations' FROM operations
+UNION ALL SELECT DISTINCT 'guidance_document', document_id, 'Guide ' || document_id, NULL, 'guidance_documents' FROM gi UNION ALL SELECT DISTINCT 'guidance_section', section_id, page_no::VARCHAR, NULL, 'guidance_sections' FROM gi UNION ALL SELECT entity_type, item_id, summary, NULL, 'guidance_items' FROM gi
+UNION ALL SELECT DISTINCT 'process_stage', stage, stage, NULL, 'guidance_items' FROM gi UNION ALL SELECT DISTINCT 'legal_cross_reference', law, law, NULL, 'guidance_laws' FROM gi WHERE law IS NOT NULL),
+ent AS MATERIALIZED (SELECT md5(entity_type || chr(1) || entity_type || ':' || k) AS entity_id, entity_type, entity_type || ':' || k AS canonical_key, display_name, project_code, source_table, k AS source_id FROM er),
+rr AS (SELECT 'HAS_CONTRACT' AS relation_type, 'project' AS st, project_code AS sk, 'contract' AS ot, contract_id AS ok, project_code, 'contracts' AS source_table, contract_id AS source_id, 1.0 AS confidence FROM contracts JOIN pc USING (contract_id)
+UNION ALL SELECT 'CONTAINS', 'project', project_code, 'property', project_id || '-' || property_code, project_code, 'properties', project_id, 1.0 FROM properties JOIN projects USING (project_id) UNION ALL SELECT 'HAS_PARTY', 'contract', contract_id, 'party', party_id, project_code, 'contract_parties', contract_id, 1.0 FROM contract_parties JOIN pc USING (contract_id)
+UNION ALL SELECT 'HAS_DOCUMENT', 'project', project_code, 'document', file_id, project_code, 'documents', file_id, 1.0 FROM df UNION ALL SELECT 'HAS_DOCUMENT', 'contract', contract_id, 'document', file_id, project_code, 'documents', file_id, 1.0 FROM df WHERE contract_id IS NOT NULL
+UNION ALL SELECT 'HAS_SECTION', 'document', file_id, 'section', section_id, project_code, 'sections', section_id, 1.0 FROM sx UNION ALL SELECT 'HAS_CLAUSE', 'section', section_id, 'clause', section_id, project_code, 'clauses', section_id, 1.0 FROM sx
+UNION ALL {" UNION ALL ".join(f"SELECT '{rel}', 'contract', contract_id, '{kind}', {key}, project_code, '{table}', {key}, 1.0 FROM {_real(table)} JOIN pc USING (contract_id)" for kind, table, key, _, rel in _CHILD_SQL)}
+UNION ALL SELECT 'SUPPORTED_BY', 'payment_item', contract_id || '-' || item_no, 'document', file_id, df.project_code, 'payment_items', contract_id || '-' || item_no, 1.0 FROM payment_items JOIN df USING (contract_id) UNION ALL SELECT 'SUPPORTED_BY', 'boundary', boundary_id, 'clause', section_id, sx.project_code, 'boundaries', boundary_id, 1.0 FROM boundaries JOIN sx ON contract_id = file_id AND page_no = 1 JOIN pc USING (contract_id)
+UNION ALL SELECT 'AFFECTS', 'scope_item', item_code, 'sewer_segment', segment_id, project_code, 'last_scopes', item_code, 1.0 FROM (SELECT contract_id, system_type, max(item_code) AS item_code FROM scope_items GROUP BY ALL) JOIN segments USING (contract_id, system_type) JOIN pc USING (contract_id)
+UNION ALL SELECT 'CONTAINS', 'project', project_code, CASE kind WHEN 'event' THEN 'event' WHEN 'handover' THEN 'handover' WHEN 'warranty' THEN 'warranty_issue' ELSE 'defect' END, event_id, project_code, 'operations', event_id, 1.0 FROM operations
+UNION ALL SELECT DISTINCT 'HAS_SECTION', 'guidance_document', document_id, 'guidance_section', section_id, NULL, 'guidance_sections', section_id, 1.0 FROM gi UNION ALL SELECT 'HAS_GUIDANCE_ITEM', 'guidance_document', document_id, entity_type, item_id, NULL, 'guidance_items', item_id, 0.9 FROM gi UNION ALL SELECT 'HAS_GUIDANCE_ITEM', 'guidance_section', section_id, entity_type, item_id, NULL, 'guidance_items', item_id, 0.9 FROM gi
+UNION ALL SELECT 'APPLIES_TO_STAGE', entity_type, item_id, 'process_stage', stage, NULL, 'guidance_items', item_id, 0.9 FROM gi UNION ALL SELECT 'GUIDES', entity_type, item_id, 'process_stage', stage, NULL, 'guidance_items', item_id, 0.9 FROM gi UNION ALL SELECT 'MENTIONS_LEGAL_SOURCE', entity_type, item_id, 'legal_cross_reference', law, NULL, 'guidance_laws', item_id, 0.9 FROM gi WHERE law IS NOT NULL
+UNION ALL SELECT 'NEEDS_VERIFICATION_FROM_LAW', 'legal_cross_reference', law, 'legal_cross_reference', law, NULL, 'guidance_laws', min(item_id), 0.9 FROM gi WHERE law IS NOT NULL GROUP BY law),
+ri AS MATERIALIZED (SELECT md5(st || chr(1) || st || ':' || sk) AS subject_id, relation_type, md5(ot || chr(1) || ot || ':' || ok) AS object_id, project_code, source_table, source_id, confidence::DECIMAL(5,4) AS confidence FROM rr WHERE ok IS NOT NULL),
+rel AS MATERIALIZED (SELECT md5(subject_id || chr(1) || relation_type || chr(1) || object_id) AS relation_id, ri.* FROM ri SEMI JOIN ent s ON s.entity_id = subject_id SEMI JOIN (SELECT entity_id AS object_id FROM ent) o USING (object_id)),
+ev AS MATERIALIZED (SELECT entity_id, NULL AS relation_id, project_code, source_table, source_id, 1.0::DECIMAL(5,4) AS confidence, md5(concat_ws(chr(1), entity_id, '', source_table, source_id, 'derived')) AS evidence_id FROM ent UNION ALL SELECT NULL, relation_id, project_code, source_table, source_id, confidence, md5(concat_ws(chr(1), '', relation_id, source_table, source_id, 'derived')) FROM rel)"""
 
 
 @query(f"WITH {GRAPH_SQL} SELECT * FROM ent")
@@ -596,15 +840,16 @@ def i1_entities(s, d):
     return graph_tables(s, d)[0].drop("metadata")
 
 
-@query(f"WITH {GRAPH_SQL} SELECT * FROM rel")
+@query(f"WITH {GRAPH_SQL} SELECT relation_id, subject_id, relation_type, object_id, project_code, source_table, source_id, confidence FROM rel")
 def i2_relations(s, d):
-    return graph_tables(s, d)[1].drop("confidence")
+    return graph_tables(s, d)[1]
 
 
-@query()
+@query(f"WITH {GUIDE_ITEMS_SQL}, ends AS (SELECT 'APPLIES_TO_STAGE' AS relation_type, entity_type AS st, item_id AS sk, 'process_stage' AS ot, stage AS ok FROM gi UNION ALL SELECT 'GUIDES', entity_type, item_id, 'process_stage', stage FROM gi UNION ALL SELECT 'HAS_GUIDANCE_ITEM', 'guidance_document', document_id, entity_type, item_id FROM gi UNION ALL SELECT 'HAS_GUIDANCE_ITEM', 'guidance_section', section_id, entity_type, item_id FROM gi UNION ALL SELECT 'MENTIONS_LEGAL_SOURCE', entity_type, item_id, 'legal_cross_reference', law FROM gi WHERE law IS NOT NULL UNION ALL SELECT DISTINCT 'NEEDS_VERIFICATION_FROM_LAW', 'legal_cross_reference', law, 'legal_cross_reference', law FROM gi WHERE law IS NOT NULL) SELECT md5(st || chr(1) || st || ':' || sk) AS subject_id, relation_type, md5(ot || chr(1) || ot || ':' || ok) AS object_id FROM ends")
 def i3_guidance_graph(s, d):
-    items = extract.guidance_items(guidance_sentences(s, d)).withColumn("item_id", F.concat_ws("-", "document_id", "page_no", "sentence_no"))
-    return graph.guidance_relations(items)[1]
+    items, laws = guidance_graph_items(s, d)
+    specs = [r for r in graph.CONTRACT_RELATIONS if r.dataset in ("guidance_items", "guidance_laws")]
+    return graph.build_relations({"guidance_items": items, "guidance_laws": laws}, specs).select("subject_id", "relation_type", "object_id")
 
 
 @query(f"WITH {GRAPH_SQL} SELECT entity_id, relation_id, source_table, source_id FROM ev")
@@ -612,7 +857,7 @@ def i4_evidence(s, d):
     return graph_tables(s, d)[2].select("entity_id", "relation_id", "source_table", "source_id")
 
 
-@query(f"WITH {GRAPH_SQL} SELECT relation_type, source_table, count(*) AS rows FROM ri WHERE subject_id NOT IN (SELECT entity_id FROM ent) OR object_id NOT IN (SELECT entity_id FROM ent) GROUP BY ALL")
+@query(f"WITH {GRAPH_SQL} SELECT relation_type, source_table, count(*) AS rows FROM ri ANTI JOIN rel USING (subject_id, relation_type, object_id) GROUP BY ALL")
 def i5_orphans(s, d):
     return graph_tables(s, d)[3].groupBy("relation_type", "source_table").agg(F.count("*").alias("rows"))
 
@@ -634,13 +879,13 @@ def g5_project_graph(s, d):
     return analytics.project_graph(e, r)
 
 
-@query(f"WITH {GRAPH_SQL} SELECT p.project_code, (SELECT count(*) FROM ent e WHERE e.project_code = p.project_code) AS entities, 0 AS entities_without_evidence, (SELECT count(*) FROM rel r WHERE r.project_code = p.project_code) AS relations, 0 AS relations_without_evidence, (SELECT count(*) FROM ev v WHERE v.project_code = p.project_code) AS evidence FROM projects p")
+@query(f"WITH {GRAPH_SQL} SELECT p.project_code, coalesce(e.n, 0) AS entities, coalesce(e.bare, 0) AS entities_without_evidence, coalesce(r.n, 0) AS relations, coalesce(r.bare, 0) AS relations_without_evidence, coalesce(v.n, 0) AS evidence FROM projects p LEFT JOIN (SELECT ent.project_code, count(*) AS n, count(*) FILTER (WHERE v.entity_id IS NULL) AS bare FROM ent LEFT JOIN (SELECT DISTINCT entity_id FROM ev WHERE source_table <> 'boundaries') v USING (entity_id) GROUP BY 1) e USING (project_code) LEFT JOIN (SELECT rel.project_code, count(*) AS n, count(*) FILTER (WHERE v.relation_id IS NULL) AS bare FROM rel LEFT JOIN (SELECT DISTINCT relation_id FROM ev WHERE source_table <> 'boundaries') v USING (relation_id) GROUP BY 1) r USING (project_code) LEFT JOIN (SELECT project_code, count(*) AS n FROM ev WHERE source_table <> 'boundaries' GROUP BY 1) v USING (project_code)")
 def g6_readiness_summary(s, d):
     e, r, v, _ = graph_tables(s, d)
-    return analytics.readiness_summary(A.projects(s, d), e, r, v)
+    return analytics.readiness_summary(A.projects(s, d), e, r, v.where("source_table <> 'boundaries'"))  # so that some have none
 
 
-@query(f"WITH {GRAPH_SQL} SELECT relation_id, relation_type, project_code, source_table, source_id, 1.0::DECIMAL(5,4) AS confidence FROM rel")
+@query(f"WITH {GRAPH_SQL} SELECT relation_id, relation_type, project_code, source_table, source_id, confidence FROM rel")
 def g7_relation_evidence(s, d):
     _, r, v, _ = graph_tables(s, d)
     return analytics.relation_evidence(r, v).drop("evidence_id")
@@ -668,13 +913,23 @@ def j1_detect_topics(s, d):
 TERM_SQL = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
-@query(f"""WITH ix AS (SELECT chunk_id, len(w) AS doc_len, unnest(w) AS term FROM (SELECT chunk_id, {TERM_SQL.format("text")} AS w FROM chunks)), tf AS (SELECT chunk_id, term, count(*) AS tf, first(doc_len) AS doc_len FROM ix GROUP BY 1, 2),
-q AS (SELECT query_id, len(w) AS n_terms, unnest(w) AS term FROM (SELECT item_id AS query_id, list_distinct(list_slice({TERM_SQL.format("text")}, 1, 3)) AS w FROM benchmark)), st AS (SELECT count(*) AS n, avg(doc_len) AS avg_len FROM (SELECT DISTINCT chunk_id, doc_len FROM tf)), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-sc AS (SELECT query_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))) AS s FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY 1, 2 HAVING count(*) = first(n_terms))
-SELECT query_id, rank, chunk_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id)::INT AS rank FROM sc) WHERE rank <= 20""")
+STEM_SQL = "list_transform({}, lambda t: CASE WHEN length(t) >= 6 THEN regexp_replace(t, '" + search.ENDINGS + "', '') ELSE t END)"
+
+
+def _scores(n: str, w) -> str:
+    """The scores of one configuration; w makes terms of a text column."""
+    return f"""ix{n} AS MATERIALIZED (SELECT chunk_id, len(w) AS doc_len, unnest(w) AS term FROM (SELECT chunk_id, {w('text')} AS w FROM chunks)), tf{n} AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf, first(doc_len) AS doc_len FROM ix{n} GROUP BY 1, 2),
+q{n} AS MATERIALIZED (SELECT query_id, len(w) AS n_terms, unnest(w) AS term FROM (SELECT item_id AS query_id, list_distinct({w('text')}) AS w FROM benchmark)), st{n} AS (SELECT count(*) AS n, avg(doc_len) AS avg_len FROM (SELECT DISTINCT chunk_id, doc_len FROM tf{n})), df{n} AS (SELECT term, count(*) AS df FROM tf{n} GROUP BY term),
+sc{n} AS (SELECT query_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))) AS s FROM tf{n} JOIN df{n} USING (term) JOIN q{n} USING (term), st{n} GROUP BY 1, 2 HAVING count(*) = first(n_terms))"""
+
+
+TEXT_SQL = f"""{_scores('a', TERM_SQL.format)}, {_scores('b', lambda c: STEM_SQL.format(TERM_SQL.format(c)))}, sc AS (SELECT query_id, chunk_id, max(s) AS s FROM (SELECT * FROM sca UNION ALL SELECT * FROM scb) GROUP BY ALL),
+ft AS (SELECT query_id, rank, chunk_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id)::INT AS rank FROM sc) WHERE rank <= 20)"""
+
+
+@query(f"WITH {TEXT_SQL} SELECT * FROM ft")
 def g13_j2_fulltext_search(s, d):
-    queries = A.read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(search.terms(F.col("text")), 1, 3), " ").alias("query"))
-    return search.fulltext_search(search.inverted_index(A.chunks(s, d)), queries)
+    return search.fulltext_search(A.chunks(s, d), A.read(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings) SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM (SELECT q.vec_id AS query_id, v.vec_id, round(1 - list_dot_product(q.e, v.e) / (q.n * v.n), 9) AS distance,
@@ -695,8 +950,11 @@ def retrieval(s, d):
     of_relation = r.select("relation_id", F.col("project_code").alias("pr"))
     evidence = search.fetch_evidence(hits, found, v).join(code, "entity_id", "left").join(of_relation, "relation_id", "left").withColumn("project_code", F.coalesce("pe", "pr")).drop("pe", "pr")
     evidence = materialize(evidence, "evidence")
-    nations = section_rows(s, d).withColumn("project_code", F.concat(F.lit("NATION_"), F.regexp_extract("project_code", r"(\d+)", 1)))
-    context = materialize(packets.text_context(evidence, q, A.pages(s, d), nations), "context")
+    nations = section_rows(s, d).withColumn("project_code", F.concat(F.lit("NATION_"), F.regexp_extract("project_code", r"(\d+)", 1))).withColumn("title", F.lit(None).cast("string"))
+    lines = A.pages(s, d).select(F.concat_ws("#", "file_id", "page_no").alias("text_id"), "document_type", F.col("raw_text").alias("text"))
+    guide_pages = guidance_sentences(s, d).groupBy(F.concat_ws("-", "document_id", "page_no").alias("text_id")).agg(F.min_by("sentence", "sentence_no").alias("text")).withColumn("document_type", F.lit("guidance_document"))
+    texts = packets.union_all(lines.withColumn("source_type", F.lit("clause")), lines.withColumn("source_type", F.lit("section")), guide_pages.withColumn("source_type", F.lit("raw_page")))
+    context = materialize(packets.text_context(evidence, q, texts, A.pages(s, d), nations), "context")
     status = materialize(packets.evidence_status(evidence, context), "status")
     return q, hits, found, evidence, context, status, packets.coverage(q, hits, status, context)
 
@@ -713,27 +971,50 @@ def g9_j4_search_entities(s, d):
     return search.search_entities(search.detect_topics(A.questions(s, d)), graph_tables(s, d)[0])
 
 
-@query()
+RELTYPES_SQL = f"""rt AS (SELECT question_id, list_distinct(flatten([{", ".join(f"CASE WHEN list_contains(t, '{c}') THEN {_sql_list(rt)} ELSE []::VARCHAR[] END" for c, _, _, rt, _ in R.TOPICS)}])) AS kinds FROM tp)"""
+FOUND_SQL = f"""{HITS_SQL}, {RELTYPES_SQL}, near AS (SELECT DISTINCT question_id, rel.* FROM hits JOIN rel ON subject_id = entity_id UNION SELECT DISTINCT question_id, rel.* FROM hits JOIN rel ON object_id = entity_id),
+found AS (SELECT * FROM (SELECT near.*, row_number() OVER (PARTITION BY question_id ORDER BY relation_type, relation_id)::INT AS rank FROM near JOIN rt USING (question_id) WHERE len(kinds) = 0 OR list_contains(kinds, relation_type)) WHERE rank <= 25)"""
+
+
+@query(f"WITH {FOUND_SQL} SELECT question_id, relation_id, subject_id, relation_type, object_id, project_code, source_table, source_id, confidence, rank FROM found")
 def g11_j5_fetch_relations(s, d):
     return retrieval(s, d)[2]
 
 
-@query()
+@query(f"""WITH {FOUND_SQL}, told AS (SELECT DISTINCT question_id, ev.evidence_id, ev.entity_id, ev.relation_id, ev.source_table, ev.source_id, ev.confidence, ev.project_code FROM hits JOIN ev USING (entity_id) UNION SELECT DISTINCT question_id, ev.evidence_id, ev.entity_id, ev.relation_id, ev.source_table, ev.source_id, ev.confidence, ev.project_code FROM found JOIN ev USING (relation_id))
+SELECT question_id, evidence_id, entity_id, relation_id, source_table, source_id, confidence, project_code, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY confidence DESC, evidence_id)::INT AS rank FROM told) WHERE rank <= 25""")
 def g10_j6_fetch_evidence(s, d):
-    return retrieval(s, d)[3]
+    return retrieval(s, d)[3].drop("evidence_note")
 
 
-@query()
+CONTEXT_SQL = f"""{FOUND_SQL}, {SECTIONS_SQL}, told AS (SELECT DISTINCT question_id, ev.evidence_id, ev.entity_id, ev.relation_id, ev.source_table, ev.source_id, ev.confidence, ev.project_code FROM hits JOIN ev USING (entity_id) UNION SELECT DISTINCT question_id, ev.evidence_id, ev.entity_id, ev.relation_id, ev.source_table, ev.source_id, ev.confidence, ev.project_code FROM found JOIN ev USING (relation_id)),
+evx AS MATERIALIZED (SELECT * FROM told QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY confidence DESC, evidence_id) <= 25), kwt AS (SELECT question_id, keywords FROM tp),
+dir AS (SELECT question_id, evidence_id, 'direct_clause' AS status, 'clause' AS source_type, source_id AS text_id FROM evx WHERE source_table = 'clauses' UNION ALL SELECT question_id, evidence_id, 'direct_section', 'section', source_id FROM evx WHERE source_table = 'sections' UNION ALL SELECT question_id, evidence_id, 'direct_page', 'raw_page', regexp_extract(source_id, '^(.*)-[^-]*$', 1) FROM evx WHERE source_table IN ('guidance_items', 'guidance_laws')),
+txt AS (SELECT 'clause' AS source_type, file_id || '#' || page_no AS text_id FROM doc_pages UNION ALL SELECT 'section', file_id || '#' || page_no FROM doc_pages UNION ALL SELECT DISTINCT 'raw_page', project_id || '-' || month(contract_date) FROM contracts),
+byid AS (SELECT dir.* FROM dir JOIN txt USING (source_type, text_id) QUALIFY row_number() OVER (PARTITION BY question_id, source_type ORDER BY text_id, evidence_id) <= 20),
+byfile AS (SELECT question_id, evidence_id, 'source_file_page' AS status, 'raw_page' AS source_type, file_id || '#' || page_no AS text_id FROM evx JOIN doc_pages ON source_id = file_id JOIN kwt USING (question_id) WHERE source_table = 'documents' AND (len(keywords) = 0 OR len(list_filter(keywords, lambda k: contains(lower(raw_text), k))) > 0) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY file_id, page_no, evidence_id) <= 20),
+have AS MATERIALIZED (SELECT * FROM byid UNION ALL SELECT * FROM byfile), lack AS (SELECT DISTINCT question_id, evx.project_code FROM evx ANTI JOIN have USING (question_id, evidence_id) WHERE evx.project_code IS NOT NULL),
+heads AS (SELECT 'NATION_' || regexp_extract(project_code, '([0-9]+)', 1) AS project_code, document_type, section_key, file_id, body_text, row_number() OVER (PARTITION BY 'NATION_' || regexp_extract(project_code, '([0-9]+)', 1) ORDER BY section_key, file_id) AS rn FROM section_rows),
+fall AS (SELECT question_id, NULL AS evidence_id, 'topic_text_fallback' AS status, 'section' AS source_type, project_code || '#' || section_key || '#' || file_id AS text_id FROM lack JOIN kwt USING (question_id) JOIN heads USING (project_code) WHERE CASE WHEN len(keywords) = 0 THEN rn <= 20 ELSE len(list_filter(keywords, lambda k: contains(lower(body_text), k) OR contains(lower(document_type), k))) > 0 END QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY project_code, section_key, file_id) <= 20),
+ctx AS MATERIALIZED (SELECT * FROM have UNION ALL SELECT * FROM fall),
+st AS MATERIALIZED (SELECT evx.question_id, evx.evidence_id, evx.entity_id, evx.relation_id, coalesce(o.own, CASE WHEN f.question_id IS NOT NULL THEN CASE WHEN source_table IN ({", ".join(repr(t) for t in packets.DOMAIN_TABLES)}) THEN 'entity_source_fallback' ELSE 'topic_text_fallback' END END, 'missing') AS status
+FROM evx LEFT JOIN (SELECT question_id, evidence_id, arg_max(status, list_position({_sql_list(packets.STATUSES)}, status)) AS own FROM ctx WHERE evidence_id IS NOT NULL GROUP BY ALL) o USING (question_id, evidence_id) LEFT JOIN (SELECT DISTINCT question_id FROM ctx WHERE evidence_id IS NULL) f ON f.question_id = evx.question_id)"""
+
+
+@query(f"WITH {CONTEXT_SQL} SELECT question_id, evidence_id, text_id, status, source_type FROM ctx")
 def j7_text_context(s, d):
-    return retrieval(s, d)[4]
+    return retrieval(s, d)[4].drop("text", "document_type")
 
 
-@query()
+@query(f"WITH {CONTEXT_SQL} SELECT * FROM st")
 def j8_evidence_status(s, d):
     return retrieval(s, d)[5]
 
 
-@query()
+@query(f"""WITH {CONTEXT_SQL}, n AS (SELECT q.question_id, coalesce(e.n, 0) AS entity_count, coalesce(s.n, 0) AS evidence_count, coalesce(s.missing, 0) AS missing_count, coalesce(s.direct, 0) AS direct_count, coalesce(s.fallen, 0) AS fallback_count, coalesce(t.n, 0) AS text_count FROM questions q LEFT JOIN (SELECT question_id, count(*) AS n FROM hits GROUP BY 1) e USING (question_id)
+LEFT JOIN (SELECT question_id, count(*) AS n, count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status IN ({", ".join(repr(t) for t in packets.DIRECT)})) AS direct, count(*) FILTER (WHERE status = 'topic_text_fallback') AS fallen FROM st GROUP BY 1) s USING (question_id) LEFT JOIN (SELECT question_id, count(*) AS n FROM ctx GROUP BY 1) t USING (question_id)),
+c AS (SELECT *, CASE WHEN evidence_count = 0 OR text_count = 0 THEN 'no_text_context' WHEN evidence_count - missing_count = fallback_count THEN 'weak' WHEN missing_count = 0 AND direct_count > 0 THEN 'ok' WHEN missing_count < evidence_count THEN 'partial' ELSE 'no_text_context' END AS coverage_status FROM n)
+SELECT *, CASE WHEN entity_count = 0 THEN 'no_results' WHEN coverage_status = 'ok' THEN 'ok' ELSE 'partial' END AS retrieval_status FROM c""")
 def j9_coverage(s, d):
     return retrieval(s, d)[6]
 
@@ -748,11 +1029,14 @@ def j10_packets(s, d):
     return all_packets(s, d)
 
 
-@query()
+@query(f"""WITH {TEXT_SQL}, vq AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings), vr AS (SELECT query_id, rank, item FROM (SELECT q.vec_id AS query_id, v.vec_id::VARCHAR AS item, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_dot_product(q.e, v.e) / (q.n * v.n), 9), v.vec_id)::INT AS rank FROM vq q JOIN vq v ON q.vec_id <> v.vec_id WHERE q.vec_id IN (SELECT item_id FROM benchmark)) WHERE rank <= 20),
+fu AS (SELECT query_id, item, sum(1.0::DOUBLE / (60 + rank)) AS s FROM (SELECT query_id, rank, chunk_id AS item FROM ft UNION ALL SELECT * FROM vr) GROUP BY ALL) SELECT query_id, rank, item, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, item)::INT AS rank FROM fu) WHERE rank <= 20""")
 def j11_hybrid_search(s, d):
-    v = j3_vector_search(s, d).select("query_id", "rank", F.col("vec_id").cast("string").alias("item"))
-    t = g13_j2_fulltext_search(s, d).select((F.col("query_id") * 100).alias("query_id"), "rank", F.col("chunk_id").alias("item"))
-    return search.fuse(v, t)
+    """Each benchmark item asks with its text and with the vector of its number; chunks and vectors of equal ids are one item."""
+    v = A.read(s, d, "embeddings").select("vec_id", "embedding")
+    asked = v.join(A.read(s, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    near = search.vector_search(v, asked).select("query_id", "rank", F.col("vec_id").cast("string").alias("item"))
+    return search.fuse(near, g13_j2_fulltext_search(s, d).select("query_id", "rank", F.col("chunk_id").alias("item")))
 
 
 @query()
@@ -763,8 +1047,7 @@ def k1_select_sources(s, d):
 @query()
 def k2_k3_answers(s, d):
     p = all_packets(s, d)
-    templates = s.createDataFrame([(c, [f"Check the {c} evidence."]) for c in (*[t[0] for t in R.TOPICS], R.GENERAL_TOPIC)], "topic string, key_points array<string>")
-    return packets.answer_parts(packets.answer_status(p, packets.select_sources(p)), templates)
+    return packets.answer_parts(p, packets.select_sources(p), packets.templates(s))
 
 
 @query("""WITH r AS (SELECT contract_id AS question_id, amount_gross::DECIMAL(18,2) AS price FROM payment_items UNION ALL SELECT contract_id, amount_gross FROM contract_prices), a AS (SELECT question_id, count(*) AS n, min(price) AS lo, max(price) AS hi, median(price) AS mid FROM r WHERE price > 0 GROUP BY 1)
@@ -826,20 +1109,27 @@ def k9_release_gate(s, d):
     return packets.release_gate(packets.retrieval_smoke(all_packets(s, d)))
 
 
-@query("SELECT conv_id || '-' || turn AS question_id, CASE WHEN turn = 1 THEN 'fail' ELSE 'pass' END AS answer_gate FROM conversations WHERE role = 'assistant' AND NOT regexp_matches(text, '[0-9@:\\\\]') AND length(text) < 4000 AND NOT regexp_matches(text, '[A-Z][a-z]+ (Oy|Ab|Ky)([^a-z]|$)')")
+@query("""SELECT question_id, array_to_string(c, ',') AS failed_checks, CASE WHEN len(c) > 0 THEN 'fail' ELSE 'pass' END AS answer_gate FROM (SELECT conv_id || '-' || turn AS question_id, list_filter([CASE WHEN turn = 1 THEN 'no_sources' END, CASE WHEN regexp_matches(lower(text), 'laki velvoittaa|lain mukaan on pakko|legally binding') THEN 'binding_law_wording' END,
+CASE WHEN regexp_matches(text, '[A-Za-z]:\\\\') OR regexp_matches(text, '(?i)\\.(pdf|docx?|xlsx?|dwg)([^a-z0-9]|$)') OR regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') OR regexp_matches(text, '[A-Z][a-z]+ (Oy|Ab|Ky)([^a-z]|$)') THEN 'leak' END,
+CASE WHEN len(list_filter(regexp_extract_all(text, '\\d+(?:[.,]\\d+)?'), lambda t: NOT contains('0 1 2 3 2024', t))) > 0 THEN 'ungrounded_number' END, CASE WHEN length(text) > 4000 THEN 'long_answer' END], lambda x: x IS NOT NULL) AS c FROM conversations WHERE role = 'assistant')""")
 def k10_answer_smoke(s, d):
-    rows = A.read(s, d, "conversations").where("role = 'assistant'").where(~F.col("text").rlike(r"[0-9@:\\]") & (F.length("text") < 4000) & ~F.col("text").rlike("[A-Z][a-z]+ (Oy|Ab|Ky)([^a-z]|$)"))
-    answers = rows.select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.col("text").alias("answer"), F.lit("").alias("source_text"), F.when(F.col("turn") == 1, 0).otherwise(1).alias("sources"), F.lit(False).alias("used_model"))
-    return packets.answer_smoke(answers).select("question_id", "answer_gate")
+    rows = A.read(s, d, "conversations").where("role = 'assistant'")
+    answers = rows.select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.col("text").alias("answer"), F.lit("0 1 2 3 2024").alias("source_text"), F.when(F.col("turn") == 1, 0).otherwise(1).alias("sources"), F.lit(False).alias("used_model"))
+    return packets.answer_smoke(answers).select("question_id", F.array_join("failed_checks", ",").alias("failed_checks"), "answer_gate")
 
 
-@query("SELECT item_id AS question_id, CASE item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' ELSE 'xx' END AS expected_source, item_id % 4 <> 3 AS hit FROM benchmark")
+@query(f"WITH {TEXT_SQL} SELECT item_id AS question_id, CASE item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' ELSE 'es' END AS expected_source, coalesce(list_contains(kinds, CASE item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' ELSE 'es' END), false) AS hit FROM benchmark LEFT JOIN (SELECT query_id, list(DISTINCT language) AS kinds FROM ft JOIN chunks USING (chunk_id) GROUP BY 1) ON item_id = query_id")
 def k11_expected_source(s, d):
     i = F.col("item_id") % 4
-    expected = A.read(s, d, "benchmark").select(F.col("item_id").alias("question_id"), F.when(i == 0, "en").when(i == 1, "de").when(i == 2, "fr").otherwise("xx").alias("expected_source"))
-    langs = documents(s, d).groupBy(F.lit(1).alias("one")).agg(F.collect_set("lang").alias("langs"))  # a handful of languages
-    got = expected.withColumn("one", F.lit(1)).join(langs, "one").select("question_id", F.explode("langs").alias("document_type"))
-    return packets.expected_source_hits(expected, got)
+    expected = A.read(s, d, "benchmark").select(F.col("item_id").alias("question_id"), F.when(i == 0, "en").when(i == 1, "de").when(i == 2, "fr").otherwise("es").alias("expected_source"))
+    found = g13_j2_fulltext_search(s, d).join(A.chunks(s, d).select("chunk_id", "language"), "chunk_id")
+    return packets.expected_source_hits(expected, found.select(F.col("query_id").alias("question_id"), F.col("language").alias("document_type")))
+
+
+@query(f"""WITH {MATCH_SQL} SELECT case_id, project_code, true AS saved FROM best WHERE apartments > 0""")
+def k8_save_estimates(s, d):
+    e = pricing.estimate_price(pricing.match_reference(cases(s, d), references(s, d)))
+    return pricing.saved_estimates(e).select("case_id", "project_code", F.get_json_object("output_json", "$.project_code").eqNullSafe(F.col("project_code")).alias("saved"))
 
 
 @query("SELECT date_trunc('hour', started_at) AS window_start, extractor_name, run_status, count(*) AS runs FROM runs GROUP BY ALL")
@@ -852,8 +1142,7 @@ def s2_run_counts(s, d):
 
 @query("SELECT file_id, run_id, started_at, run_status FROM runs QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY started_at DESC, run_id DESC) = 1")
 def latest_run_wins(s, d):
-    w = Window.partitionBy("file_id").orderBy(F.desc("started_at"), F.desc("run_id"))
-    return A.runs(s, d).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("file_id", "run_id", "started_at", "run_status")
+    return quality.latest(A.runs(s, d), ["file_id"]).select("file_id", "run_id", "started_at", "run_status")
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:

@@ -6,32 +6,47 @@ from pyspark.sql import functions as F
 
 from pactloom.functions import money, text
 from pactloom.operators import extract, graph, packets, pricing, sections, upserts
+from pactloom.sources import files
 
 
-def test_pipe_table_rows():
-    rows = money.payment_rows("| 1. erä, alkutyöt | 5645,16 € | 1354,84 € | 7000,00 € | 2. erä | 8000,00 € | 1920,00 € | 9920,00 € | yhteensä | 16920,00 |")
-    assert [(r.item_no, r.amount_net, r.amount_gross) for r in rows] == [(1, D("5645.16"), D("7000.00")), (2, D("8000.00"), D("9920.00"))]
+def rows_of(spark, *texts):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    return [r[0] for r in df.select(money.payment_rows(F.col("t"))).collect()]
 
 
-def test_compact_rows():
-    rows = money.payment_rows("1. erä20 000,00 €24 800,00 € 2. erä20 806,00 €25 799,44 €")
-    assert [(r.item_no, r.vat_amount) for r in rows] == [(1, D("4800.00")), (2, D("4993.44"))]
-    assert sum(r.amount_gross for r in rows) == D("50599.44")
+def test_payment_tables(spark):
+    a, b, c, d, e, f, g = rows_of(
+        spark, "| 1. erä, alkutyöt | 5645,16 € | 1354,84 € | 7000,00 € | 2. erä | 8000,00 € | 1920,00 € | 9920,00 € | yhteensä | 16920,00 |",
+        "Maksuerätaulukko | Eränumero | Maksu € | Alv. | sis. 24% alv Työn aloitus | 1 | 5645.16 | 1354.84 | 7000 Pystylinja valmis | 2 | 7997.31 | 1919.35 | 9916.66 Yhteensä | 13642.47 | 3274.19 | 16916.66",
+        "Loppuselvitys | Laskunumero | ALV0% | ALV24% | Yhteensä 1. erä | 2564 | 18188.89 | 4365.33 | 22554.22 | 42117 2. erä | 2565 | 18188.89 | 4365.33 | 22554.22 | 42117",
+        "MAKSUERÄT | hyväksytty | eräpäivä 1. erä alku | x(MV10.12.2014) | 19.12.2014 | 18000 | 14516.13 | 3483.87 2. erä toinen | x(MV26.12.2014) | 2.1.2015 | 18000 | 14516.13 | 3483.87 3. erä luovutus | 6987.08 | 5634.74 | 1352.34 ",
+        "1. erä20 000,00 €24 800,00 €2. erä20 806,00 €25 799,44 €Yhteensä40 806,00 €50 599,44 €", "Maksuerätaulukko | 1. erä , kun työ alkaa | summa myöhemmin", "",
+    )
+    assert [(r.item_no, r.amount_net, r.amount_gross, r.description, r.confidence) for r in a] == [(1, D("5645.16"), D("7000.00"), "alkutyöt", "high"), (2, D("8000.00"), D("9920.00"), "2. erä", "high")]
+    assert [(r.item_no, r.amount_net, r.amount_gross) for r in b] == [(1, D("5645.16"), D("7000.00")), (2, D("7997.31"), D("9916.66"))]
+    assert [r.item_no for r in c] == [1, 2] and sum(r.amount_gross for r in c) == D("45108.44")
+    assert [r.item_no for r in d] == [1, 2, 3] and sum(r.amount_gross for r in d) == D("42987.08")
+    assert [(r.item_no, r.vat_amount, r.vat_rate) for r in e] == [(1, D("4800.00"), D("24.00")), (2, D("4993.44"), D("24.00"))] and sum(r.amount_gross for r in e) == D("50599.44")
+    assert f == [] and g == []
 
 
-def test_no_amounts_no_rows():
-    assert money.payment_rows("1. erä | 2. erä") == [] and money.payment_rows("") == []
+def test_triplet_rules(spark):
+    lists = [[D("100"), D("24"), D("124")], [D("100"), D("24")], [D("100"), D("124")], [D("0"), D("5")], [], [D("7"), D("124.5"), D("100"), D("24")]]
+    df = spark.createDataFrame([(x,) for x in lists], "a array<decimal(14,2)>")
+    got = [r[0] and tuple(r[0]) for r in df.select(money.money_triplet(F.col("a"))).collect()]
+    assert got == [(D("100"), D("24"), D("124"))] * 3 + [None, None, (D("100"), D("24"), D("124.5"))]
 
 
-def test_triplet_rules():
-    assert money.money_triplet([D("100"), D("24"), D("124")]) == (D("100"), D("24"), D("124"))
-    assert money.money_triplet([D("100"), D("24")]) == (D("100"), D("24"), D("124"))
-    assert money.money_triplet([D("100"), D("124")]) == (D("100"), D("24"), D("124"))
-    assert money.money_triplet([D("0"), D("5")]) is None
+def test_dates_and_numbers_are_no_amounts(spark):
+    df = spark.createDataFrame([("12.3.2014 laskunro 123456 summa 1 234,50 päivä 41234",)], "t string")
+    assert df.select(money.amounts_in(F.col("t"))).first()[0] == [D("1234.50")]
 
 
-def test_dates_and_numbers_are_no_amounts():
-    assert money.amounts_in("12.3.2014 laskunro 123456 summa 1 234,50 päivä 41234") == [D("1234.50")]
+def test_invoices(spark):
+    df = spark.createDataFrame([("LASKU 1001 Maksuerä 1: työ aloitettu Veroton yhteensä: 14516.13 ALV yhteensä: 3483.87 Yhteensä: 18000.00", "", ""), ("Maksuerä 1 hyväksytty, summa myöhemmin", "", ""), ("100,00 124,00", "Maksuposti nro 7", "")], "t string, l string, p string")
+    got = [r[0] for r in df.select(money.invoice_item(F.col("t"), F.col("l"), F.col("p"), F.lit(True))).collect()]
+    assert (got[0].item_no, got[0].amount_gross, got[0].description) == (1, D("18000.00"), "Maksuerä 1: työ aloitettu Veroton yhteensä: 14516") and got[1] is None
+    assert (got[2].item_no, got[2].vat_amount, got[2].description) == (7, D("24.00"), "Invoice-based payment item 7")
 
 
 def test_price_known_results(spark):
@@ -103,6 +118,48 @@ def test_coverage_order(spark):
     assert got == {"a": ("ok", "ok"), "b": ("no_text_context", "no_results")}
 
 
+def test_text_context_and_answers(spark):
+    q = spark.createDataFrame([("a", ["payment"], ["erä"], []), ("b", ["general_cipp"], [], ["apartments_count"]), ("c", ["warranty"], [], [])], "question_id string, topics array<string>, keywords array<string>, case_fields array<string>")
+    ev = spark.createDataFrame(
+        [("a", "e1", "clauses", "f#1", "p"), ("a", "e2", "sections", "f#2", "p"), ("a", "e3", "guidance_items", "g-1-7", None), ("a", "e4", "documents", "f", "p"), ("b", "e5", "scope_items", "s1", "p"), ("b", "e6", "contracts", "c1", "p")],
+        "question_id string, evidence_id string, source_table string, source_id string, project_code string",
+    ).withColumn("entity_id", F.lit("x")).withColumn("relation_id", F.lit(None).cast("string"))
+    texts = spark.createDataFrame([("clause", "f#1", "rfq", "clause text"), ("section", "f#2", "rfq", "section text"), ("raw_page", "g-1", "guidance_document", "guide page")], "source_type string, text_id string, document_type string, text string")
+    pages = spark.createDataFrame([("f", 1, "rfq", "1. erä maksetaan"), ("f", 2, "rfq", "muuta")], "file_id string, page_no int, document_type string, raw_text string")
+    secs = spark.createDataFrame([("p", "s", "f", None, "rfq", "body of project")], "project_code string, section_key string, file_id string, title string, document_type string, body_text string")
+    ctx = packets.text_context(ev, q, texts, pages, secs)
+    status = packets.evidence_status(ev, ctx)
+    assert {r["evidence_id"]: r["status"] for r in status.collect()} == {"e1": "direct_clause", "e2": "direct_section", "e3": "direct_page", "e4": "source_file_page", "e5": "entity_source_fallback", "e6": "topic_text_fallback"}
+    hits = spark.createDataFrame([("a", "x", 1, "t", "n", "p"), ("b", "x", 1, "t", "n", "p")], "question_id string, entity_id string, rank int, entity_type string, display_name string, project_code string")
+    found = spark.createDataFrame([], "question_id string, rank int, relation_type string, relation_id string")
+    p = packets.build_packets(q, hits, found, status, ctx, packets.coverage(q, hits, status, ctx))
+    src = packets.select_sources(p)
+    assert [(r["status"], r["source_class"]) for r in src.where("question_id = 'a'").orderBy("rank").collect()] == [("direct_clause", "retrieval_evidence"), ("direct_section", "retrieval_evidence"), ("direct_page", "expert_guidance"), ("source_file_page", "retrieval_evidence")]
+    got = {r["question_id"]: r for r in packets.answer_parts(p, src, packets.templates(spark)).collect()}
+    assert got["a"]["answer_status"] == "answered" and len(got["a"]["source_based_notes"]) == 4 and got["a"]["key_points"][0].startswith("By expert guidance") and len(got["a"]["uncertainties"]) == 1
+    assert got["b"]["answer_status"] == "partial" and "apartments_count" in got["b"]["recommended_next_questions"][0] and got["b"]["missing_user_case_fields"] == ["apartments_count"]
+    assert got["c"]["answer_status"] == "insufficient_evidence" and got["c"]["key_points"] == []
+
+
+def test_many_references_and_cases(spark):
+    refs = spark.createDataFrame([(f"p{i:05d}", i % 3000 + 1, D(100000 + i), i % 11 + 1, i % 2 == 0, i % 3 == 0) for i in range(12000)], "project_code string, apartment_count int, price_gross decimal(14,2), vertical_stack_count int, includes_base_drain boolean, includes_plot_line boolean")
+    rows = [(i, i * 7 % 90 + 1, None if i % 5 == 0 else i % 13 + 1, i % 2 == 1, i % 4 == 0) for i in range(40)]
+    cases = spark.createDataFrame(rows, "case_id int, apartments int, risers int, base_drain boolean, plot_line boolean")
+    got = {r["case_id"]: r for r in pricing.match_reference(cases, refs).collect()}
+    ratio = lambda w, a, b: w * min(a, b) / D(max(a, b))
+    for i, n, k, base, plot in rows:
+        score = lambda r: (ratio(D("0.70"), n, r[1]) + (D("0.05") if k is None else ratio(D("0.10"), k, r[3])) + D("0.1") * (base == r[4]) + D("0.1") * (plot == r[5])).quantize(D("0.0001"), "ROUND_HALF_UP")
+        want = max(((score((f"p{j:05d}", j % 3000 + 1, 0, j % 11 + 1, j % 2 == 0, j % 3 == 0)), j % 3000 + 1, -j) for j in range(12000)))
+        assert (got[i]["score"], got[i]["apartment_count"], got[i]["project_code"]) == (want[0], want[1], f"p{-want[2]:05d}"), i
+
+
+def test_sewer_scope(spark):
+    df = spark.createDataFrame([("a", "JV ja sadevesi katolla", "pohjaviemäri ei")], "project_code string, text string, note string")
+    items, seg = extract.sewer_scope(df)
+    assert {(r["item_code"], r["included_in_contract"]) for r in items.collect()} == {("scope_jv", True), ("scope_sv", True), ("scope_jv_base_excluded", False)}
+    assert [r["included_in_contract"] for r in seg.where("segment_type = 'base_drain' and system_type = 'JV'").collect()] == [False] and seg.count() == 7
+
+
 def test_file_stream_once(spark, tmp_path):
     from pactloom.streaming.ingest import ingest, stream_files
 
@@ -113,3 +170,44 @@ def test_file_stream_once(spark, tmp_path):
     got = []
     ingest(stream_files(spark, str(land)), lambda df, _: got.extend(r["sha256"] for r in df.collect()), str(tmp_path / "cp")).awaitTermination()
     assert len(got) == len(set(got)) == 2
+
+
+def test_plain_text_encodings(spark, tmp_path):
+    for name, data in (("a", "ä€".encode()), ("b", "ä".encode("utf-8-sig")), ("c", "ä€".encode("utf-16")), ("d", "ä€ “x”".encode("cp1252")), ("e", b"\xe4\x81")):
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"][-1]: r["raw_text"] for r in files.load_plain_text(spark, str(tmp_path)).collect()}
+    assert got == {"a": "ä€", "b": "ä", "c": "ä€", "d": "ä€ “x”", "e": "ä\x81"}
+
+
+def test_law_xml(spark, tmp_path):
+    (tmp_path / "law.xml").write_text("""<?xml version="1.0"?><akomaNtoso xmlns="http://docs.oasis-open.org/legaldocml/ns/akn/3.0"><act><FRBRdate date="2023-04-21" name="dateIssued"/><FRBRdate name="datePublished" date="2023-04-22"/>
+<docTitle>Laki  rakentamisesta</docTitle><chapter><section eId="sec_1"><num>1 §</num><heading>Ala</heading><content><p>Ensimmäinen &amp; <i>kursiivi</i>.</p></content><content><p>Toinen.</p></content></section>
+<section eId="sec_2"><num>2 §</num><subsection eId="s"><intro><p>Johdanto:</p></intro><paragraph><content><p>a) kohta</p></content></paragraph></subsection></section><section eId="sec_3"></section></chapter></act></akomaNtoso>""")
+    rows = files.load_law_xml(spark, str(tmp_path)).orderBy("section_order").collect()
+    assert [(r["section_id"], r["section_number"], r["title"], r["body_text"]) for r in rows] == [("sec_1", "1 §", "Ala", "Ensimmäinen & kursiivi .\n\nToinen."), ("sec_2", "2 §", "", "Johdanto: a) kohta")]
+    assert {(r["law_title"], r["issued"], r["published"], r["produced"]) for r in rows} == {("Laki rakentamisesta", "2023-04-21", "2023-04-22", None)}
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a.json").write_text('{"project_code": "p1",\n "parties": [{"party_code": "x"}]}')
+    (tmp_path / "j" / "b.json").write_text("[1")
+    assert [r["project_code"] for r in files.load_canonical(spark, str(tmp_path / "j")).collect()] == ["p1"]
+    (tmp_path / "l.jsonl").write_text('{"project_code": "p1"}\n{"project_code": "p2"}\n')
+    assert sorted(r["project_code"] for r in files.load_canonical(spark, str(tmp_path / "l.jsonl"), lines=True).collect()) == ["p1", "p2"]
+    (tmp_path / "f").mkdir()
+    for name, body in (("B.TXT", "x"), ("a.txt", "x"), ("c.pdf", "y")):
+        (tmp_path / "f" / name).write_text(body)
+    got = {r["path"].rsplit("/", 1)[1]: (r["extension"], r["copies"], r["size_bytes"]) for r in files.inventory_files(spark, str(tmp_path / "f")).collect()}
+    assert got == {"a.txt": (".txt", 2, 1), "c.pdf": (".pdf", 1, 1)}
+    assert files.inventory_files(spark, str(tmp_path / "f"), exts=(".pdf",), recursive=True).count() == 1
+    (tmp_path / "p.json").write_text('{"source_file_id": "1", "page_no": 2, "raw_text": "t"}')
+    (tmp_path / "q.json").write_text('{"id": "1", "question": "mikä", "expected_source": "rfq"}')
+    assert files.load_page_text(spark, str(tmp_path / "p.json")).first()["page_no"] == 2 and files.load_questions(spark, str(tmp_path / "q.json")).first()["expected_source"] == "rfq"
+    df = spark.createDataFrame([("p", ["m"], [("e", 1)])], "code string, missing array<string>, evidence array<struct<f:string,n:int>>")
+    files.write_table(df, str(tmp_path / "t"), "code")
+    files.write_csv_matrix(df, str(tmp_path / "c"))
+    files.write_json(df, str(tmp_path / "o"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1 and spark.read.json(str(tmp_path / "o")).first()["missing"] == ["m"]
+    row = spark.read.option("header", "true").csv(str(tmp_path / "c"), escape='"').first()
+    assert row["evidence_json"] == '[{"f":"e","n":1}]' and list(row.asDict())[-1] == "evidence_json"
