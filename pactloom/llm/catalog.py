@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactloom.llm import embedding_links, langid, line_templates, mixing, neighbours, phrases, pieces, simhash, toxicity, url_rules, warc
+from pactloom.llm import embedding_links, langid, line_templates, mixing, neighbours, phrases, pieces, simhash, toxicity, url_rules, variants, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,9 +58,13 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling(table(spark, sf_dir, "documents"))
+
+
 OPERATORS = (
     op1_url_filters, op2_simhash, op3_line_dedup, op4_embedding_links, op5_warc,
-    op6_nearest_neighbours, op7_sentencepiece, op8_language_id, op9_mixing, op10_toxicity, op11_phrases,
+    op6_nearest_neighbours, op7_sentencepiece, op8_language_id, op9_mixing, op10_toxicity, op11_phrases, op13_spelling_variants,
 )
 
 
@@ -69,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_rules.judge_sql(), "op3_line_dedup": line_templates.DEDUP_SQL, "op4_embedding_links": embedding_links.LINKS_SQL, "op5_warc": warc.ROUND_TRIP_SQL, "op9_mixing": mixing.sample_sql(), "op11_phrases": phrases.COLLOCATIONS_SQL}
+    return {"op1_url_filters": url_rules.judge_sql(), "op3_line_dedup": line_templates.DEDUP_SQL, "op4_embedding_links": embedding_links.LINKS_SQL, "op5_warc": warc.ROUND_TRIP_SQL, "op9_mixing": mixing.sample_sql(), "op11_phrases": phrases.COLLOCATIONS_SQL, "op13_spelling_variants": variants.SPELLING_SQL}
