@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactloom.llm import embedding_links, langid, line_templates, mixing, neighbours, phrases, pieces, simhash, toxicity, url_rules, variants, warc
+from pactloom.llm import embedding_links, langid, line_templates, mixing, neighbours, packing, phrases, pieces, simhash, toxicity, url_rules, variants, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,13 +58,17 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling(table(spark, sf_dir, "documents"))
 
 
 OPERATORS = (
     op1_url_filters, op2_simhash, op3_line_dedup, op4_embedding_links, op5_warc,
-    op6_nearest_neighbours, op7_sentencepiece, op8_language_id, op9_mixing, op10_toxicity, op11_phrases, op13_spelling_variants,
+    op6_nearest_neighbours, op7_sentencepiece, op8_language_id, op9_mixing, op10_toxicity, op11_phrases, op12_packing, op13_spelling_variants,
 )
 
 
