@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_rules.judge_sql(), "op3_line_dedup": line_templates.DEDUP_SQL, "op4_embedding_links": embedding_links.LINKS_SQL, "op5_warc": warc.ROUND_TRIP_SQL, "op9_mixing": mixing.sample_sql(), "op11_phrases": phrases.COLLOCATIONS_SQL, "op13_spelling_variants": variants.SPELLING_SQL}
+    return {"op1_url_filters": url_rules.judge_sql(), "op3_line_dedup": line_templates.dedup_sql(), "op4_embedding_links": embedding_links.LINKS_SQL, "op5_warc": warc.ROUND_TRIP_SQL, "op9_mixing": mixing.sample_sql(), "op11_phrases": phrases.COLLOCATIONS_SQL, "op13_spelling_variants": variants.SPELLING_SQL}
