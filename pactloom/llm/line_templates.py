@@ -81,7 +81,8 @@ def templates(members: DataFrame, depth: int, prevailing: float, min_constant: f
 
 def recurring_lines(texts: DataFrame, min_docs: int, lead: int, min_tokens: int, prevailing: float, min_constant: float, own: float, depth: int, bits: int = 1 << 21) -> DataFrame:
     """(th, line_key): the lines of each text that belong to a recurring template."""
-    lines = texts.select("th", weight(F.col("text")).alias("size"), F.explode(F.transform(F.split("text", "\n"), lambda x: F.struct(normal_line(x).alias("w"), weight(x).alias("chars")))).alias("x"))  # below the generator, a line's rules run once
+    lines = texts.select("th", "text", weight(F.col("text")).alias("size"))  # below the generator: once a text
+    lines = lines.select("th", "size", F.explode(F.transform(F.split("text", "\n"), lambda x: F.struct(normal_line(x).alias("w"), weight(x).alias("chars")))).alias("x"))  # and a line's rules once
     lines = lines.select("th", "size", "x.chars", "x.w").where(has_word(F.col("w"))).withColumn("words", word_count(F.col("w")))
     keyed = lines.select("th", "size", "w", "chars", line_key(F.col("w")).alias("line_key"), F.when(F.col("words") >= min_tokens, F.xxhash64("words", F.substring_index("w", " ", lead))).alias("leaf"))
     index = stage(keyed.groupBy("th", "line_key", "leaf").agg(F.sum("chars").alias("chars"), F.max("size").alias("size")), "lines")
