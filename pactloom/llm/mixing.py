@@ -40,8 +40,9 @@ def token_weight(text: Column) -> Column:
 def wanted(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame] | None, fraction: float) -> DataFrame:
     """(dim, value, have, want, goal): tokens there are, tokens by the target shares, and those that can be had.
 
-    Shares are the given targets (dim, target), or else tokens ** TEMPER[dim]; a value without a target keeps its share, one
-    without cells has no effect. A value that has fewer tokens than it should give is taken whole, and what it lacks is
+    Shares are the given targets (dim, target), or else tokens ** TEMPER[dim]. A value without a target keeps its share of the tokens, one
+    without cells has no effect; targets are weights and needn't add up to 1; a target of 0 or below leaves a value out. If all values of a marginal that
+    have tokens are left out, nothing is drawn. A value that has fewer tokens than it should give is taken whole, and what it lacks is
     spread over the others by their shares, until all can give theirs: each round fixes one value or more.
     """
     pair = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("value")) for d in dims])
@@ -52,13 +53,13 @@ def wanted(cells: DataFrame, dims: list[str], targets: dict[str, DataFrame] | No
     all_of = have.groupBy("dim").agg(F.sum("have").alias("all"))  # a row for each marginal
     own = F.col("have") / F.col("all") if given else F.lit(None).cast("double")
     is_given = F.col("dim").isin([d for d in (targets or {}) if d in dims])
-    share = have.join(F.broadcast(all_of), "dim").join(told, ["dim", "value"], "left").withColumn("share", F.when(is_given, F.coalesce("target", own)).otherwise(F.pow("have", power)))
+    share = have.join(F.broadcast(all_of), "dim").join(told, ["dim", "value"], "left").withColumn("share", F.when(is_given, F.greatest(F.coalesce("target", own), F.lit(0.0))).otherwise(F.pow("have", power)))
     now = stage(share.select("dim", "value", "have", "share", F.lit(False).alias("whole"), (fraction * F.col("all")).alias("budget")), "wanted")
     first = True
     while True:
         rest = now.groupBy("dim").agg(F.sum(F.when(~F.col("whole"), F.col("share"))).alias("open"), F.sum(F.when(F.col("whole"), F.col("have")).otherwise(0.0)).alias("fixed"))
-        step = now.join(F.broadcast(rest), "dim").withColumn("goal", F.when(F.col("whole"), F.col("have")).otherwise(F.col("share") / F.col("open") * (F.col("budget") - F.col("fixed"))))
-        step = step.withColumn("want", F.col("goal") if first else F.col("want")).withColumn("full", F.col("goal") >= F.col("have"))
+        step = now.join(F.broadcast(rest), "dim").withColumn("goal", F.when(F.col("whole"), F.col("have")).otherwise(F.coalesce(F.try_divide(F.col("share"), F.col("open")), F.lit(0.0)) * (F.col("budget") - F.col("fixed"))))
+        step = step.withColumn("want", F.col("goal") if first else F.col("want")).withColumn("full", (F.col("goal") >= F.col("have")) & (F.col("have") > 0))
         before, now = now, stage(step.select("dim", "value", "have", "share", "budget", "want", F.least("goal", "have").alias("goal"), F.col("full").alias("whole"), (F.col("full") & ~F.col("whole")).alias("new")), "wanted")
         drop_staged(before)
         first = False
@@ -78,20 +79,20 @@ def rake(cells: DataFrame, goals: DataFrame, dims: list[str], fraction: float, r
     for _ in range(rounds):
         for dim, goal in fixed.items():
             given = now.groupBy(dim).agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), "r")).alias("given"))
-            factor = given.join(goal, dim).select(dim, (F.col("goal") / F.col("given")).alias("factor"))
+            factor = given.join(goal, dim).select(dim, F.coalesce(F.try_divide("goal", "given"), F.lit(0.0)).alias("factor"))
             before, now = now, stage(now.join(factor, dim).select(*dims, "tokens", (F.col("r") * F.col("factor")).alias("r")), "cells")
             drop_staged(before)
     return now.select(*dims, "tokens", F.least(F.lit(1.0), "r").alias("p"))
 
 
 def reached(raked: DataFrame, goals: DataFrame, dims: list[str]) -> DataFrame:
-    """(dim, value, have, want, goal, got, gap): expected tokens of each marginal value, and |got - goal| / goal.
+    """(dim, value, have, want, goal, got, gap): expected tokens of each marginal value, and |got - goal| / goal (got, where the goal is 0).
 
     want above have: the target can't be reached, as the corpus lacks the tokens.
     """
     pair = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("value")) for d in dims])
     got = raked.select(F.explode(pair).alias("m"), (F.col("tokens") * F.col("p")).alias("t")).groupBy("m.dim", "m.value").agg(F.sum("t").alias("got"))
-    return goals.join(got, ["dim", "value"]).withColumn("gap", F.abs(F.col("got") - F.col("goal")) / F.col("goal"))
+    return goals.join(got, ["dim", "value"]).withColumn("gap", F.when(F.col("goal") == 0, F.col("got")).otherwise(F.try_divide(F.abs(F.col("got") - F.col("goal")), F.col("goal"))))
 
 
 def chance(id_col: Column) -> Column:
@@ -116,7 +117,7 @@ def mix(docs: DataFrame, fraction: float = FRACTION, targets: dict[str, DataFram
     """The sampled rows of docs with all columns, and __mix: struct of source, lang, topic, tokens and probability.
 
     `fraction` of all tokens is drawn, so that each marginal's shares meet its targets as far as the corpus has the
-    tokens; `dims` gives other marginals, such as a topic column. Sampling is by document id, so repeated rows stay or
+    tokens (`wanted` says what targets of 0 and absent ones mean); `dims` gives other marginals, such as a topic column. Sampling is by document id, so repeated rows stay or
     go together. Null marginal values form the value (none); null texts weigh one token, as empty ones do; very long
     texts are read whole; no rows give no rows; a column __mix of docs is replaced.
     """

@@ -345,3 +345,18 @@ def test_gradients_match_differences():
         up[k][i] += 1e-5
         down[k][i] -= 1e-5
         assert abs((loss(up) - loss(down)) / 2e-5 - g[k][i]) < 1e-6
+
+
+def test_mixing_zero_and_absent_targets(spark):
+    rows = [(i, "w " * (20 + i % 7), ["en", "de", "fr"][i % 3], ["a", "b", "c"][i % 5 % 3], 1) for i in range(600)] + [(1000 + i, "w " * 30, "xx", "c", 1) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    targets = lambda *x: {"source": spark.createDataFrame(list(x), "source string, target double")}
+    drawn = lambda t: {(r["source"], r["lang"]) for r in mixing.mix(df, fraction=0.4, targets=t, rounds=3).select("source", "lang").distinct().collect()}
+    got = drawn(targets(("a", 1.0), ("b", 1.0), ("c", 0.0)))
+    assert {s for s, _ in got} == {"a", "b"} and {x for _, x in got} == {"en", "de", "fr"}  # xx stands in c alone
+    assert drawn(targets(("a", 0.0), ("b", -1.0), ("c", 0.0))) == set()
+    assert {s for s, _ in drawn(targets(("none of them", 1.0)))} == {"a", "b", "c"}
+    assert {s for s, _ in drawn(targets(("a", 5.0)))} == {"a", "b", "c"}
+    shares = mixing.mix(df, fraction=0.2, rounds=6, targets=targets(("a", 3.0), ("b", 1.0), ("c", 0.0))).groupBy("source").agg(F.sum("__mix.tokens").alias("n")).collect()
+    n = {r["source"]: r["n"] for r in shares}
+    assert 2.0 < n["a"] / n["b"] < 4.5
