@@ -22,7 +22,7 @@ DIM, HIDDEN, GRAM_BITS = 16, 8, 15
 GRAMS = 1 << GRAM_BITS
 THRESHOLD = 0.3
 CACHE_WORDS = 200_000
-STEPS = 1000
+STEPS = 800
 
 
 def words_of(text: str | None) -> list[str]:
@@ -163,56 +163,65 @@ class Scorer:
 
 
 def _gradients(p: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
-    """Loss gradients of a batch: x (B, T, DIM) inputs, mask (B, T), y (B,). Gives (dx, gradients, logits)."""
+    """Loss gradients of a batch: x (B, T, DIM) inputs, mask (B, T), y (B,). Gives (dx, gradients, logits).
+
+    Both directions run in one loop, the second over time turned round.
+    """
     b, steps, _ = x.shape
-    g = {k: np.zeros_like(v) for k, v in p.items() if k not in ("words", "grams")}
-    hs, tape = [], []
-    for w, bias, u, order in (("wf", "bf", "uf", range(steps)), ("wb", "bb", "ub", range(steps - 1, -1, -1))):
-        a_all = x @ p[w] + p[bias]
-        h, kept, out = np.zeros((b, HIDDEN)), {}, np.zeros((b, steps, HIDDEN))
-        for t in order:
-            hu = h @ p[u]
-            gate = sigmoid(a_all[:, t, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
-            z, r, hn = gate[:, :HIDDEN], gate[:, HIDDEN:], hu[:, 2 * HIDDEN :]
-            n = np.tanh(a_all[:, t, 2 * HIDDEN :] + r * hn)
-            m = mask[:, t, None]
-            kept[t] = (h, z, r, n, hn, m)
-            h = m * (n + z * (h - n)) + (1 - m) * h
-            out[:, t] = h
-        hs.append(out)
-        tape.append(kept)
-    states = np.concatenate(hs, axis=2)
+    kind, h2 = x.dtype, 2 * HIDDEN
+    w, bias, u = np.stack([p["wf"], p["wb"]]), np.stack([p["bf"], p["bb"]]), np.stack([p["uf"], p["ub"]])
+    times = np.ascontiguousarray(x.transpose(1, 0, 2)).reshape(steps * b, -1)
+    a_all = (times @ w + bias[:, None]).reshape(2, steps, b, 3 * HIDDEN)
+    a_all[1] = a_all[1, ::-1].copy()
+    m_all = np.stack([mask.T, mask.T[::-1]]).astype(kind)[..., None]
+    before, gates, hns, ns = np.empty((steps, 2, b, HIDDEN), kind), np.empty((steps, 2, b, h2), kind), np.empty((steps, 2, b, HIDDEN), kind), np.empty((steps, 2, b, HIDDEN), kind)
+    out, h = np.empty((2, steps, b, HIDDEN), kind), np.zeros((2, b, HIDDEN), kind)
+    for t in range(steps):
+        hu, a = h @ u, a_all[:, t]
+        before[t], hns[t] = h, hu[..., h2:]
+        gate = gates[t] = 1 / (1 + np.exp(-(a[..., :h2] + hu[..., :h2])))
+        n = ns[t] = np.tanh(a[..., h2:] + gate[..., HIDDEN:] * hu[..., h2:])
+        h = h + m_all[:, t] * (n + gate[..., :HIDDEN] * (h - n) - h)
+        out[:, t] = h
+    states = np.concatenate([out[0], out[1, ::-1]], axis=2).transpose(1, 0, 2)
     s = np.where(mask > 0, states @ p["v"], -1e9)
     e = np.exp(s - s.max(axis=1, keepdims=True))
     e /= e.sum(axis=1, keepdims=True)
     pooled = (e[:, :, None] * states).sum(axis=1)
     logit = pooled @ p["o"] + p["c"][0]
-    dl = (sigmoid(logit) - y) / b
-    g["o"], g["c"] = pooled.T @ dl, np.array([dl.sum()])
+    dl = ((sigmoid(logit) - y) / b).astype(kind)
+    g = {"o": pooled.T @ dl, "c": np.array([dl.sum()])}
     dc = dl[:, None] * p["o"]
     de = (states * dc[:, None, :]).sum(axis=2)
     ds = e * (de - (e * de).sum(axis=1, keepdims=True))
-    g["v"] = np.einsum("bt,bth->h", ds, states)
-    dstates = e[:, :, None] * dc[:, None, :] + ds[:, :, None] * p["v"]
-    dx = np.zeros_like(x)
-    for d, (w, bias, u, order) in enumerate((("wf", "bf", "uf", range(steps - 1, -1, -1)), ("wb", "bb", "ub", range(steps)))):
-        dh, da_all = np.zeros((b, HIDDEN)), np.zeros((b, steps, 3 * HIDDEN))
-        for t in order:
-            h, z, r, n, hn, m = tape[d][t]
-            dh = dh + dstates[:, t, d * HIDDEN : (d + 1) * HIDDEN]
-            dm = dh * m
-            da = dm * (1 - z) * (1 - n * n)
-            dz, dr = dm * (h - n) * z * (1 - z), da * hn * r * (1 - r)
-            du = np.concatenate([dz, dr, da * r], axis=1)
-            g[u] += h.T @ du
-            dh = dh * (1 - m) + dm * z + du @ p[u].T
-            da_all[:, t] = np.concatenate([dz, dr, da], axis=1)
-        g[w] += np.einsum("btd,bth->dh", x, da_all)
-        g[bias] += da_all.sum(axis=(0, 1))
-        dx += da_all @ p[w].T
+    g["v"] = (ds[..., None] * states).sum(axis=(0, 1))
+    dstates = (e[:, :, None] * dc[:, None, :] + ds[:, :, None] * p["v"]).transpose(1, 0, 2)
+    dout = np.stack([dstates[..., :HIDDEN], dstates[::-1, :, HIDDEN:]])
+    dh, da_all, du_all = np.zeros((2, b, HIDDEN), kind), np.empty((2, steps, b, 3 * HIDDEN), kind), np.empty((2, steps, b, 3 * HIDDEN), kind)
+    back = u.transpose(0, 2, 1).copy()
+    for t in range(steps - 1, -1, -1):
+        h, z, r, n, hn, m = before[t], gates[t, ..., :HIDDEN], gates[t, ..., HIDDEN:], ns[t], hns[t], m_all[:, t]
+        dh = dh + dout[:, t]
+        dm = dh * m
+        da = dm * (1 - z) * (1 - n * n)
+        da_all[:, t, :, :HIDDEN], da_all[:, t, :, HIDDEN:h2], da_all[:, t, :, h2:] = dm * (h - n) * z * (1 - z), da * hn * r * (1 - r), da
+        du = du_all[:, t]
+        du[..., :h2], du[..., h2:] = da_all[:, t, :, :h2], da * r
+        dh = dh - dm + dm * z + du @ back
+    gu = before.transpose(1, 0, 2, 3).reshape(2, steps * b, HIDDEN).transpose(0, 2, 1) @ du_all.reshape(2, steps * b, -1)
+    da_all[1] = da_all[1, ::-1].copy()
+    flat = da_all.reshape(2, steps * b, 3 * HIDDEN)
+    gw, gb = times.T @ flat, flat.sum(axis=1)
+    g |= {"uf": gu[0], "ub": gu[1], "wf": gw[0], "wb": gw[1], "bf": gb[0], "bb": gb[1]}
+    dx = (flat @ w.transpose(0, 2, 1)).sum(axis=0).reshape(steps, b, -1).transpose(1, 0, 2)
     return dx, g, logit
 
 
+def sum_rows(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """An array of `size` rows; row i is the sum of the values whose `at` is i."""
+    return np.stack([np.bincount(at, v, size) for v in values.T.astype(np.float64)], axis=1).astype(values.dtype)
+
+
 def _odds(seen: np.ndarray, toxic: np.ndarray, pos: float, neg: float, least: int = 6) -> np.ndarray:
     """Log-odds of label 1 for features by the labelled texts that have them; 0 for features of few texts."""
     odds = np.log((np.maximum(toxic, 0) + 0.5) / (pos + 1)) - np.log((np.maximum(seen - toxic, 0) + 0.5) / (neg + 1))
@@ -272,6 +281,7 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, batch: int =
     kept = np.flatnonzero(data.kept)
     mat = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
     p = {"words": rng.normal(0, 0.05, (len(kept) + 1, DIM)), "grams": rng.normal(0, 0.05, (GRAMS, DIM)), "wf": mat(DIM, 3 * HIDDEN), "wb": mat(DIM, 3 * HIDDEN), "uf": mat(HIDDEN, 3 * HIDDEN), "ub": mat(HIDDEN, 3 * HIDDEN), "bf": np.zeros(3 * HIDDEN), "bb": np.zeros(3 * HIDDEN), "v": mat(2 * HIDDEN), "o": mat(2 * HIDDEN), "c": np.zeros(1)}
+    p = {k: v.astype(np.float32) for k, v in p.items()}
     net = Network(p, {data.names[w]: i + 1 for i, w in enumerate(kept.tolist())})
     y, windows = data.y, data.windows
     if not windows or y.sum() in (0, len(y)):
@@ -299,22 +309,20 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, batch: int =
         idx, mask = data.batch(chosen)
         words, at = np.unique(idx, return_inverse=True)
         at = at.reshape(idx.shape)
-        flat, root = data.runs(words), np.sqrt(data.sizes[words])[:, None]
+        flat, root = data.runs(words), np.sqrt(data.sizes[words]).astype(np.float32)[:, None]
         ids = word_id[words] * (rng.random(len(words)) > 0.5)  # at times from characters alone
         n = data.sizes[words]
         vec = p["words"][ids] + np.add.reduceat(p["grams"][flat], np.cumsum(n) - n) / root
         label = np.array([y[k] for k, _ in chosen])
         dx, g, _ = _gradients(p, vec[at], mask, label)
-        dvec = np.zeros_like(vec)
-        np.add.at(dvec, at, dx * mask[:, :, None])
-        g["words"], g["grams"] = np.zeros_like(p["words"]), np.zeros_like(p["grams"])
-        np.add.at(g["words"], ids, dvec)
-        np.add.at(g["grams"], flat, np.repeat(dvec / root, n, axis=0))
+        dvec = sum_rows(at.ravel(), (dx * mask[:, :, None]).reshape(-1, DIM).astype(np.float32), len(words))
+        g["words"] = sum_rows(ids, dvec, len(p["words"]))
+        g["grams"] = sum_rows(flat, np.repeat(dvec / root, n, axis=0), GRAMS)
         lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for k in p:
-            first[k] = 0.9 * first[k] + 0.1 * g[k]
-            second[k] = 0.99 * second[k] + 0.01 * g[k] ** 2
-            p[k] -= lr * (first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8) + decay * p[k])
+            first[k] += np.float32(0.1) * (g[k] - first[k])
+            second[k] += np.float32(0.01) * (g[k] * g[k] - second[k])
+            p[k] -= np.float32(lr) * (first[k] / np.float32(1 - 0.9**step) / (np.sqrt(second[k] / np.float32(1 - 0.99**step)) + np.float32(1e-8)) + np.float32(decay) * p[k])
     top = np.full(len(texts), -np.inf)
     np.maximum.at(top, owner, window_logits(net, data))
     net.scale = _platt(top[np.isfinite(top)], y[np.isfinite(top)])
@@ -350,16 +358,22 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1000, other_rows:
     """Train on a bounded sample: the labelled ids of smallest hash, toxic_rows of label 1 and other_rows of label 0, and of
     each label texts of sample_bytes together at most. A threshold of the hash that twice as many rows pass comes first,
     so that no task gets all rows of a label.
+
+    Texts of over a twentieth of sample_bytes come after all others, and what doesn't fit is left out, so a long text takes no other's place. Where even
+    the first doesn't fit, evenly spaced runs of 32 of its words are learnt from. Ids with several texts count with the least of them, ids with several labels as toxic.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
     counted = known.groupBy("toxic").agg(F.count("*").alias("rows_of"))  # two rows
     most = F.when(F.col("toxic") == 1, toxic_rows).otherwise(other_rows)
     passed = known.join(F.broadcast(counted), "toxic").where(F.col("rows_of") * (F.col("h") / 2.0**64 + 0.5) <= 2 * most + 50)
     ids = passed.selectExpr("doc_id", "toxic", "h", "row_number() over (partition by toxic order by h, doc_id) as rn").where(F.col("rn") <= most).drop("rn")
-    texts = docs.where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic", "h", F.octet_length("text").cast("bigint").alias("bytes")).dropDuplicates(["doc_id"])
-    small = stage(texts, "sample")
-    fits = small.selectExpr("doc_id", "sum(bytes) over (partition by toxic order by h, doc_id) as upto").where(F.col("upto") <= sample_bytes).select("doc_id")
-    rows = small.join(F.broadcast(fits), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")  # at most toxic_rows + other_rows, and sample_bytes of each label
+    texts = docs.where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text"))
+    small = stage(texts.withColumn("bytes", F.octet_length("text").cast("bigint")), "sample")
+    order = f"over (partition by toxic order by bytes > {sample_bytes // 20}, h, doc_id)"
+    fits = small.selectExpr("doc_id", f"sum(bytes) {order} as upto", f"row_number() {order} as rn").where((F.col("upto") <= sample_bytes) | (F.col("rn") == 1)).select("doc_id")
+    every = F.ceil(F.col("bytes") / sample_bytes)
+    thinned = F.array_join(F.filter(F.split("text", r"\s+"), lambda x, i: F.floor(i / 32) % every == 0), " ")
+    rows = small.join(F.broadcast(fits), "doc_id").select("doc_id", F.when(every > 1, thinned).otherwise(F.col("text")).alias("text"), "toxic").toPandas().sort_values("doc_id")  # at most toxic_rows + other_rows, and about sample_bytes of each label
     return train(rows["text"].tolist(), rows["toxic"].astype(int).tolist()) if len(rows) else train([], [])
 
 
@@ -382,6 +396,11 @@ def score(docs: DataFrame, net: Network, keep: list[str] | None = None, text_col
 
 
 def detect(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document; labels of held-out rows are never read."""
+    """doc_id, held_out, score, predicted of every document; labels of held-out rows are never read.
+
+    Defined results: null, empty and wordless texts score 0; very long texts are scored whole, by their highest window; repeated rows and ids are scored row by row,
+    alike for equal texts; null ids are held out; labels other than 0 and 1, null ones and those without a document are ignored; with
+    labels of one kind only, or none, all texts with words score the same; no rows give no rows; further columns are ignored.
+    """
     net = fit(docs.select("doc_id", "text"), labels.where(~held_out()))
     return score(docs.select("doc_id", "text"), net, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -151,3 +151,51 @@ def test_mixing_repeats_and_odd_texts(spark):
     rows = [(i, "w " * 40, "en", "s", 1) for i in range(20)] + [(5, "w " * 40, "en", "s", 1), (50, "", "en", "s", 1), (51, None, None, None, 1), (52, "w " * 100_000, "en", "t", 1)]
     out = mixing.mix(spark.createDataFrame(rows, DOCS), fraction=1.0)
     assert out.count() == 24 and out.where("doc_id = 51").select("__mix.tokens").first()[0] == 1.0 and out.select(F.max("__mix.probability")).first()[0] <= 1.0
+
+
+def test_toxicity_windows_one_by_one():
+    """The scorer against a naive network run over each window of each text."""
+    rows, labels = corpus(120, 6)
+    net = toxicity.train([t for _, t in rows[:80]], [t for _, _, t in labels[:80]], steps=60)
+    p, h = {k: v.astype(np.float64) for k, v in net.p.items()}, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def word(w):
+        runs = toxicity.runs_of([w])[0]
+        return p["words"][net.vocab.get(w, 0)] + sum(p["grams"][r] for r in runs) / len(runs) ** 0.5
+
+    def direction(xs, w, u, b):
+        state, out = np.zeros(h), []
+        for x in xs:
+            a, r = x @ p[w] + p[b], state @ p[u]
+            z, k = sig(a[:h] + r[:h]), sig(a[h : 2 * h] + r[h : 2 * h])
+            new = np.tanh(a[2 * h :] + k * r[2 * h :])
+            state = new + z * (state - new)
+            out.append(state)
+        return out
+
+    def window(ws):
+        xs = [word(w) for w in ws]
+        states = np.hstack([direction(xs, "wf", "uf", "bf"), direction(xs[::-1], "wb", "ub", "bb")[::-1]])
+        e = np.exp(states @ p["v"])
+        return float((e / e.sum()) @ states @ p["o"] + p["c"][0])
+
+    texts = [t for _, t in rows[80:]] + ["one", "", None, "y" * 300 + " zqidiots", " ".join(t for _, t in rows[:5])]
+    want = []
+    for t in texts:
+        ws = toxicity.words_of(t)
+        want.append(max((window(ws[a : a + toxicity.WINDOW]) for a in range(0, max(len(ws) - toxicity.STRIDE, 1), toxicity.STRIDE)), default=-np.inf) if ws else -np.inf)
+    assert np.allclose(toxicity.Scorer(net).documents(texts), want, atol=1e-3)
+
+
+def test_a_huge_labelled_text_leaves_the_others(spark):
+    rows, labels = corpus(300, 7)
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    first = frame.join(spark.createDataFrame([(i,) for i, _, t in labels if t and not held(i)], "doc_id bigint"), "doc_id").orderBy(F.xxhash64("doc_id")).first()[0]
+    huge = F.when(F.col("doc_id") == first, F.concat_ws(" ", "text", F.expr("repeat('quite harmless words ', 650000)"))).otherwise(F.col("text"))
+    got = toxicity.detect(frame.withColumn("text", huge), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
+    truth = {i: t for i, _, t in labels}
+    assert np.mean([truth[r["doc_id"]] == r["predicted"] for r in got if r["held_out"]]) >= 0.95
+    alone = spark.createDataFrame([(i, 1, t) for i, _, t in labels if not t or i == first], "doc_id bigint, quality int, toxic int")
+    assert len({round(r["score"], 6) for r in toxicity.detect(frame.withColumn("text", huge), alone).collect()}) > 1  # runs of its words stand for it
