@@ -50,27 +50,36 @@ def plan_revisits(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id",
     return rows.join(groups, ["digest", "payload_bytes"], "left").withColumn("refers_to", F.when(F.col("owner") != F.col("page_id"), F.col("owner"))).drop("owner")
 
 
-def write_archives(planned: DataFrame, path: str, records_per_file: int = 5000, level: int = 4) -> None:
+def write_archives(planned: DataFrame, path: str, archive_bytes: int = 32 << 20, level: int = 4) -> None:
     """One gzip member a record, written by Spark's text writer, whose commit protocol covers lost tasks.
 
-    A file holds records_per_file records at most, so that a reader can hold a whole archive. Pages keep their URL out
-    of the record id: urn:page:<page_id>, empty for a null page_id.
+    A file is one row: members of archive_bytes together, or the one that passes them, so that a reader can hold a whole archive
+    however long the records are. Pages keep their URL out of the record id: urn:page:<page_id>, empty for a null page_id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+
+        def archive() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], ["members"])
+
         for b in batches:
-            digest, size, page, payload, refers = (b.column(n).to_pylist() for n in ("digest", "payload_bytes", "page_id", "payload", "refers_to"))
-            out = []
-            for d, n, i, p, r in zip(digest, size, page, payload, refers, strict=True):
+            digest, size, page, refers = (b.column(n).to_pylist() for n in ("digest", "payload_bytes", "page_id", "refers_to"))
+            for d, n, i, p, r in zip(digest, size, page, b.column("payload"), refers, strict=True):
                 head = {"WARC-Type": "response" if r is None else "revisit", "WARC-Record-ID": f"<urn:page:{'' if i is None else i}>", "WARC-Date": "1970-01-01T00:00:00Z", "WARC-Payload-Digest": f"sha1:{d}", "WARC-Payload-Length": str(n)}
                 if r is not None:
                     head |= {"WARC-Refers-To": f"<urn:page:{r}>", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
                 pack = zlib.compressobj(level, zlib.DEFLATED, 31)
-                out.append(pack.compress(record(head, p.encode() if r is None else b"")) + pack.flush())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+                out.append(pack.compress(record(head, p.as_py().encode() if r is None else b"")) + pack.flush())
+                held += len(out[-1])
+                if held >= archive_bytes:
+                    yield archive()
+                    out, held = [], 0
+        if out:
+            yield archive()
 
-    members = planned.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
-    members.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records_per_file).text(path)
+    members = planned.mapInArrow(run, "members binary").select(F.col("members").cast("string").alias("value"))
+    members.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
 
 
 @dataclass
@@ -209,7 +218,7 @@ def read_archives(spark: SparkSession, path: str, blocks: bool = False) -> DataF
     """Rows of FIELDS (and block binary, if asked for) of all files below path.
 
     A row with gap_reason is a quarantined byte range; all others are checked records. Both plain and gzip archives
-    are read. Empty files give no row.
+    are read, each by one task that holds it, so they must be below 2 GB, the limit of a value. Empty files give no row.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
