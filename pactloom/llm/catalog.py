@@ -42,6 +42,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "token_ids", "round_trip")
 
 
+def op7_unigram_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), kind="unigram").select("doc_id", "n_tokens", "token_ids", "round_trip")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -68,7 +72,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (
     op1_url_filters, op2_simhash, op3_line_dedup, op4_embedding_links, op5_warc,
-    op6_nearest_neighbours, op7_sentencepiece, op8_language_id, op9_mixing, op10_toxicity, op11_phrases, op12_packing, op13_spelling_variants,
+    op6_nearest_neighbours, op7_sentencepiece, op8_language_id, op9_mixing, op10_toxicity, op11_phrases, op12_packing, op13_spelling_variants, op7_unigram_viterbi,
 )
 
 

@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -199,3 +200,56 @@ def test_a_huge_labelled_text_leaves_the_others(spark):
     assert np.mean([truth[r["doc_id"]] == r["predicted"] for r in got if r["held_out"]]) >= 0.95
     alone = spark.createDataFrame([(i, 1, t) for i, _, t in labels if not t or i == first], "doc_id bigint, quality int, toxic int")
     assert len({round(r["score"], 6) for r in toxicity.detect(frame.withColumn("text", huge), alone).collect()}) > 1  # runs of its words stand for it
+
+
+def test_long_runs_with_unknown_characters():
+    """Runs without blanks that hold characters outside the vocabulary: as by definition, and in n log n steps."""
+    m = pieces.model(pieces.default_path())
+    rng = random.Random(8)
+    plain = lambda w: by_definition(m, w)
+    for n in (41, 90, 200, 400):
+        for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "e", "theanding\u2603"):
+            word = "".join(rng.choices(letters, k=n))
+            assert m.merge_long(word) == plain(word)
+    text = "".join(rng.choices("etaoinshrdlu", k=60_000)) + "\U0001f9ff" + "".join(rng.choices("etaoin", k=60_000))
+    began = time.time()
+    ids, sizes = m.encode_batch([text])
+    assert time.time() - began < 60 and m.decode(ids.tolist()) == text and sizes == [len(ids)]
+
+
+def by_definition(m, word):
+    parts = list(word)
+    while True:
+        known = [(-m.score[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in m.score]
+        if not known:
+            return parts
+        i = min(known)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_unigram_query_takes_the_best_scores(spark):
+    m = pieces.model(pieces.default_path(), "unigram")
+    text = "the thing is un\u00ebven \u2603 sample"
+
+    def best(word):
+        at = [(0.0, [])]
+        for end in range(1, len(word) + 1):
+            at.append(max(((at[k][0] + m.score.get(word[k:end], m.least if end - k == 1 else -1e18), [*at[k][1], word[k:end]]) for k in range(end)), key=lambda x: x[0]))
+        return at[-1]
+
+    got = pieces.encode(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id bigint, text string"), kind="unigram").orderBy("doc_id").collect()
+    score = lambda ids: sum(m.score[m.text[i]] if i in m.text else 0.0 for i in ids)
+    want = [best(w)[1] for w in m.words.findall(pieces.MARK + text.replace(" ", pieces.MARK))]
+    assert score(got[0]["token_ids"]) == sum(m.score.get(p, 0.0) for ps in want for p in ps) and got[0]["round_trip"]
+    assert got[1]["token_ids"] is None and got[2]["token_ids"] == []
+
+
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, "u", "".join(map(chr, rng.choices(range(33, 2000), k=20_000)))) for i in range(12)] + [(i, "u", f"short {i}") for i in range(100, 400)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    warc.write_archives(warc.plan_revisits(pages).coalesce(1), str(tmp_path / "a"), archive_bytes=100_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "a").glob("part-*")]
+    assert 3 < len(sizes) < 12 and max(sizes) < 100_000 + 45_000
+    got = warc.read_archives(spark, str(tmp_path / "a")).collect()
+    assert len(got) == len(rows) and all(r["gap_reason"] is None for r in got)
