@@ -39,23 +39,27 @@ def line_facts(segments: DataFrame) -> DataFrame:
     return segments.groupBy("contract_id").agg(names("JV").alias("jv_scope_summary"), names("SV").alias("sv_scope_summary"), text("base_drain").alias("bottom_drain_scope"), text("plot_line").alias("yard_line_scope"))
 
 
-def finance_facts(contracts: DataFrame, prices: DataFrame, items: DataFrame) -> DataFrame:
+def finance_facts(contracts: DataFrame, prices: DataFrame, items: DataFrame, discovered: DataFrame | None = None) -> DataFrame:
     """H4 for each contract: highest fixed price, schedule total, difference, match and evidence status.
 
     The total is gross if no gross amount is missing, net if all are, else ambiguous (null). A match is within 1.00.
+    discovered (contract_id, status: D16's) tells schedules that were found without structure or in invoices. schedule_basis is the status
+    without regard to the price: structured_total, ambiguous_amount_basis, found_unstructured or not_found.
     """
     price = prices.where("price_type = 'fixed_contract_price'").groupBy("contract_id").agg(F.max(F.coalesce(F.nullif("amount_gross", F.lit(0)), F.col("amount_net"))).alias("contract_price"))
     total = items.groupBy("contract_id").agg(F.count("*").alias("items"), F.count("amount_gross").alias("with_gross"), F.sum("amount_gross").alias("gross"), F.sum("amount_net").alias("net"))
     out = contracts.select("contract_id", "project_id").join(price, "contract_id", "left").join(total, "contract_id", "left")
+    out = out.withColumn("found", F.lit(None).cast("string")) if discovered is None else out.join(discovered.select("contract_id", F.col("status").alias("found")), "contract_id", "left")
     schedule = F.when(F.col("with_gross") == F.col("items"), F.col("gross")).when(F.col("with_gross") == 0, F.col("net")).cast("decimal(18,2)")
     out = out.withColumn("schedule_total", schedule).withColumn("difference", (F.col("schedule_total") - F.col("contract_price")).cast("decimal(18,2)"))
     match = F.when(F.col("difference").isNotNull(), F.abs("difference") <= 1)
+    basis = F.when(F.col("schedule_total").isNotNull(), "structured_total").when(F.col("items") > 0, "ambiguous_amount_basis").when(F.col("found") == "found_unstructured", "found_unstructured").otherwise("not_found")
     status = (
-        F.when(F.coalesce("items", F.lit(0)) == 0, "not_found").when(F.col("schedule_total").isNull(), "ambiguous_amount_basis").when(F.col("contract_price").isNull(), "contract_price_missing")
-        .when(match, "structured_and_matches").otherwise("structured_but_mismatch")
+        F.when(F.col("contract_price").isNull(), F.lit("contract_price_missing")).when(match & (F.col("found") == "invoice_documents_structured"), "invoice_documents_structured")
+        .when(match, "structured_and_matches").when(~match, "structured_but_mismatch").otherwise(basis)
     )
     pct = F.bround((F.col("difference") * 100 / F.nullif("contract_price", F.lit(0))).cast("decimal(18,6)"), 2).cast("decimal(18,2)")
-    return out.select("contract_id", "project_id", "contract_price", "schedule_total", "difference", pct.alias("difference_pct"), match.alias("price_matches"), status.alias("payment_status"))
+    return out.select("contract_id", "project_id", "contract_price", "schedule_total", "difference", pct.alias("difference_pct"), match.alias("price_matches"), status.alias("payment_status"), basis.alias("schedule_basis"))
 
 
 def availability(projects: DataFrame, key: str, structured: DataFrame, documents: DataFrame, texts: DataFrame) -> DataFrame:
@@ -70,7 +74,7 @@ def defect_counts(observations: DataFrame, types: tuple[str, ...] = ("defect", "
     return observations.groupBy("project_code").agg(F.nullif(F.count_if(F.col("observation_type").isin(*types)), F.lit(0)).alias("defect_count"))
 
 
-#: Fields that block a project while they are missing or weak: fixed values.
+#: Fields that block a project while they are missing or weak, availability flags, and the matrix's fields in their order.
 BLOCKING_MISSING = ("apartments_count", "jv_verticals_count", "jv_scope_summary", "bottom_drain_scope", "yard_line_scope", "contract_price", "quality_requirements_available", "video_inspection_available", "handover_or_reception_available", "warranty_notes_available")
 BLOCKING_WEAK = ("contract_price", "payment_schedule_total", "payment_schedule_matches_contract_price", "apartments_count", "jv_verticals_count", "jv_scope_summary", "bottom_drain_scope", "yard_line_scope")
 CRITICAL = ("apartments_count", "contract_price")
@@ -108,8 +112,8 @@ def readiness(matrix: DataFrame) -> DataFrame:
     return rows.withColumn("kg_readiness_reasons", F.array_join(told, "; ")).withColumn("next_blocker", blocker).withColumn("confidence_summary", sure)
 
 
-#: What an unfit payment schedule means for readiness.
-PAYMENT_REASONS = {"not_found": "payment schedule was not found", "ambiguous_amount_basis": "payment schedule mixes net and gross amounts", "contract_price_missing": "contract price is missing", "structured_but_mismatch": "payment schedule total does not match contract price"}
+#: What an unfit payment schedule means for readiness.
+PAYMENT_REASONS = {"not_found": "payment schedule was not found", "found_unstructured": "payment schedule was found without structure", "ambiguous_amount_basis": "payment schedule mixes net and gross amounts", "contract_price_missing": "contract price is missing", "structured_but_mismatch": "payment schedule total does not match contract price"}
 
 
 def fact_matrix(projects: DataFrame, properties: DataFrame, primary: DataFrame, finance: DataFrame, lines: DataFrame, text_status: DataFrame, available: DataFrame, defects: DataFrame) -> DataFrame:
@@ -121,18 +125,19 @@ def fact_matrix(projects: DataFrame, properties: DataFrame, primary: DataFrame,
     out = projects.join(property_facts(properties), "project_id", "left").join(primary.select("project_id", "contract_id"), "project_id", "left")
     out = out.join(finance.drop("project_id"), "contract_id", "left").join(lines, "contract_id", "left").join(text_status, "project_id", "left").join(available, "project_code", "left").join(defects, "project_code", "left")
     per = F.bround((F.col("contract_price") / F.nullif("apartments_count", F.lit(0))).cast("decimal(18,6)"), 2).cast("decimal(18,2)")
-    status = F.coalesce("payment_status", F.lit("not_found"))
+    status, basis = F.coalesce("payment_status", F.lit("contract_price_missing")), F.coalesce("schedule_basis", F.lit("not_found"))
     reasons = F.create_map(*[F.lit(x) for kv in PAYMENT_REASONS.items() for x in kv])
     rows = out.select(
         "project_code", F.coalesce("project_name" if "project_name" in out.columns else "project_code", "project_code").alias("project_display_name"), F.coalesce("text_layer_status", F.lit("fail")).alias("source_coverage_status"), F.coalesce("text_layer_status", F.lit("fail")).alias("text_layer_status"),
         *PROPERTY_FIELDS, "jv_scope_summary", "sv_scope_summary", "bottom_drain_scope", "yard_line_scope", "contract_price", F.col("schedule_total").alias("payment_schedule_total"), F.col("price_matches").alias("payment_schedule_matches_contract_price"),
-        F.col("difference").alias("payment_schedule_difference"), F.col("difference_pct").alias("payment_schedule_difference_pct"), status.alias("payment_schedule_evidence_status"), reasons[status].alias("payment_schedule_readiness_reason"), per.alias("price_per_apartment"),
+        F.col("difference").alias("payment_schedule_difference"), F.col("difference_pct").alias("payment_schedule_difference_pct"), status.alias("payment_schedule_evidence_status"), reasons[status].alias("payment_schedule_readiness_reason"), basis.alias("h_basis"), per.alias("price_per_apartment"),
         *[F.coalesce(F.col(a), F.lit("missing")).alias(f"h_{a}") for a in AVAILABILITY], F.col("defect_count").alias("defects_or_open_items_count"),
     )
     rows = rows.select("*", *[(F.col(f"h_{a}") != "missing").alias(a) for a in AVAILABILITY])
     facts = [*PROPERTY_FIELDS, "jv_scope_summary", "sv_scope_summary", "bottom_drain_scope", "yard_line_scope", "contract_price", "payment_schedule_total", "price_per_apartment"]
     gone = [(F.col(f).isNull(), f) for f in facts] + [(F.col(f"h_{a}") == "missing", a) for a in AVAILABILITY[:6]] + [(F.col("defects_or_open_items_count").isNull(), "defects_or_open_items_count"), (F.col(f"h_{AVAILABILITY[6]}") == "missing", AVAILABILITY[6])]
-    weak = [(F.col("payment_schedule_evidence_status") == "ambiguous_amount_basis", "payment_schedule_total")] + [(F.col(f"h_{a}").isin("document_evidence", "text_evidence"), a) for a in AVAILABILITY]
+    unsure = F.col("h_basis").isin("ambiguous_amount_basis", "found_unstructured")
+    weak = [(unsure, "payment_schedule_total"), (unsure | (F.col("h_basis") == "not_found") | ~F.col("payment_schedule_matches_contract_price"), "payment_schedule_matches_contract_price")] + [(F.col(f"h_{a}").isin("document_evidence", "text_evidence"), a) for a in AVAILABILITY]
     source = {**dict.fromkeys(PROPERTY_FIELDS, "core.properties"), "contract_price": "finance.contract_prices", "payment_schedule_total": "finance.payment_schedule_items", "defects_or_open_items_count": "ops.project_observations"}
     item = lambda f: F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), F.lit(source.get(f, "domain.sewer_segments")).alias("source_table"), F.lit("high" if source.get(f) == "core.properties" else "medium_high").alias("confidence")))
     flag = lambda a: F.when(F.col(f"h_{a}") != "missing", F.struct(F.lit(a).alias("field"), F.lit("true").alias("value"), F.col(f"h_{a}").alias("source_table"), F.when(F.col(f"h_{a}") == "structured", "high").otherwise("medium").alias("confidence")))

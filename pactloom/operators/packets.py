@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactloom.functions.rules import ANSWER_TEMPLATES
+from pactloom.functions.rules import TOPICS
 from pactloom.functions.text import LEAK_PATTERNS, anonymize_labels, cut, leak_scan, snippet
 
 #: Statuses from weakest to strongest: fixed values.
@@ -26,6 +26,7 @@ DIRECT_TEXTS = (
     ("clauses", "direct_clause", "clause", "source_id"), ("sections", "direct_section", "section", "source_id"),
     ("guidance_items", "direct_page", "raw_page", "regexp_extract(source_id, '^(.*)-[^-]*$', 1)"), ("guidance_laws", "direct_page", "raw_page", "regexp_extract(source_id, '^(.*)-[^-]*$', 1)"),
 )
+RULE_WORDS = sorted({w for _, keywords, *_ in TOPICS for w in keywords})
 CONTEXT = ["question_id", "evidence_id", "text_id", "status", "source_type", "document_type", "text"]
 
 
@@ -40,7 +41,7 @@ def text_context(evidence: DataFrame, detected: DataFrame, texts: DataFrame, pag
     projects with a keyword in body, title or type.
 
     evidence (question_id, evidence_id, source_table, source_id, project_code); texts (source_type, text_id, document_type,
-    text) of clauses, sections and pages; pages (file_id, page_no, document_type, raw_text); sections (project_code,
+    text) of clauses, sections and pages; detected's keywords are those of the topic rules; pages (file_id, page_no, document_type, raw_text); sections (project_code,
     section_key, file_id, title, document_type, body_text).
     """
     kw = detected.select("question_id", "keywords")
@@ -55,10 +56,16 @@ def text_context(evidence: DataFrame, detected: DataFrame, texts: DataFrame, pag
     known = direct.unionByName(by_file)
     missing = evidence.join(known.select("question_id", "evidence_id").distinct(), ["question_id", "evidence_id"], "left_anti")
     projects = missing.where("project_code is not null").select("question_id", "project_code").distinct()
-    head = sections.withColumn("rn", F.row_number().over(Window.partitionBy("project_code").orderBy("section_key", "file_id")))
-    plain = projects.join(kw.where(F.size("keywords") == 0), "question_id").join(head.where(F.col("rn") <= k), "project_code")
-    words = projects.join(kw.where(F.size("keywords") > 0), "question_id").join(head, "project_code").where(fits("body_text", "title", "document_type"))
-    both = top(plain.unionByName(words).drop("rn"), k, "project_code", "section_key", "file_id")
+    order = ("section_key", "file_id")
+    head = sections.withColumn("rn", F.row_number().over(Window.partitionBy("project_code").orderBy(*order))).where(F.col("rn") <= k).drop("rn")
+    plain = projects.join(kw.where(F.size("keywords") == 0).select("question_id"), "question_id").join(head, "project_code")
+    # Each section is searched once for the words of the rule table; of each project and word, k sections are enough.
+    low = F.concat_ws("\n", *[F.lower(c) for c in ("body_text", "title", "document_type")])
+    held = sections.withColumn("low", low).withColumn("keyword", F.explode(F.filter(F.array(*[F.lit(w) for w in RULE_WORDS]), lambda w: F.contains(F.col("low"), w)))).drop("low")
+    held = held.withColumn("rn", F.row_number().over(Window.partitionBy("project_code", "keyword").orderBy(*order))).where(F.col("rn") <= k).drop("rn")
+    asked = projects.join(kw.select("question_id", F.explode("keywords").alias("keyword")), "question_id")
+    words = asked.join(held, ["project_code", "keyword"]).drop("keyword").dropDuplicates(["question_id", "project_code", *order])
+    both = top(plain.unionByName(words), k, "project_code", *order)
     fallback = both.select("question_id", F.lit(None).cast("string").alias("evidence_id"), F.concat_ws("#", "project_code", "section_key", "file_id").alias("text_id"), F.lit("topic_text_fallback").alias("status"), F.lit("section").alias("source_type"), "document_type", F.col("body_text").alias("text"))
     return known.unionByName(fallback)
 
@@ -72,6 +79,12 @@ def evidence_status(evidence: DataFrame, context: DataFrame) -> DataFrame:
     return out.select("question_id", "evidence_id", "entity_id", "relation_id", F.coalesce("own", F.when(F.col("fall"), label), F.lit("missing")).alias("status"))
 
 
+def status_by_target(statuses: DataFrame) -> DataFrame:
+    """The strongest status among the evidence of each question's entities and relations: target_kind, target_id, status."""
+    rows = [statuses.where(f"{k}_id IS NOT NULL").select("question_id", F.lit(k).alias("target_kind"), F.col(f"{k}_id").alias("target_id"), "status") for k in ("entity", "relation")]
+    return reduce(DataFrame.unionByName, rows).groupBy("question_id", "target_kind", "target_id").agg(F.max_by("status", strength(F.col("status"))).alias("status"))
+
+
 def coverage(questions: DataFrame, hits: DataFrame, statuses: DataFrame, context: DataFrame) -> DataFrame:
     """Coverage and retrieval status of each question by ordered rules."""
     s = statuses.groupBy("question_id").agg(F.count("*").alias("evidence_count"), F.count_if(F.col("status") == "missing").alias("missing_count"), F.count_if(F.col("status").isin(*DIRECT)).alias("direct_count"), F.count_if(F.col("status") == "topic_text_fallback").alias("fallback_count"))
@@ -88,17 +101,46 @@ def coverage(questions: DataFrame, hits: DataFrame, statuses: DataFrame, context
 
 def build_packets(detected: DataFrame, hits: DataFrame, found: DataFrame, statuses: DataFrame, context: DataFrame, cov: DataFrame) -> DataFrame:
     """One row a question: topics, entities, relations, evidence, sanitised texts, statuses; projects as reference_nnn."""
+    of = status_by_target(statuses)
+    of_entity = of.where("target_kind = 'entity'").select("question_id", F.col("target_id").alias("entity_id"), "status")
+    of_relation = of.where("target_kind = 'relation'").select("question_id", F.col("target_id").alias("relation_id"), "status")
+    state = F.coalesce("status", F.lit("missing")).alias("status")
     labelled = anonymize_labels(hits.where("project_code is not null"), "question_id", "project_code", "rank").select("question_id", "entity_id", "reference_label")
-    e = hits.join(labelled, ["question_id", "entity_id"], "left").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "entity_type", snippet(F.col("display_name")).alias("name"), "reference_label"))).alias("entities"))
-    r = found.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "relation_type", "relation_id"))).alias("relations"))
+    named = hits.join(labelled, ["question_id", "entity_id"], "left").join(of_entity, ["question_id", "entity_id"], "left")
+    e = named.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "entity_type", snippet(F.col("display_name")).alias("name"), "reference_label", state))).alias("entities"))
+    r = found.join(of_relation, ["question_id", "relation_id"], "left").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "relation_type", "relation_id", state))).alias("relations"))
     v = statuses.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("evidence_id", "status"))).alias("evidence"))
     c = context.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("text_id", "status", "source_type", F.coalesce("document_type", F.lit("unknown")).alias("document_type"), snippet(F.col("text")).alias("snippet")))).alias("texts"))
-    out = detected.select("question_id", "topics", "keywords", "case_fields")
+    asked = [F.col(n) if n in detected.columns else F.lit(None).cast(t).alias(n) for n, t in (("question", "string"), ("user_case", "map<string,string>"))]
+    out = detected.select("question_id", *asked, "topics", "keywords", "case_fields")
     for part in (e, r, v, c, cov):
         out = out.join(part, "question_id", "left")
     return out
 
 
+#: The scope of answers, how references are used, and words of a question that asks for one.
+ANSWER_SCOPE, REFERENCE_MODE = "general_cipp_user_case", "internal_anonymized_grounding"
+REFERENCE_WORDS = ("referenssiprojekti", "reference_", "pilot_", "projektissa ")
+
+
+def public_packets(packets: DataFrame) -> DataFrame:
+    """The eighteen keys of a packet beside its question_id. Warnings are codes; missing fields are those the case (map) doesn't give."""
+    none = F.array().cast("array<string>")
+    given = F.coalesce("user_case", F.create_map().cast("map<string,string>"))
+    missing = F.filter(F.coalesce("case_fields", none), lambda f: F.coalesce(F.try_element_at(given, f), F.lit("")) == "")
+    low = F.lower(F.coalesce("question", F.lit("")))
+    refers = reduce(lambda x, y: x | y, [F.contains(low, F.lit(w)) for w in REFERENCE_WORDS])
+    warned = F.array_compact(F.array(F.when(F.size("missing_user_case_fields") > 0, F.lit("missing_user_case_fields")), F.when(refers, F.lit("reference_projects_are_internal"))))
+    texts = lambda kind: F.filter(F.coalesce("texts", F.array()), lambda t: t["source_type"] == kind).alias(kind + "s")
+    labels = F.array_sort(F.array_distinct(F.array_compact(F.transform("entities", lambda x: x["reference_label"]))))
+    return packets.withColumn("missing_user_case_fields", missing).select(
+        "question_id", "question", F.lit(ANSWER_SCOPE).alias("answer_scope"), given.alias("user_case"), F.col("topics").alias("detected_topics"), "missing_user_case_fields", F.col("keywords").alias("detected_entities"),
+        F.col("entities").alias("kg_entities"), F.col("relations").alias("kg_relations"), "evidence", texts("section"), texts("clause"), texts("raw_page"), F.col("coverage_status").alias("evidence_coverage_status"),
+        F.coalesce("missing_count", F.lit(0)).alias("missing_text_context_count"), F.coalesce("text_count", F.lit(0)).alias("text_context_count"),
+        F.struct(F.lit(REFERENCE_MODE).alias("mode"), F.coalesce(labels, none).alias("reference_projects_used")).alias("reference_usage"), warned.alias("warnings"), "retrieval_status",
+    )
+
+
 def select_sources(packets: DataFrame, k: int = 8) -> DataFrame:
     """K1: a packet's k texts with a snippet: strongest status first, then kind and place. Guidance is expert_guidance, all
     else retrieval_evidence; fallback texts are weak."""
@@ -119,42 +161,33 @@ def answer_status(packets: DataFrame, sources: DataFrame) -> DataFrame:
     return out.select("question_id", "topics", F.coalesce("sources", F.lit(0)).alias("sources"), status.alias("answer_status"))
 
 
-def templates(spark, rows=ANSWER_TEMPLATES) -> DataFrame:  # type: ignore[no-untyped-def]
-    """The template table of answers: topic, key_points, next_questions."""
-    return spark.createDataFrame([(t, list(p), list(q)) for t, p, q in rows], "topic string, key_points array<string>, next_questions array<string>")
+#: Codes of doubt of an answer, and the condition of each on a packet with its sources.
+DOUBTS = {
+    "retrieval_not_ok": "retrieval_status <> 'ok'", "coverage_not_ok": "coverage_status <> 'ok'", "evidence_without_text": "missing_count > 0", "weak_sources": "some_weak",
+    "guidance_is_not_law": "guided", "no_source_text": "sources = 0", "case_fields_open": "size(case_fields) > 0",
+}
 
 
 def answer_parts(packets: DataFrame, sources: DataFrame, template: DataFrame, points: int = 6, questions: int = 5) -> DataFrame:
-    """K2, K3: one answer a packet: status, short answer, key points, notes on its sources, uncertainties, next questions.
+    """K2, K3: one answer a packet as data: status, key points, notes on its sources, codes of doubt, next questions. The caller words them.
 
-    Key points and next questions come from the topics' templates, each once, in the order of topics; without any, a
-    general one stands in. Answers without sufficient evidence have no key points. Guidance is marked as such.
+    template (topic, key_points, next_questions) is the caller's. Points and questions come in the order of topics, each once, and are cut to `points` and
+    `questions`; open case fields come first among the questions. Answers without sufficient evidence have no points. A note is class, document type, status
+    and snippet of a source.
     """
-    status = answer_status(packets, sources)
-    rows = status.select("question_id", F.posexplode("topics").alias("pos", "topic")).join(F.broadcast(template), "topic")  # one row a topic
-    flat = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c])))
-    told = rows.groupBy("question_id").agg(flat("key_points").alias("key_points"), flat("next_questions").alias("next_questions"))
-    note = F.concat(F.when(F.col("source_class") == "expert_guidance", "Guidance").when(F.col("weak"), "Weaker fallback source").otherwise("Source"), F.lit(" ("), "document_type", F.lit(" / "), "status", F.lit("): "), F.when(F.col("source_class") == "expert_guidance", cut(F.col("snippet"), 240)).otherwise(F.col("snippet")))
-    notes = sources.groupBy("question_id").agg(F.array_sort(F.collect_list(F.when(F.col("rank") <= points, F.struct("rank", note.alias("note"))))).alias("n"), F.bool_or("weak").alias("some_weak"), F.bool_or(F.col("source_class") == "expert_guidance").alias("guided"))
+    rows = answer_status(packets, sources).select("question_id", "topics", "sources", "answer_status", F.posexplode_outer("topics").alias("pos", "topic")).join(template, "topic", "left")
+    flat = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(c, F.array().cast("array<string>")).alias("of")))), lambda x: x["of"])))
+    told = rows.groupBy("question_id", "topics", "sources", "answer_status").agg(flat("key_points").alias("points"), flat("next_questions").alias("asked"))
+    shown = F.struct("rank", F.col("source_class"), "document_type", "status", F.when(F.col("source_class") == "expert_guidance", cut(F.col("snippet"), 240)).otherwise(F.col("snippet")).alias("snippet"))
+    notes = sources.groupBy("question_id").agg(F.array_sort(F.collect_list(F.when(F.col("rank") <= points, shown))).alias("notes"), F.bool_or("weak").alias("some_weak"), F.bool_or(F.col("source_class") == "expert_guidance").alias("guided"))
     p = packets.select("question_id", "retrieval_status", "coverage_status", F.coalesce("missing_count", F.lit(0)).alias("missing_count"), F.coalesce("case_fields", F.array().cast("array<string>")).alias("case_fields"))
-    out = status.join(p, "question_id").join(told, "question_id", "left").join(notes, "question_id", "left")
-    none = F.array().cast("array<string>")
-    guided, weak = F.coalesce("guided", F.lit(False)), F.coalesce("some_weak", F.lit(False))
-    listed = F.coalesce("key_points", F.when(F.col("sources") > 0, F.array(F.lit("The chosen sources give text on the topic, but there is no template for it."))).otherwise(none))
-    listed = F.when(guided, F.array_union(F.array(F.lit("By expert guidance this is a step or check, not a binding legal claim.")), listed)).otherwise(listed)
-    doubts = F.array(
-        F.when(F.col("retrieval_status") != "ok", F.lit("Retrieval is not complete, so the answer is supported in part only.")), F.when(F.col("coverage_status") != "ok", F.lit("Not every claim can be confirmed from texts.")),
-        F.when(F.col("missing_count") > 0, F.lit("Some evidence has no text of its own.")), F.when(weak, F.lit("Some sources are fallbacks and support no strong claims.")), F.when(guided, F.lit("This rests on expert guidance; binding law has to be checked in its own text.")),
-        F.when(F.col("sources") == 0, F.lit("There is no usable source text.")), F.when(F.size("case_fields") > 0, F.lit("A closer answer needs details of the case.")),
-    )
-    ask = F.when(F.size("case_fields") > 0, F.array(F.concat(F.lit("Can you add these details: "), F.array_join("case_fields", ", "), F.lit("?")))).otherwise(none)
-    asked = F.concat(ask, F.coalesce("next_questions", none))
-    asked = F.when(F.size(asked) == 0, F.array(F.lit("Which document or part of the work should be looked at next?"))).otherwise(asked)
-    short = F.when(F.col("answer_status") == "insufficient_evidence", F.lit("No source text supports a safe answer.")).otherwise(F.concat(F.when(F.col("answer_status") == "partial", "Partly supported answer on ").otherwise("Answer on "), F.array_join("topics", ", "), F.lit(" from "), F.col("sources").cast("string"), F.lit(" source texts.")))
-    kept = F.when(F.col("answer_status") == "insufficient_evidence", none).otherwise(F.slice(listed, 1, points))
+    out = told.join(p, "question_id").join(notes, "question_id", "left")
+    enough = F.col("answer_status") != "insufficient_evidence"
+    asked = F.array_distinct(F.concat(F.transform("case_fields", lambda f: F.concat(F.lit("case_field:"), f)), "asked"))
     return out.select(
-        "question_id", "topics", "sources", "answer_status", short.alias("short_answer"), kept.alias("key_points"), F.coalesce(F.transform("n", lambda x: x["note"]), none).alias("source_based_notes"),
-        F.filter(doubts, lambda x: x.isNotNull()).alias("uncertainties"), F.slice(F.array_distinct(asked), 1, questions).alias("recommended_next_questions"), F.col("case_fields").alias("missing_user_case_fields"), F.lit("deterministic_source_grounded").alias("generation_mode"),
+        "question_id", "topics", "sources", "answer_status", F.when(enough, F.slice("points", 1, points)).otherwise(F.array().cast("array<string>")).alias("key_points"), F.coalesce("notes", F.array()).alias("source_based_notes"),
+        F.array_compact(F.array(*[F.when(F.expr(c), F.lit(n)) for n, c in DOUBTS.items()])).alias("uncertainties"), F.slice(asked, 1, questions).alias("recommended_next_questions"), F.col("case_fields").alias("missing_user_case_fields"),
+        F.lit("deterministic_source_grounded").alias("generation_mode"),
     )
 
 
@@ -177,8 +210,17 @@ def release_gate(smoke: DataFrame) -> DataFrame:
     return counts.select("passed", "partial", "failed", blocking.alias("blocking_topics"), ((F.size(blocking) == 0) & ~F.col("leak")).alias("release_ok"))
 
 
+#: What an answer on guidance has to say, one of each.
+GUIDANCE_PHRASES = ("asiantuntijaohjeen perusteella", "oppaan mukaan", "tämä kannattaa selvittää")
+GUIDANCE_DOUBTS = ("asiantuntijaoppaaseen", "sitova", "guidance_is_not_law")
+
+
 def answer_smoke(answers: DataFrame) -> DataFrame:
-    """Checks of answers (question_id, answer, source_text, sources, used_model): sources, law wording, leaks, numbers that no source has, long notes."""
+    """Checks of answers (question_id, answer, source_text, sources, used_model; guidance_sources and uncertainties, an array, where there are any): sources,
+    law wording, leaks, numbers that no source has, long notes; of answers that rest on guidance, that they say so and doubt that it binds."""
+    guided = F.coalesce("guidance_sources", F.lit(0)) > 0 if "guidance_sources" in answers.columns else F.lit(False)
+    doubts = F.lower(F.array_join(F.coalesce("uncertainties", F.array().cast("array<string>")), " ")) if "uncertainties" in answers.columns else F.lit("")
+    says = lambda text, words: reduce(lambda x, y: x | y, [F.contains(text, F.lit(w)) for w in words])
     numbers = F.array_distinct(F.regexp_extract_all("answer", F.lit(r"(\d+(?:[.,]\d+)?)"), F.lit(1)))
     loose = F.filter(numbers, lambda t: ~F.contains(F.col("source_text"), t))
     rows = leak_scan(answers.withColumn("ungrounded", loose), "answer", LEAK_PATTERNS)
@@ -187,6 +229,7 @@ def answer_smoke(answers: DataFrame) -> DataFrame:
         F.array(
             F.when(F.col("used_model"), F.lit("model_used")), F.when(F.col("sources") == 0, F.lit("no_sources")), F.when(binding, F.lit("binding_law_wording")),
             F.when(F.size("leaks") > 0, F.lit("leak")), F.when(F.size("ungrounded") > 0, F.lit("ungrounded_number")), F.when(F.length("answer") > 4000, F.lit("long_answer")),
+            F.when(guided & ~says(doubts, GUIDANCE_DOUBTS), F.lit("guidance_without_doubt")), F.when(guided & ~says(F.lower("answer"), GUIDANCE_PHRASES), F.lit("guidance_not_named")),
         ),
         lambda x: x.isNotNull(),
     )

@@ -667,8 +667,28 @@ def g15_primary_contract(s, d):
 # --- facts -------------------------------------------------------------------------------------------------------------
 
 SCOPE_SQL = "sf AS (SELECT contract_id, system_type, string_agg(segment_type, '; ' ORDER BY coalesce(flow_order, 2147483647), segment_type) AS segment_names FROM segments GROUP BY ALL)"
-FINANCE_SQL = """fin AS (SELECT contract_id, project_id, contract_price, schedule_total, (schedule_total - contract_price)::DECIMAL(18,2) AS difference, CASE WHEN schedule_total IS NULL OR contract_price IS NULL THEN NULL ELSE abs(schedule_total - contract_price) <= 1 END AS price_matches, items FROM contracts
-LEFT JOIN (SELECT contract_id, amount_gross AS contract_price FROM contract_prices) USING (contract_id) LEFT JOIN (SELECT contract_id, sum(amount_gross)::DECIMAL(18,2) AS schedule_total, count(*) AS items FROM payment_items GROUP BY 1) USING (contract_id))"""
+#: Prices, schedules and what was discovered of them. Every 11th contract has no price; every 13th is priced at its schedule's total; every 17th lacks some
+#: gross amounts, every 19th all; contracts without items have a schedule without structure, none, or are not looked at.
+FINANCE_SQL = """items AS (SELECT contract_id, amount_net, CASE WHEN contract_id::BIGINT % 19 = 0 OR contract_id::BIGINT % 17 = 0 AND item_no % 2 = 1 THEN NULL ELSE amount_gross END AS amount_gross FROM payment_items),
+due AS (SELECT contract_id, count(*) AS items, count(amount_gross) AS with_gross, sum(amount_gross)::DECIMAL(18,2) AS gross, sum(amount_net)::DECIMAL(18,2) AS net FROM items GROUP BY 1),
+price AS (SELECT contract_id, CASE WHEN contract_id::BIGINT % 13 = 1 THEN coalesce(gross, amount_gross) ELSE amount_gross END AS contract_price FROM contract_prices LEFT JOIN due USING (contract_id) WHERE contract_id::BIGINT % 11 <> 0),
+told AS (SELECT contract_id, project_id, price.contract_price, items, CASE WHEN with_gross = items THEN gross WHEN with_gross = 0 THEN net END AS schedule_total,
+CASE WHEN items IS NULL AND contract_id::BIGINT % 3 = 0 THEN 'found_unstructured' WHEN items IS NULL AND contract_id::BIGINT % 3 = 1 THEN 'not_found' WHEN items IS NOT NULL AND contract_id::BIGINT % 5 = 0 THEN 'invoice_documents_structured' END AS found FROM contracts LEFT JOIN price USING (contract_id) LEFT JOIN due USING (contract_id)),
+ladder AS (SELECT *, (schedule_total - contract_price)::DECIMAL(18,2) AS difference, abs(contract_price - schedule_total) <= 1.00 AS price_matches, CASE WHEN schedule_total IS NOT NULL THEN 'structured_total' WHEN items > 0 THEN 'ambiguous_amount_basis' WHEN found = 'found_unstructured' THEN 'found_unstructured' ELSE 'not_found' END AS schedule_basis FROM told),
+fin AS (SELECT *, CASE WHEN contract_price IS NULL THEN 'contract_price_missing' WHEN price_matches IS NULL THEN schedule_basis WHEN NOT price_matches THEN 'structured_but_mismatch' WHEN found = 'invoice_documents_structured' THEN found ELSE 'structured_and_matches' END AS payment_status FROM ladder)"""
+
+
+def finance(s, d):
+    """H4 over prices, items and discovered schedules as FINANCE_SQL has them."""
+    c, n = A.contracts(s, d), F.col("contract_id").cast("bigint")
+    gross = F.when((n % 19 == 0) | ((n % 17 == 0) & (F.col("item_no") % 2 == 1)), None).otherwise(F.col("amount_gross"))
+    items = materialize(A.payment_items(s, d).select("contract_id", "item_no", "amount_net", gross.alias("amount_gross")), "items")
+    due = items.groupBy("contract_id").agg(F.sum("amount_gross").alias("due"))
+    price = F.when(n % 13 == 1, F.coalesce("due", "amount_gross")).otherwise(F.col("amount_gross"))
+    prices = A.contract_prices(s, d).where(n % 11 != 0).join(due, "contract_id", "left").withColumn("amount_gross", price)
+    found = F.when(F.col("any").isNull() & (n % 3 == 0), "found_unstructured").when(F.col("any").isNull() & (n % 3 == 1), "not_found").when(F.col("any").isNotNull() & (n % 5 == 0), "invoice_documents_structured")
+    discovered = c.join(items.select("contract_id", F.lit(True).alias("any")).distinct(), "contract_id", "left").select("contract_id", found.alias("status"))
+    return facts.finance_facts(c, prices, items, discovered)
 
 
 @query(f"WITH {SCOPE_SQL} SELECT * FROM sf")
@@ -676,9 +696,9 @@ def h3_scope_facts(s, d):
     return facts.scope_facts(A.segments(s, d))
 
 
-@query(f"WITH {FINANCE_SQL} SELECT contract_id, project_id, contract_price, schedule_total, difference, price_matches, CASE WHEN items IS NULL THEN 'not_found' WHEN price_matches THEN 'structured_and_matches' ELSE 'structured_but_mismatch' END AS payment_status FROM fin")
+@query(f"WITH {FINANCE_SQL} SELECT contract_id, project_id, contract_price::DECIMAL(18,2) AS contract_price, schedule_total, difference, price_matches, payment_status, schedule_basis FROM fin")
 def h4_finance_facts(s, d):
-    return facts.finance_facts(A.contracts(s, d), A.contract_prices(s, d), A.payment_items(s, d)).drop("difference_pct")
+    return finance(s, d).withColumn("contract_price", F.col("contract_price").cast("decimal(18,2)")).drop("difference_pct")
 
 
 @query("SELECT project_code, CASE WHEN bool_or(document_type = 'es') THEN 'structured' WHEN bool_or(document_type = 'de') THEN 'document_evidence' ELSE 'text_evidence' END AS warranty FROM source_files GROUP BY 1")
@@ -714,18 +734,19 @@ def _avail(name: str, structured: str, documents: str = "false", texts: str = "f
 
 @query(f"""WITH {FINANCE_SQL}, {PRIMARY_SQL}, {LINES_SQL}, dc AS (SELECT project_code, count(*) AS defects FROM operations WHERE kind = 'quality_issue' GROUP BY 1),
 m AS (SELECT p.project_code, CASE WHEN p.project_id::INT % 7 = 0 THEN 'fail' WHEN p.project_id::INT % 4 = 0 THEN 'warning' ELSE 'ok' END AS text_layer_status, q.apartment_count AS apartments_count, q.building_count AS buildings_count, ln.jv_scope_summary, ln.sv_scope_summary, ln.bottom_drain_scope, ln.yard_line_scope, f.contract_price, f.schedule_total AS payment_schedule_total, f.price_matches AS payment_schedule_matches_contract_price, f.difference AS payment_schedule_difference,
-CASE WHEN f.items IS NULL THEN 'not_found' WHEN f.price_matches THEN 'structured_and_matches' ELSE 'structured_but_mismatch' END AS payment_schedule_evidence_status, {_avail('u', 'p.project_code IN (SELECT project_code FROM prim JOIN projects USING (project_id) WHERE contract_id IN (SELECT contract_id FROM contract_unit_prices))', 'p.project_id::INT % 2 = 0')},
+coalesce(f.payment_status, 'contract_price_missing') AS payment_schedule_evidence_status, coalesce(f.schedule_basis, 'not_found') AS basis, {_avail('u', 'p.project_code IN (SELECT project_code FROM prim JOIN projects USING (project_id) WHERE contract_id IN (SELECT contract_id FROM contract_unit_prices))', 'p.project_id::INT % 2 = 0')},
 {_avail('se', 'prim.contract_id IN (SELECT contract_id FROM securities)', 'p.project_id::INT % 3 = 0')}, {_avail('ins', 'prim.contract_id IN (SELECT contract_id FROM insurances)')}, {_avail('qu', 'prim.contract_id IN (SELECT contract_id FROM quality_requirements)', 'false', 'p.project_id::INT % 5 = 0')}, {_avail('vi', 'false', 'p.project_id::INT % 3 = 0', 'p.project_id::INT % 2 = 0')},
 {_avail('ha', "p.project_code IN (SELECT project_code FROM operations WHERE kind = 'handover')")}, {_avail('wa', 'false', 'false', "p.project_code IN (SELECT project_code FROM operations WHERE kind = 'warranty')")}, dc.defects AS defects_or_open_items_count
 FROM projects p LEFT JOIN properties q USING (project_id) LEFT JOIN prim USING (project_id) LEFT JOIN fin f ON f.contract_id = prim.contract_id LEFT JOIN ln ON ln.contract_id = prim.contract_id LEFT JOIN dc ON dc.project_code = p.project_code),
 n AS (SELECT *, list_filter([CASE WHEN apartments_count IS NULL THEN 'apartments_count' END, CASE WHEN buildings_count IS NULL THEN 'buildings_count' END, 'staircases_count', 'floors_count', 'floor_area_m2', 'business_premises_count', 'jv_verticals_count', 'sv_verticals_count', CASE WHEN jv_scope_summary IS NULL THEN 'jv_scope_summary' END, CASE WHEN sv_scope_summary IS NULL THEN 'sv_scope_summary' END,
 CASE WHEN bottom_drain_scope IS NULL THEN 'bottom_drain_scope' END, CASE WHEN yard_line_scope IS NULL THEN 'yard_line_scope' END, CASE WHEN contract_price IS NULL THEN 'contract_price' END, CASE WHEN payment_schedule_total IS NULL THEN 'payment_schedule_total' END, CASE WHEN contract_price IS NULL OR apartments_count IS NULL THEN 'price_per_apartment' END, CASE WHEN u = 'missing' THEN 'unit_prices_available' END,
 CASE WHEN se = 'missing' THEN 'securities_available' END, CASE WHEN ins = 'missing' THEN 'insurance_available' END, CASE WHEN qu = 'missing' THEN 'quality_requirements_available' END, CASE WHEN vi = 'missing' THEN 'video_inspection_available' END, CASE WHEN ha = 'missing' THEN 'handover_or_reception_available' END, CASE WHEN defects_or_open_items_count IS NULL THEN 'defects_or_open_items_count' END, CASE WHEN wa = 'missing' THEN 'warranty_notes_available' END], lambda x: x IS NOT NULL) AS missing,
-list_filter([CASE WHEN u LIKE '%evidence' THEN 'unit_prices_available' END, CASE WHEN se LIKE '%evidence' THEN 'securities_available' END, CASE WHEN ins LIKE '%evidence' THEN 'insurance_available' END, CASE WHEN qu LIKE '%evidence' THEN 'quality_requirements_available' END, CASE WHEN vi LIKE '%evidence' THEN 'video_inspection_available' END, CASE WHEN ha LIKE '%evidence' THEN 'handover_or_reception_available' END, CASE WHEN wa LIKE '%evidence' THEN 'warranty_notes_available' END], lambda x: x IS NOT NULL) AS weak FROM m),
-o AS (SELECT *, list_filter(missing, lambda f: list_contains([{", ".join(repr(x) for x in facts.BLOCKING_MISSING)}], f)) AS bm FROM n)
+list_filter([CASE WHEN basis IN ('ambiguous_amount_basis', 'found_unstructured') THEN 'payment_schedule_total' END, CASE WHEN basis <> 'structured_total' OR payment_schedule_matches_contract_price = false THEN 'payment_schedule_matches_contract_price' END, CASE WHEN u LIKE '%evidence' THEN 'unit_prices_available' END, CASE WHEN se LIKE '%evidence' THEN 'securities_available' END, CASE WHEN ins LIKE '%evidence' THEN 'insurance_available' END, CASE WHEN qu LIKE '%evidence' THEN 'quality_requirements_available' END, CASE WHEN vi LIKE '%evidence' THEN 'video_inspection_available' END, CASE WHEN ha LIKE '%evidence' THEN 'handover_or_reception_available' END, CASE WHEN wa LIKE '%evidence' THEN 'warranty_notes_available' END], lambda x: x IS NOT NULL) AS weak FROM m),
+o AS (SELECT *, list_filter(missing, lambda f: list_contains([{", ".join(repr(x) for x in facts.BLOCKING_MISSING)}], f)) AS bm, list_filter(weak, lambda f: list_contains([{", ".join(repr(x) for x in facts.BLOCKING_WEAK)}], f)) AS bw FROM n)
 SELECT project_code, text_layer_status, apartments_count, buildings_count, jv_scope_summary, sv_scope_summary, bottom_drain_scope, yard_line_scope, contract_price, payment_schedule_total, payment_schedule_matches_contract_price, payment_schedule_difference, payment_schedule_evidence_status, u <> 'missing' AS unit_prices_available, se <> 'missing' AS securities_available, ins <> 'missing' AS insurance_available, qu <> 'missing' AS quality_requirements_available, vi <> 'missing' AS video_inspection_available, ha <> 'missing' AS handover_or_reception_available, wa <> 'missing' AS warranty_notes_available, defects_or_open_items_count,
-array_to_string(missing, ',') AS missing_fields, array_to_string(weak, ',') AS weak_evidence_fields, array_to_string(bm, ',') AS blocking_missing_fields, CASE WHEN text_layer_status = 'fail' THEN 'text_layer_status' ELSE bm[1] END AS next_blocker, CASE WHEN text_layer_status = 'fail' OR list_contains(bm, 'apartments_count') OR list_contains(bm, 'contract_price') THEN 'not_ready' ELSE 'needs_review' END AS kg_readiness_status, 'weak' AS confidence_summary,
-array_to_string(list_filter([CASE text_layer_status WHEN 'fail' THEN 'text_layer_status is fail' WHEN 'warning' THEN 'text layer has warnings but not blocking failures' END, 'blocking missing fields: ' || array_to_string(bm, ', '), CASE WHEN payment_schedule_matches_contract_price = false THEN 'payment schedule total does not match contract price' END, CASE WHEN payment_schedule_evidence_status = 'not_found' THEN 'payment schedule was not found' END], lambda x: x IS NOT NULL), '; ') AS kg_readiness_reasons FROM o""")
+array_to_string(missing, ',') AS missing_fields, array_to_string(weak, ',') AS weak_evidence_fields, array_to_string(bm, ',') AS blocking_missing_fields, array_to_string(bw, ',') AS blocking_weak_evidence_fields, CASE WHEN text_layer_status = 'fail' THEN 'text_layer_status' ELSE coalesce(bm[1], bw[1]) END AS next_blocker, CASE WHEN text_layer_status = 'fail' OR list_contains(bm, 'apartments_count') OR list_contains(bm, 'contract_price') THEN 'not_ready' WHEN len(bm) + len(bw) > 0 THEN 'needs_review' ELSE 'ready' END AS kg_readiness_status, 'weak' AS confidence_summary,
+array_to_string(list_filter([CASE text_layer_status WHEN 'fail' THEN 'text_layer_status is fail' WHEN 'warning' THEN 'text layer has warnings but not blocking failures' END, CASE WHEN len(bm) > 0 THEN 'blocking missing fields: ' || array_to_string(bm, ', ') END, CASE WHEN len(bw) > 0 THEN 'blocking weak evidence fields: ' || array_to_string(bw, ', ') END,
+CASE payment_schedule_evidence_status WHEN 'structured_but_mismatch' THEN 'payment schedule total does not match contract price' WHEN 'not_found' THEN 'payment schedule was not found' WHEN 'found_unstructured' THEN 'payment schedule was found without structure' WHEN 'ambiguous_amount_basis' THEN 'payment schedule mixes net and gross amounts' WHEN 'contract_price_missing' THEN 'contract price is missing' END], lambda x: x IS NOT NULL), '; ') AS kg_readiness_reasons FROM o""")
 def h1_fact_matrix(s, d):
     p, c = A.projects(s, d), A.contracts(s, d)
     prim = analytics.primary_contract(c)
@@ -743,10 +764,9 @@ def h1_fact_matrix(s, d):
     n = F.col("project_id").cast("int")
     status = p.select("project_id", F.when(n % 7 == 0, "fail").when(n % 4 == 0, "warning").otherwise("ok").alias("text_layer_status"))
     defects = facts.defect_counts(ops.select("project_code", F.col("kind").alias("observation_type")))
-    finance = facts.finance_facts(c, A.contract_prices(s, d), A.payment_items(s, d))
-    out = facts.fact_matrix(p, A.properties(s, d), prim, finance, facts.line_facts(line_segments(s, d)), status, available, defects)
+    out = facts.fact_matrix(p, A.properties(s, d), prim, finance(s, d), facts.line_facts(line_segments(s, d)), status, available, defects)
     columns = ["project_code", "text_layer_status", "apartments_count", "buildings_count", "jv_scope_summary", "sv_scope_summary", "bottom_drain_scope", "yard_line_scope", "contract_price", "payment_schedule_total", "payment_schedule_matches_contract_price", "payment_schedule_difference", "payment_schedule_evidence_status", *facts.AVAILABILITY, "defects_or_open_items_count"]
-    return out.select(*columns, *[F.array_join(x, ",").alias(x) for x in ("missing_fields", "weak_evidence_fields", "blocking_missing_fields")], "next_blocker", "kg_readiness_status", "confidence_summary", "kg_readiness_reasons")
+    return out.select(*columns, *[F.array_join(x, ",").alias(x) for x in ("missing_fields", "weak_evidence_fields", "blocking_missing_fields", "blocking_weak_evidence_fields")], "next_blocker", "kg_readiness_status", "confidence_summary", "kg_readiness_reasons")
 
 
 # --- graph -------------------------------------------------------------------------------------------------------------
@@ -1024,9 +1044,14 @@ def all_packets(s, d):
     return materialize(packets.build_packets(q, hits, found, status, context, cov), "packets")
 
 
+@query(f"WITH {CONTEXT_SQL}, t AS (SELECT question_id, 'entity' AS target_kind, entity_id AS target_id, status FROM st WHERE entity_id IS NOT NULL UNION ALL SELECT question_id, 'relation', relation_id, status FROM st WHERE relation_id IS NOT NULL) SELECT question_id, target_kind, target_id, arg_max(status, list_position([{', '.join(repr(x) for x in packets.STATUSES)}], status)) AS status FROM t GROUP BY ALL")
+def j8_status_by_target(s, d):
+    return packets.status_by_target(retrieval(s, d)[5])
+
+
 @query()
 def j10_packets(s, d):
-    return all_packets(s, d)
+    return packets.public_packets(all_packets(s, d))
 
 
 @query(f"""WITH {TEXT_SQL}, vq AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings), vr AS (SELECT query_id, rank, item FROM (SELECT q.vec_id AS query_id, v.vec_id::VARCHAR AS item, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_dot_product(q.e, v.e) / (q.n * v.n), 9), v.vec_id)::INT AS rank FROM vq q JOIN vq v ON q.vec_id <> v.vec_id WHERE q.vec_id IN (SELECT item_id FROM benchmark)) WHERE rank <= 20),
@@ -1044,10 +1069,15 @@ def k1_select_sources(s, d):
     return packets.select_sources(all_packets(s, d))
 
 
+def topic_templates(s):
+    """A caller's template: what kinds of entities a topic rests on, and the case fields to ask for."""
+    return s.createDataFrame([(code, list(kinds), list(fields)) for code, _, kinds, _, fields in R.TOPICS], "topic string, key_points array<string>, next_questions array<string>")
+
+
 @query()
 def k2_k3_answers(s, d):
     p = all_packets(s, d)
-    return packets.answer_parts(p, packets.select_sources(p), packets.templates(s))
+    return packets.answer_parts(p, packets.select_sources(p), topic_templates(s))
 
 
 @query("""WITH r AS (SELECT contract_id AS question_id, amount_gross::DECIMAL(18,2) AS price FROM payment_items UNION ALL SELECT contract_id, amount_gross FROM contract_prices), a AS (SELECT question_id, count(*) AS n, min(price) AS lo, max(price) AS hi, median(price) AS mid FROM r WHERE price > 0 GROUP BY 1)
@@ -1111,10 +1141,11 @@ def k9_release_gate(s, d):
 
 @query("""SELECT question_id, array_to_string(c, ',') AS failed_checks, CASE WHEN len(c) > 0 THEN 'fail' ELSE 'pass' END AS answer_gate FROM (SELECT conv_id || '-' || turn AS question_id, list_filter([CASE WHEN turn = 1 THEN 'no_sources' END, CASE WHEN regexp_matches(lower(text), 'laki velvoittaa|lain mukaan on pakko|legally binding') THEN 'binding_law_wording' END,
 CASE WHEN regexp_matches(text, '[A-Za-z]:\\\\') OR regexp_matches(text, '(?i)\\.(pdf|docx?|xlsx?|dwg)([^a-z0-9]|$)') OR regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') OR regexp_matches(text, '[A-Z][a-z]+ (Oy|Ab|Ky)([^a-z]|$)') THEN 'leak' END,
-CASE WHEN len(list_filter(regexp_extract_all(text, '\\d+(?:[.,]\\d+)?'), lambda t: NOT contains('0 1 2 3 2024', t))) > 0 THEN 'ungrounded_number' END, CASE WHEN length(text) > 4000 THEN 'long_answer' END], lambda x: x IS NOT NULL) AS c FROM conversations WHERE role = 'assistant')""")
+CASE WHEN len(list_filter(regexp_extract_all(text, '\\d+(?:[.,]\\d+)?'), lambda t: NOT contains('0 1 2 3 2024', t))) > 0 THEN 'ungrounded_number' END, CASE WHEN length(text) > 4000 THEN 'long_answer' END, CASE WHEN turn = 3 THEN 'guidance_without_doubt' END, CASE WHEN turn IN (2, 3) AND NOT regexp_matches(lower(text), 'asiantuntijaohjeen perusteella|oppaan mukaan|tämä kannattaa selvittää') THEN 'guidance_not_named' END], lambda x: x IS NOT NULL) AS c FROM (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'Oppaan mukaan: ' || text ELSE text END AS text FROM conversations WHERE role = 'assistant'))""")
 def k10_answer_smoke(s, d):
     rows = A.read(s, d, "conversations").where("role = 'assistant'")
-    answers = rows.select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.col("text").alias("answer"), F.lit("0 1 2 3 2024").alias("source_text"), F.when(F.col("turn") == 1, 0).otherwise(1).alias("sources"), F.lit(False).alias("used_model"))
+    said = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Oppaan mukaan: "), "text")).otherwise(F.col("text"))
+    answers = rows.select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), said.alias("answer"), F.col("turn").isin(2, 3).cast("int").alias("guidance_sources"), F.when(F.col("turn") == 2, F.array(F.lit("ei ole sitova"))).alias("uncertainties"), F.lit("0 1 2 3 2024").alias("source_text"), F.when(F.col("turn") == 1, 0).otherwise(1).alias("sources"), F.lit(False).alias("used_model"))
     return packets.answer_smoke(answers).select("question_id", F.array_join("failed_checks", ",").alias("failed_checks"), "answer_gate")
 
 

@@ -5,7 +5,7 @@ from decimal import Decimal as D
 from pyspark.sql import functions as F
 
 from pactloom.functions import money, text
-from pactloom.operators import extract, graph, packets, pricing, sections, upserts
+from pactloom.operators import extract, facts, graph, packets, pricing, sections, upserts
 from pactloom.sources import files
 
 
@@ -135,10 +135,40 @@ def test_text_context_and_answers(spark):
     p = packets.build_packets(q, hits, found, status, ctx, packets.coverage(q, hits, status, ctx))
     src = packets.select_sources(p)
     assert [(r["status"], r["source_class"]) for r in src.where("question_id = 'a'").orderBy("rank").collect()] == [("direct_clause", "retrieval_evidence"), ("direct_section", "retrieval_evidence"), ("direct_page", "expert_guidance"), ("source_file_page", "retrieval_evidence")]
-    got = {r["question_id"]: r for r in packets.answer_parts(p, src, packets.templates(spark)).collect()}
-    assert got["a"]["answer_status"] == "answered" and len(got["a"]["source_based_notes"]) == 4 and got["a"]["key_points"][0].startswith("By expert guidance") and len(got["a"]["uncertainties"]) == 1
-    assert got["b"]["answer_status"] == "partial" and "apartments_count" in got["b"]["recommended_next_questions"][0] and got["b"]["missing_user_case_fields"] == ["apartments_count"]
-    assert got["c"]["answer_status"] == "insufficient_evidence" and got["c"]["key_points"] == []
+    template = spark.createDataFrame([("payment", ["p1", "p2"], ["q1"]), ("warranty", ["w"], [])], "topic string, key_points array<string>, next_questions array<string>")
+    got = {r["question_id"]: r for r in packets.answer_parts(p, src, template).collect()}
+    assert got["a"]["answer_status"] == "answered" and len(got["a"]["source_based_notes"]) == 4 and got["a"]["key_points"] == ["p1", "p2"] and got["a"]["uncertainties"] == ["guidance_is_not_law"] and got["a"]["recommended_next_questions"] == ["q1"]
+    assert got["b"]["answer_status"] == "partial" and got["b"]["recommended_next_questions"] == ["case_field:apartments_count"] and got["b"]["missing_user_case_fields"] == ["apartments_count"] and got["b"]["key_points"] == []
+    assert got["c"]["answer_status"] == "insufficient_evidence" and got["c"]["key_points"] == [] and "no_source_text" in got["c"]["uncertainties"]
+    rolled = {(r["question_id"], r["target_kind"], r["target_id"]): r["status"] for r in packets.status_by_target(status).collect()}
+    assert rolled == {("a", "entity", "x"): "direct_clause", ("b", "entity", "x"): "entity_source_fallback"}
+    asked = p.withColumn("question", F.lit("Referenssiprojekti?")).withColumn("user_case", F.create_map(F.lit("apartments_count"), F.when(F.col("question_id") == "b", "12")))
+    keys = {r["question_id"]: r for r in packets.public_packets(asked).collect()}
+    assert len(keys["a"].asDict()) == 19 and [len(keys["a"][k]) for k in ("sections", "clauses", "raw_pages")] == [1, 1, 2] and keys["a"]["kg_entities"][0]["status"] == "direct_clause"
+    assert keys["b"]["missing_user_case_fields"] == [] and keys["b"]["warnings"] == ["reference_projects_are_internal"] and keys["a"]["reference_usage"]["reference_projects_used"] == ["reference_001"]
+    plain = {r["question_id"]: r for r in packets.public_packets(p).collect()}
+    assert plain["b"]["missing_user_case_fields"] == ["apartments_count"] and plain["b"]["warnings"] == ["missing_user_case_fields"] and plain["c"]["kg_entities"] is None and plain["c"]["text_context_count"] == 0
+
+
+def test_finance_ladder(spark):
+    ids = ["match", "invoices", "mismatch", "no price", "no price mixed", "mixed", "net", "loose", "none", "unseen"]
+    c = spark.createDataFrame([(i, "p") for i in ids], "contract_id string, project_id string")
+    prices = spark.createDataFrame([(i, "fixed_contract_price", D(100), D(124)) for i in ids if "price" not in i] + [("match", "other", D(900), D(999))], "contract_id string, price_type string, amount_net decimal(14,2), amount_gross decimal(14,2)")
+    rows = [("match", D(50), D("62.5")), ("match", D(50), D("62.5")), ("invoices", D(100), D(124)), ("mismatch", D(90), D("112.99")), ("no price", D(1), D(2)), ("no price mixed", D(1), None), ("no price mixed", D(1), D(2)), ("mixed", D(1), None), ("mixed", D(1), D(2)), ("net", D(124), None)]
+    items = spark.createDataFrame(rows, "contract_id string, amount_net decimal(14,2), amount_gross decimal(14,2)")
+    found = spark.createDataFrame([("invoices", "invoice_documents_structured"), ("mismatch", "invoice_documents_structured"), ("loose", "found_unstructured"), ("none", "not_found")], "contract_id string, status string")
+    got = {r["contract_id"]: (r["payment_status"], r["schedule_basis"]) for r in facts.finance_facts(c, prices, items, found).collect()}
+    total = "structured_total"
+    assert got == {
+        "match": ("structured_and_matches", total), "invoices": ("invoice_documents_structured", total), "mismatch": ("structured_but_mismatch", total), "no price": ("contract_price_missing", total), "no price mixed": ("contract_price_missing", "ambiguous_amount_basis"),
+        "mixed": ("ambiguous_amount_basis",) * 2, "net": ("structured_and_matches", total), "loose": ("found_unstructured",) * 2, "none": ("not_found",) * 2, "unseen": ("not_found",) * 2,
+    }
+
+
+def test_guidance_phrasing(spark):
+    rows = [("a", "Oppaan mukaan näin", 1, ["ei ole sitova"]), ("b", "Näin", 1, ["ei ole sitova"]), ("c", "Oppaan mukaan näin", 2, []), ("d", "Näin", 0, None)]
+    df = spark.createDataFrame([(i, t, "x", 1, False, n, u) for i, t, n, u in rows], "question_id string, answer string, source_text string, sources int, used_model boolean, guidance_sources int, uncertainties array<string>")
+    assert {r["question_id"]: r["failed_checks"] for r in packets.answer_smoke(df).collect()} == {"a": [], "b": ["guidance_not_named"], "c": ["guidance_without_doubt"], "d": []}
 
 
 def test_many_references_and_cases(spark):
