@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pactloom.functions.dictionary import FINDING, replace_names
 from pactloom.functions.rules import REDACTION_RULES, SANITIZE_RULES
 
 
@@ -57,18 +58,26 @@ def content_hash(col: Column) -> Column:
     return F.sha2(F.coalesce(col, F.lit("")), 256)
 
 
-def redact(df: DataFrame, text_col: str, names: Iterable[tuple[str, str, str]] = ()) -> DataFrame:
-    """Text with personal data replaced, and findings array<struct<pii_type, placeholder, value_hash>>, each once; the
-    hash is that of the first value found, never the value.
+def finding(kind: str, placeholder: str) -> Callable[[Column], Column]:
+    return lambda v: F.struct(F.lit(kind).alias("pii_type"), F.lit(placeholder).alias("placeholder"), F.sha2(v, 256).alias("value_hash"))
 
-    names: ordered (pattern, replacement, type) of a caller's dictionary, before the general rules; case doesn't count.
+
+def redact(df: DataFrame, text_col: str, names: Iterable[tuple[str, str, str]] = (), dict_df: DataFrame | None = None) -> DataFrame:
+    """Text with personal data replaced, and findings array<struct<pii_type, placeholder, value_hash>>: one for each distinct
+    value, in the order of the rules; the hash is the value's, which is never shown.
+
+    dict_df (name, replacement, pii_type, order) is a dictionary of literal names of any length (`dictionary.replace_names`), names are ordered (pattern, replacement, type)
+    of a caller; both come before the general rules, and case doesn't count.
     """
     rules = [(kind, f"(?iu){p}", r) for p, r, kind in names] + [(kind, p, r) for kind, p, r in REDACTION_RULES]
-    text, found = F.col(text_col), []
+    if dict_df is not None:
+        df = replace_names(df, text_col, dict_df)
+    text, found = F.col(text_col), [F.coalesce("name_findings", F.array().cast(FINDING))] if dict_df is not None else []
     for kind, pattern, placeholder in rules:
-        found.append(F.when(F.regexp_like(text, F.lit(pattern)), F.struct(F.lit(kind).alias("pii_type"), F.lit(placeholder).alias("placeholder"), F.sha2(F.regexp_extract(text, f"({pattern})" if not pattern.startswith("(?") else pattern, 0), 256).alias("value_hash"))))
+        values = F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+        found.append(F.transform(F.coalesce(values, F.array().cast("array<string>")), finding(kind, placeholder)))
         text = F.regexp_replace(text, pattern, placeholder.replace("$", r"\$"))
-    return df.withColumn("findings", F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))).withColumn(text_col, text)
+    return df.withColumn("findings", F.array_distinct(F.concat(*found))).withColumn(text_col, text).drop("name_findings")
 
 
 def sanitize(col: Column) -> Column:

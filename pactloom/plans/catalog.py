@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pactloom.functions import rules as R
 from pactloom.functions import text as X
-from pactloom.operators import analytics, canonical, extract, facts, graph, packets, payments, pricing, quality, search, sections, upserts
+from pactloom.operators import analytics, canonical, extract, facts, graph, packets, payments, pricing, quality, search, sections, upserts, versions
 from pactloom.sources import adapter as A
 from pactloom.sources import files as FILES
 from pactloom.sources.scratch import materialize
@@ -59,9 +59,9 @@ def a5_law_sections(s, d):
     return laws.drop("published", "produced")
 
 
-@query("SELECT file_id, project_code FROM source_files f WHERE lower(CASE WHEN extension = '' OR starts_with(extension, '.') THEN extension ELSE '.' || extension END) IN ('.pdf', '.docx', '.txt') AND file_id NOT IN (SELECT file_id FROM extracted_pages) AND file_id NOT IN (SELECT file_id FROM runs WHERE run_status = 'completed')")
+@query("SELECT file_id, project_code FROM source_files f WHERE lower(CASE WHEN extension = '' OR starts_with(extension, '.') THEN extension ELSE '.' || extension END) IN ('.pdf', '.docx', '.txt', '.xlsx') AND file_id NOT IN (SELECT file_id FROM extracted_pages) AND file_id NOT IN (SELECT file_id FROM runs WHERE run_status = 'completed')")
 def a12_select_pending(s, d):
-    return FILES.select_pending(A.source_files(s, d), A.extracted_pages(s, d), A.runs(s, d), ("pdf", ".docx", "txt")).select("file_id", "project_code")
+    return FILES.select_pending(A.source_files(s, d), A.extracted_pages(s, d), A.runs(s, d), ("pdf", ".docx", "txt", "xlsx")).select("file_id", "project_code")
 
 
 @query("SELECT contract_id, project_id FROM contracts WHERE project_id IN ('1', '2', '3')")
@@ -96,7 +96,23 @@ def b4_content_hash(s, d):
 
 @query()
 def b5_redact(s, d):
-    return X.redact(documents(s, d).select("doc_id", "text"), "text", [(r"\bThan\b", "Party1", "organization_name")])
+    return X.redact(documents(s, d).select("doc_id", "text"), "text", [(r"\bThan\b", "Party1", "organization_name")], name_dictionary(s, d))
+
+
+NAMES_SQL = "names AS (SELECT w AS name FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS w FROM benchmark) WHERE length(w) >= 7 GROUP BY w)"
+
+
+def name_dictionary(s, d):
+    """The words of seven letters or more of the benchmark as a dictionary of names, in alphabetical order."""
+    words = A.read(s, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")).alias("name")).where(F.length("name") >= 7).distinct()
+    return words.select("name", F.lit("[name]").alias("replacement"), F.lit("person_name").alias("pii_type"), F.conv(F.substring(F.sha1("name"), 1, 12), 16, 10).cast("bigint").alias("order"))
+
+
+@query(f"WITH {NAMES_SQL}, said AS (SELECT doc_id, regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}_]+') AS w FROM documents WHERE text IS NOT NULL), hit AS (SELECT doc_id, w FROM (SELECT doc_id, unnest(w) AS w FROM said) JOIN names ON lower(w) = name) SELECT doc_id, count(*) AS replaced, count(DISTINCT w) AS findings FROM hit GROUP BY doc_id")
+def b5_dictionary(s, d):
+    """Texts that hold a name: how many words were replaced, and how many distinct values were found."""
+    out = X.replace_names(documents(s, d).select("doc_id", "text"), "text", name_dictionary(s, d))
+    return out.where(F.size("name_findings") > 0).select("doc_id", F.expr("(length(text) - length(replace(text, '[name]', ''))) / 6").cast("bigint").alias("replaced"), F.size("name_findings").cast("bigint").alias("findings"))
 
 
 @query("SELECT pii_type, count(*) AS documents FROM (SELECT CASE WHEN regexp_matches(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b') THEN 'email' END AS pii_type FROM documents) WHERE pii_type IS NOT NULL GROUP BY pii_type")
@@ -877,9 +893,21 @@ def i4_evidence(s, d):
     return graph_tables(s, d)[2].select("entity_id", "relation_id", "source_table", "source_id")
 
 
-@query(f"WITH {GRAPH_SQL} SELECT relation_type, source_table, count(*) AS rows FROM ri ANTI JOIN rel USING (subject_id, relation_type, object_id) GROUP BY ALL")
+@query(f"WITH {GRAPH_SQL}, kept AS (SELECT entity_id FROM ent WHERE entity_type <> 'payment_item') SELECT relation_type, source_table, count(*) AS rows FROM rel WHERE subject_id NOT IN (SELECT entity_id FROM kept) OR object_id NOT IN (SELECT entity_id FROM kept) GROUP BY ALL")
 def i5_orphans(s, d):
-    return graph_tables(s, d)[3].groupBy("relation_type", "source_table").agg(F.count("*").alias("rows"))
+    """Relations that would be left without an end if the payment items went."""
+    e, r, _, _ = graph_tables(s, d)
+    return graph.split_orphans(r, e.where("entity_type <> 'payment_item'"))[1].groupBy("relation_type", "source_table").agg(F.count("*").alias("rows"))
+
+
+@query("SELECT change, count(*) AS rows FROM (SELECT CASE WHEN contract_id::BIGINT % 7 = 0 THEN 'inserted' WHEN contract_id::BIGINT % 5 = 0 THEN 'changed' ELSE 'same' END AS change FROM contracts UNION ALL SELECT 'gone' FROM supplier) GROUP BY change")
+def i5_change_set(s, d):
+    """Contracts against an older state of them: every seventh was not there, every fifth had another type, and each supplier had one that is gone."""
+    new = A.contracts(s, d)
+    n = F.col("contract_id").cast("bigint")
+    old = new.where(n % 7 != 0).withColumn("contract_type", F.when(n % 5 == 0, F.lit(None)).otherwise(F.col("contract_type")))
+    gone = A.read(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("contract_id"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in new.schema.fields[1:]])
+    return versions.change_set(old.unionByName(gone), new, "contract_id").groupBy("change").agg(F.count("*").alias("rows"))
 
 
 @query(f"WITH {GRAPH_SQL} SELECT count(*) AS violations FROM ent WHERE entity_type NOT IN ({', '.join(repr(t) for t in graph.ENTITY_TYPES)})")
