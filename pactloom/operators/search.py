@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactloom.functions.rules import GENERAL_ENTITY_TYPES, GENERAL_TOPIC, TOPICS
+from pactloom.sources.scratch import materialize
 
 
 def strings(items: tuple[str, ...]) -> Column:
@@ -55,23 +56,24 @@ def stemmed(words: Column) -> Column:
     return F.transform(words, lambda t: F.when(F.length(t) >= 6, F.regexp_replace(t, ENDINGS, "")).otherwise(t))
 
 
-def inverted_index(chunks: DataFrame, stem: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(chunk_id, term, tf, doc_len) of chunks (chunk_id, text)."""
-    w = terms(F.col("text"))
-    words = chunks.select("chunk_id", (stem(w) if stem else w).alias("w")).select("chunk_id", F.size("w").alias("doc_len"), F.explode("w").alias("term"))
-    return words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+def asked_terms(queries: DataFrame, stem: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(query_id, n_terms, term) of queries (query_id, query): each query's distinct terms."""
+    w = terms(F.col("query"))
+    return queries.select("query_id", F.array_distinct(stem(w) if stem else w).alias("q")).select("query_id", F.size("q").alias("n_terms"), F.explode("q").alias("term"))
 
 
-def fulltext_scores(index: DataFrame, queries: DataFrame, stem: Callable[[Column], Column] | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, chunk_id, s): BM25 of chunks that hold all of a query's terms, of whole queries of any length.
+def fulltext_scores(chunks: DataFrame, queries: DataFrame, stem: Callable[[Column], Column] | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, chunk_id, s): BM25 of chunks (chunk_id, text) that hold all of a query's terms, of whole queries of any length.
 
-    A query's rarest term gives its candidates, and only these are held against its other terms: a common word is never
-    joined with all queries that have it.
+    Postings are written for the terms that are asked for. A query's rarest term gives its candidates, and only these are held against its other terms: a
+    common word is never joined with all queries that have it.
     """
-    w = terms(F.col("query"))
-    asked = queries.select("query_id", F.array_distinct(stem(w) if stem else w).alias("q")).select("query_id", F.size("q").alias("n_terms"), F.explode("q").alias("term"))
-    stats = index.select("chunk_id", "doc_len").distinct().agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"))
-    hits = index.join(asked.select("term").distinct(), "term", "left_semi")
+    w = terms(F.col("text"))
+    split = chunks.select("chunk_id", (stem(w) if stem else w).alias("w")).where(F.size("w") > 0).select("chunk_id", "w", F.size("w").alias("doc_len"))
+    asked = asked_terms(queries, stem)
+    stats = split.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"))
+    words = split.select("chunk_id", "doc_len", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    hits = materialize(words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len")), "postings")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     known = asked.join(df, "term")
     rare = known.groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("r"), F.count("*").alias("known"), F.first("n_terms").alias("n_terms")).where("known = n_terms").select("query_id", F.col("r.term").alias("term"))
@@ -85,7 +87,7 @@ def fulltext_scores(index: DataFrame, queries: DataFrame, stem: Callable[[Column
 def fulltext_search(chunks: DataFrame, queries: DataFrame, k: int = 20, stem: Callable[[Column], Column] = stemmed) -> DataFrame:
     """The best k chunks of each query (query_id, query): all terms in the simple or in the stemmed configuration; the
     greater of the two ranks counts."""
-    both = fulltext_scores(inverted_index(chunks), queries).unionByName(fulltext_scores(inverted_index(chunks, stem), queries, stem))
+    both = fulltext_scores(chunks, queries).unionByName(fulltext_scores(chunks, queries, stem))
     scored = both.groupBy("query_id", "chunk_id").agg(F.max("s").alias("s"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("s", 9)), "chunk_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", F.round("s", 6).alias("score"))

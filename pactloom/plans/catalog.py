@@ -12,7 +12,7 @@ from pactloom.functions import text as X
 from pactloom.operators import analytics, canonical, extract, facts, graph, packets, payments, pricing, quality, search, sections, upserts, versions
 from pactloom.sources import adapter as A
 from pactloom.sources import files as FILES
-from pactloom.sources.scratch import materialize
+from pactloom.sources.scratch import materialize, once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -827,10 +827,16 @@ def graph_data(s: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def graph_tables(s, d):
+    """Entities, relations, evidence and orphans, written once for all queries that read them."""
+    return once(s, d, "graph", lambda: build_graph(s, d))
+
+
+def build_graph(s, d):
     data = graph_data(s, d)
     entities = materialize(graph.build_entities(data, graph.CONTRACT_ENTITIES), "entities")
     relations, orphans = graph.split_orphans(materialize(graph.build_relations(data, graph.CONTRACT_RELATIONS), "relations"), entities)
-    return entities, relations, graph.build_evidence(entities, relations), orphans
+    relations = materialize(relations, "sound_relations")
+    return entities, relations, materialize(graph.build_evidence(entities, relations), "evidence"), orphans
 
 
 GUIDE_ITEMS_SQL = f"""{GUIDANCE_SQL}, gi AS (SELECT document_id, page_no, document_id || '-' || page_no || '-' || sentence_no AS item_id, document_id || '-' || page_no AS section_id, CASE contract_type WHEN '1-URGENT' THEN 'decision_point' WHEN '2-HIGH' THEN 'actor_responsibility' WHEN '3-MEDIUM' THEN 'risk_warning' ELSE 'legal_cross_reference' END AS item_type,
@@ -921,10 +927,12 @@ def g4_entity_neighbourhood(s, d):
     return analytics.entity_neighbourhood(e, r)
 
 
-@query(f"WITH {GRAPH_SQL} SELECT s.project_code, s.entity_type AS subject_type, s.display_name AS subject_name, relation_type, o.entity_type AS object_type, o.display_name AS object_name FROM rel JOIN ent s ON subject_id = s.entity_id JOIN ent o ON object_id = o.entity_id")
+@query(f"WITH {GRAPH_SQL}, nm AS MATERIALIZED (SELECT entity_id, project_code, entity_type, display_name FROM ent) SELECT s.project_code, s.entity_type AS subject_type, relation_type, o.entity_type AS object_type, count(*) AS rows, min(s.display_name) AS first_subject, max(o.display_name) AS last_object FROM rel JOIN nm s ON subject_id = s.entity_id JOIN nm o ON object_id = o.entity_id GROUP BY ALL")
 def g5_project_graph(s, d):
+    """The graph of all projects, counted by its types."""
     e, r, _, _ = graph_tables(s, d)
-    return analytics.project_graph(e, r)
+    rows = analytics.project_graph(e, r).groupBy("project_code", "subject_type", "relation_type", "object_type")
+    return rows.agg(F.count("*").alias("rows"), F.min("subject_name").alias("first_subject"), F.max("object_name").alias("last_object"))
 
 
 @query(f"WITH {GRAPH_SQL} SELECT p.project_code, coalesce(e.n, 0) AS entities, coalesce(e.bare, 0) AS entities_without_evidence, coalesce(r.n, 0) AS relations, coalesce(r.bare, 0) AS relations_without_evidence, coalesce(v.n, 0) AS evidence FROM projects p LEFT JOIN (SELECT ent.project_code, count(*) AS n, count(*) FILTER (WHERE v.entity_id IS NULL) AS bare FROM ent LEFT JOIN (SELECT DISTINCT entity_id FROM ev WHERE source_table <> 'boundaries') v USING (entity_id) GROUP BY 1) e USING (project_code) LEFT JOIN (SELECT rel.project_code, count(*) AS n, count(*) FILTER (WHERE v.relation_id IS NULL) AS bare FROM rel LEFT JOIN (SELECT DISTINCT relation_id FROM ev WHERE source_table <> 'boundaries') v USING (relation_id) GROUP BY 1) r USING (project_code) LEFT JOIN (SELECT project_code, count(*) AS n FROM ev WHERE source_table <> 'boundaries' GROUP BY 1) v USING (project_code)")
@@ -988,11 +996,14 @@ def j3_vector_search(s, d):
 
 
 def retrieval(s, d):
-    """Each step's table is written once, since the later ones use it several times."""
+    """Questions, hits, relations, evidence, context, status and coverage, written once for all queries that read them."""
+    return once(s, d, "retrieval", lambda: build_retrieval(s, d))
+
+
+def build_retrieval(s, d):
     q = materialize(search.detect_topics(A.questions(s, d)), "questions")
     e, r, v, _ = graph_tables(s, d)
     hits = materialize(search.search_entities(q, e), "hits")
-    r = materialize(r, "relations")
     found = materialize(search.fetch_relations(hits, q, r), "found")
     code = e.select("entity_id", F.col("project_code").alias("pe"))
     of_relation = r.select("relation_id", F.col("project_code").alias("pr"))
@@ -1004,7 +1015,7 @@ def retrieval(s, d):
     texts = packets.union_all(lines.withColumn("source_type", F.lit("clause")), lines.withColumn("source_type", F.lit("section")), guide_pages.withColumn("source_type", F.lit("raw_page")))
     context = materialize(packets.text_context(evidence, q, texts, A.pages(s, d), nations), "context")
     status = materialize(packets.evidence_status(evidence, context), "status")
-    return q, hits, found, evidence, context, status, packets.coverage(q, hits, status, context)
+    return q, hits, found, evidence, context, status, materialize(packets.coverage(q, hits, status, context), "coverage")
 
 
 HITS_SQL = f"""{TOPICS_SQL}, {GRAPH_SQL}, rules(code, types) AS (VALUES {", ".join(f"('{c}', {_sql_list(et)})" for c, _, et, _, _ in R.TOPICS)}, ('{R.GENERAL_TOPIC}', {_sql_list(R.GENERAL_ENTITY_TYPES)})),
@@ -1069,7 +1080,7 @@ def j9_coverage(s, d):
 
 def all_packets(s, d):
     q, hits, found, _, context, status, cov = retrieval(s, d)
-    return materialize(packets.build_packets(q, hits, found, status, context, cov), "packets")
+    return once(s, d, "packets", lambda: materialize(packets.build_packets(q, hits, found, status, context, cov), "packets"))
 
 
 @query(f"WITH {CONTEXT_SQL}, t AS (SELECT question_id, 'entity' AS target_kind, entity_id AS target_id, status FROM st WHERE entity_id IS NOT NULL UNION ALL SELECT question_id, 'relation', relation_id, status FROM st WHERE relation_id IS NOT NULL) SELECT question_id, target_kind, target_id, arg_max(status, list_position([{', '.join(repr(x) for x in packets.STATUSES)}], status)) AS status FROM t GROUP BY ALL")

@@ -5,7 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from typing import TypeVar
+
+from pyspark.sql import DataFrame, SparkSession
+
+T = TypeVar("T")
+#: What a session has built once from a folder of tables: by application, folder, its state and a name.
+built: dict[tuple, object] = {}
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -20,3 +27,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def once(spark: SparkSession, folder: str, name: str, build: Callable[[], T]) -> T:
+    """What `build` makes of the tables in a folder, made once a session and again when a file of the folder has changed.
+
+    For written tables that several queries read: build should materialise them.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = tuple((f.getPath().getName(), f.getModificationTime(), files.getContentSummary(f.getPath()).getLength()) for f in files.listStatus(at))
+    key = (spark.sparkContext.applicationId, folder, state, name)
+    if key not in built:
+        built[key] = build()
+    return built[key]  # type: ignore[return-value]
