@@ -112,8 +112,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
     Defined results: null, empty and wordless texts share fingerprint 0 and link like any other; repeated rows stay
-    repeated; null ids stay null and never become a component's id unless all ids of it are null; no rows give no
-    rows; further columns are ignored.
+    repeated; null ids stay null and never become a component's id unless all ids of it are null; very long texts are
+    read whole; no rows give no rows; further columns are ignored.
     """
     prints = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")

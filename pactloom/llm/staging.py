@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/pactloom-{uuid.uuid4().hex}"
 
 
-#: Paths of the scratch tables of this process that may still be there.
-written: list[str] = []
+class Written(threading.local):
+    """Paths of the scratch tables that this thread has written and that may still be there: of one run, where runs have a thread each."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __len__(self) -> int:
+        return len(self.paths)
+
+
+written = Written()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -29,7 +39,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
-    written.append(path)
+    written.paths.append(path)
     return out
 
 
@@ -41,13 +51,13 @@ def drop_staged(df: DataFrame) -> None:
 def delete(spark: SparkSession, name: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    if name in written:
-        written.remove(name)
+    if name in written.paths:
+        written.paths.remove(name)
 
 
 def drop_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
-    """Delete the scratch tables written since `written` had `mark` entries, but for one."""
-    for name in written[mark:]:
+    """Delete the scratch tables this thread has written since `written` had `mark` entries, but for one."""
+    for name in written.paths[mark:]:
         if name != keep.staged_path:
             delete(spark, name)
 
