@@ -78,6 +78,16 @@ def followups(files: DataFrame, runs: DataFrame, pages: DataFrame, limit: int) -
     return rows.select("project_code", "file_id", F.col("has_pages").isNull().alias("no_pages"), "failures").orderBy("project_code", "file_id").limit(limit)
 
 
+#: The keys that a canonical contract must have.
+TOP_LEVEL_KEYS = ("project_code", "project_type", "property", "contract", "parties", "documents")
+
+
+def key_issues(contracts: DataFrame, required: tuple[str, ...] = TOP_LEVEL_KEYS) -> DataFrame:
+    """required keys that a contract's JSON object lacks. contracts (contract_id, body); what is no object lacks all."""
+    lacking = F.array_except(F.array(*[F.lit(k) for k in required]), F.coalesce(F.json_object_keys("body"), F.array().cast("array<string>")))
+    return contracts.select("contract_id", F.explode(lacking).alias("k")).select("contract_id", F.lit("error").alias("severity"), F.lit("missing_key").alias("code"), F.concat(F.lit("$."), "k").alias("path"))
+
+
 def vat_issues(rows: DataFrame, path: str) -> DataFrame:
     """net + vat against gross; up to 0.05 is a warning, more an error. rows (contract_id, amounts, item key)."""
     gap = F.abs(F.bround(F.col("amount_net") + F.col("vat_amount"), 2) - F.bround("amount_gross", 2))

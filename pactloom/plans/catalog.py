@@ -574,6 +574,14 @@ def f5_missing_documents(s, d):
     return quality.missing_documents(docs.select("contract_id").distinct(), docs, s.createDataFrame([("en",), ("de",), ("xx",)], "document_type string"))
 
 
+@query("SELECT contract_id, 'error' AS severity, 'missing_key' AS code, '$.' || k AS path FROM contracts, (VALUES ('project_code'), ('project_type'), ('property'), ('contract'), ('parties'), ('documents')) v(k) WHERE contract_id::BIGINT % 11 = 0 OR k = 'property' AND contract_id::BIGINT % 3 = 0 OR k = 'parties' AND contract_id::BIGINT % 4 = 0")
+def f5_missing_keys(s, d):
+    """Contracts as JSON objects: every third without a property, every fourth without parties, every eleventh is cut short."""
+    n = F.col("contract_id").cast("bigint")
+    body = F.to_json(F.struct(F.col("project_id").alias("project_code"), F.col("contract_type").alias("project_type"), F.when(n % 3 != 0, F.struct("client_id")).alias("property"), F.struct("contract_code", "contract_date").alias("contract"), F.when(n % 4 != 0, F.array("client_id")).alias("parties"), F.array("contract_code").alias("documents"), F.lit("more").alias("other")))
+    return quality.key_issues(A.contracts(s, d).select("contract_id", F.when(n % 11 == 0, F.substring(body, 1, 9)).otherwise(body).alias("body")))
+
+
 @query("SELECT source AS contract_id, 'critical' AS severity, 'email_found' AS code, 'text' AS path FROM documents WHERE regexp_matches(text, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}') GROUP BY source UNION ALL SELECT source, 'warning', 'phone_found', 'text' FROM documents WHERE regexp_matches(text, '(^|[^0-9])(\\+358|0)\\s?([0-9][\\s-]?){6,12}([^0-9]|$)') GROUP BY source")
 def f5_personal_data(s, d):
     return quality.personal_data_issues(documents(s, d).select(F.col("source").alias("contract_id"), "text"))
