@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from heapq import heappop, heappush
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,11 +118,38 @@ def guidance_sections(pages: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def section_for_page(pages: DataFrame, sections: DataFrame) -> DataFrame:
-    """Each page's first section that covers it, else its document's first section."""
-    joined = pages.join(sections, "document_id", "left")
-    covers = (F.col("page_start") <= F.col("page_no")) & (F.col("page_no") <= F.col("page_end"))
-    rank = F.row_number().over(Window.partitionBy("document_id", "page_no").orderBy(F.when(covers, 0).otherwise(1), "page_start", "section_number"))
-    return joined.withColumn("rn", rank).where("rn = 1").select(*pages.columns, "section_number", F.col("title").alias("section_title"))
+    """Each page's first section that covers it, else its document's first section; first by page_start, then section_number.
+
+    One sweep over each document's section starts and pages in order: a heap holds the sections begun, and those that have ended leave it when they come to its
+    top. So pages and sections are never paired. Pages without a document or a number, and those of documents without sections, have none.
+    """
+    starts = sections.where("page_start IS NOT NULL").select("document_id", F.col("page_start").cast("bigint").alias("at"), F.lit(0).alias("kind"), F.col("page_end").cast("bigint").alias("until"), F.col("section_number").cast("string").alias("number"), F.col("title").cast("string").alias("title"))
+    asked = pages.where("page_no IS NOT NULL").select("document_id", F.col("page_no").cast("bigint").alias("at")).distinct().select("document_id", "at", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("until"), F.lit(None).cast("string").alias("number"), F.lit(None).cast("string").alias("title"))
+    events = starts.unionByName(asked).where("document_id IS NOT NULL").repartition("document_id").sortWithinPartitions("document_id", "at", "kind", F.asc_nulls_first("number"))
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        document, begun = None, []
+        for b in batches:
+            out = []
+            for d, at, kind, until, number, title in b.itertuples(index=False, name=None):
+                if d != document:
+                    document, begun = d, []
+                if kind == 0:
+                    heappush(begun, (at, number is not None, number or "", at if pd.isna(until) else int(until), title))
+                else:
+                    while begun and begun[0][3] < at:
+                        heappop(begun)
+                    if begun:
+                        out.append((d, at, begun[0][2] if begun[0][1] else None, begun[0][4]))
+            yield pd.DataFrame(out, columns=["document_id", "at", "number", "title"])
+
+    kind = sections.schema["document_id"].dataType.simpleString()
+    covered = events.mapInPandas(sweep, f"document_id {kind}, at bigint, number string, title string")
+    covered = covered.select("document_id", F.col("at").alias("__at"), F.struct("number", "title").alias("__hit"))
+    first = sections.groupBy("document_id").agg(F.min(F.struct("page_start", "section_number", "title")).alias("__first"))
+    out = pages.withColumn("__at", F.col("page_no").cast("bigint")).join(covered, ["document_id", "__at"], "left").join(first, "document_id", "left")
+    hit, of = F.col("__hit").isNotNull(), sections.schema["section_number"].dataType
+    return out.select(*[F.col(f"`{c}`") for c in pages.columns], F.when(hit, F.col("__hit.number").cast(of)).otherwise(F.col("__first.section_number")).alias("section_number"), F.when(hit, F.col("__hit.title")).otherwise(F.col("__first.title")).alias("section_title"))
 
 
 def sentences(df: DataFrame, keys: list[str], text: str) -> DataFrame:

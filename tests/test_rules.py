@@ -1,5 +1,6 @@
 """Rules of single operators with known results."""
 
+import random
 from decimal import Decimal as D
 
 from pyspark.sql import functions as F
@@ -241,3 +242,16 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 1 and spark.read.json(str(tmp_path / "o")).first()["missing"] == ["m"]
     row = spark.read.option("header", "true").csv(str(tmp_path / "c"), escape='"').first()
     assert row["evidence_json"] == '[{"f":"e","n":1}]' and list(row.asDict())[-1] == "evidence_json"
+
+
+def test_sweep_over_sections(spark):
+    rng = random.Random(11)
+    secs = [(f"d{rng.randint(1, 8)}", f"{rng.randint(1, 30):02d}", f"t{i}", a, a + rng.randint(-1, 12)) for i in range(120) for a in [rng.randint(1, 40)]]
+    secs = list({(d, n, a): (d, n, t, a, b) for d, n, t, a, b in secs}.values())
+    pages = [(f"d{rng.randint(0, 9)}", rng.randint(0, 50), f"x{i}", "keep") for i in range(400)] + [("d1", 5, "x", "keep"), ("d1", 5, "x", "keep"), ("d2", None, "y", "keep"), (None, 3, "z", "keep")]
+    got = sections.section_for_page(spark.createDataFrame(pages, "document_id string, page_no int, text string, title string"), spark.createDataFrame(secs, "document_id string, section_number string, title string, page_start int, page_end int"))
+    want = []
+    for d, n, x, k in pages:
+        own = sorted((not (n is not None and a <= n <= b), a, s, t) for e, s, t, a, b in secs if e == d)
+        want.append((d, n, x, k, own[0][2] if own else None, own[0][3] if own else None))
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
