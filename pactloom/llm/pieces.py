@@ -176,13 +176,23 @@ class PieceModel:
             yield tuple(out)
 
     def _forward_unigram(self, words: Iterable[str]) -> Iterator[list[str]]:
+        """The best sum of scores of each prefix and its last piece; only lengths that pieces with the prefix's end have are tried."""
+        score, least, ends, short = self.score.get, self.least, self.ends, (2, 1)
         path: list[tuple[float, str]] = [(0.0, "")]
         before = ""
         for word in words:
             depth = len(commonprefix((before, word)))
             del path[depth + 1 :]
             for end in range(depth + 1, len(word) + 1):
-                path.append(self._unigram_state(word, end, path))
+                last = word[end - 1]
+                best, piece = path[end - 1][0] + score(last, least), last
+                for long in ends.get(word[end - 3 : end], short) if end > 2 else short:
+                    if 1 < long <= end:
+                        text = word[end - long : end]
+                        own = score(text)
+                        if own is not None and path[end - long][0] + own > best:
+                            best, piece = path[end - long][0] + own, text
+                path.append((best, piece))
             before = word
             out, end = [], len(word)
             while end:
@@ -190,14 +200,6 @@ class PieceModel:
                 end -= len(out[-1])
             yield out[::-1]
 
-    def _unigram_state(self, word: str, end: int, path: list[tuple[float, str]]) -> tuple[float, str]:
-        best = (path[end - 1][0] + self.score.get(word[end - 1], self.least), word[end - 1])
-        for start in range(max(0, end - self.longest), end - 1):
-            piece = word[start:end]
-            if piece in self.score and path[start][0] + self.score[piece] > best[0]:
-                best = (path[start][0] + self.score[piece], piece)
-        return best
-
     def ids(self, pieces: list[str]) -> tuple[int, ...]:
         """Pieces to ids; what is no piece goes byte by byte."""
         try:
