@@ -66,7 +66,8 @@ def fulltext_scores(chunks: DataFrame, queries: DataFrame, stem: Callable[[Colum
     """(query_id, chunk_id, s): BM25 of chunks (chunk_id, text) that hold all of a query's terms, of whole queries of any length.
 
     Postings are written for the terms that are asked for. A query's rarest term gives its candidates, and only these are held against its other terms: a
-    common word is never joined with all queries that have it.
+    common word is never joined with all queries that have it. Where queries have a key, only chunks of the same key count;
+    the words' frequencies stay those of all chunks.
     """
     w = terms(F.col("text"))
     split = chunks.select("chunk_id", (stem(w) if stem else w).alias("w")).where(F.size("w") > 0).select("chunk_id", "w", F.size("w").alias("doc_len"))
@@ -78,6 +79,8 @@ def fulltext_scores(chunks: DataFrame, queries: DataFrame, stem: Callable[[Colum
     known = asked.join(df, "term")
     rare = known.groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("r"), F.count("*").alias("known"), F.first("n_terms").alias("n_terms")).where("known = n_terms").select("query_id", F.col("r.term").alias("term"))
     cand = hits.join(rare, "term").select("query_id", "chunk_id")
+    if "key" in queries.columns:
+        cand = cand.join(queries.select("query_id", "key"), "query_id").join(chunks.select("chunk_id", "key"), ["chunk_id", "key"]).drop("key")
     rows = cand.join(known, "query_id").join(hits, ["chunk_id", "term"]).crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len")))
@@ -93,23 +96,25 @@ def fulltext_search(chunks: DataFrame, queries: DataFrame, k: int = 20, stem: Ca
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", F.round("s", 6).alias("score"))
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096) -> DataFrame:
-    """The k rows of smallest cosine distance for each query, its own row left out. Both (vec_id, embedding).
+def measurable(embedding: str = "embedding") -> Column:
+    """Whether a vector has a length: not null or zero, and without null or non-finite components."""
+    square = F.aggregate(embedding, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    return F.coalesce((square > 0) & (square < float("inf")), F.lit(False))
 
-    Rows and queries meet block by block, each pair of blocks one bounded group; vectors without a length take no part.
-    """
-    fine = F.coalesce(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x) > 0, F.lit(False))
-    v, q = vectors.where(fine), queries.where(fine)
-    nv, nq = -(-max(v.count(), 1) // block), -(-max(q.count(), 1) // block)
-    side_v = v.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), F.pmod(F.xxhash64("vec_id"), F.lit(nv)).cast("int").alias("vb"), F.lit(False).alias("q"), "vec_id", "embedding")
-    side_q = q.select(F.pmod(F.xxhash64("vec_id"), F.lit(nq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("vb"), F.lit(True).alias("q"), "vec_id", "embedding")
+
+def units(embeddings: pd.Series) -> np.ndarray:
+    x = np.array([np.asarray(e, np.float64) for e in embeddings])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def nearest_in_block(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of a block of queries (q is true) and rows: each query's k nearest rows but its own."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         a, b = rows[rows["q"]], rows[~rows["q"]]
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
-        x, y = (np.array([np.asarray(e, np.float64) for e in s["embedding"]]) for s in (a, b))
-        d = 1 - (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+        d = 1 - units(a["embedding"]) @ units(b["embedding"]).T
         d[a["vec_id"].to_numpy()[:, None] == b["vec_id"].to_numpy()[None, :]] = np.inf
         d = np.round(d, 9)
         ids = np.argsort(b["vec_id"].to_numpy(), kind="stable")
@@ -118,9 +123,82 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: in
         keep = np.isfinite(best)
         return pd.DataFrame({"query_id": np.repeat(a["vec_id"].to_numpy(), keep.sum(axis=1)), "vec_id": b["vec_id"].to_numpy()[order[keep]], "distance": best[keep]})
 
-    found = side_v.unionByName(side_q).groupBy("qb", "vb").applyInPandas(run, "query_id bigint, vec_id bigint, distance double")
+    return run
+
+
+def first_k(found: DataFrame, k: int) -> DataFrame:
+    """Adds rank, nearest first, ties to the smaller id; the first k."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096) -> DataFrame:
+    """The k rows of smallest cosine distance for each query, its own row left out. Both (vec_id, embedding).
+
+    Rows and queries meet block by block, each pair of blocks one bounded group; vectors without a length take no part.
+    """
+    v, q = vectors.where(measurable()), queries.where(measurable())
+    nv, nq = -(-max(v.count(), 1) // block), -(-max(q.count(), 1) // block)
+    side_v = v.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), F.pmod(F.xxhash64("vec_id"), F.lit(nv)).cast("int").alias("vb"), F.lit(False).alias("q"), "vec_id", "embedding")
+    side_q = q.select(F.pmod(F.xxhash64("vec_id"), F.lit(nq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("vb"), F.lit(True).alias("q"), "vec_id", "embedding")
+    found = side_v.unionByName(side_q).groupBy("qb", "vb").applyInPandas(nearest_in_block(k), "query_id bigint, vec_id bigint, distance double")
+    return first_k(found, k).select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
+
+
+def vector_search_within(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 64, rings: int = 8, block: int = 4096) -> DataFrame:
+    """J3 in a filter: for each query the k rows of its own key at the smallest cosine distance, exactly. Both (vec_id, key, embedding).
+
+    Rows lie in cells: the nearest of some pivots (a bounded sample of the rows) and a ring of angles around it. The angle
+    between a query and a cell's rows is at least the gap between the query's angle to the pivot and the cell's, so a query
+    first reads its key's cells in order of that bound until they hold k rows besides its own, and then only the cells that
+    its k-th distance leaves. Large cells are read in blocks. scored and candidates tell how many rows of the key's were
+    compared. Null keys and vectors without a length take no part; a query without candidates gives no row.
+    """
+    v, q = (t.where(measurable() & F.col("key").isNotNull()).select("vec_id", "key", "embedding") for t in (vectors, queries))
+    sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("embedding").collect()  # as many rows as pivots
+    centres = units(pd.Series([r[0] for r in sample])) if sample else np.zeros((1, 1))
+
+    def angles(embeddings: pd.Series) -> np.ndarray:
+        return np.arccos(np.clip(units(embeddings) @ centres.T, -1, 1))
+
+    def placed(batches):
+        for b in batches:
+            if len(b):
+                a = angles(b["embedding"])
+                yield b.assign(pivot=a.argmin(axis=1), angle=a.min(axis=1))
+
+    def aimed(batches):
+        for b in batches:
+            if len(b):
+                yield b.assign(angles=list(angles(b["embedding"])) if sample else [[] for _ in range(len(b))])
+
+    key = v.schema["key"].dataType.simpleString()
+    cell = (F.col("pivot") * F.lit(4 * rings) + F.floor(F.col("angle") * rings)).cast("int")
+    rows = materialize(v.mapInPandas(placed, f"vec_id bigint, key {key}, embedding {v.schema['embedding'].dataType.simpleString()}, pivot int, angle double").withColumn("cell", cell), "vector_cells")
+    asked = materialize(q.mapInPandas(aimed, f"vec_id bigint, key {key}, embedding {q.schema['embedding'].dataType.simpleString()}, angles array<double>"), "vector_queries")
+    cells = materialize(rows.groupBy("key", "cell", "pivot").agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi")), "cells")
+    gap = F.greatest(F.lit(0.0), F.col("to") - F.col("hi"), F.col("lo") - F.col("to"))
+    aims = asked.select(F.col("vec_id").alias("query_id"), "key", F.posexplode("angles").alias("pivot", "to")).join(cells, ["key", "pivot"]).select("query_id", "key", "cell", "n", (1 - F.cos(gap)).alias("bound"))
+    before = F.sum("n").over(Window.partitionBy("query_id").orderBy("bound", "cell").rowsBetween(Window.unboundedPreceding, -1))
+    aims = materialize(aims.withColumn("first", F.coalesce(before, F.lit(0)) <= k), "aims")
+
+    def read(pairs: DataFrame) -> DataFrame:
+        size = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
+        work = pairs.groupBy("key", "cell").agg(F.count("*").alias("nq"), F.first("n").alias("n")).select("key", "cell", size("nq").alias("qs"), size("n").alias("vs"))
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        part = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+        side_v = rows.join(work, ["key", "cell"]).select("key", "cell", upto("qs").alias("qb"), part("vs").alias("vb"), F.lit(False).alias("q"), "vec_id", "embedding")
+        sought = pairs.select(F.col("query_id").alias("vec_id"), "key", "cell").join(asked.select("vec_id", "embedding"), "vec_id")
+        side_q = sought.join(work, ["key", "cell"]).select("key", "cell", part("qs").alias("qb"), upto("vs").alias("vb"), F.lit(True).alias("q"), "vec_id", "embedding")
+        found = side_v.unionByName(side_q).groupBy("key", "cell", "qb", "vb").applyInPandas(nearest_in_block(k), "query_id bigint, vec_id bigint, distance double")
+        return first_k(found, k)
+
+    near = materialize(read(aims.where("first")), "near")
+    reach = near.where(F.col("rank") == k).select("query_id", F.col("distance").alias("reach"))
+    rest = materialize(aims.where("not first").join(reach, "query_id", "left").where(F.col("reach").isNull() | (F.col("bound") <= F.col("reach") + 1e-8)), "rest")
+    told = aims.groupBy("query_id").agg(F.sum("n").alias("candidates")).join(aims.where("first").select("query_id", "n").unionByName(rest.select("query_id", "n")).groupBy("query_id").agg(F.sum("n").alias("scored")), "query_id")
+    best = first_k(near.drop("rank").unionByName(read(rest.drop("reach")).drop("rank")), k)
+    return best.join(told, "query_id").select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"), "scored", "candidates")
 
 
 def search_entities(detected: DataFrame, entities: DataFrame, k: int = 10) -> DataFrame:
@@ -164,11 +242,47 @@ def fetch_evidence(hits: DataFrame, found: DataFrame, evidence: DataFrame, k: in
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def fuse(*rankings: DataFrame, k: int = 20, c: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion of rankings (query_id, rank, item)."""
+def fused(*rankings: DataFrame, c: int = 60) -> DataFrame:
+    """(query_id, item, s): reciprocal ranks of rankings (query_id, rank, item), summed."""
     rows = rankings[0]
     for r in rankings[1:]:
         rows = rows.unionByName(r)
-    score = rows.groupBy("query_id", "item").agg(F.sum(1.0 / (c + F.col("rank"))).alias("s"))
+    return rows.groupBy("query_id", "item").agg(F.sum(1.0 / (c + F.col("rank"))).alias("s"))
+
+
+def fuse(*rankings: DataFrame, k: int = 20, c: int = 60) -> DataFrame:
+    """Reciprocal-rank fusion of rankings (query_id, rank, item)."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("s", 9)), "item"))
-    return score.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "item", F.round("s", 6).alias("score"))
+    return fused(*rankings, c=c).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "item", F.round("s", 6).alias("score"))
+
+
+def proximity(hits: DataFrame, chunks: DataFrame, queries: DataFrame, reach: int = 8) -> DataFrame:
+    """(query_id, chunk_id, near): how closely a hit keeps the query's neighbouring words together, 0 to 1.
+
+    Each pair of neighbouring words of the query counts the inverse of its smallest distance in the chunk, in the query's order and within
+    reach; their mean is near. Positions are listed for asked words of hit chunks only; hits without such a pair give no row.
+    """
+    w = queries.select("query_id", terms(F.col("query")).alias("w"))
+    pair = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.element_at("w", i).alias("a"), F.element_at("w", i + 1).alias("b"))))
+    pairs = w.where(F.size("w") > 1).select("query_id", pair.alias("p")).select("query_id", F.size("p").alias("of"), F.explode("p").alias("p")).select("query_id", "of", "p.a", "p.b")
+    asked = pairs.select(F.col("a").alias("term")).union(pairs.select("b")).distinct()
+    words = chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", F.posexplode(terms(F.col("text"))).alias("pos", "term"))
+    words = materialize(words.join(asked, "term", "left_semi"), "positions")
+    after = hits.select("query_id", "chunk_id").join(pairs, "query_id").join(words.withColumnRenamed("term", "a"), ["chunk_id", "a"]).select("query_id", "of", "chunk_id", "a", "b", "pos", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("gap")).withColumn("pos", F.col("pos") + F.col("gap"))
+    met = after.join(words.withColumnRenamed("term", "b"), ["chunk_id", "b", "pos"]).groupBy("query_id", "of", "chunk_id", "a", "b").agg(F.min("gap").alias("gap"))
+    return met.groupBy("query_id", "chunk_id").agg((F.sum(1.0 / F.col("gap")) / F.first("of")).alias("near"))
+
+
+def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 20, first: int = 100, c: int = 60) -> DataFrame:
+    """Chunks (chunk_id, key, text, embedding) for queries (query_id, key, query, embedding): among the chunks of the query's key, the first
+    by words and the first by vector are fused by reciprocal ranks, and the fused score is raised by the share of `proximity`.
+
+    Ids are numbers, and queries' ids are none of the chunks'; ties go to the smaller id. A chunk without a vector, or without the words, may come in by the other.
+    """
+    by_words = fulltext_search(chunks, queries, first).select("query_id", "rank", F.col("chunk_id").alias("item"))
+    by_vector = vector_search_within(chunks.select(F.col("chunk_id").alias("vec_id"), "key", "embedding"), queries.select(F.col("query_id").alias("vec_id"), "key", "embedding"), first)
+    hits = materialize(fused(by_words, by_vector.select("query_id", "rank", F.col("vec_id").alias("item")), c=c).withColumnRenamed("item", "chunk_id"), "fused")
+    s = F.round(F.col("s") * (1 + F.coalesce("near", F.lit(0.0))), 9)
+    scored = hits.join(proximity(hits, chunks, queries), ["query_id", "chunk_id"], "left").withColumn("s", s)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "chunk_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", F.round("s", 6).alias("score"))

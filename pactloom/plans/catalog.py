@@ -1003,6 +1003,14 @@ def j3_vector_search(s, d):
     return search.vector_search(v, v.where("vec_id % 100 = 0"))
 
 
+@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings) SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM (SELECT q.vec_id AS query_id, v.vec_id, round(1 - list_dot_product(q.e, v.e) / (q.n * v.n), 9) AS distance,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_dot_product(q.e, v.e) / (q.n * v.n), 9), v.vec_id)::INT AS rank FROM v q JOIN v ON q.vec_id <> v.vec_id AND q.label = v.label WHERE q.vec_id % 100 = 0) WHERE rank <= 20""")
+def j3_vector_search_within(s, d):
+    """Each asked vector among the rows of its own label."""
+    v = A.read(s, d, "embeddings").select("vec_id", F.col("label").alias("key"), "embedding")
+    return search.vector_search_within(v, v.where("vec_id % 100 = 0")).drop("scored", "candidates")
+
+
 def retrieval(s, d):
     """Questions, hits, relations, evidence, context, status and coverage, written once for all queries that read them."""
     return once(s, d, "retrieval", lambda: build_retrieval(s, d))
@@ -1111,6 +1119,42 @@ def j11_hybrid_search(s, d):
     return search.fuse(near, g13_j2_fulltext_search(s, d).select("query_id", "rank", F.col("chunk_id").alias("item")))
 
 
+def word_vectors(rows: DataFrame, id_col: str, size: int = 64) -> DataFrame:
+    """(id, embedding): how many words fall into each of some slots by their hash; texts without words have none."""
+    slot = F.conv(F.substring(F.md5("term"), 1, 4), 16, 10).cast("int") % size
+    counts = rows.select(id_col, F.explode(search.terms(F.col("text"))).alias("term")).groupBy(id_col, slot.alias("slot")).agg(F.count("*").alias("n"))
+    by_slot = counts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"))
+    return by_slot.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)).cast("double")).alias("embedding"))
+
+
+ASKED_KEY_SQL = "CASE item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' ELSE 'es' END"
+
+
+def _first(n: int) -> str:
+    return f"""keyed AS (SELECT query_id, chunk_id::BIGINT AS chunk_id, s FROM sc JOIN chunks USING (chunk_id) JOIN benchmark ON item_id = query_id WHERE language = {ASKED_KEY_SQL}), byw AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS rank FROM keyed) WHERE rank <= {n}),
+cw AS MATERIALIZED (SELECT chunk_id::BIGINT AS chunk_id, language, {TERM_SQL.format('text')} AS w FROM chunks), qw AS MATERIALIZED (SELECT item_id AS query_id, {ASKED_KEY_SQL} AS language, {TERM_SQL.format('text')} AS w FROM benchmark),
+cv AS MATERIALIZED (SELECT chunk_id, language, ('0x' || md5(term)[1:4])::INT % 64 AS slot, count(*)::DOUBLE AS n FROM (SELECT chunk_id, language, unnest(w) AS term FROM cw) GROUP BY ALL), qv AS MATERIALIZED (SELECT query_id, language, ('0x' || md5(term)[1:4])::INT % 64 AS slot, count(*)::DOUBLE AS n FROM (SELECT query_id, language, unnest(w) AS term FROM qw) GROUP BY ALL),
+cn AS (SELECT chunk_id, sqrt(sum(n * n)) AS len FROM cv GROUP BY 1), qn AS (SELECT query_id, sqrt(sum(n * n)) AS len FROM qv GROUP BY 1), dots AS (SELECT query_id, chunk_id, sum(qv.n * cv.n) AS dot FROM qv JOIN cv USING (language, slot) GROUP BY 1, 2),
+pool AS (SELECT query_id, chunk_id FROM qv JOIN cv USING (language) GROUP BY 1, 2), dist AS (SELECT query_id, chunk_id, round(1 - coalesce(dot, 0) / (qn.len * cn.len), 9) AS distance FROM pool LEFT JOIN dots USING (query_id, chunk_id) JOIN qn USING (query_id) JOIN cn USING (chunk_id)),
+byv AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM dist) WHERE rank <= {n}),
+fu AS MATERIALIZED (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM (SELECT * FROM byw UNION ALL SELECT * FROM byv) GROUP BY ALL)"""
+
+
+@query(f"""WITH {TEXT_SQL}, {_first(100)}, qp AS (SELECT DISTINCT query_id, w[i] AS a, w[i + 1] AS b FROM (SELECT query_id, w, unnest(range(1, len(w))) AS i FROM qw)), np AS (SELECT query_id, count(*) AS of FROM qp GROUP BY 1), pos AS MATERIALIZED (SELECT chunk_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM cw WHERE chunk_id IN (SELECT chunk_id FROM fu)),
+met AS (SELECT fu.query_id, fu.chunk_id, qp.a, qp.b, min(y.pos - x.pos) AS gap FROM fu JOIN qp USING (query_id) JOIN pos x ON x.chunk_id = fu.chunk_id AND x.term = qp.a JOIN pos y ON y.chunk_id = fu.chunk_id AND y.term = qp.b AND y.pos - x.pos BETWEEN 1 AND 8 GROUP BY ALL), prox AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / gap) / first(of) AS near FROM met JOIN np USING (query_id) GROUP BY 1, 2),
+fin AS (SELECT query_id, chunk_id, round(s * (1 + coalesce(near, 0)), 9) AS s FROM fu LEFT JOIN prox USING (query_id, chunk_id)) SELECT query_id, rank, chunk_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id)::INT AS rank FROM fin) WHERE rank <= 20""")
+def j11_filtered_rerank(s, d):
+    """Benchmark items ask among the documents of one language, by their words and by the vector of their words; the first hits are ranked anew by
+    the nearness of the words."""
+    c = A.chunks(s, d).select(F.col("chunk_id").cast("bigint").alias("chunk_id"), F.col("language").alias("key"), "text")
+    i = F.col("item_id") % 4
+    q = A.read(s, d, "benchmark").withColumn("key", F.when(i == 0, "en").when(i == 1, "de").when(i == 2, "fr").otherwise("es"))
+    own = (-1 - F.col("item_id")).alias("query_id")  # the vectors of queries and chunks share one table of ids
+    asked = q.join(word_vectors(q, "item_id"), "item_id", "left").select(own, "key", F.col("text").alias("query"), "embedding")
+    best = search.hybrid_search(c.join(word_vectors(c, "chunk_id"), "chunk_id", "left"), asked)
+    return best.withColumn("query_id", -1 - F.col("query_id"))
+
+
 @query()
 def k1_select_sources(s, d):
     return packets.select_sources(all_packets(s, d))
