@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,38 +58,56 @@ def load_plain_text(spark: SparkSession, path: str) -> DataFrame:
     return f.select("path", F.lit(1).alias("page_no"), text.alias("raw_text"))
 
 
-def _inner(xml: Column, tag: str) -> Column:
-    """Text of the first element of that name: tags to blanks, white space collapsed, the five entities resolved."""
-    return plain_xml(F.regexp_extract(xml, rf"(?s)<(?:\w+:)?{tag}\b[^>]*(?<!/)>(.*?)</(?:\w+:)?{tag}>", 1))
+def _name(e: ElementTree.Element) -> str:
+    return e.tag.rpartition("}")[2]
+
+
+def _said(elements: Iterable[ElementTree.Element]) -> str:
+    """All text in the first of the elements, white space collapsed; empty where there is none."""
+    return next((" ".join(" ".join(e.itertext()).split()) for e in elements), "")
+
 
+def law_rows(path: str, xml: str | bytes | None) -> Iterator[tuple]:
+    """LAW_ROWS of one law in document order, sections inside others too; none for what is no XML."""
+    try:
+        tree = list(ElementTree.fromstring(xml).iter())  # type: ignore[arg-type]
+    except (ElementTree.ParseError, ValueError, LookupError, TypeError):
+        return
+    dates = {e.get("name"): e.get("date") or None for e in tree if _name(e) == "FRBRdate"}
+    law = (path, _said(e for e in tree if _name(e) == "docTitle"), *map(dates.get, LAW_DATES))
+    for order, section in enumerate((e for e in tree if _name(e) == "section"), 1):
+        number, title = (_said(e for e in section if _name(e) == part) for part in ("num", "heading"))
+        parts = (_said([e]) for e in section if _name(e) not in ("num", "heading"))
+        body = "\n\n".join(filter(None, parts))
+        if number or title or body:
+            yield *law, order, section.get("eId") or None, number, title, body
 
-def plain_xml(xml: Column) -> Column:
-    text = F.regexp_replace(xml, r"(?s)<!--.*?-->|<[^>]+>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#160;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+LAW_DATES = ("dateIssued", "datePublished", "dateProduced")
+LAW_ROWS = "path string, law_title string, issued string, published string, produced string, section_order int, section_id string, section_number string, title string, body_text string"
 
 
 def law_sections(files: DataFrame) -> DataFrame:
-    """A5 on rows (path, xml): one row a section of a law, in order, with the law's title and its three dates.
+    """A5 on rows (path, xml as text or bytes): one row a section of a law, in order, with the law's title and its three dates.
 
-    body_text: every child of the section but number and heading, nested subsections included, a blank line between
-    them. Sections without number, heading and body are left out; order counts them. Any namespace prefix will do.
+    body_text: every child of the section but number and heading, nested sections included, a blank line between
+    them; text beside the children is not part of it. Nested sections are rows of their own as well. Sections without number, heading and body are left
+    out; order counts them. Any namespace will do; of several dates of one name the last counts. What is no well-formed XML gives no row.
     """
-    date = lambda name: F.nullif(F.coalesce(*[F.nullif(F.regexp_extract("xml", rf'<(?:\w+:)?FRBRdate\b[^>]*{p}', 1), F.lit("")) for p in (rf'\bdate="([^"]*)"[^>]*\bname="{name}"', rf'\bname="{name}"[^>]*\bdate="([^"]*)"')]), F.lit(""))
-    head = files.select("path", _inner(F.col("xml"), "docTitle").alias("law_title"), date("dateIssued").alias("issued"), date("datePublished").alias("published"), date("dateProduced").alias("produced"), F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)(<(?:\w+:)?section\b.*?</(?:\w+:)?section>)"), F.lit(1))).alias("pos", "section"))
-    inside = F.regexp_replace("section", r"(?s)^<[^>]*>|</[^>]*>$", "")
-    rest = F.regexp_replace(inside, r"(?s)^(\s|<!--.*?-->)*(<(?:\w+:)?(num|heading)\b[^>]*?(/>|>.*?</(?:\w+:)?\3>)(\s|<!--.*?-->)*)*", "")
-    # a child ends where its own closing tag stands: the same name as the first one's, not nested
-    children = F.regexp_extract_all(rest, F.lit(r"(?s)(<((?:\w+:)?\w+)\b[^>]*(?<!/)>.*?</\2>)"), F.lit(1))
-    parts = F.filter(F.transform(children, plain_xml), lambda t: t != "")
-    out = head.select("path", "law_title", "issued", "published", "produced", (F.col("pos") + 1).alias("section_order"), F.nullif(F.regexp_extract("section", r'^<[^>]*\beId="([^"]*)"', 1), F.lit("")).alias("section_id"), _inner(F.col("section"), "num").alias("section_number"), _inner(F.col("section"), "heading").alias("title"), F.array_join(parts, "\n\n").alias("body_text"))
-    return out.where("section_number <> '' or title <> '' or body_text <> ''")
+
+    names = [c.split()[0] for c in LAW_ROWS.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            for path, xml in zip(b["path"], b["xml"]):
+                yield pd.DataFrame(law_rows(path, xml), columns=names)
+
+    return files.select("path", "xml").mapInPandas(run, LAW_ROWS)
 
 
 def load_law_xml(spark: SparkSession, path: str) -> DataFrame:
-    """A5: sections of all law XML files below path."""
-    return law_sections(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml")))
+    """A5: sections of all law XML files below path, in the encodings that they declare."""
+    return law_sections(spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("xml")))
 
 
 def load_canonical(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

@@ -219,6 +219,18 @@ def test_law_xml(spark, tmp_path):
     assert {(r["law_title"], r["issued"], r["published"], r["produced"]) for r in rows} == {("Laki rakentamisesta", "2023-04-21", "2023-04-22", None)}
 
 
+def test_law_xml_is_a_tree(spark):
+    """Lists in lists, sections in sections, text beside marks, comments, CDATA, a prefix, a declared encoding; broken files give no row."""
+    body = "<a:section eId='s1'><a:num>1</a:num><a:list><a:point>a</a:point><a:list><a:point>b</a:point></a:list><a:point>c</a:point></a:list><a:p>x <a:i>y</a:i> z<!-- no --><![CDATA[ <k>]]></a:p><a:section eId='s2'><a:heading>in</a:heading><a:p>d &#228;</a:p></a:section></a:section><a:section/><a:section>loose<a:num/><a:p>last</a:p></a:section>"
+    law = f"<?xml version='1.0' encoding='iso-8859-1'?><a:act xmlns:a='n'><a:docTitle>Lä<a:b>ki</a:b></a:docTitle><a:FRBRdate name='dateIssued' date='1'/><a:FRBRdate name='dateProduced' date='2'/><a:FRBRdate name='dateProduced' date='3'/>{body}</a:act>"
+    want = [(1, "s1", "1", "", "a b c\n\nx y z <k>\n\nin d ä"), (2, "s2", "", "in", "d ä"), (4, None, "", "", "last")]
+    for xml, kind in ((law, "string"), (law.encode("latin-1"), "binary")):
+        files_ = spark.createDataFrame([("p", xml), ("broken", xml[:-3]), ("none", None), ("empty", xml[:0])], f"path string, xml {kind}")
+        rows = files.law_sections(files_).orderBy("section_order").collect()
+        assert [(r.section_order, r.section_id, r.section_number, r.title, r.body_text) for r in rows] == want
+        assert {(r.path, r.law_title, r.issued, r.published, r.produced) for r in rows} == {("p", "Lä ki", "1", None, "3")}
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "j").mkdir()
     (tmp_path / "j" / "a.json").write_text('{"project_code": "p1",\n "parties": [{"party_code": "x"}]}')
