@@ -108,7 +108,7 @@ def units(embeddings: pd.Series) -> np.ndarray:
 
 
 def nearest_in_block(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Of a block of queries (q is true) and rows: each query's k nearest rows but its own."""
+    """Of a block of queries (q is true) and rows: each query's k nearest rows but its own; within its reach, where queries have one."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         a, b = rows[rows["q"]], rows[~rows["q"]]
@@ -121,6 +121,8 @@ def nearest_in_block(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         order = ids[np.argsort(d[:, ids], axis=1, kind="stable")[:, :k]]
         best = np.take_along_axis(d, order, 1)
         keep = np.isfinite(best)
+        if "reach" in a:
+            keep &= best <= a["reach"].to_numpy(np.float64)[:, None]
         return pd.DataFrame({"query_id": np.repeat(a["vec_id"].to_numpy(), keep.sum(axis=1)), "vec_id": b["vec_id"].to_numpy()[order[keep]], "distance": best[keep]})
 
     return run
@@ -151,7 +153,7 @@ def vector_search_within(vectors: DataFrame, queries: DataFrame, k: int = 20, pi
     Rows lie in cells: the nearest of some pivots (a bounded sample of the rows) and a ring of angles around it. The angle
     between a query and a cell's rows is at least the gap between the query's angle to the pivot and the cell's, so a query
     first reads its key's cells in order of that bound until they hold k rows besides its own, and then only the cells that
-    its k-th distance leaves. Large cells are read in blocks. scored and candidates tell how many rows of the key's were
+    its k-th distance leaves, from which only rows within that distance come back. Large cells are read in blocks. scored and candidates tell how many rows of the key's were
     compared. Null keys and vectors without a length take no part; a query without candidates gives no row.
     """
     v, q = (t.where(measurable() & F.col("key").isNotNull()).select("vec_id", "key", "embedding") for t in (vectors, queries))
@@ -187,17 +189,19 @@ def vector_search_within(vectors: DataFrame, queries: DataFrame, k: int = 20, pi
         work = pairs.groupBy("key", "cell").agg(F.count("*").alias("nq"), F.first("n").alias("n")).select("key", "cell", size("nq").alias("qs"), size("n").alias("vs"))
         upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         part = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
-        side_v = rows.join(work, ["key", "cell"]).select("key", "cell", upto("qs").alias("qb"), part("vs").alias("vb"), F.lit(False).alias("q"), "vec_id", "embedding")
-        sought = pairs.select(F.col("query_id").alias("vec_id"), "key", "cell").join(asked.select("vec_id", "embedding"), "vec_id")
-        side_q = sought.join(work, ["key", "cell"]).select("key", "cell", part("qs").alias("qb"), upto("vs").alias("vb"), F.lit(True).alias("q"), "vec_id", "embedding")
+        side_v = rows.join(work, ["key", "cell"]).select("key", "cell", upto("qs").alias("qb"), part("vs").alias("vb"), F.lit(False).alias("q"), "vec_id", "embedding", F.lit(0.0).alias("reach"))
+        sought = pairs.select(F.col("query_id").alias("vec_id"), "key", "cell", "reach").join(asked.select("vec_id", "embedding"), "vec_id")
+        side_q = sought.join(work, ["key", "cell"]).select("key", "cell", part("qs").alias("qb"), upto("vs").alias("vb"), F.lit(True).alias("q"), "vec_id", "embedding", "reach")
         found = side_v.unionByName(side_q).groupBy("key", "cell", "qb", "vb").applyInPandas(nearest_in_block(k), "query_id bigint, vec_id bigint, distance double")
         return first_k(found, k)
 
-    near = materialize(read(aims.where("first")), "near")
+    far = F.lit(float("inf"))
+    near = materialize(read(aims.where("first").withColumn("reach", far)), "near")
     reach = near.where(F.col("rank") == k).select("query_id", F.col("distance").alias("reach"))
-    rest = materialize(aims.where("not first").join(reach, "query_id", "left").where(F.col("reach").isNull() | (F.col("bound") <= F.col("reach") + 1e-8)), "rest")
+    rest = aims.where("not first").join(reach, "query_id", "left").withColumn("reach", F.coalesce("reach", far))
+    rest = materialize(rest.where(F.col("bound") <= F.col("reach") + 1e-8), "rest")
     told = aims.groupBy("query_id").agg(F.sum("n").alias("candidates")).join(aims.where("first").select("query_id", "n").unionByName(rest.select("query_id", "n")).groupBy("query_id").agg(F.sum("n").alias("scored")), "query_id")
-    best = first_k(near.drop("rank").unionByName(read(rest.drop("reach")).drop("rank")), k)
+    best = first_k(near.drop("rank").unionByName(read(rest).drop("rank")), k)
     return best.join(told, "query_id").select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"), "scored", "candidates")
 
 
