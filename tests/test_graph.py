@@ -27,3 +27,9 @@ def test_ends_and_ids(spark):
         same = F.col("entity_type").eqNullSafe(F.col(f"{side}_type")) & F.col("display_name").eqNullSafe(F.col(f"{side}_name"))
         assert ends.where(~same).count() == 0
         assert side == "object" or ends.where(~F.col("p").eqNullSafe(F.col("project_code"))).count() == 0
+
+
+def test_project_graph_has_all_triples(spark):
+    got = catalog.g5_project_graph(spark, SF)
+    assert got.columns == ["project_code", "subject_type", "subject_name", "relation_type", "object_type", "object_name"]
+    assert got.count() == catalog.i2_relations(spark, SF).count()
