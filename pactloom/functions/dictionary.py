@@ -7,7 +7,9 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,23 @@ FINDING = "array<struct<pii_type:string,placeholder:string,value_hash:string>>"
 WORD = re.compile(r"\w")
 
 
+#: Bytes of text that a task turns into Python strings at a time; a longer text is a slice alone.
+SLICE = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut by the bytes of a text column."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        size = pc.fill_null(pc.binary_length(b.column(place)), 0).to_numpy(zero_copy_only=False)
+        part = (np.cumsum(size, dtype=np.int64) - size) // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        for start, stop in zip(cuts, cuts[1:], strict=False):
+            yield b.slice(start, stop - start)
+    pa.default_memory_pool().release_unused()  # Spark keeps its Python workers
+
+
 def folded(text: str) -> str:
     """Lower case, character by character, so that places stay the same."""
     low = text.lower()
@@ -79,7 +98,7 @@ def replace_names(df: DataFrame, text_col: str, names: DataFrame, most: int = 20
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # type: ignore[no-untyped-def]
             table = Names(shared.value)
-            for b in batches:
+            for b in slices(batches, place):
                 texts, old = b.column(place).to_pylist(), b.column(b.num_columns - 1).to_pylist()
                 new = [(None, []) if t is None else table.replace(t) for t in texts]
                 found = [[*o, *({"pii_type": p, "placeholder": q, "value_hash": h} for p, q, h in f)] for o, (_, f) in zip(old, new, strict=True)]
