@@ -29,7 +29,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts whose five-word shingles are 0.8 similar or more, one of each group stays, that of the smallest id; rows without an id stand
+    """Of texts joined by SimHash or by min-hashes whose five-word shingles are 0.8 similar or more, one of each group stays, that of the smallest id; rows without an id stand
     behind all others. Texts that are empty by now are one group, and so are repeated rows; of equal ids the least text is taken."""
     return near_sets.representatives(docs).select(*COLUMNS)
 

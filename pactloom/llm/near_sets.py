@@ -1,8 +1,8 @@
-"""Near-duplicate texts by the Jaccard similarity of their word shingles, verified on the whole sets.
+"""Near-duplicate texts by SimHash, and by the Jaccard similarity of their word shingles, verified on the whole sets.
 
-SimHash at 4 of 64 bits finds a few in a hundred of the pairs at similarity 0.8. The scheme here is the same, byte-position
-posting lists and a tally of equal bytes, with bytes of min-hashes in place of SimHash bytes: they are equal with the
-probability of the similarity. Texts joined by the tally form clusters, in which the exact similarity decides.
+Texts whose SimHash fingerprints differ in few bits are joined as in `simhash`. At 4 of 64 bits these are a few in a hundred of the
+pairs at similarity 0.8, so the same scheme, byte-position posting lists and a tally of equal bytes, runs a second time with bytes of
+min-hashes, which are equal with the probability of the similarity. Texts joined by either form clusters, in which the exact similarity decides.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from pactloom.llm.buckets import Forest, each_tile, tiled
 from pactloom.llm.components import connected_components
-from pactloom.llm.simhash import SEED
+from pactloom.llm.simhash import SEED, fingerprint, links
 from pactloom.llm.slices import slices
 from pactloom.llm.staging import stage
 
@@ -48,17 +48,28 @@ def signature(hashes: np.ndarray) -> bytes:
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(row: all columns, doc_id, text, node: the set's hash, sig)."""
+    """(row: all columns, doc_id, text, node: the set's hash, sig, fp: the SimHash fingerprint)."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     source = docs.select(row.alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2):
-            sets = [shingle_set(t, shingle) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            texts = b.column(2).cast(pa.binary()).to_pylist()
+            sets = [shingle_set(t, shingle) for t in texts]
+            fp = np.array([fingerprint(t, 4) for t in texts], np.uint64).view(np.int64)
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node), pa.array([signature(s) for s in sets], pa.binary())], ["row", "doc_id", "text", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node), pa.array([signature(s) for s in sets], pa.binary()), pa.array(fp)], ["row", "doc_id", "text", "node", "sig", "fp"])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("node", T.LongType()), T.StructField("sig", T.BinaryType())]))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("node", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("fp", T.LongType())]))
+
+
+def _simhash_links(prints: DataFrame, max_bits: int) -> DataFrame:
+    """(u, v) links that connect all nodes whose fingerprints are within max_bits of one another: nodes to the least of their fingerprint, and those by SimHash's links."""
+    of = stage(prints.select("node", "fp").distinct(), "fingerprints")
+    least = stage(of.groupBy("fp").agg(F.min("node").alias("least")), "distinct")
+    end = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_node"))
+    near = links(least.select("fp"), max_bits).join(end("u"), "u").join(end("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    return near.unionByName(of.join(least, "fp").select(F.col("node").alias("u"), F.col("least").alias("v")).where("u <> v"))
 
 
 def _alike(sigs: DataFrame, limit: int) -> DataFrame:
@@ -129,16 +140,16 @@ def _verified(texts: DataFrame, similarity: float, shingle: int, limit: int, hel
     return rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").select("bucket", "lo", "hi", "chunk", "node", "hashes").mapInPandas(run, "u bigint, v bigint")
 
 
-def _groups(prints: DataFrame, similarity: float, shingle: int, limit: int) -> DataFrame:
+def _groups(prints: DataFrame, similarity: float, shingle: int, limit: int, max_bits: int) -> DataFrame:
     """(node, root, first_id) of all nodes: root is the same for the nodes of a group, first_id a node's smallest id."""
     nodes = stage(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("sig").alias("sig")), "nodes")
-    clusters = stage(connected_components(_alike(nodes.select("node", "sig"), limit)).withColumnRenamed("root", "bucket").distinct(), "clusters")
+    clusters = stage(connected_components(_simhash_links(prints, max_bits).unionByName(_alike(nodes.select("node", "sig"), limit))).withColumnRenamed("root", "bucket").distinct(), "clusters")
     texts = prints.select("node", "text").join(clusters, "node").groupBy("node", "bucket").agg(F.first("text").alias("text"))
     roots = connected_components(_verified(texts, similarity, shingle, limit)).distinct()
     return stage(nodes.select("node", "first_id").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id"), "groups")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, limit: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, limit: int = 512, max_bits: int = 4) -> DataFrame:
     """One row per input row: doc_id, component_id (smallest doc_id reachable over pairs of at least that similarity).
 
     Defined results: null, empty and wordless texts are alike; null ids stay null and never become a component's id
@@ -146,18 +157,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     further columns are ignored.
     """
     prints = stage(_prints(docs.select(id_col, text_col), id_col, text_col, shingle), "prints")
-    groups = _groups(prints, similarity, shingle, limit)
+    groups = _groups(prints, similarity, shingle, limit, max_bits)
     named = groups.join(groups.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "component_id")
     return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, limit: int = 512) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, limit: int = 512, max_bits: int = 4) -> DataFrame:
     """One row of each group with all columns of docs: that of the smallest id; rows without an id stand behind all others.
 
     Copies are combined before texts are shuffled, once, by the hash of their shingle sets. Defined results as above.
     """
     prints = stage(_prints(docs, id_col, text_col, shingle), "prints")
-    groups = _groups(prints, similarity, shingle, limit)
+    groups = _groups(prints, similarity, shingle, limit, max_bits)
     order = F.struct(F.col("first_id").isNull(), "first_id", "node")
     kept = groups.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.node").alias("node"))
     first = prints.groupBy("node").agg(F.min_by(F.struct("row", "text"), F.struct(F.col("doc_id").isNull(), "doc_id", "text")).alias("r"))
