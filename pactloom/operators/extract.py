@@ -45,11 +45,17 @@ def classify_documents(files: DataFrame, name: str = "filename") -> DataFrame:
     return files.withColumn("document_types", F.coalesce(found, types(R.DEFAULT_FILE_TYPE))).withColumn("review_note", note)
 
 
+def once_a_row(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds a column that is computed once a row, however often it is read: the optimizer copies no generator's value."""
+    return df.select(*df.columns, F.explode(F.array(value)).alias(name))
+
+
 def classify_operations(files: DataFrame, path: str = "path") -> DataFrame:
     """Op struct<document_type, event_type, observation_type, creates_handover, creates_payment> by the first path rule."""
-    low = F.translate(F.lower(path), "_-/\\", "    ")
+    low = F.col("__low")
     row = lambda d, e, o, h, p: F.struct(F.lit(d).alias("document_type"), F.lit(e).cast("string").alias("event_type"), F.lit(o).cast("string").alias("observation_type"), F.lit(h).alias("creates_handover"), F.lit(p).alias("creates_payment"))
-    return files.withColumn("op", first_rule([(_any(low, parts), row(d, e, o, h, p)) for parts, d, e, o, h, p in R.OPERATION_RULES], row(R.DEFAULT_OPERATION_TYPE, None, None, False, False)))
+    known = once_a_row(files, F.translate(F.lower(path), "_-/\\", "    "), "__low")
+    return known.withColumn("op", first_rule([(_any(low, parts), row(d, e, o, h, p)) for parts, d, e, o, h, p in R.OPERATION_RULES], row(R.DEFAULT_OPERATION_TYPE, None, None, False, False))).drop("__low")
 
 
 def path_date(col: Column) -> Column:
@@ -58,16 +64,21 @@ def path_date(col: Column) -> Column:
     return F.try_to_date(F.nullif(F.concat_ws("-", at(3), F.lpad(at(2), 2, "0"), F.lpad(at(1), 2, "0")), F.lit("-00-00")), "yyyy-MM-dd")
 
 
+def operation_rows(files: DataFrame) -> DataFrame:
+    """(kind, file_id, project_code, event_date, detail) of classified files (file_id, project_code, path, op), read and classified once:
+    events and observations with their type, handovers and payments with the document's."""
+    op = lambda f: F.col("__op")[f]
+    made = (("events", op("event_type")), ("observations", op("observation_type")), ("handovers", F.when(op("creates_handover"), op("document_type"))), ("payments", F.when(op("creates_payment"), op("document_type"))))
+    rows = once_a_row(once_a_row(files.select("file_id", "project_code", "path", "op"), F.col("op"), "__op").drop("op"), path_date(F.col("path")), "event_date")
+    each = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), detail.alias("detail")) for k, detail in made]), lambda x: x["detail"].isNotNull())
+    return rows.select("file_id", "project_code", "event_date", F.explode(each).alias("x")).select("x.kind", "file_id", "project_code", "event_date", "x.detail")
+
+
 def emit_operations(files: DataFrame) -> dict[str, DataFrame]:
-    """Events, observations, handovers and payments of classified files (file_id, project_code, path, op)."""
-    rows = files.withColumn("event_date", path_date(F.col("path"))).select("file_id", "project_code", "event_date", "op.*")
-    base = ["file_id", "project_code", "event_date"]
-    return {
-        "events": rows.where("event_type is not null").select(*base, "event_type"),
-        "observations": rows.where("observation_type is not null").select(*base, "observation_type"),
-        "handovers": rows.where("creates_handover").select(*base, "document_type"),
-        "payments": rows.where("creates_payment").select(*base, "document_type"),
-    }
+    """Events, observations, handovers and payments of classified files (file_id, project_code, path, op), each as a table."""
+    rows = operation_rows(files)
+    named = {"events": "event_type", "observations": "observation_type", "handovers": "document_type", "payments": "document_type"}
+    return {k: rows.where(F.col("kind") == k).select("file_id", "project_code", "event_date", F.col("detail").alias(n)) for k, n in named.items()}
 
 
 def number_after(col: Column, pattern: str) -> Column:
