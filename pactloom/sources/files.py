@@ -87,6 +87,21 @@ LAW_DATES = ("dateIssued", "datePublished", "dateProduced")
 LAW_ROWS = "path string, law_title string, issued string, published string, produced string, section_order int, section_id string, section_number string, title string, body_text string"
 
 
+def law_frames(batches: Iterable[pd.DataFrame], held: int = 4 << 20) -> Iterator[pd.DataFrame]:
+    """LAW_ROWS of laws (path, xml): one frame for many of them, which take `held` bytes of XML at most, or of one law."""
+    names = [c.split()[0] for c in LAW_ROWS.split(", ")]
+    for b in batches:
+        rows, size = [], 0
+        for path, xml in zip(b["path"], b["xml"]):
+            if rows and size + len(xml or "") > held:
+                yield pd.DataFrame(rows, columns=names)
+                rows, size = [], 0
+            rows.extend(law_rows(path, xml))
+            size += len(xml or "")
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+
 def law_sections(files: DataFrame) -> DataFrame:
     """A5 on rows (path, xml as text or bytes): one row a section of a law, in order, with the law's title and its three dates.
 
@@ -94,15 +109,7 @@ def law_sections(files: DataFrame) -> DataFrame:
     them; text beside the children is not part of it. Nested sections are rows of their own as well. Sections without number, heading and body are left
     out; order counts them. Any namespace will do; of several dates of one name the last counts. What is no well-formed XML gives no row.
     """
-
-    names = [c.split()[0] for c in LAW_ROWS.split(", ")]
-
-    def run(batches):
-        for b in batches:
-            for path, xml in zip(b["path"], b["xml"]):
-                yield pd.DataFrame(law_rows(path, xml), columns=names)
-
-    return files.select("path", "xml").mapInPandas(run, LAW_ROWS)
+    return files.select("path", "xml").mapInPandas(law_frames, LAW_ROWS)
 
 
 def load_law_xml(spark: SparkSession, path: str) -> DataFrame:

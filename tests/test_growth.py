@@ -1,14 +1,25 @@
 """What queries read, compute and shuffle as their tables grow."""
 
+import pandas as pd
+
 from pyspark.sql import functions as F
 
 from pactloom.operators import extract
+from pactloom.sources import files
 
 
 def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_many_laws_make_one_frame():
+    law = "<act><docTitle>T</docTitle><section><num>1</num></section></act>"
+    laws = pd.DataFrame({"path": [f"p{i}" for i in range(500)], "xml": [law] * 498 + [None, "<"]})
+    got = list(files.law_frames([laws]))
+    assert len(got) == 1 and got[0]["path"].tolist() == [f"p{i}" for i in range(498)]
+    assert [len(g) for g in files.law_frames([laws], 3 * len(law))][:2] == [3, 3]
+
+
 def test_operations_are_classified_once(spark):
     paths = [("a", "p", "Vastaanotto/x_3.12.2014.pdf"), ("b", "p", "TMK_pöytäkirja/x.pdf"), ("c", "p", None), ("d", "p", "muu.pdf"), ("e", None, "Maksuerätaulukko/x_1.1.2020.pdf")]
     df = spark.createDataFrame(paths, "file_id string, project_code string, path string")
