@@ -11,10 +11,9 @@ from pactloom.sources.scratch import materialize
 
 
 def mentions(col: Column, words: tuple[str, ...]) -> Column:
-    low, out = F.lower(F.coalesce(col, F.lit(""))), F.lit(False)
-    for w in words:
-        out = out | F.contains(low, F.lit(w))
-    return out
+    """Whether a text holds any of the words (plain ones) in any case; a word that holds another one says nothing more."""
+    least = [w for w in words if not any(v in w and v != w for v in words)]
+    return F.regexp_like(F.lower(F.coalesce(col, F.lit(""))), F.lit("|".join(least)))
 
 
 def invoice_like() -> Column:
@@ -38,9 +37,9 @@ def discover_sources(*layers: DataFrame) -> DataFrame:
 def parse_sources(sources: DataFrame) -> DataFrame:
     """Rows (array) of a schedule text, invoice (struct) of an invoice's; written once, as resolving reads it three times."""
     by_path = mentions(F.col("source_path"), R.PAYMENT_PATH_TERMS)
-    text = F.coalesce("text", F.lit(""))
-    invoice = F.when(F.col("is_invoice"), invoice_item(text, F.col("source_label"), F.col("source_path"), by_path))
-    return materialize(sources.select(*sources.columns, payment_rows(text).alias("rows"), invoice.alias("invoice")), "parsed")
+    asked = lambda c: F.when(F.col("is_invoice"), F.col(c))
+    invoice = invoice_item(asked("text"), asked("source_label"), asked("source_path"), by_path)
+    return materialize(sources.select(*sources.columns, payment_rows(F.col("text")).alias("rows"), invoice.alias("invoice")), "parsed")
 
 
 def resolve_schedules(projects: DataFrame, parsed: DataFrame, existing: DataFrame) -> DataFrame:

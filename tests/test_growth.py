@@ -4,6 +4,7 @@ import pandas as pd
 
 from pyspark.sql import functions as F
 
+from pactloom.functions import money
 from pactloom.operators import extract
 from pactloom.sources import files
 
@@ -30,3 +31,15 @@ def test_operations_are_classified_once(spark):
     assert not {r[1] for r in got} & {"c", "d"}
     parts = extract.emit_operations(extract.classify_operations(df))
     assert sum(p.count() for p in parts.values()) == len(got) and parts["events"].columns[-1] == "event_type"
+
+
+def test_payment_rules_run_on_batches(spark):
+    odd = "1. erä 0,01 € 145808,00 € 2. erä 0,02 € 145808,00 €"  # a rate that no column of rates holds
+    table = "Taulukko | 1. erä | 100,00 € | 24,00 € | 124,00 € | 2. erä | 200,00 € | 48,00 € | 248,00 €"
+    df = spark.createDataFrame([(0, odd), (1, table), (2, None)], "i int, t string")
+    rows = df.select("i", money.payment_rows(F.col("t")).alias("r"), money.invoice_item(F.col("t"), F.lit("maksuerä 3"), F.lit(None), F.lit(None).cast("boolean")).alias("v"))
+    assert "lambda" not in plan(rows)
+    got = {r.i: r for r in rows.collect()}
+    assert [(x.item_no, x.vat_rate) for x in got[0].r] == [(1, None), (2, None)]
+    assert [(x.item_no, str(x.amount_gross), str(x.vat_rate)) for x in got[1].r] == [(1, "124.00", "24.00"), (2, "248.00", "24.00")]
+    assert got[2].r == [] and got[2].v is None and (got[1].v.item_no, got[1].v.confidence) == (3, "medium")
