@@ -174,6 +174,6 @@ def chunk_parts(tables: dict[str, DataFrame]) -> list[DataFrame]:
 def build_chunks(*parts: DataFrame) -> DataFrame:
     """Chunks from tables (contract_id, chunk_type, content): hash, words, flags; one for each content of a contract."""
     rows = reduce(DataFrame.unionByName, [p.select("contract_id", "chunk_type", "content") for p in parts]).where("content is not null and content <> ''")
-    keyed = rows.withColumn("content_hash", content_hash(F.col("content")))
-    one = keyed.groupBy("contract_id", "content_hash").agg(F.min("chunk_type").alias("chunk_type"), F.min("content").alias("content"))
+    one = rows.groupBy("contract_id", "content").agg(F.min("chunk_type").alias("chunk_type"))  # equal contents have equal hashes: none is shuffled
+    one = one.select("contract_id", content_hash(F.col("content")).alias("content_hash"), "chunk_type", "content")
     return one.withColumn("token_count", F.size(F.split("content", " "))).withColumn("money_related", F.col("chunk_type").isin(*MONEY_KINDS)).withColumn("quality_related", F.col("chunk_type").isin(*QUALITY_KINDS))

@@ -1,11 +1,13 @@
 """What queries read, compute and shuffle as their tables grow."""
 
+import re
+
 import pandas as pd
 
 from pyspark.sql import functions as F
 
 from pactloom.functions import money
-from pactloom.operators import extract, search
+from pactloom.operators import extract, search, sections
 from pactloom.sources import files
 
 
@@ -55,3 +57,10 @@ def test_texts_are_split_once(spark, monkeypatch):
     assert sorted((r.query_id, r.chunk_id) for r in rows) == [(1, 1), (1, 2), (2, 2)]
     got = {(r.query_id, r.chunk_id): r.s for r in rows}
     assert abs(got[1, 1] - 0.1823215568 * 2 * 2.2 / (2 + 1.2)) < 1e-6  # two chunks of three words
+
+
+def test_chunks_are_dealt_without_their_hashes(spark):
+    a = spark.createDataFrame([("c", "x", "one two"), ("c", "w", "one two"), ("c", "x", ""), ("d", "x", "one two")], "contract_id string, chunk_type string, content string")
+    rows = sections.build_chunks(a, a.limit(1))
+    assert re.search(r"Aggregate \[contract_id#\d+, content#\d+\]", plan(rows))  # by the content itself
+    assert sorted((r.contract_id, r.chunk_type, r.content, r.token_count) for r in rows.collect()) == [("c", "w", "one two", 2), ("d", "x", "one two", 2)]
