@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,9 +13,9 @@ from pactloom.sources.scratch import materialize
 
 
 def mentions(col: Column, words: tuple[str, ...]) -> Column:
-    """Whether a text holds any of the words (plain ones) in any case; a word that holds another one says nothing more."""
+    """Whether a text holds any of the words, which are in lower case; a word that holds another one says nothing more."""
     least = [w for w in words if not any(v in w and v != w for v in words)]
-    return F.regexp_like(F.lower(F.coalesce(col, F.lit(""))), F.lit("|".join(least)))
+    return F.regexp_like(F.lower(F.coalesce(col, F.lit(""))), F.lit("|".join(map(re.escape, least)))) if least else F.lit(False)
 
 
 def invoice_like() -> Column:
