@@ -1,9 +1,13 @@
 """The graph of the test tables: its parts against one another."""
 
+import re
+import time
+
 from pyspark.sql import functions as F
 
 from pactloom.operators import graph
 from pactloom.plans import catalog
+from pactloom.sources import adapter, scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +37,29 @@ def test_project_graph_has_all_triples(spark):
     got = catalog.g5_project_graph(spark, SF)
     assert got.columns == ["project_code", "subject_type", "subject_name", "relation_type", "object_type", "object_name"]
     assert got.count() == catalog.i2_relations(spark, SF).count()
+
+
+def test_lines_are_dealt_by_contract_once(spark):
+    schema = "l_orderkey bigint, l_linenumber int, item_name string, system_type string, segment_type string"
+    rows = [(1, 9, "nine", "s", "a"), (1, 10, "ten", "s", "b"), (1, 2, "two", "s", "b"), (1, 3, None, None, "a"), (2, 1, "one", "s", "a")]
+    got = graph.segments_of(spark.createDataFrame(rows, schema).repartition("l_orderkey"))
+    assert plan(got).count("Exchange") == 1
+    assert {(r.l_orderkey, r.l_linenumber, r.last_no, r.last_name, r.first_of_segment) for r in got.collect()} == {(1, 9, 9, "nine", True), (1, 10, 9, "nine", False), (1, 2, 9, "nine", True), (1, 3, 3, None, True), (2, 1, 1, "one", True)}
+    lines = adapter.contract_lines(spark, SF, adapter.contracts(spark, SF).join(adapter.projects(spark, SF), "project_id"))
+    assert not {"l_returnflag", "l_linestatus"} & set(re.findall(r"l_[a-z]+", plan(lines)))
+    assert plan(lines).count("hashpartitioning(l_orderkey") <= 2  # the lines, and the contracts where they are not broadcast
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    env = spark.sparkContext._jsc.sc().env()
+    files = lambda: {f for f in env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = files()
+    assert len(scratch.materialize(spark.range(1000).repartition(3, "id"), "ids").collect()) == 1000
+    left = files() - before
+    for _ in range(20):
+        if not left:
+            break
+        time.sleep(0.25)
+        left = files() - before
+    assert not left
+    assert spark.conf.get(scratch.CLEANUP, None) is None
