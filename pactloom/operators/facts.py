@@ -47,9 +47,18 @@ def finance_facts(contracts: DataFrame, prices: DataFrame, items: DataFrame, dis
     without regard to the price: structured_total, ambiguous_amount_basis, found_unstructured or not_found.
     """
     price = prices.where("price_type = 'fixed_contract_price'").groupBy("contract_id").agg(F.max(F.coalesce(F.nullif("amount_gross", F.lit(0)), F.col("amount_net"))).alias("contract_price"))
-    total = items.groupBy("contract_id").agg(F.count("*").alias("items"), F.count("amount_gross").alias("with_gross"), F.sum("amount_gross").alias("gross"), F.sum("amount_net").alias("net"))
-    out = contracts.select("contract_id", "project_id").join(price, "contract_id", "left").join(total, "contract_id", "left")
+    out = contracts.select("contract_id", "project_id").join(price, "contract_id", "left").join(schedule_totals(items, "contract_id"), "contract_id", "left")
     out = out.withColumn("found", F.lit(None).cast("string")) if discovered is None else out.join(discovered.select("contract_id", F.col("status").alias("found")), "contract_id", "left")
+    return finance_rows(out)
+
+
+def schedule_totals(items: DataFrame, key: str) -> DataFrame:
+    """H4: a contract's items, those with a gross amount, and the sums of both amounts."""
+    return items.groupBy(key).agg(F.count("*").alias("items"), F.count("amount_gross").alias("with_gross"), F.sum("amount_gross").alias("gross"), F.sum("amount_net").alias("net"))
+
+
+def finance_rows(out: DataFrame) -> DataFrame:
+    """H4's rules on rows that have all of a contract: contract_id, project_id, contract_price, schedule_totals and found."""
     schedule = F.when(F.col("with_gross") == F.col("items"), F.col("gross")).when(F.col("with_gross") == 0, F.col("net")).cast("decimal(18,2)")
     out = out.withColumn("schedule_total", schedule).withColumn("difference", (F.col("schedule_total") - F.col("contract_price")).cast("decimal(18,2)"))
     match = F.when(F.col("difference").isNotNull(), F.abs("difference") <= 1)

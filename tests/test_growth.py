@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from pactloom.functions import money
-from pactloom.operators import extract, search, sections
+from pactloom.operators import extract, quality, search, sections
+from pactloom.plans import catalog
 from pactloom.sources import files
 
 
@@ -64,3 +65,28 @@ def test_chunks_are_dealt_without_their_hashes(spark):
     rows = sections.build_chunks(a, a.limit(1))
     assert re.search(r"Aggregate \[contract_id#\d+, content#\d+\]", plan(rows))  # by the content itself
     assert sorted((r.contract_id, r.chunk_type, r.content, r.token_count) for r in rows.collect()) == [("c", "w", "one two", 2), ("d", "x", "one two", 2)]
+
+
+def executed(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unique_keys_are_counted_after_they_are_dealt(spark):
+    rows = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (None, 1), (None, 1)], "a int, b int")
+    got = quality.unique_violations(rows, "u", ["a", "b"])
+    text = executed(got)
+    assert text.count("Exchange") == 1 and text.rindex("HashAggregate") < text.index("Exchange")  # children come below
+    assert [tuple(r) for r in got.collect()] == [("u", "1|1")]
+
+
+def test_finance_deals_lines_and_orders_once(spark):
+    text = executed(catalog.h4_finance_facts(spark, "/root/testdata/sf0.001"))
+    assert text.count("Exchange hashpartitioning") <= 2 and text.count("/lineitem.parquet") == 1 and text.count("/orders.parquet") == 1
+
+
+def test_matrix_takes_lines_of_primary_contracts(spark, monkeypatch):
+    seen = []
+    finance = catalog.finance
+    monkeypatch.setattr(catalog, "finance", lambda s, d, of=None: seen.append(of.count()) or finance(s, d, of))
+    got = catalog.h1_fact_matrix(spark, "/root/testdata/sf0.001")
+    assert seen == [25] and got.count() == 25
