@@ -63,3 +63,52 @@ def test_shuffle_files_go_when_a_table_is_written(spark):
         left = files() - before
     assert not left
     assert spark.conf.get(scratch.CLEANUP, None) is None
+
+
+def test_large_tables_are_dealt_in_parts(spark, monkeypatch):
+    """Each part is written before the next is dealt; together they are the whole."""
+    assert adapter.line_parts(spark, SF) == [(0, 1)]
+    monkeypatch.setattr(adapter, "AT_ONCE", 0)
+    given, tables, write = {}, {}, catalog.materialize
+
+    def told(df, name):
+        given[name], tables[name] = df, write(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(catalog, "materialize", told)
+    catalog.graph_data(spark, SF)
+    lines = adapter.contract_lines(spark, SF, tables["contracts"])
+    whole = {"lines": lines, "scopes": graph.segments_of(adapter.contract_scopes(spark, SF, lines, tables["contracts"]))}
+    for name, df in whole.items():
+        parts = [p.count() for p in given[name]]
+        assert len(parts) == adapter.PARTS and all(parts)
+        assert sorted(map(str, tables[name].collect())) == sorted(map(str, df.collect()))
+    # of each part that a line names, the price goes with the smallest contract_id as text
+    want = lines.groupBy("l_partkey").agg(F.min(F.col("l_orderkey").cast("string")).alias("c"))
+    got = [(r.l_partkey, str(r.l_orderkey)) for r in tables["prices"].collect()]
+    assert sorted(got) == sorted((r.l_partkey, r.c) for r in want.collect())
+
+
+def test_only_one_part_of_a_table_is_in_the_shuffle(spark):
+    env = spark.sparkContext._jsc.sc().env()
+    rows, seen = spark.range(20_000).withColumn("x", F.sha2(F.col("id").cast("string"), 256)), []
+
+    class Part:
+        """A frame whose writing tells what the shuffle held before it."""
+
+        def __init__(self, df):
+            self.df, self.sparkSession, self.schema = df, df.sparkSession, df.schema
+
+        @property
+        def write(self):
+            for _ in range(40):  # removal is not waited for by Spark
+                held = {f for f in env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+                if not held - before:
+                    break
+                time.sleep(0.25)
+            seen.append(len(held - before))
+            return self.df.write
+
+    before = {f for f in env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    got = scratch.materialize([Part(rows.where(adapter.in_part("id", (i, 3))).repartition(3, "id")) for i in range(3)], "rows")
+    assert seen == [0, 0, 0] and got.count() == got.distinct().count() == 20_000
