@@ -41,16 +41,21 @@ def fold_text(col: Column) -> Column:
     return F.translate(F.lower(col), "äöå", "aoa")
 
 
+def hundredths(x: Column) -> Column:
+    """Two decimals of a double by its own value, as SQL rounds doubles. Spark rounds the digits that a double is shown with, which takes 1.005, a little less than that, up."""
+    return F.round(x * 100, 0) / 100
+
+
 def printable_share(col: Column) -> Column:
     """B3 A: 100 * printable characters / characters of the stripped text, 2 decimals; 0 for an empty one."""
     t = strip(F.coalesce(col, F.lit("")))
-    return F.when(F.length(t) == 0, F.lit(0.0)).otherwise(F.round(100.0 * F.length(F.regexp_replace(t, r"[\p{C}\p{Zl}\p{Zp}\p{Zs}&&[^ ]]", "")) / F.length(t), 2))
+    return F.when(F.length(t) == 0, F.lit(0.0)).otherwise(hundredths(100.0 * F.length(F.regexp_replace(t, r"[\p{C}\p{Zl}\p{Zp}\p{Zs}&&[^ ]]", "")) / F.length(t)))
 
 
 def letter_share(col: Column) -> Column:
     """B3 B: 100 * letters / characters, 2 decimals; 0 for an empty text."""
     t = F.coalesce(col, F.lit(""))
-    return F.when(F.length(t) == 0, F.lit(0.0)).otherwise(F.round(100.0 * F.length(F.regexp_replace(t, r"[^\p{L}]", "")) / F.length(t), 2))
+    return F.when(F.length(t) == 0, F.lit(0.0)).otherwise(hundredths(100.0 * F.length(F.regexp_replace(t, r"[^\p{L}]", "")) / F.length(t)))
 
 
 def content_hash(col: Column) -> Column:
