@@ -110,7 +110,10 @@ def build_packets(detected: DataFrame, hits: DataFrame, found: DataFrame, status
     e = named.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "entity_type", snippet(F.col("display_name")).alias("name"), "reference_label", state))).alias("entities"))
     r = found.join(of_relation, ["question_id", "relation_id"], "left").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "relation_type", "relation_id", state))).alias("relations"))
     v = statuses.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("evidence_id", "status"))).alias("evidence"))
-    c = context.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("text_id", "status", "source_type", F.coalesce("document_type", F.lit("unknown")).alias("document_type"), snippet(F.col("text")).alias("snippet")))).alias("texts"))
+    # A text is sanitised once, however many questions show it.
+    text = F.coalesce("text", F.lit("")).alias("text")
+    shown = context.select(text).distinct().select("text", snippet(F.col("text")).alias("snippet"))
+    c = context.withColumn("text", text).join(shown, "text").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("text_id", "status", "source_type", F.coalesce("document_type", F.lit("unknown")).alias("document_type"), "snippet"))).alias("texts"))
     asked = [F.col(n) if n in detected.columns else F.lit(None).cast(t).alias(n) for n, t in (("question", "string"), ("user_case", "map<string,string>"))]
     out = detected.select("question_id", *asked, "topics", "keywords", "case_fields")
     for part in (e, r, v, c, cov):
