@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactloom.functions.rules import TOPICS
 from pactloom.functions.text import LEAK_PATTERNS, anonymize_labels, cut, leak_scan, snippet
 
 #: Statuses from weakest to strongest: fixed values.
@@ -26,7 +25,6 @@ DIRECT_TEXTS = (
     ("clauses", "direct_clause", "clause", "source_id"), ("sections", "direct_section", "section", "source_id"),
     ("guidance_items", "direct_page", "raw_page", "regexp_extract(source_id, '^(.*)-[^-]*$', 1)"), ("guidance_laws", "direct_page", "raw_page", "regexp_extract(source_id, '^(.*)-[^-]*$', 1)"),
 )
-RULE_WORDS = sorted({w for _, keywords, *_ in TOPICS for w in keywords})
 CONTEXT = ["question_id", "evidence_id", "text_id", "status", "source_type", "document_type", "text"]
 
 
@@ -59,9 +57,10 @@ def text_context(evidence: DataFrame, detected: DataFrame, texts: DataFrame, pag
     order = ("section_key", "file_id")
     head = sections.withColumn("rn", F.row_number().over(Window.partitionBy("project_code").orderBy(*order))).where(F.col("rn") <= k).drop("rn")
     plain = projects.join(kw.where(F.size("keywords") == 0).select("question_id"), "question_id").join(head, "project_code")
-    # Each section is searched once for the words of the rule table; of each project and word, k sections are enough.
+    # Each section is searched once for the asked words of the rule table; of each project and word, k sections are enough.
     low = F.concat_ws("\n", *[F.lower(c) for c in ("body_text", "title", "document_type")])
-    held = sections.withColumn("low", low).withColumn("keyword", F.explode(F.filter(F.array(*[F.lit(w) for w in RULE_WORDS]), lambda w: F.contains(F.col("low"), w)))).drop("low")
+    sought = kw.select(F.explode("keywords").alias("keyword")).distinct()
+    held = sections.withColumn("low", low).join(F.broadcast(sought), F.contains("low", "keyword")).drop("low")
     held = held.withColumn("rn", F.row_number().over(Window.partitionBy("project_code", "keyword").orderBy(*order))).where(F.col("rn") <= k).drop("rn")
     asked = projects.join(kw.select("question_id", F.explode("keywords").alias("keyword")), "question_id")
     words = asked.join(held, ["project_code", "keyword"]).drop("keyword").dropDuplicates(["question_id", "project_code", *order])
